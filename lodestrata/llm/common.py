@@ -90,17 +90,20 @@ def keyed_join(left: DataFrame, right: DataFrame, key: str, weight: str, keep: l
 
     The ``HEAVY_KEYS`` keys of most ``weight`` (rows of ``left``) are joined by broadcast, which has that bound; the
     rest meets in a shuffle, where no key is large. ``right`` should be stored: it is read twice. A null key matches
-    nothing. ``keep`` are the columns of ``right`` to add. Keys are strings.
+    nothing. ``keep`` are the columns of ``right`` to add. Keys are strings, binary or long.
     """
     heavy = right.orderBy(F.col(weight).desc(), F.col(key)).limit(HEAVY_KEYS)
     heavy = heavy.select(F.col(key).alias("__hk"), F.struct(*keep).alias("__hv"))
     rest = right.select(F.col(key).alias("__rk"), F.struct(*keep).alias("__rv"))
     met = left.join(F.broadcast(heavy), F.col(key) == F.col("__hk"), "left")
-    # what is joined already, and nulls, are dealt out evenly under keys that match nothing
-    other = F.concat(F.lit("\x00"), F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(4096)).cast("string"))
+    # what is joined already, and nulls, are dealt out evenly under keys that aren't theirs
+    other = F.xxhash64(*[F.col(c) for c in left.columns])
+    if (kind := dict(left.dtypes)[key]) != "bigint":
+        other = other.cast("string").cast(kind)
     met = met.withColumn("__jk", F.when(F.col("__hk").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(other))
     out = met.join(rest, F.col("__jk") == F.col("__rk"), "left")
-    return out.select(*left.columns, *[F.coalesce(F.col(f"__hv.{c}"), F.col(f"__rv.{c}")).alias(c) for c in keep])
+    late = F.col(key) == F.col("__rk")
+    return out.select(*left.columns, *[F.coalesce(F.col(f"__hv.{c}"), F.when(late, F.col(f"__rv.{c}"))).alias(c) for c in keep])
 
 
 def tokenizer_file(name: str) -> str:

@@ -1 +1,319 @@
+"""Near-duplicate documents: MinHash bands for candidates, sequential Bayesian verification, exact confirmation.
 
+A document's set are the 64-bit hashes of its distinct five-word shingles. Documents with equal sets are one class,
+held by its smallest id. Signatures of the classes are cut into bands; classes that share a band's values are
+candidates. A candidate pair's signatures are compared in batches of 16 values: after each, the pair is dropped if the
+probability, given the matches so far and a flat prior, that its similarity reaches the threshold is below ``miss``.
+What is left is confirmed on the full sets. At similarity 0.85, 25 bands of 5 values miss a pair with probability 4e-7.
+
+Pairs within a bucket aren't emitted. First, each member is checked against the bucket's smallest member, and links are
+joined to components. Buckets of two, and those that lie in one component, are then settled. For any other, the members
+outside its largest component are compared with all its members, tile by tile, inside tasks that hold the sets of two
+blocks; a task skips pairs that are connected already and emits a spanning forest of the links it finds. So what is
+shuffled grows with members and not with pairs, no bucket has to fit a task, and no link between components is lost.
+
+Sets of candidates are stored once; nothing is collected. Components come from rounds of least labels and pointer
+jumping, with each round's labels stored.
+
+Null and empty texts have an empty set and are linked with nothing; so are rows with a null id, whose component is null
+and which are kept. Rows that share an id are one document for links: they share the component. Other columns are
+ignored.
+"""
+
+from __future__ import annotations
+
+import functools
+import hashlib
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import keyed_join, map_rows, shared_dir, stored, text_bytes, to_batch, words
+
+SHINGLE = 5
+HASHES = 128
+ROWS = 5
+BANDS = 25
+BATCH = 16
+BLOCK = 512
+MISS = 1e-8
+#: Links hold at 100 * common >= PERCENT * union.
+PERCENT = 85
+MEMO_WORDS = 500_000
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijective mix of 64-bit values (the finalizer of splitmix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class _WordHash(dict):
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        h = self[word] = hashlib.blake2b(word, digest_size=8).digest()
+        return h
+
+
+_WORDS = _WordHash()
+_STEPS = mixed(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def shingles(text: bytes | None) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of all five-word shingles of a text, A-Z lower-cased; with fewer words, of the
+    whole sequence; none without words."""
+    found = words(text.lower()) if text else []
+    if not found:
+        return np.zeros(0, dtype=np.uint64)
+    h = np.frombuffer(b"".join(map(_WORDS.__getitem__, found)), dtype="<u8")
+    n = len(h)
+    if n < SHINGLE:
+        acc = np.array([n], dtype=np.uint64)
+        for i in range(n):
+            acc = acc + h[i : i + 1] * _STEPS[i]
+    else:
+        acc = np.zeros(n - SHINGLE + 1, dtype=np.uint64)
+        for i in range(SHINGLE):
+            acc = acc + h[i : n - SHINGLE + 1 + i] * _STEPS[i]
+    return np.unique(mixed(acc))
+
+
+@functools.lru_cache(maxsize=1)
+def permutations() -> tuple[np.ndarray, np.ndarray]:
+    seeds = mixed(np.arange(1000, 1000 + 2 * HASHES, dtype=np.uint64))
+    return (seeds[:HASHES] | np.uint64(1))[:, None], seeds[HASHES:, None]
+
+
+def signature(s: np.ndarray) -> np.ndarray:
+    """The lowest value of each of ``HASHES`` hash functions over a set, cut to 16 bits (which adds 1/65536 to the chance
+    that two values agree)."""
+    a, b = permutations()
+    low = np.full(HASHES, np.iinfo(np.uint32).max, dtype=np.uint32)
+    for at in range(0, len(s), 1024):
+        part = s[None, at : at + 1024]
+        low = np.minimum(low, ((part * a + b) >> np.uint64(32)).astype(np.uint32).min(axis=1))
+    return (low & np.uint32(0xFFFF)).astype("<u2")
+
+
+@functools.lru_cache(maxsize=8)
+def least_matches(percent: int, miss: float) -> tuple[int, ...]:
+    """For each number of batches compared: the fewest matches with which a pair stays. With a flat prior, similarity
+    given m matches of n is Beta(m + 1, n - m + 1), whose tail above t is the chance of at most m successes in n + 1
+    trials of probability t."""
+    t = percent / 100
+    out = []
+    for n in range(BATCH, HASHES + 1, BATCH):
+        below, m = 0.0, 0
+        while m <= n:
+            below += math.comb(n + 1, m) * t**m * (1 - t) ** (n + 1 - m)
+            if below >= miss:
+                break
+            m += 1
+        out.append(m)
+    return tuple(out)
+
+
+def surviving(a: np.ndarray, b: np.ndarray, allowed: np.ndarray, least: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the pairs of two blocks of signatures that no batch drops; ``allowed`` masks pairs."""
+    counts = np.zeros(allowed.shape, dtype=np.int16)
+    for k in range(BATCH):
+        counts += a[:, k, None] == b[None, :, k]
+    i, j = np.nonzero(allowed & (counts >= least[0]))
+    got = counts[i, j]
+    for step in range(1, HASHES // BATCH):
+        at = slice(step * BATCH, (step + 1) * BATCH)
+        got = got + (a[i, at] == b[j, at]).sum(axis=1)
+        stay = got >= least[step]
+        i, j, got = i[stay], j[stay], got[stay]
+    return i, j
+
+
+def alike(n_a: int, n_b: int, common: int, percent: int) -> bool:
+    return 100 * common >= percent * (n_a + n_b - common)
+
+
+def _sketch(rows: Iterator[tuple]) -> Iterator[tuple]:
+    for doc_id, text in rows:
+        s = shingles(text)
+        if len(s) and doc_id is not None:
+            yield doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), signature(s).tobytes()
+        else:
+            yield doc_id, len(s), None, None
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, digest of the set and signature; stored."""
+    return stored(map_rows(docs, [F.col("doc_id").cast("long"), text_bytes()], _sketch, "doc_id long, n_shingles long, digest binary, sig binary"))
+
+
+def band_keys(sig: Column) -> Column:
+    """The bucket of each band. A value takes two bytes."""
+    width = 2 * ROWS
+    return F.array(*[F.xxhash64(F.substring(sig, 1 + k * width, width), F.lit(k)) for k in range(BANDS)])
+
+
+def _candidate_sets(rows: Iterator[tuple]) -> Iterator[tuple]:
+    for node, digest, sig, text in rows:
+        s = shingles(text).tobytes()
+        if hashlib.blake2b(s, digest_size=16).digest() == digest:
+            yield node, sig, s
+
+
+def _check_pairs(percent: int, miss: float, rows: Iterator[tuple]) -> Iterator[tuple]:
+    least = least_matches(percent, miss)
+    last: tuple = (None, None)
+    for a, sig_a, set_a, b, sig_b, set_b in rows:
+        x, y = np.frombuffer(sig_a, "<u2"), np.frombuffer(sig_b, "<u2")
+        same = np.add.reduceat(x == y, np.arange(0, HASHES, BATCH)).cumsum()
+        if (same < least).any():
+            continue
+        if last[0] != b:
+            last = (b, set(np.frombuffer(set_b, "<u8").tolist()))
+        n_a = len(set_a) // 8
+        if alike(n_a, len(last[1]), len(last[1].intersection(np.frombuffer(set_a, "<u8").tolist())), percent):
+            yield a, b
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node and label, the least node of its component, for all nodes of the edges (a, b); stored."""
+    at = shared_dir(edges.sparkSession)
+    both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{at}/edges")
+    labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), f"{at}/labels0")
+    step = 0
+    while True:
+        step += 1
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("m"))
+        told = labels.join(near, F.col("node") == F.col("a")).select("node", "label", F.least("label", "m").alias("new"))
+        # the label's own label, so that paths halve
+        own = labels.select(F.col("node").alias("__of"), F.col("label").alias("__jump"))
+        jumped = told.join(own, F.col("new") == F.col("__of"), "left").select("node", "label", F.least("new", "__jump").alias("new"))
+        table = stored(jumped, f"{at}/labels{step}")
+        labels = table.select("node", F.col("new").alias("label"))
+        if not table.filter("new <> label").limit(1).count():
+            return labels
+
+
+class Forest:
+    """Union-find over labels."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _tile(percent: int, miss: float, table: pa.Table) -> pa.Table:
+    """Links between components from one tile of a bucket: members on the left against those on the right."""
+    left_rows = table.column("left").to_numpy(zero_copy_only=False)
+    minor = table.column("minor").to_numpy(zero_copy_only=False)
+    alone = table.column("alone")[0].as_py()
+    nodes, labels = table.column("node").to_numpy(), table.column("label").to_numpy()
+    sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype="<u2").reshape(-1, HASHES)
+    right = np.nonzero(~left_rows)[0]
+    left = np.nonzero(minor)[0] if alone else np.nonzero(left_rows)[0]
+    found: list[tuple[int, int]] = []
+    if len(left) and len(right):
+        # two members outside the largest component meet twice; once is enough
+        allowed = (labels[left, None] != labels[None, right]) & (~minor[None, right] | (nodes[left, None] < nodes[None, right]))
+        i, j = surviving(sigs[left], sigs[right], allowed, least_matches(percent, miss))
+        i, j = left[i], right[j]
+        band = table.column("band")[0].as_py()
+        if len(i) and band:  # a pair that shares an earlier band is settled there
+            cut = slice(0, band * ROWS)
+            fresh = ~(sigs[i, cut] == sigs[j, cut]).reshape(len(i), band, ROWS).all(axis=2).any(axis=1)
+            i, j = i[fresh], j[fresh]
+        blobs = table.column("shingles")
+        sets: dict[int, set[int]] = {}
+        forest = Forest()
+
+        def members(k: int) -> set[int]:
+            if k not in sets:
+                sets[k] = set(np.frombuffer(blobs[k].as_py(), "<u8").tolist())
+            return sets[k]
+
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            if forest.root(int(labels[x])) == forest.root(int(labels[y])):
+                continue
+            s, t = members(x), members(y)
+            if 100 * min(len(s), len(t)) >= percent * max(len(s), len(t)) and alike(len(s), len(t), len(s & t), percent):
+                forest.join(int(labels[x]), int(labels[y]))
+                found.append((int(nodes[x]), int(nodes[y])))
+    return pa.Table.from_batches([to_batch(found, LINKS)] if found else [], schema=LINKS)
+
+
+def unsettled(members: DataFrame, labels: DataFrame, sets: DataFrame, at: str) -> DataFrame:
+    """The members of buckets that hold several components, dealt into tiles, with signatures and sets."""
+    met = members.filter("n > 2").join(labels, "node", "left").select("bucket", "band", "node", F.coalesce("label", "node").alias("label"))
+    by_label = met.groupBy("bucket", "label").agg(F.count("*").alias("k"))
+    buckets = by_label.groupBy("bucket").agg(F.count("*").alias("labels"), F.sum("k").alias("n"), F.max(F.struct("k", "label")).alias("top"))
+    buckets = stored(buckets.filter("labels > 1").select("bucket", "n", F.col("top.label").alias("top"), (F.col("n") - F.col("top.k")).alias("m")), f"{at}/unsettled")
+    rows = keyed_join(met, buckets, "bucket", "n", ["n", "top", "m"]).filter(F.col("n").isNotNull())
+    lefts, rights = F.ceil(F.col("m") / BLOCK), F.ceil(F.col("n") / BLOCK)
+    rows = rows.withColumn("minor", F.col("label") != F.col("top")).withColumn("alone", (lefts == 1) & (rights == 1))
+    spot = F.xxhash64("node", F.lit(7))
+    as_right = F.transform(F.sequence(F.lit(0).cast("long"), lefts - 1), lambda i: F.struct(i.alias("i"), F.pmod(spot, rights).alias("j"), F.lit(False).alias("left")))
+    as_left = F.transform(F.sequence(F.lit(0).cast("long"), rights - 1), lambda j: F.struct(F.pmod(spot, lefts).alias("i"), j.alias("j"), F.lit(True).alias("left")))
+    places = F.when(F.col("minor") & ~F.col("alone"), F.concat(as_right, as_left)).otherwise(as_right)
+    dealt = rows.join(sets, "node").select("bucket", "band", "node", "label", "minor", "alone", "sig", "shingles", F.explode(places).alias("p"))
+    return dealt.select("bucket", "band", "node", "label", "minor", "alone", "sig", "shingles", "p.i", "p.j", "p.left")
+
+
+def cluster(docs: DataFrame, percent: int = PERCENT, miss: float = MISS) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least id that links reach) and kept (whether it is the document's own)."""
+    spark = docs.sparkSession
+    at = shared_dir(spark)
+    drawn = sketches(docs)
+    classes = drawn.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
+    classes = stored(classes, f"{at}/classes")
+
+    bands = classes.select("node", F.posexplode(band_keys(F.col("sig"))).alias("band", "bucket"))
+    shared = bands.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
+    members = keyed_join(bands, stored(shared, f"{at}/shared"), "bucket", "n", ["pivot", "n"]).filter(F.col("n").isNotNull())
+    members = stored(members, f"{at}/members")
+
+    wanted = members.select("node").distinct().join(classes.select("node", "digest", "sig"), "node")
+    texts = docs.select(F.col("doc_id").cast("long").alias("__id"), text_bytes().alias("__text"))
+    met = wanted.join(texts, F.col("node") == F.col("__id"))
+    sets = map_rows(met, [F.col(c) for c in ("node", "digest", "sig", "__text")], _candidate_sets, "node long, sig binary, shingles binary")
+    sets = stored(sets.dropDuplicates(["node", "sig"]), f"{at}/sets")
+
+    pairs = members.filter("node <> pivot").select("node", "pivot").distinct()
+    first = sets.select(F.col("node"), F.col("sig").alias("sig_a"), F.col("shingles").alias("set_a"))
+    other = sets.select(F.col("node").alias("pivot"), F.col("sig").alias("sig_b"), F.col("shingles").alias("set_b"))
+    both = pairs.join(first, "node").join(other, "pivot")
+    links = stored(map_rows(both, [F.col(c) for c in ("node", "sig_a", "set_a", "pivot", "sig_b", "set_b")], functools.partial(_check_pairs, percent, miss), "a long, b long"), f"{at}/links")
+    labels = components(links)
+
+    tiles = unsettled(members, labels, sets, at).groupBy("bucket", "i", "j")
+    more = stored(tiles.applyInArrow(lambda tile: _tile(percent, miss, tile), "a long, b long"), f"{at}/more")
+    if more.limit(1).count():
+        labels = components(links.union(more))
+
+    ends = classes.join(labels, "node", "left").select("digest", "copies", F.coalesce("label", "node").alias("component_id"))
+    out = keyed_join(drawn.select("doc_id", "n_shingles", "digest"), stored(ends, f"{at}/ends"), "digest", "copies", ["component_id"])
+    component = F.coalesce("component_id", "doc_id")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, percent: int = PERCENT, miss: float = MISS) -> DataFrame:
+    """The documents that stay, one of each component, with their own columns. Of rows that share an id one stays."""
+    kept = cluster(docs, percent, miss).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    return docs.join(kept, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi")
