@@ -1 +1,379 @@
+"""Personal data: rules for exact forms, and a character-level BiLSTM-CRF for what the rules miss.
 
+The rules find e-mail addresses, IP addresses, card and phone numbers in whole texts. The net is trained in numpy, once
+in a driver, from labelled spans: texts with their spans, by default invented ones that show usual and unusual forms
+(``name (at) host``, numbers without the country's plus, cards next to other digits, defanged addresses) among numbers
+that are none. It reads windows of ``WINDOW`` characters that overlap by ``OVERLAP``; every window that can hold a span
+is read, and one can't unless a digit, an @ or a bracketed *at* is near (each accepted form has one), so most text costs
+only a search for these. Windows are decoded by themselves. Their spans are then reconciled over the whole text: spans
+cut off by a window's edge go, equal ones add up, and of overlapping ones the set of greatest total confidence stays.
+What is left is checked exactly (parts up to 255, Luhn's sum, digit counts) and added where it meets no rule's span.
+
+One narrow pass; the net (some 10 kB) goes with the tasks. Null texts are empty and have no spans; their digest is that
+of the empty string. Repeated rows are searched each for itself. Other columns are ignored by ``find`` and passed
+through by ``redact``.
+"""
+
+from __future__ import annotations
+
+import functools
+import hashlib
+import random
+import re
+from collections.abc import Iterator
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .bilstm_crf import Net, allowed, fit, tags_of
+from .common import decoded, map_rows, text_bytes
+
+KINDS = ("email", "ip", "card", "phone")
+TAGS = tags_of(KINDS)
+WINDOW, OVERLAP = 96, 48
+NEAR = 48
+GROUP = 1024
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+# a match can only begin where a run of digits does, so the look-behind changes nothing but the time
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+NEEDED = re.compile(r"[0-9@]|[(\[] ?at ?[)\]]", re.I)
+
+Span = tuple[int, int, str]
+
+
+def digits(s: str) -> str:
+    return re.sub(r"[^0-9]", "", s)
+
+
+def luhn(number: str) -> bool:
+    total = 0
+    for i, d in enumerate(reversed(number)):
+        n = int(d) * (1 + i % 2)
+        total += n - 9 * (n > 9)
+    return total % 10 == 0
+
+
+def parts_fit(address: str) -> bool:
+    return all(len(p := x.lstrip("0")) <= 3 and int(p or "0") <= 255 for x in address.split("."))
+
+
+def emails(text: str) -> Iterator[Span]:
+    """Leftmost matches of ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``, found from each @ outward: a match's
+    first part is the whole run before its @, back to the end of the match before."""
+    end = 0
+    at = text.find("@")
+    while at >= 0:
+        start = at
+        while start > end and text[start - 1] in LOCAL:
+            start -= 1
+        if start < at and (m := DOMAIN.match(text, at + 1)):
+            yield start, m.end(), "email"
+            end = m.end()
+        at = text.find("@", max(at + 1, end))
+
+
+def base_spans(text: str) -> list[Span]:
+    """The rules' spans, in order."""
+    out: list[Span] = []
+    if "@" in text:
+        out += emails(text)
+    if re.search("[0-9]", text):
+        out += [(m.start(), m.end(), "ip") for m in IP.finditer(text) if parts_fit(m[0])]
+        out += [(m.start(), m.end(), "card") for m in CARD.finditer(text) if m.end() - m.start() >= 14 and 14 <= len(d := digits(m[0])) <= 19 and luhn(d)]
+    if "+" in text:
+        out += [(m.start(), m.end(), "phone") for m in PHONE.finditer(text) if 10 <= len(digits(m[0])) <= 15]
+    return sorted(out, key=in_order)
+
+
+def in_order(span: Span) -> tuple[int, int]:
+    return span[0], KINDS.index(span[2])
+
+
+def plausible(text: str, kind: str) -> bool:
+    """The exact check of a span that the net adds."""
+    if kind == "email":
+        plain = re.sub(r"\s*(?:@|[(\[]\s*at\s*[)\]])\s*", "@", text, flags=re.I)
+        plain = re.sub(r"\s*[(\[]\s*dot\s*[)\]]\s*", ".", plain, flags=re.I)
+        return re.fullmatch(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", plain) is not None
+    if kind == "ip":
+        plain = text.replace("[.]", ".")
+        return re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", plain) is not None and parts_fit(plain)
+    if kind == "card":
+        return re.fullmatch(r"[0-9]([\x20-]?[0-9])+", text) is not None and 14 <= len(d := digits(text)) <= 19 and luhn(d)
+    return re.fullmatch(r"(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}", text) is not None
+
+
+# --- what the net reads ---
+
+SYMBOLS = "@.-+()[]_%:/ \n,"
+
+
+@functools.lru_cache(maxsize=1)
+def symbol_table() -> np.ndarray:
+    """Symbols: 0 padding, 1 digit, 2 lower letter, 3 upper letter, 4 all else, then a, t, d, o and single marks."""
+    table = np.full(0x10001, 4, dtype=np.uint8)
+    for c in range(0x250):
+        ch = chr(c)
+        if ch.isalpha():
+            table[c] = 3 if ch.isupper() else 2
+    table[48:58] = 1
+    for i, ch in enumerate("atdo" + SYMBOLS):
+        table[ord(ch)] = 5 + i
+    return table
+
+
+N_SYMBOLS = 5 + 4 + len(SYMBOLS)
+
+
+def symbols(text: str) -> np.ndarray:
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    return symbol_table()[np.minimum(points, 0x10000)]
+
+
+def windows(text: str) -> list[int]:
+    """Starts of the windows that can hold a span."""
+    stride = WINDOW - OVERLAP
+    out: list[int] = []
+    covered = -1
+    for m in NEEDED.finditer(text):
+        if m.end() + NEAR <= covered:
+            continue
+        # windows lie on a fixed grid, so the same text is always cut alike
+        first = max(0, (m.start() - NEAR) // stride - 1)
+        last = (m.end() + NEAR) // stride
+        out += [w * stride for w in range(max(first, out[-1] // stride + 1 if out else 0), last + 1) if w * stride < len(text)]
+        covered = last * stride
+    return out
+
+
+def invented(count: int = 2400, seed: int = 11) -> list[tuple[str, list[Span]]]:
+    """Texts with labelled spans: each has words, numbers that are none, and mostly one span."""
+    rng = random.Random(seed)
+    syllables = "an er th on in re ti es or te ou le de la que ver ung sch cion ado ment eau st ha nd".split()
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
+    num = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def words(n: int) -> str:
+        return " ".join((w.capitalize() if rng.random() < 0.15 else w) + rng.choice(["", "", "", "", ".", ","]) for w in (word() for _ in range(n)))
+
+    def host() -> str:
+        return rng.choice([f"mail{num(1)}.", "www.", "", f"{word()}.", f"{word()}-"]) + word() + rng.choice([".com", ".org", ".net", ".de", ".example.com"])
+
+    def email() -> str:
+        who = rng.choice([word(), f"{word()}.{word()}", f"{word()}{num(2)}", f"{word()}.{num(2)}", f"{word()}_{word()}"])
+        return who + rng.choice(["@", "@", "@", " @ ", " (at) ", "(at)", " [at] ", "[at]"]) + host()
+
+    def ip() -> str:
+        return rng.choice([".", ".", ".", "[.]"]).join(str(rng.randint(0, 255)) for _ in range(4))
+
+    def card() -> str:
+        body = num(rng.choice([13, 15, 15, 15, 15]))
+        body += next(d for d in "0123456789" if luhn(body + d))
+        gap = rng.choice(["", "", " ", "-"])
+        return gap.join(body[i : i + 4] for i in range(0, len(body), 4))
+
+    def phone() -> str:
+        area = num(3)
+        local = rng.choice(["-", " ", "."]).join([num(3), num(4)])
+        return rng.choice([f"+{num(1)} ({area}) {local}", f"+{num(2)} {area} {local}", f"({area}) {local}", f"{area}-{num(3)}-{num(4)}", f"{area}.{num(3)}.{num(4)}", f"{area} {num(3)} {num(4)}"])
+
+    def other() -> str:
+        return rng.choice([num(rng.randint(1, 9)), num(rng.randint(10, 13)), f"{num(4)}-{num(2)}-{num(2)}", f"{num(2)}:{num(2)}", f"{num(1)}.{num(2)}", f"v{num(1)}.{num(1)}.{num(2)}", f"{num(3)},{num(3)}", f"@{word()}", f"{word()}@{word()}", f"{num(2)}.{num(2)}.{num(4)}", f"({word()})", f"{word()} at {word()}", f"{num(4)}-{num(4)}"])
+
+    make = {"email": email, "ip": ip, "card": card, "phone": phone}
+    out = []
+    for _ in range(count):
+        text, spans = words(rng.randint(0, 5)), []
+        for _ in range(rng.randint(1, 2)):
+            text += rng.choice([" ", " ", "\n", ""]) if text and text[-1] in ".," else " " if text else ""
+            if rng.random() < 0.25:
+                text += other() + " " + words(rng.randint(0, 2))
+                text += " " if text[-1] != " " else ""
+            kind = rng.choice(KINDS)
+            piece = make[kind]()
+            if kind == "card" and rng.random() < 0.25:  # other digits right before it
+                text += num(rng.randint(1, 4)) + " "
+            spans.append((len(text), len(text) + len(piece), kind))
+            text += piece + rng.choice([" ", " ", ". ", ", ", "\n"]) + words(rng.randint(0, 4))
+        if rng.random() < 0.2:
+            text, spans = words(4) + " " + other() + " " + words(3) + " " + other() + " " + words(2), []
+        out.append((text, spans))
+    return out
+
+
+def training_rows(labelled: list[tuple[str, list[Span]]], seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of symbols and tags; a text longer than a window gives one that begins anywhere outside its spans."""
+    rng = random.Random(seed)
+    x = np.zeros((len(labelled), WINDOW), dtype=np.uint8)
+    y = np.zeros((len(labelled), WINDOW), dtype=np.int64)
+    for r, (text, spans) in enumerate(labelled):
+        tags = np.zeros(len(text), dtype=np.int64)
+        for start, end, kind in spans:
+            tags[start:end] = TAGS.index(f"I-{kind}")
+            tags[start] -= 1
+        begin = rng.randint(0, max(0, len(text) - WINDOW))
+        while begin and TAGS[tags[begin]][0] == "I":
+            begin -= 1
+        n = min(WINDOW, len(text) - begin)
+        x[r, :n] = symbols(text)[begin : begin + n]
+        y[r, :n] = tags[begin : begin + n]
+    return x, y
+
+
+@functools.lru_cache(maxsize=1)
+def default_net() -> Net:
+    return train(invented())
+
+
+def train(labelled: list[tuple[str, list[Span]]]) -> Net:
+    """A net from texts with labelled spans."""
+    return fit(*training_rows(labelled), N_SYMBOLS, TAGS)
+
+
+def window_spans(net: Net, x: np.ndarray) -> list[list[tuple[int, int, str, float]]]:
+    """Of each window its decoded spans, with the margin by which their tags lead, added up."""
+    emissions, _ = net.run(x)
+    tags = net.decode(emissions, allowed(TAGS))
+    out: list[list[tuple[int, int, str, float]]] = [[] for _ in range(len(x))]
+    for r in np.nonzero(tags.any(axis=1))[0].tolist():
+        row = tags[r].tolist()
+        t = 0
+        while t < WINDOW:
+            if not row[t]:
+                t += 1
+                continue
+            end = t + 1
+            inside = row[t] + 1 if row[t] % 2 else row[t]
+            while end < WINDOW and row[end] == inside:
+                end += 1
+            lead = emissions[r, np.arange(t, end), row[t:end]] - emissions[r, t:end, 0]
+            out[r].append((t, end, TAGS[row[t]][2:], float(lead.sum())))
+            t = end
+    return out
+
+
+def reconcile(spans: list[tuple[int, int, str, float]]) -> list[Span]:
+    """Of spans from overlapping windows the non-overlapping ones of greatest total confidence."""
+    total: dict[Span, float] = {}
+    for start, end, kind, score in spans:
+        if score > 0:
+            total[start, end, kind] = total.get((start, end, kind), 0.0) + score
+    items = sorted(total.items(), key=lambda x: (x[0][1], x[0][0], x[0][2]))
+    ends = np.array([s[1] for s, _ in items])
+    best: list[tuple[float, int, bool]] = [(0.0, 0, False)]
+    for i, ((start, _, _), score) in enumerate(items):
+        before = int(np.searchsorted(ends[:i], start, side="right"))
+        took = best[before][0] + score
+        best.append((took, before, True) if took > best[i][0] else (best[i][0], i, False))
+    out, i = [], len(items)
+    while i:
+        _, before, took = best[i]
+        if took:
+            out.append(items[i - 1][0])
+        i = before
+    return out[::-1]
+
+
+def added(text: str, found: list[tuple[int, int, str, float]], base: list[Span]) -> list[Span]:
+    """The net's spans that pass their check and meet no rule's span."""
+    out = []
+    taken = sorted(base)
+    ends = np.maximum.accumulate(np.array([e for _, e, _ in taken], dtype=np.int64)) if taken else np.zeros(0, np.int64)
+    starts = np.array([s for s, _, _ in taken], dtype=np.int64)
+    for start, end, kind in reconcile(found):
+        before = int(np.searchsorted(starts, end, side="left"))
+        if before and ends[before - 1] > start:
+            continue
+        if plausible(text[start:end], kind) and not (text[start - 1 : start].isdigit() or text[end : end + 1].isdigit()):
+            out.append((start, end, kind))
+    return out
+
+
+def _search(net: Net, rows: Iterator[tuple]) -> Iterator[tuple[tuple, str, list[Span], list[Span]]]:
+    """Each row with its text, the rules' spans and the net's. Windows of many rows go through the net at once."""
+    waiting: list[tuple[tuple, str, list[Span], list[tuple[int, int, str, float]]]] = []
+    places: list[tuple[int, int]] = []
+    held: list[np.ndarray] = []
+
+    def read() -> None:
+        if held:
+            for (k, start), spans in zip(places, window_spans(net, np.stack(held)), strict=True):
+                text = waiting[k][1]
+                last = len(text) - start
+                # what an edge within the text cuts is seen whole in the next window
+                waiting[k][3].extend((start + a, start + b, kind, s) for a, b, kind, s in spans if (a > 0 or start == 0) and (b < WINDOW or last <= WINDOW))
+        held.clear()
+        places.clear()
+
+    for *rest, raw in rows:
+        text = decoded(raw)
+        waiting.append((tuple(rest), text, base_spans(text), []))
+        if starts := windows(text):
+            codes = symbols(text)
+            for start in starts:
+                x = np.zeros(WINDOW, dtype=np.uint8)
+                part = codes[start : start + WINDOW]
+                x[: len(part)] = part
+                held.append(x)
+                places.append((len(waiting) - 1, start))
+                if len(held) >= GROUP:
+                    read()
+        if not held and (len(waiting) >= 256 or len(text) > 1_000_000):
+            yield from ((r, t, b, added(t, f, b)) for r, t, b, f in waiting)
+            waiting.clear()
+        elif len(waiting) >= 2048:
+            read()
+            yield from ((r, t, b, added(t, f, b)) for r, t, b, f in waiting)
+            waiting.clear()
+    read()
+    yield from ((r, t, b, added(t, f, b)) for r, t, b, f in waiting)
+
+
+def joined(spans: list[Span]) -> str:
+    return ",".join(f"{kind}:{start}:{end}" for start, end, kind in sorted(spans, key=in_order))
+
+
+def _find(net: Net, rows: Iterator[tuple]) -> Iterator[tuple]:
+    for (doc_id,), _, base, more in _search(net, rows):
+        counts = [sum(k == kind for _, _, k in base) for kind in KINDS]
+        yield doc_id, *counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + more)
+
+
+def find(docs: DataFrame, net: Net | None = None) -> DataFrame:
+    """Per document: counts of the rules' spans, the digest of their list, and the list of all spans."""
+    return map_rows(docs, [F.col("doc_id").cast("long"), text_bytes()], functools.partial(_find, net or default_net()), SCHEMA)
+
+
+def mask(text: str, spans: list[Span]) -> str:
+    """The text with each span (of overlapping ones their union, under the first one's kind) replaced by its kind."""
+    out, end = [], 0
+    for start, stop, kind in sorted(spans, key=in_order):
+        if start >= end:
+            out += [text[end:start], f"[{kind.upper()}]"]
+        end = max(end, stop)
+    return "".join([*out, text[end:]])
+
+
+def _redact(net: Net, at: int, width: int, rows: Iterator[tuple]) -> Iterator[tuple]:
+    for rest, text, base, more in _search(net, (((*r, r[at])) for r in rows)):
+        row = list(rest)
+        if row[at] is not None:
+            row[at] = mask(text, base + more)
+            if width >= 0:
+                row[width] = len(row[at])
+        yield tuple(row)
+
+
+def redact(docs: DataFrame, net: Net | None = None) -> DataFrame:
+    """The documents with every span masked, and ``n_chars`` set anew where a text has changed; a null text stays null."""
+    names = docs.columns
+    at, width = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
+    columns = [text_bytes() if c == "text" else F.col(c) for c in names]
+    schema = ", ".join(f"`{c}` {'string' if c == 'text' else kind}" for c, kind in docs.dtypes)
+    return map_rows(docs, columns, functools.partial(_redact, net or default_net(), at, width), schema)
