@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -97,13 +98,13 @@ def keyed_join(left: DataFrame, right: DataFrame, key: str, weight: str, keep: l
     rest = right.select(F.col(key).alias("__rk"), F.struct(*keep).alias("__rv"))
     met = left.join(F.broadcast(heavy), F.col(key) == F.col("__hk"), "left")
     # what is joined already, and nulls, are dealt out evenly under keys that aren't theirs
-    other = F.xxhash64(*[F.col(c) for c in left.columns])
+    other = F.xxhash64(F.lit(1), *[F.col(f"`{c}`") for c, kind in left.dtypes if not re.search("map<|variant|void", kind)])
     if (kind := dict(left.dtypes)[key]) != "bigint":
         other = other.cast("string").cast(kind)
     met = met.withColumn("__jk", F.when(F.col("__hk").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(other))
     out = met.join(rest, F.col("__jk") == F.col("__rk"), "left")
     late = F.col(key) == F.col("__rk")
-    return out.select(*left.columns, *[F.coalesce(F.col(f"__hv.{c}"), F.when(late, F.col(f"__rv.{c}"))).alias(c) for c in keep])
+    return out.select(*[F.col(f"`{c}`") for c in left.columns], *[F.coalesce(F.col(f"__hv.{c}"), F.when(late, F.col(f"__rv.{c}"))).alias(c) for c in keep])
 
 
 def tokenizer_file(name: str) -> str:

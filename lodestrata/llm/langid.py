@@ -236,7 +236,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns ``keep``, lang_pred, score and family of every row."""
     kinds = dict(docs.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string, score double, family string"])
-    columns: list[Column] = [F.col(c) for c in keep]
+    columns: list[Column] = [F.col(f"`{c}`") for c in keep]
     return map_rows(docs, [*columns, text_bytes()], functools.partial(_predict, model, len(keep)), schema)
 
 
@@ -244,4 +244,4 @@ def identified(docs: DataFrame, model: Model | None = None, least: float = 0.0)
     """The rows of ``docs`` in a known language with at least the given score; their columns stay as they are."""
     model = fit(docs) if model is None else model
     told = predict(docs, model, docs.columns)
-    return told.filter((F.col("lang_pred") != UND) & (F.col("score") >= least)).select(*docs.columns)
+    return told.filter((F.col("lang_pred") != UND) & (F.col("score") >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -100,4 +100,4 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     joined = keyed_join(keyed, rates.withColumnRenamed("key", "__key").withColumnsRenamed({"source_size": "__size", "target": "__target"}), "__key", "rows", ["__size", "__target"])
     times = copies(F.col("doc_id").cast("long"), rate(F.col("__target"), F.col("__size")))
     again = joined.withColumn("__copies", times).filter(F.col("__copies") > 0)
-    return again.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+    return again.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -374,6 +374,6 @@ def redact(docs: DataFrame, net: Net | None = None) -> DataFrame:
     """The documents with every span masked, and ``n_chars`` set anew where a text has changed; a null text stays null."""
     names = docs.columns
     at, width = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
-    columns = [text_bytes() if c == "text" else F.col(c) for c in names]
+    columns = [text_bytes() if c == "text" else F.col(f"`{c}`") for c in names]
     schema = ", ".join(f"`{c}` {'string' if c == 'text' else kind}" for c, kind in docs.dtypes)
     return map_rows(docs, columns, functools.partial(_redact, net or default_net(), at, width), schema)
