@@ -1 +1,644 @@
-QUERIES = {}
+"""Queries over the shared tables, one for each operator, through the operators' own interfaces.
+
+Times are bounded by the newest row of a table, never by the clock; doubles are rounded to six digits; ties go by id.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import maps
+from .functions import text as T
+from .operators import chunking as C
+from .operators import filters, golden, graph, monitoring, quality, search, store
+from .operators import windows as W
+from .session import shared_dir
+from .streaming import windows as S
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def day(c: Column) -> Column:
+    return F.date_format(c, "yyyy-MM-dd")
+
+
+def stamp(c: Column) -> Column:
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+
+
+# --- vector search ---
+
+
+def _hits(spark: SparkSession, d: str, metric: str = "cosine", ids: tuple[int, ...] = (0,)) -> DataFrame:
+    v = table(spark, d, "embeddings")
+    q = v.filter(F.col("vec_id").isin(*ids)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), F.col("label").alias("query_label"))
+    return search.scored(v, F.broadcast(q), metric).filter("vec_id <> query_id")
+
+
+def _top(spark: SparkSession, d: str, metric: str) -> DataFrame:
+    return search.top_k(_hits(spark, d, metric), 5, "vec_id", metric).select("vec_id", "label", "score")
+
+
+@query
+def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
+    return _top(spark, d, "cosine").withColumnRenamed("score", "similarity")
+
+
+@query
+def dot_topk(spark: SparkSession, d: str) -> DataFrame:
+    return _top(spark, d, "dot")
+
+
+@query
+def euclid_topk(spark: SparkSession, d: str) -> DataFrame:
+    return _top(spark, d, "euclid").withColumnRenamed("score", "distance")
+
+
+@query
+def cosine_threshold(spark: SparkSession, d: str) -> DataFrame:
+    return search.above(_hits(spark, d), 0.2).select("vec_id", "label", "score")
+
+
+@query
+def collection_filtered_topk(spark: SparkSession, d: str) -> DataFrame:
+    return search.top_k(_hits(spark, d).filter("label = query_label"), 5, "vec_id").select("vec_id", "label", "score")
+
+
+@query
+def cross_collection_topk(spark: SparkSession, d: str) -> DataFrame:
+    return search.top_k(_hits(spark, d), 10, "vec_id").select(F.col("label").alias("collection"), "vec_id", "score")
+
+
+@query
+def quota_topk(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "embeddings").select("label").distinct().count()
+    return search.with_quota(_hits(spark, d), "label", 10, n, "vec_id").select(F.col("label").alias("collection"), "vec_id", "score")
+
+
+@query
+def batch_query_topk(spark: SparkSession, d: str) -> DataFrame:
+    return search.top_k_by(_hits(spark, d, ids=(0, 1, 2, 3, 4)), ["query_id"], 5, "vec_id").select("query_id", "rank", "vec_id", "score")
+
+
+@query
+def exact_or_semantic(spark: SparkSession, d: str) -> DataFrame:
+    wanted = spark.createDataFrame([(3,), (-1,)], "requested_id long")
+    near = search.top_k(_hits(spark, d), 1, "vec_id")
+    return search.exact_or_nearest(wanted, table(spark, d, "embeddings").select("vec_id"), near, "vec_id")
+
+
+@query
+def point_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").filter(F.col("vec_id").isin(1, 2, 3)).select("vec_id", "label", F.size("embedding").alias("dim"))
+
+
+@query
+def collection_counts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
+
+
+# --- filters and projections ---
+
+
+@query
+def metadata_filter_and(spark: SparkSession, d: str) -> DataFrame:
+    where = {"$and": [{"lang": "en"}, {"source": {"$eq": "src1"}}]}
+    return table(spark, d, "documents").filter(filters.compile_filter(where)).select("doc_id", "lang", "source")
+
+
+@query
+def metadata_filter_or(spark: SparkSession, d: str) -> DataFrame:
+    meta = table(spark, d, "documents").select("doc_id", F.to_json(F.struct(F.col("lang").alias("game_version"), "source")).alias("metadata"))
+    where = {"$or": [{"version": "es"}, {"source": "src3"}]}
+    return meta.filter(filters.compile_filter(where, filters.json_field())).select("doc_id")
+
+
+@query
+def version_not_filter(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").withColumnRenamed("lang", "game_version")
+    return docs.filter(filters.compile_filter(filters.version_not(" EN "))).select("doc_id", "game_version")
+
+
+@query
+def blank_filter(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").filter(F.trim("text") != "").groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query
+def prose_truncate(spark: SparkSession, d: str) -> DataFrame:
+    cut = T.prose(F.col("text"), 3000)
+    return table(spark, d, "documents").select("doc_id", F.length("text").cast("long").alias("full_length"), F.length(cut).cast("long").alias("cut_length"), F.sha2(cut, 256).alias("cut_hash"))
+
+
+@query
+def metadata_merge(spark: SparkSession, d: str) -> DataFrame:
+    low = F.create_map(F.lit("source"), F.col("source"), F.lit("lang"), F.lit("unknown"), F.lit("tier"), F.lit("bulk"))
+    high = F.create_map(F.lit("lang"), F.col("lang"), F.lit("size"), F.col("n_chars").cast("string"))
+    return table(spark, d, "documents").select("doc_id", maps.flat(maps.merged(low, high)).alias("meta"))
+
+
+@query
+def required_fields(spark: SparkSession, d: str) -> DataFrame:
+    rules = {"n_chars must be at least 50": F.col("n_chars") >= 50, "lang is not supported": F.col("lang").isin("en", "de", "fr"), "text is blank": F.trim("text") != ""}
+    return quality.violations(table(spark, d, "documents"), ["doc_id"], rules)
+
+
+@query
+def entity_rules(spark: SparkSession, d: str) -> DataFrame:
+    rules = {"brand has no number": F.col("p_brand").rlike(r"^Brand#[1-9][0-9]?$"), "size is too large": F.col("p_size") <= 45, "price is too low": F.col("p_retailprice").cast("double") >= 905, "name has no two words": F.col("p_name").rlike(r"^[a-z]+ [a-z]+$")}
+    return quality.violations(table(spark, d, "part"), ["p_partkey"], rules)
+
+
+@query
+def classify_entity(spark: SparkSession, d: str) -> DataFrame:
+    classes = [("premium", ["promo", "large"]), ("basic", ["economy", "small"]), ("common", ["standard"])]
+    kind = quality.first_match(F.lower("p_type"), classes, "other")
+    return table(spark, d, "part").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_key"))
+
+
+@query
+def intent_routing(spark: SparkSession, d: str) -> DataFrame:
+    said = table(spark, d, "conversations").filter("role = 'user'")
+    return said.select("conv_id", "turn", quality.intent(F.col("text")).alias("intent"), quality.item_id(F.col("text")).alias("item_id"))
+
+
+@query
+def tier_classify(spark: SparkSession, d: str) -> DataFrame:
+    risk = F.when(F.col("toxic") == 1, 0.8).when(F.col("quality") == 0, 0.4).otherwise(0.1)
+    touched = F.array(F.concat(F.lit("q"), F.col("quality").cast("string")))
+    tier = quality.tier(risk, touched, ["q9"])
+    return table(spark, d, "labels").select("doc_id", tier.alias("tier"), quality.may_publish_alone(tier, F.col("quality") == 1).alias("auto_publish"))
+
+
+# --- chunking ---
+
+
+def _pieces(spark: SparkSession, d: str, parts: Column) -> DataFrame:
+    out = C.exploded(table(spark, d, "documents"), ["doc_id"], parts)
+    return out.select("doc_id", "idx", F.length("piece").alias("length"), F.sha2("piece", 256).alias("hash"))
+
+
+@query
+def paragraph_split(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text", F.posexplode(C.lines(F.col("text"))).alias("idx", "piece"))
+    return docs.select("doc_id", "idx", F.length("piece").alias("length"), C.offset(F.col("text"), F.col("piece")).alias("start_offset"))
+
+
+@query
+def greedy_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return _pieces(spark, d, C.pack(C.lines(F.col("text"))))
+
+
+@query
+def overlap_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return _pieces(spark, d, C.pack(C.lines(F.col("text")), overlap_words=3))
+
+
+@query
+def sentence_split(spark: SparkSession, d: str) -> DataFrame:
+    return _pieces(spark, d, C.sentences(F.col("text")))
+
+
+@query
+def sentence_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return _pieces(spark, d, C.pack(C.sentences(F.col("text")), 512, " "))
+
+
+@query
+def fixed_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return _pieces(spark, d, C.fixed(F.col("text")))
+
+
+@query
+def chunk_ids(spark: SparkSession, d: str) -> DataFrame:
+    out = C.exploded(table(spark, d, "documents"), ["doc_id", "source"], C.lines(F.col("text")))
+    return out.select("doc_id", "idx", T.chunk_id(F.col("source"), F.col("idx")).alias("chunk_id"), T.entity_id(F.col("source"), F.concat_ws(".", "doc_id", "idx")).alias("entity_id"))
+
+
+@query
+def word_counts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(T.word_count(F.col("text"))).alias("n_words"))
+
+
+# --- keyed writes ---
+
+
+@query
+def content_hash_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").groupBy(T.content_hash(F.col("text")).alias("content_hash")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+@query
+def incremental_skip(spark: SparkSession, d: str) -> DataFrame:
+    """The index holds the labelled documents; of those with quality 0 it has an older content."""
+    docs = table(spark, d, "documents").select("doc_id", T.content_hash(F.col("text")).alias("hash"))
+    seen = docs.join(table(spark, d, "labels"), "doc_id").select("doc_id", F.when(F.col("quality") == 0, F.lit("old")).otherwise(F.col("hash")).alias("hash"))
+    return store.unseen(docs, seen, "doc_id", "hash").select("doc_id")
+
+
+@query
+def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
+    """All documents in version 1; a batch rewrites the labelled ones and adds a new row for each toxic one."""
+    base = table(spark, d, "documents").select("doc_id", F.col("lang").alias("state"), F.lit(1).alias("version"))
+    labels = table(spark, d, "labels")
+    batch = labels.select("doc_id", F.concat(F.lit("q"), F.col("quality").cast("string")).alias("state"), F.lit(2).alias("version"))
+    new = labels.filter("toxic = 1").select((-F.col("doc_id") - 1).alias("doc_id"), F.lit("new").alias("state"), F.lit(2).alias("version"))
+    return store.upsert(base, batch.unionByName(new), ["doc_id"], "version")
+
+
+@query
+def insert_ignore(spark: SparkSession, d: str) -> DataFrame:
+    base = table(spark, d, "labels").select("doc_id", F.lit("base").alias("origin"))
+    return store.insert_ignore(base, table(spark, d, "documents").select("doc_id", F.lit("batch").alias("origin")), ["doc_id"])
+
+
+@query
+def delete_rows(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    return store.delete(docs, table(spark, d, "labels").filter("toxic = 1"), ["doc_id"])
+
+
+@query
+def directory_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    return store.fingerprint(table(spark, d, "documents"), ["source"], F.col("doc_id"), T.content_hash(F.col("text")))
+
+
+@query
+def batch_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """Batches of 100 kB within each source's runs of a thousand ids, so no task orders a whole source."""
+    docs = table(spark, d, "documents").select("source", F.floor(F.col("doc_id") / 1000).alias("run"), "doc_id", (F.col("n_chars") + 512).alias("bytes"))
+    keyed = docs.withColumn("group", F.concat_ws("/", "source", "run"))
+    out = store.batches(keyed, "group", F.col("bytes"), 100_000, [F.col("doc_id")])
+    return out.groupBy("source", "run", "batch_no").agg(F.count("*").alias("n_rows"), F.sum("bytes").alias("n_bytes"))
+
+
+# --- text similarity and HTML ---
+
+
+@query
+def trigram_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of distinct brands and types, met through a shared trigram."""
+    part = table(spark, d, "part")
+    names = part.select(F.col("p_brand").alias("name")).union(part.select("p_type")).distinct().withColumn("g", T.trigrams(F.col("name")))
+    one = names.select(F.col("name").alias("a"), F.col("g").alias("ga"), F.explode("g").alias("t"))
+    two = names.select(F.col("name").alias("b"), F.col("g").alias("gb"), F.explode("g").alias("t"))
+    pairs = one.join(two, "t").filter("a < b").select("a", "b", "ga", "gb").distinct()
+    return pairs.select("a", "b", F.round(T.jaccard(F.col("ga"), F.col("gb")), 6).alias("similarity")).filter("similarity >= 0.3")
+
+
+@query
+def html_text(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "pages").select("page_id", T.html_text(F.col("html")).alias("t"))
+    return t.select("page_id", F.length("t").cast("long").alias("text_length"), F.left("t", F.lit(100)).alias("head"), F.sha2("t", 256).alias("text_hash"))
+
+
+@query
+def html_title(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", T.html_title(F.col("html")).alias("title"))
+
+
+@query
+def html_links(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", F.posexplode(T.html_hrefs(F.col("html"))).alias("pos", "link"))
+
+
+@query
+def challenge_filter(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages")
+    return pages.groupBy(T.is_challenge(F.col("html")).alias("challenge"), T.is_url(F.col("url")).alias("is_url")).agg(F.count("*").alias("n"))
+
+
+@query
+def domain_counts(spark: SparkSession, d: str) -> DataFrame:
+    return graph.histogram(table(spark, d, "pages").select(T.host(F.col("url")).alias("host")), "host")
+
+
+# --- graph ---
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    """Links between site paths: src and dst are host and path."""
+    pages = table(spark, d, "pages").select(F.col("url"), F.concat(T.host(F.col("url")), T.path(F.col("url"))).alias("src"), F.posexplode(T.html_hrefs(F.col("html"))).alias("pos", "href"))
+    target = T.absolute(F.col("url"), F.col("href"))
+    return pages.select("src", "pos", F.concat(T.host(target), T.path(target)).alias("dst"))
+
+
+@query
+def link_graph(spark: SparkSession, d: str) -> DataFrame:
+    return _edges(spark, d).groupBy(F.regexp_extract("src", "^[^/]*", 0).alias("site"), F.regexp_extract("dst", "/.*$", 0).alias("path")).agg(F.count("*").alias("n"))
+
+
+@query
+def crawl_bfs(spark: SparkSession, d: str) -> DataFrame:
+    """From each site's first page, up to three links deep, along the first 20 links of each page."""
+    pages = table(spark, d, "pages").select(T.host(F.col("url")).alias("h"), F.concat(T.host(F.col("url")), T.path(F.col("url"))).alias("node"))
+    return graph.crawl(pages.groupBy("h").agg(F.min("node").alias("node")), _edges(spark, d), 3, 20)
+
+
+@query
+def link_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return graph.histogram(table(spark, d, "orders"), "o_orderpriority")
+
+
+# --- joins and aggregates ---
+
+
+@query
+def latest_artifact(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders").filter("o_orderstatus = 'F'")
+    last = W.latest(orders, ["o_custkey"], [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()])
+    out = last.join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return out.select("c_custkey", "c_name", "n_name", "o_orderkey", day(F.col("o_orderdate")).alias("ordered_on"))
+
+
+@query
+def success_rate_left_join(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    newest = orders.agg(F.max("o_orderdate")).first()[0]
+    until = F.timestamp_diff("SECOND", F.col("o_orderdate"), F.lit(newest).cast("timestamp_ntz")).cast("double") if newest else F.lit(0.0)
+    in_time = F.col("o_orderdate") > F.lit(newest).cast("timestamp_ntz") - F.expr("INTERVAL '365' DAY")
+    return monitoring.success_rate(table(spark, d, "customer").select("c_custkey"), orders, "c_custkey", F.col("o_orderstatus") == "F", until, in_time).withColumn("success_rate", F.round("success_rate", 2))
+
+
+@query
+def validation_trends(spark: SparkSession, d: str) -> DataFrame:
+    e = monitoring.within_days(table(spark, d, "events"), "ts", 30)
+    out = e.groupBy(day(F.col("ts")).alias("day"), F.col("event_type").alias("level")).agg(F.count("*").alias("total"), F.count_if(F.col("value") >= 10).alias("passed"))
+    return out.withColumn("pass_rate", monitoring.pct(F.col("passed"), F.col("total"), 6))
+
+
+@query
+def ingestion_health(spark: SparkSession, d: str) -> DataFrame:
+    e = monitoring.within_days(table(spark, d, "events"), "ts", 7)
+    k = F.get_json_object("props", "$.k").cast("long")
+    return e.groupBy((F.col("user_id") % 10).alias("source_type"), F.col("event_type").alias("status")).agg(F.count("*").alias("runs"), F.round(F.avg("value"), 6).alias("avg_duration"), F.sum(k).alias("chunks"), F.count_if(F.col("value") < 5).alias("failures"))
+
+
+@query
+def project_stats(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").filter(F.col("event_type").isin("purchase", "error", "signup"))
+    return e.groupBy("user_id").agg(F.count("*").alias("total_runs"), F.count_if(F.col("event_type") == "purchase").alias("success_count"), stamp(F.max("ts")).alias("last_run_at"))
+
+
+def _covered(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "lang", "source").join(table(spark, d, "labels"), "doc_id", "left")
+
+
+@query
+def coverage_summary(spark: SparkSession, d: str) -> DataFrame:
+    out = monitoring.coverage(_covered(spark, d), ["source"], F.col("quality").isNotNull(), F.coalesce(F.col("quality"), F.lit(0)))
+    return out.withColumn("coverage_pct", monitoring.pct(F.col("documented"), F.col("total"), 6)).withColumn("status", monitoring.status_of(F.col("coverage_pct")))
+
+
+@query
+def coverage_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return _covered(spark, d).rollup("lang", "source").agg(F.count("*").alias("total"), F.count("quality").alias("documented"))
+
+
+@query
+def missing_labels(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@query
+def broken_references(spark: SparkSession, d: str) -> DataFrame:
+    """Line items name parts as ``PART_n``; the list knows ``part n``, but only parts of size 25 or less."""
+    refs = table(spark, d, "lineitem").groupBy(F.concat(F.lit("PART_"), F.col("l_partkey").cast("string")).alias("ref")).agg(F.count("*").alias("n"))
+    known = table(spark, d, "part").filter("p_size <= 25").select(F.concat(F.lit("part "), F.col("p_partkey").cast("string")).alias("name"))
+    return quality.broken_references(refs, "ref", known, ["name"])
+
+
+@query
+def status_set_ops(spark: SparkSession, d: str) -> DataFrame:
+    of = lambda s: table(spark, d, "orders").filter(F.col("o_orderstatus") == s).select("o_custkey")
+    both = of("F").intersect(of("O")).withColumn("op", F.lit("both"))
+    return both.unionByName(of("F").subtract(of("P")).withColumn("op", F.lit("only")))
+
+
+#: Expected customers per segment.
+SEGMENTS = {"AUTOMOBILE": 300, "BUILDING": 300, "FURNITURE": 300, "HOUSEHOLD": 300, "MACHINERY": 300, "UNKNOWN": 10}
+
+
+@query
+def expected_totals_join(spark: SparkSession, d: str) -> DataFrame:
+    want = spark.createDataFrame(list(SEGMENTS.items()), "segment string, expected long")
+    have = table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("actual"))
+    out = F.broadcast(want).join(have, "segment", "left").na.fill(0, ["actual"])
+    share = F.round(F.col("actual") * 100.0 / F.col("expected"), 6)
+    return out.withColumn("share", share).withColumn("status", monitoring.status_of(share))
+
+
+@query
+def class_refs(spark: SparkSession, d: str) -> DataFrame:
+    """Known classes are the last words of part names; a reference is any word of a name that is a class."""
+    part = table(spark, d, "part")
+    known = part.select(F.element_at(F.split("p_name", " "), -1).alias("token")).distinct()
+    refs = part.select("p_partkey", F.explode(F.array_distinct(F.split("p_name", " "))).alias("token"))
+    return refs.join(known, "token").groupBy("token").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_key"))
+
+
+# --- golden questions ---
+
+
+def expected_passages(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """Documents whose text contains an item's text. The item's second to fifth words stand whole in any text that
+    contains it, so pairs meet by these and are then confirmed; the few items of under six words are searched for."""
+    word = T.word_list
+    keyed = items.select("item_id", F.col("text").alias("passage"), word(F.col("text")).alias("w"))
+    long = keyed.filter(F.size("w") >= 6).select("item_id", "passage", F.array_join(F.slice("w", 2, 4), " ").alias("anchor"))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.array_join(F.slice("w", i, F.lit(4)), " "))
+    spread = docs.select("doc_id", "text", word(F.col("text")).alias("w")).select("doc_id", "text", F.explode(F.array_distinct(grams)).alias("anchor"))
+    found = spread.join(long, "anchor").filter(F.col("text").contains(F.col("passage"))).select("item_id", "doc_id")
+    few = keyed.filter(F.size("w") < 6).select("item_id", "passage")
+    more = docs.join(few, F.col("text").contains(F.col("passage"))).select("item_id", "doc_id")
+    return found.union(more).distinct()
+
+
+def overlap_ranked(items: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """The k documents that share most words of at least eight letters with each item, through an inverted index."""
+    words = lambda df, i: df.select(i, F.explode(F.array_distinct(F.filter(T.word_list(F.lower("text")), lambda w: F.length(w) >= 8))).alias("w"))
+    score = words(docs, "doc_id").join(words(items, "item_id"), "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("overlap"))
+    return W.latest(score, ["item_id"], [F.col("overlap").desc(), F.col("doc_id")], k, "rank")
+
+
+def _golden(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    items, docs = table(spark, d, "benchmark"), table(spark, d, "documents")
+    return items, expected_passages(items, docs), overlap_ranked(items, docs, 5)
+
+
+@query
+def golden_recall(spark: SparkSession, d: str) -> DataFrame:
+    return golden.recall(*_golden(spark, d), 5, "item_id", "doc_id")
+
+
+@query
+def missing_ids(spark: SparkSession, d: str) -> DataFrame:
+    _, expected, found = _golden(spark, d)
+    return golden.missing(expected, found, 5, "item_id", "doc_id")
+
+
+@query
+def gate_result(spark: SparkSession, d: str) -> DataFrame:
+    return golden.campaign(golden.recall(*_golden(spark, d), 5, "item_id", "doc_id"))
+
+
+@query
+def regression_compare(spark: SparkSession, d: str) -> DataFrame:
+    items, expected, found = _golden(spark, d)
+    return golden.compare(golden.recall(items, expected, found, 3, "item_id", "doc_id"), golden.recall(items, expected, found, 5, "item_id", "doc_id"), "item_id")
+
+
+@query
+def mode_filter(spark: SparkSession, d: str) -> DataFrame:
+    return quality.mode(table(spark, d, "documents"), "lang", "doc_id")
+
+
+# --- windows over events ---
+
+
+def _daily(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").groupBy(day(F.col("ts")).alias("day"), "event_type").agg(F.count("*").alias("total"), F.count_if(F.col("value") >= 10).alias("good"))
+    return e.select("day", "event_type", F.round(F.col("good") * 100.0 / F.col("total"), 6).alias("coverage"))
+
+
+@query
+def coverage_drop(spark: SparkSession, d: str) -> DataFrame:
+    """The last run of each type against the one before, whatever it gives."""
+    w = Window.partitionBy("event_type").orderBy("day")
+    runs = _daily(spark, d).withColumn("previous", F.lag("coverage").over(w)).withColumn("drop", F.round(F.col("previous") - F.col("coverage"), 2))
+    return W.latest(runs, ["event_type"], [F.col("day").desc()])
+
+
+@query
+def coverage_sweep(spark: SparkSession, d: str) -> DataFrame:
+    return W.drops(_daily(spark, d), ["event_type"], "day", "coverage")
+
+
+@query
+def recent_runs(spark: SparkSession, d: str) -> DataFrame:
+    return W.latest(table(spark, d, "events"), ["event_type"], [F.col("ts").desc(), F.col("event_id").desc()], 10, "rank").select("event_type", "rank", "event_id", stamp(F.col("ts")).alias("at"))
+
+
+@query
+def retention_keep_n(spark: SparkSession, d: str) -> DataFrame:
+    gone = store.keep_newest(table(spark, d, "orders"), ["o_custkey"], [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()], 5)
+    return gone.select("o_custkey", "o_orderkey", F.col("rn").alias("rank"))
+
+
+@query
+def circuit_breaker(spark: SparkSession, d: str) -> DataFrame:
+    return W.breaker(table(spark, d, "events"), ["event_type"], "ts", 60, 3).select("event_id", "event_type", "recent")
+
+
+@query
+def rate_limit(spark: SparkSession, d: str) -> DataFrame:
+    return W.rate_limit(table(spark, d, "events"), ["user_id"], "ts", 3600, 3).select("event_id", "user_id", "recent", F.round("delay", 6).alias("delay"))
+
+
+@query
+def restart_alerts(spark: SparkSession, d: str) -> DataFrame:
+    return W.restarts(table(spark, d, "events"), ["user_id"], "ts", 3600, 2, 600).select("event_id", "user_id", "recent", "gap_us", "cool_down")
+
+
+@query
+def consecutive_failures(spark: SparkSession, d: str) -> DataFrame:
+    out = W.longest_streak(table(spark, d, "events"), ["user_id"], [F.col("ts"), F.col("event_id")], F.col("event_type") == "error")
+    return out.withColumn("open", W.breaker_open(F.col("longest"), 3))
+
+
+@query
+def stale_sources(spark: SparkSession, d: str) -> DataFrame:
+    return monitoring.stale(table(spark, d, "events"), "user_id", "ts", 12).select("user_id", stamp(F.col("last_ts")).alias("last_at"), "age_hours")
+
+
+@query
+def alert_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Empty expected segments are critical, sources under half documented a warning, stale users information."""
+    want = spark.createDataFrame([(s,) for s in SEGMENTS], "subject string")
+    empty = want.join(table(spark, d, "customer").select(F.col("c_mktsegment").alias("subject")).distinct(), "subject", "left_anti")
+    low = coverage_summary(spark, d).filter("coverage_pct > 0 and coverage_pct < 50").select(F.col("source").alias("subject"))
+    old = stale_sources(spark, d).select(F.col("user_id").alias("subject"))
+    return monitoring.alerts(empty, low, old)
+
+
+@query
+def backoff_delay(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").select("conv_id", "turn", W.backoff(F.col("turn") + 1).alias("delay"))
+
+
+@query
+def json_extract(spark: SparkSession, d: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("long")
+    return table(spark, d, "events").groupBy("event_type").agg(F.sum(k).alias("sum_k"), F.max(k).alias("max_k"))
+
+
+@query
+def tumbling_window(spark: SparkSession, d: str) -> DataFrame:
+    return S.tumbling(table(spark, d, "events"), "1 day", ["event_type"])
+
+
+@query
+def sliding_window(spark: SparkSession, d: str) -> DataFrame:
+    return S.tumbling(table(spark, d, "events"), "7 days", ["event_type"], slide="1 day")
+
+
+@query
+def session_window(spark: SparkSession, d: str) -> DataFrame:
+    return S.sessions(table(spark, d, "events"), "30 minutes", ["user_id"])
+
+
+@query
+def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
+    return S.latest_table(S.tumbling(S.timed(S.source(spark, f"{d}/events.parquet")), "1 day", ["event_type"]))
+
+
+@query
+def stream_dedup_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's last event, from a stream whose replays are dropped."""
+    events = S.deduplicated(S.source(spark, f"{d}/events.parquet"), ["event_id"], late="40 days")
+    out = S.upsert_stream(events.select("user_id", "event_id", F.struct("ts", "event_id").alias("at")), ["user_id"], "at", shared_dir(spark))
+    return out.select("user_id", "event_id")
+
+
+@query
+def validation_chain(spark: SparkSession, d: str) -> DataFrame:
+    """A run is a user's day; its events are its steps, and what follows the first error didn't run."""
+    e = table(spark, d, "events").withColumn("day", day(F.col("ts")))
+    ran = W.first_failure(e, ["user_id", "day"], [F.col("ts"), F.col("event_id")], F.col("event_type") == "error")
+    return ran.groupBy("user_id", "day").agg(F.count("*").alias("steps"), F.count_if(F.col("event_type") == "error").alias("failures"))
+
+
+@query
+def validation_report(spark: SparkSession, d: str) -> DataFrame:
+    one = lambda c: F.round(F.count_if(c) / F.count("*"), 6)
+    checks = {"null text": (one(F.col("text").isNull()), 0.0, 0.01), "short text": (one(F.col("n_chars") < 100), 0.01, 0.5), "not english": (one(F.col("lang") != "en"), 0.1, 0.3), "no source": (one(F.col("source").isNull()), 0.0, 0.0)}
+    return quality.report(table(spark, d, "documents"), checks)
+
+
+# --- conversations ---
+
+
+@query
+def latest_turn(spark: SparkSession, d: str) -> DataFrame:
+    return W.latest(table(spark, d, "conversations"), ["conv_id"], [F.col("turn").desc(), F.col("role"), F.col("text")]).select("conv_id", "turn", "role", F.length("text").cast("long").alias("length"))
+
+
+@query
+def prompt_context(spark: SparkSession, d: str) -> DataFrame:
+    """The last 20 turns of each conversation, in order, as a prompt has room for."""
+    last = W.latest(table(spark, d, "conversations"), ["conv_id"], [F.col("turn").desc(), F.col("role").desc(), F.col("text").desc()], 20)
+    said = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    text = F.array_join(F.transform(said, lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n")
+    return last.groupBy("conv_id").agg(F.count("*").alias("turns"), F.sha2(text, 256).alias("context_hash"))

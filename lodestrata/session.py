@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -20,3 +23,13 @@ def session(app: str = "lodestrata", master: str | None = None, **extra: str) ->
     for key, value in (SETTINGS | {k.replace("__", "."): v for k, v in extra.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession, name: str = "lodestrata") -> str:
+    """A new folder below ``spark.checkpoint.dir`` (a temporary one only where that is unset); it goes when the JVM ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/lodestrata"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return path.toString()
