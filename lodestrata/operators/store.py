@@ -10,6 +10,7 @@ import time
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def newest(rows: DataFrame, keys: list[str], by: list[Column]) -> DataFrame:
@@ -88,7 +89,11 @@ class Snapshots:
 
     def current(self) -> DataFrame | None:
         state = self._read_pointer()
-        return self.spark.read.parquet(f"{self.root}/{state['current']}") if state["current"] else None
+        name = state["current"]
+        if not name:
+            return None
+        schema = StructType.fromJson(json.loads(state["schemas"][name]))  # an empty snapshot may have no file to tell it
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
 
     def list(self) -> list[str]:
         return self._read_pointer()["history"]
@@ -102,7 +107,8 @@ class Snapshots:
             writer = rows.hint("rebalance", partition_by).write.partitionBy(partition_by)  # large collections are split
         writer.option("maxRecordsPerFile", 1_000_000).parquet(f"{self.root}/{name}")
         history = [*state["history"], name]
-        self._point({"current": name, "history": history[-(keep + 1) :]})
+        schemas = state.get("schemas", {}) | {name: rows.schema.json()}
+        self._point({"current": name, "history": history[-(keep + 1) :], "schemas": {n: schemas[n] for n in history[-(keep + 1) :]}})
         for old in history[: -(keep + 1)]:
             self.fs.delete(self._path(f"{self.root}/{old}"), True)
         return name
