@@ -45,3 +45,26 @@ def crawl(seeds: DataFrame, links: DataFrame, max_depth: int, per_page: int | No
 def budget(visited: DataFrame, pages: int) -> DataFrame:
     """The first pages of a crawl by depth, then name."""
     return visited.orderBy("depth", "node").limit(pages)
+
+
+def crawl_stats(visited: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """Pages, deepest level, pages per level and failures of a crawl, in one row."""
+    by = visited.groupBy("depth").agg(F.count("*").alias("n"))
+    out = by.agg(F.sum("n").alias("pages"), F.max("depth").alias("max_depth"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("depth", "n")))).alias("by_depth"))
+    n = F.lit(0).cast("long") if failed is None else F.lit(failed.count())
+    return out.withColumn("failed", n)
+
+
+def typed_edges(rows: DataFrame, category: str, name: str, targets: str, target_category: str, link_type: str, confidence: float = 1.0) -> DataFrame:
+    """Links from each row to the names in its list, as stored link rows without repeats."""
+    return rows.select(
+        F.lit(category).alias("source_category"), F.col(name).alias("source_name"), F.lit(target_category).alias("target_category"),
+        F.explode(targets).alias("target_name"), F.lit(link_type).alias("link_type"), F.lit(confidence).alias("confidence"),
+    ).distinct()
+
+
+def class_links(classes: DataFrame, known: str = "name", types: str = "types") -> DataFrame:
+    """Links from classes to the known classes that their types name, by base name without arrays, packages and generics."""
+    base = F.regexp_replace(F.regexp_replace("t", r"<.*$|\[\]", ""), r"^.*\.", "")
+    used = classes.select(F.col(known).alias("src"), F.explode(types).alias("t")).select("src", base.alias("dst")).distinct()
+    return used.join(classes.select(F.col(known).alias("dst")).distinct(), "dst", "left_semi").filter("src <> dst").select("src", "dst")

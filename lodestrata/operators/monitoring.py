@@ -46,3 +46,25 @@ def alerts(critical: DataFrame, warning: DataFrame, info: DataFrame) -> DataFram
     """One list of (level, subject) from three rule results, each with a ``subject``."""
     parts = [df.select(F.lit(level).alias("level"), F.col("subject").cast("string").alias("subject")) for level, df in (("critical", critical), ("warning", warning), ("info", info))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def run_states(events: DataFrame, run: str = "id", at: str = "at") -> DataFrame:
+    """A run's state from its appended events (started, completed): for each field the last value that isn't null, so a
+    completion needs to say only what it changes. Never updated in place."""
+    order = F.struct(at, "seq") if "seq" in events.columns else F.col(at)
+    fields = [c for c in events.columns if c not in (run, at, "seq")]
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in fields]
+    return events.groupBy(run).agg(F.min(at).alias("started_at"), F.max(at).alias("updated_at"), *last)
+
+
+def totals(rows: DataFrame, by: list[str], sums: list[str]) -> DataFrame:
+    """Sums per group and, with nulls for the group, over all."""
+    return rows.rollup(*by).agg(*[F.sum(c).alias(c) for c in sums], F.count("*").alias("rows"), F.grouping_id().alias("level")).filter(F.col("level").isin(0, (1 << len(by)) - 1)).drop("level")
+
+
+def step_summary(results: DataFrame, run: str = "run_id") -> DataFrame:
+    """Per run and level: outcome, errors and warnings; levels after the first failing one are left out."""
+    from .windows import first_failure
+
+    ran = first_failure(results, [run], [F.col("level_no")], F.col("result") == "fail")
+    return ran.select(run, "level_no", "level", "result", "errors_found", "warnings_found")

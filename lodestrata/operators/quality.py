@@ -83,7 +83,18 @@ def item_id(text: Column) -> Column:
     return F.when(found != "", found)
 
 
-MOD_TYPES = [("item", ["weapon", "item", "tool"]), ("recipe", ["recipe", "craft"]), ("vehicle", ["vehicle", "car"]), ("map", ["map", "building"]), ("trait", ["trait", "profession"])]
+MOD_TYPES = [("recipe", ["recipe", "craft"]), ("vehicle", ["vehicle", "car "]), ("map", ["map", "building"]), ("trait", ["trait", "profession"]), ("item", ["weapon", "item", "tool"])]
+
+
+def mod_type(request: Column) -> Column:
+    """What kind of package a request is for."""
+    return first_match(F.lower(request), MOD_TYPES, "generic")
+
+
+def mod_name(request: Column) -> Column:
+    """The quoted or named name in a request, else null."""
+    found = F.coalesce(*[F.when(F.regexp_extract(request, p, 1) != "", F.regexp_extract(request, p, 1)) for p in (r'"([^"]+)"', r"(?i)\b(?:named|called)\s+([A-Za-z][\w-]*)")])
+    return found
 
 
 def tier(risk: Column, touched: Column, restricted: list[str], review_at: float = 0.3, restrict_at: float = 0.7) -> Column:

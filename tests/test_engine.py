@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestrata import cli, config
 from lodestrata.functions import text as T
 from lodestrata.functions import vector as V
-from lodestrata.operators import chunking, filters, graph, quality, store, windows
+from lodestrata.operators import chunking, filters, graph, monitoring, quality, store, windows
 from lodestrata.plans import gate, status
 from lodestrata.plans.ingest import Corpus, drop_collection, drop_rows, ingest
 from lodestrata.plans.retrieval import Engine
@@ -196,3 +196,24 @@ def test_stream_run_lifecycle(spark, tmp_path):
     out = []
     S.run_available(stream_ingest.run_lifecycle(S.source(spark, f"{tmp_path}/s"), S.source(spark, f"{tmp_path}/e")), lambda b, n: out.extend((r.id, r.status) for r in b.collect()), "append")
     assert ("r1", "completed") in out
+
+
+def test_run_states_and_totals(spark):
+    events = spark.createDataFrame([("r1", 1, "running", None, None), ("r1", 2, "completed", 5, None), ("r2", 1, "running", None, "x")], "id string, at int, status string, chunks int, note string")
+    got = {r.id: (r.status, r.chunks, r.note, r.started_at, r.updated_at) for r in monitoring.run_states(events).collect()}
+    assert got == {"r1": ("completed", 5, None, 1, 2), "r2": ("running", None, "x", 1, 1)}
+    rows = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", "x", 3)], "k string, j string, n int")
+    assert {(r.k, r.n) for r in monitoring.totals(rows, ["k"], ["n"]).collect()} == {("a", 3), ("b", 3), (None, 6)}
+    steps = spark.createDataFrame([("r", 1, "static", "pass", 0, 1), ("r", 2, "boot", "fail", 2, 0), ("r", 3, "runtime", "pass", 0, 0)], "run_id string, level_no int, level string, result string, errors_found int, warnings_found int")
+    assert [r.level for r in monitoring.step_summary(steps).orderBy("level_no").collect()] == ["static", "boot"]
+
+
+def test_links_and_requests(spark):
+    classes = spark.createDataFrame([("Box", ["a.b.Lid", "int", "List<Lid>[]", "Box"]), ("Lid", ["String"])], "name string, types array<string>")
+    assert [tuple(r) for r in graph.class_links(classes).collect()] == [("Box", "Lid")]
+    recipes = spark.createDataFrame([("plank", ["log", "saw", "log"])], "name string, refs array<string>")
+    assert graph.typed_edges(recipes, "recipes", "name", "refs", "items", "uses").count() == 2
+    visited = spark.createDataFrame([("a", 0), ("b", 1), ("c", 1)], "node string, depth int")
+    assert graph.crawl_stats(visited).first().by_depth == {0: 1, 1: 2}
+    asks = spark.createDataFrame([('make a "Big Axe" weapon',), ("a car called Turbo",), ("hello",)], "t string")
+    assert [tuple(r) for r in asks.select(quality.mod_type(F.col("t")), quality.mod_name(F.col("t"))).collect()] == [("item", "Big Axe"), ("vehicle", "Turbo"), ("generic", None)]
