@@ -17,8 +17,10 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: The most rows that ``keyed_join`` broadcasts.
 HEAVY_KEYS = 1000
-#: Rows that a mapped partition gathers before it hands on a batch.
+#: Rows that a mapped partition reads from an Arrow batch at once; rows and characters that it gathers before it hands on.
+READ_ROWS = 256
 BATCH_ROWS = 2000
+BATCH_CHARS = 8_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,14 +58,17 @@ def map_rows(df: DataFrame, columns: list[Column], fn: Callable[[Iterator[tuple]
 def _run_rows(fn: Callable, schema: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows() -> Iterator[tuple]:
         for batch in batches:
-            yield from zip(*[c.to_pylist() for c in batch.columns], strict=True)
+            for at in range(0, batch.num_rows, READ_ROWS):
+                yield from zip(*[c.to_pylist() for c in batch.slice(at, READ_ROWS).columns], strict=True)
 
     held: list[tuple] = []
+    chars = 0
     for row in fn(rows()):
         held.append(row)
-        if len(held) >= BATCH_ROWS:
+        chars += sum([len(v) for v in row if isinstance(v, (str, bytes))])
+        if len(held) >= BATCH_ROWS or chars >= BATCH_CHARS:
             yield to_batch(held, schema)
-            held = []
+            held, chars = [], 0
     if held:
         yield to_batch(held, schema)
 

@@ -43,7 +43,7 @@ BLOCK = 512
 MISS = 1e-8
 #: Links hold at 100 * common >= PERCENT * union.
 PERCENT = 85
-MEMO_WORDS = 500_000
+MEMO_WORDS = 300_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -30,7 +30,7 @@ CAPACITY = 2048
 END_ID = 1
 #: Larger classes aren't told apart: their bins take pieces until the next doesn't fit.
 MAX_CLASS = 64
-MEMO_WORDS = 600_000
+MEMO_WORDS = 350_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 

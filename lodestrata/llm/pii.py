@@ -34,6 +34,8 @@ TAGS = tags_of(KINDS)
 WINDOW, OVERLAP = 96, 48
 NEAR = 48
 GROUP = 1024
+#: Characters of texts that wait for their windows.
+HELD_CHARS = 4_000_000
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -42,7 +44,7 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-NEEDED = re.compile(r"[0-9@]|[(\[] ?at ?[)\]]", re.I)
+NEEDED = re.compile(r"[0-9@]|[(\[]\s*at\s*[)\]]", re.I)
 
 Span = tuple[int, int, str]
 
@@ -300,6 +302,7 @@ def _search(net: Net, rows: Iterator[tuple]) -> Iterator[tuple[tuple, str, list[
     waiting: list[tuple[tuple, str, list[Span], list[tuple[int, int, str, float]]]] = []
     places: list[tuple[int, int]] = []
     held: list[np.ndarray] = []
+    chars = 0
 
     def read() -> None:
         if held:
@@ -324,13 +327,12 @@ def _search(net: Net, rows: Iterator[tuple]) -> Iterator[tuple[tuple, str, list[
                 places.append((len(waiting) - 1, start))
                 if len(held) >= GROUP:
                     read()
-        if not held and (len(waiting) >= 256 or len(text) > 1_000_000):
-            yield from ((r, t, b, added(t, f, b)) for r, t, b, f in waiting)
-            waiting.clear()
-        elif len(waiting) >= 2048:
+        chars += len(text)
+        if chars >= HELD_CHARS or len(waiting) >= (2048 if held else 256):
             read()
             yield from ((r, t, b, added(t, f, b)) for r, t, b, f in waiting)
             waiting.clear()
+            chars = 0
     read()
     yield from ((r, t, b, added(t, f, b)) for r, t, b, f in waiting)
 

@@ -21,7 +21,7 @@ from .common import decoded, map_rows, text_bytes, tokenizer_file, words
 
 MARK = "▁"
 #: Words whose counts a worker remembers before it starts anew.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 300_000
 SCHEMA = "doc_id long, n_words long, n_tokens long, n_unknown long"
 
 
