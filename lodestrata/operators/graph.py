@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_dir, stored
 from .windows import latest
 
 
@@ -29,15 +30,18 @@ def touching(links: DataFrame, category: str | None = None, name: str | None = N
 
 def crawl(seeds: DataFrame, links: DataFrame, max_depth: int, per_page: int | None = None) -> DataFrame:
     """Nodes that seeds reach within ``max_depth`` links, with their least depth. ``links`` has src, dst and pos; the
-    first ``per_page`` of each page are followed. One join per level; visited nodes go by anti join."""
+    first ``per_page`` of each page are followed. One join per level; visited nodes go by anti join. Links and levels are
+    stored, so neither pages are parsed nor earlier levels made again."""
     if per_page is not None:
         links = latest(links, ["src"], [F.col("pos"), F.col("dst")], per_page)
-    links = links.select("src", "dst").distinct()
-    seen = seeds.select("node").distinct().withColumn("depth", F.lit(0))
-    frontier = seen
+    at = shared_dir(seeds.sparkSession)
+    links = stored(links.select("src", "dst").distinct(), f"{at}/links")
+    seen = frontier = stored(seeds.select("node").distinct().withColumn("depth", F.lit(0)), f"{at}/0")
     for depth in range(1, max_depth + 1):
         step = frontier.join(links, frontier["node"] == links["src"]).select(F.col("dst").alias("node")).distinct()
-        frontier = step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth))
+        frontier = stored(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)), f"{at}/{depth}")
+        if not frontier.limit(1).count():
+            break
         seen = seen.unionByName(frontier)
     return seen
 

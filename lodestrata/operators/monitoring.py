@@ -11,10 +11,15 @@ def pct(part: Column, whole: Column, digits: int = 2) -> Column:
     return F.round(F.try_divide(part * F.lit(100.0), whole), digits)
 
 
+def newest(rows: DataFrame, ts: str) -> Column:
+    """The greatest time of a table as a literal; null if there is none. It goes by way of text, so no time zone but the
+    session's has a part in it."""
+    return F.lit(rows.agg(F.max(ts).cast("string")).first()[0]).cast(rows.schema[ts].dataType)
+
+
 def within_days(rows: DataFrame, ts: str, days: int) -> DataFrame:
-    """Rows of the last days before the table's newest one."""
-    newest = rows.agg(F.max(ts).alias("__as_of"))
-    return rows.join(F.broadcast(newest)).filter(F.col(ts) > F.col("__as_of") - F.expr(f"INTERVAL '{days}' DAY")).drop("__as_of")
+    """Rows of the last days before the table's newest one. The bound is looked up first, so that it reaches the scan."""
+    return rows.filter(F.col(ts) > newest(rows, ts) - F.expr(f"INTERVAL '{days}' DAY"))
 
 
 def success_rate(projects: DataFrame, runs: DataFrame, project: str, ok: Column, seconds: Column, in_time: Column) -> DataFrame:

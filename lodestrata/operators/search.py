@@ -12,8 +12,9 @@ def scored(vectors: DataFrame, queries: DataFrame, metric: str = "cosine", vecto
     """Each query with each row and its ``score``. The queries are the caller's few; Spark broadcasts them if they are
     below its size limit and otherwise splits the nested loop itself."""
     score, _ = METRICS[metric]
-    pairs = queries.join(vectors.filter(F.col(vector).isNotNull()))
-    return pairs.withColumn("score", F.round(score(F.col(vector), F.col(query)), 6)).filter(F.col("score").isNotNull())
+    # sizes are compared in the join, so that the score itself is computed once, after it
+    pairs = queries.join(vectors.filter(F.col(vector).isNotNull()), F.size(vector) == F.size(query))
+    return pairs.withColumn("score", F.round(score(F.col(vector), F.col(query)), 6))
 
 
 def order(metric: str, *ties: str) -> list[Column]:

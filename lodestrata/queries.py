@@ -15,7 +15,7 @@ from .functions import text as T
 from .operators import chunking as C
 from .operators import filters, golden, graph, monitoring, quality, search, store
 from .operators import windows as W
-from .session import shared_dir
+from .session import shared_dir, stored
 from .streaming import windows as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -366,9 +366,9 @@ def latest_artifact(spark: SparkSession, d: str) -> DataFrame:
 @query
 def success_rate_left_join(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey")
-    newest = orders.agg(F.max("o_orderdate")).first()[0]
-    until = F.timestamp_diff("SECOND", F.col("o_orderdate"), F.lit(newest).cast("timestamp_ntz")).cast("double") if newest else F.lit(0.0)
-    in_time = F.col("o_orderdate") > F.lit(newest).cast("timestamp_ntz") - F.expr("INTERVAL '365' DAY")
+    newest = monitoring.newest(orders, "o_orderdate")
+    until = F.timestamp_diff("SECOND", F.col("o_orderdate"), newest).cast("double")
+    in_time = F.col("o_orderdate") > newest - F.expr("INTERVAL '365' DAY")
     return monitoring.success_rate(table(spark, d, "customer").select("c_custkey"), orders, "c_custkey", F.col("o_orderstatus") == "F", until, in_time).withColumn("success_rate", F.round("success_rate", 2))
 
 
@@ -459,8 +459,10 @@ def expected_passages(items: DataFrame, docs: DataFrame) -> DataFrame:
     keyed = items.select("item_id", F.col("text").alias("passage"), word(F.col("text")).alias("w"))
     long = keyed.filter(F.size("w") >= 6).select("item_id", "passage", F.array_join(F.slice("w", 2, 4), " ").alias("anchor"))
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.array_join(F.slice("w", i, F.lit(4)), " "))
-    spread = docs.select("doc_id", "text", word(F.col("text")).alias("w")).select("doc_id", "text", F.explode(F.array_distinct(grams)).alias("anchor"))
-    found = spread.join(long, "anchor").filter(F.col("text").contains(F.col("passage"))).select("item_id", "doc_id")
+    spread = docs.select("doc_id", word(F.col("text")).alias("w")).select("doc_id", F.explode(F.array_distinct(grams)).alias("anchor"))
+    met = spread.join(long.select("item_id", "anchor"), "anchor").select("item_id", "doc_id")  # texts stay out of this join
+    sure = met.join(long.select("item_id", "passage"), "item_id").join(docs.select("doc_id", "text"), "doc_id")
+    found = sure.filter(F.col("text").contains(F.col("passage"))).select("item_id", "doc_id")
     few = keyed.filter(F.size("w") < 6).select("item_id", "passage")
     more = docs.join(few, F.col("text").contains(F.col("passage"))).select("item_id", "doc_id")
     return found.union(more).distinct()
@@ -496,7 +498,8 @@ def gate_result(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def regression_compare(spark: SparkSession, d: str) -> DataFrame:
-    items, expected, found = _golden(spark, d)
+    items, *both = _golden(spark, d)
+    expected, found = map(stored, both)  # both campaigns read them
     return golden.compare(golden.recall(items, expected, found, 3, "item_id", "doc_id"), golden.recall(items, expected, found, 5, "item_id", "doc_id"), "item_id")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -33,3 +33,10 @@ def shared_dir(spark: SparkSession, name: str = "lodestrata") -> str:
     fs.mkdirs(path)
     fs.deleteOnExit(path)
     return path.toString()
+
+
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Write rows as Parquet to a shared folder and read them back: computed once, and proof against lost executors."""
+    path = path or f"{shared_dir(df.sparkSession)}/t"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
