@@ -15,7 +15,7 @@ from .functions import text as T
 from .operators import chunking as C
 from .operators import filters, golden, graph, monitoring, quality, search, store
 from .operators import windows as W
-from .session import shared_dir, stored
+from .session import lookup, shared_dir, stored
 from .streaming import windows as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,7 +94,7 @@ def batch_query_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def exact_or_semantic(spark: SparkSession, d: str) -> DataFrame:
-    wanted = spark.createDataFrame([(3,), (-1,)], "requested_id long")
+    wanted = lookup(spark, [(3,), (-1,)], "requested_id long")
     near = search.top_k(_hits(spark, d), 1, "vec_id")
     return search.exact_or_nearest(wanted, table(spark, d, "embeddings").select("vec_id"), near, "vec_id")
 
@@ -433,7 +433,7 @@ SEGMENTS = {"AUTOMOBILE": 300, "BUILDING": 300, "FURNITURE": 300, "HOUSEHOLD": 3
 
 @query
 def expected_totals_join(spark: SparkSession, d: str) -> DataFrame:
-    want = spark.createDataFrame(list(SEGMENTS.items()), "segment string, expected long")
+    want = lookup(spark, list(SEGMENTS.items()), "segment string, expected long")
     have = table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("actual"))
     out = F.broadcast(want).join(have, "segment", "left").na.fill(0, ["actual"])
     share = F.round(F.col("actual") * 100.0 / F.col("expected"), 6)
@@ -569,7 +569,7 @@ def stale_sources(spark: SparkSession, d: str) -> DataFrame:
 @query
 def alert_rules(spark: SparkSession, d: str) -> DataFrame:
     """Empty expected segments are critical, sources under half documented a warning, stale users information."""
-    want = spark.createDataFrame([(s,) for s in SEGMENTS], "subject string")
+    want = lookup(spark, [(s,) for s in SEGMENTS], "subject string")
     empty = want.join(table(spark, d, "customer").select(F.col("c_mktsegment").alias("subject")).distinct(), "subject", "left_anti")
     low = coverage_summary(spark, d).filter("coverage_pct > 0 and coverage_pct < 50").select(F.col("source").alias("subject"))
     old = stale_sources(spark, d).select(F.col("user_id").alias("subject"))

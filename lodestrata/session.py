@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -40,3 +41,10 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     path = path or f"{shared_dir(df.sparkSession)}/t"
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def lookup(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of constants as a plan of literals, without Python at run time. ``schema`` is "name type, ..."."""
+    fields = [f.split() for f in schema.split(",")]
+    made = [F.struct(*[F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(row, fields, strict=True)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*made)))
