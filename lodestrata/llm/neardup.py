@@ -39,7 +39,7 @@ HASHES = 128
 ROWS = 5
 BANDS = 25
 BATCH = 16
-BLOCK = 512
+BLOCK = 256
 MISS = 1e-8
 #: Links hold at 100 * common >= PERCENT * union.
 PERCENT = 85
