@@ -314,6 +314,8 @@ def cluster(docs: DataFrame, percent: int = PERCENT, miss: float = MISS) -> Data
 
 
 def deduplicate(docs: DataFrame, percent: int = PERCENT, miss: float = MISS) -> DataFrame:
-    """The documents that stay, one of each component, with their own columns. Of rows that share an id one stays."""
-    kept = cluster(docs, percent, miss).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi")
+    """The documents that stay, one of each component, with their own columns. Of rows that share an id one stays; rows
+    with a null id all stay."""
+    kept = cluster(docs, percent, miss).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept")).distinct()
+    own = docs.join(kept, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
+    return own.unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -276,6 +276,8 @@ def test_near_duplicates_of_odd_rows(spark):
     docs = spark.createDataFrame([(None, same), (None, None), (5, same), (5, same), (3, same), (9, None)], "doc_id long, text string")
     got = sorted((tuple(r) for r in neardup.cluster(docs).collect()), key=str)
     assert got == sorted([(None, 2, None, True), (None, 0, None, True), (5, 2, 3, False), (5, 2, 3, False), (3, 2, 3, True), (9, 0, 9, True)], key=str)
+    stay = neardup.deduplicate(docs.union(docs.filter("doc_id in (3, 9)")))
+    assert sorted((r.doc_id for r in stay.collect()), key=str) == [3, 9, None, None]
     assert neardup.cluster(docs.limit(0)).count() == 0
 
 
