@@ -88,13 +88,13 @@ def mine(labelled: DataFrame, limits: Limits | None = None) -> DataFrame:
     least = max(limits.rows, limits.support * total)
     # a token below the least count is in no rule; what stays has at most tokens-per-URL / support members
     often = rows.select(F.explode("items").alias("t")).groupBy("t").count().filter(F.col("count") >= least)
-    often = {r.t for r in often.collect()}
+    often = sorted(r.t for r in often.collect())
     empty = spark.createDataFrame([], "items array<string>, confidence double, support double")
     if not often or total < least:
         return empty
-    kept = F.udf(lambda items, bad: [t for t in items if t in often] + [BAD] * bad, "array<string>")
+    kept = F.concat(F.array_intersect("items", F.array(*[F.lit(t) for t in often])), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>")))
     growth = FPGrowth(itemsCol="items", minSupport=least / total, minConfidence=limits.confidence, numPartitions=int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = growth.fit(rows.select(kept("items", "bad").alias("items")).filter(F.size("items") > 0)).associationRules
+    found = growth.fit(rows.select(kept.alias("items")).filter(F.size("items") > 0)).associationRules
     found = found.filter((F.col("consequent") == F.array(F.lit(BAD))) & (F.size("antecedent") <= limits.tokens))
     found = stored(found.select(F.array_sort("antecedent").alias("items"), "confidence", "support"))
     # prune: a rule one of whose parts is a rule says nothing new
