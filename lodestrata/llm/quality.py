@@ -162,7 +162,7 @@ def references(docs: DataFrame, common: int = COMMON) -> References:
 
 @dataclass(frozen=True)
 class Limits:
-    char_distance: float = 0.25
+    char_distance: float = 0.28
     word_distance: float = 0.4
     min_chars: int = 100
     min_words: int = 100
