@@ -133,8 +133,8 @@ def is_url(t: Column) -> Column:
     return t.rlike(r"^https?://[a-zA-Z0-9]")
 
 
-#: What a challenge page says instead of its content.
-CHALLENGES = ["just a moment", "checking your browser", "enable javascript and cookies", "attention required", "verify you are human", "access denied"]
+#: What a challenge page holds instead of its content.
+CHALLENGES = ["just a moment", "/cdn-cgi/challenge-platform"]
 
 
 def is_challenge(h: Column) -> Column:

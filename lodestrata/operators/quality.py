@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..config import CORE_FILES, ENUMS, ESCALATING, HUMAN, MAX_RETRIES, PROPRIETARY
+
 
 def messages(rules: dict[str, Column]) -> Column:
     """Messages of the rules a row breaks; a rule is the condition that must hold, and null breaks it."""
@@ -32,20 +34,39 @@ def recipe_rules(meta: str = "metadata") -> dict[str, Column]:
     return {"name is missing": F.trim(get("name")) != "", "result is missing": F.trim(get("result")) != "", "no ingredient with a count": F.exists(counts, lambda n: n > 0)}
 
 
-#: Expected fields per kind of entity.
+def metadata_rules(meta: str = "metadata") -> dict[str, Column]:
+    """Required fields of a structured object's metadata and the values they may have."""
+    get = lambda k: F.get_json_object(F.col(meta), f"$.{k}")
+    return {
+        "item_type is missing": get("item_type").isNotNull(), "game_version is missing": get("game_version").isNotNull(), "base_id is missing": get("base_id").isNotNull(),
+        "item_type is unknown": F.coalesce(get("item_type").isin(ENUMS["item_type"]), F.lit(True)), "game_version is unknown": F.coalesce(get("game_version").isin(ENUMS["game_version"]), F.lit(True)),
+    }
+
+
+def table_rules(table: str) -> dict[str, Column]:
+    """The constraints of a relational table as rules."""
+    return {
+        "projects": {"mod_id has odd characters": F.col("mod_id").rlike(r"^[A-Za-z0-9_.-]+$")},
+        "dependencies": {"a project depends on itself": F.coalesce(F.col("project_id") != F.col("dependent_id"), F.lit(True)), "dependency_type is unknown": F.col("dependency_type").isin(ENUMS["dependency_type"])},
+        "users": {"role is unknown": F.col("role").isin(ENUMS["role"]), "username is missing": F.trim("username") != ""},
+        "ingestion_runs": {"status is unknown": F.col("status").isin(ENUMS["run_status"]), "source_type is missing": F.col("source_type").isNotNull()},
+    }.get(table, {})
+
+
+#: Expected fields per kind of entity, in lower case without underscores.
 EXPECTED = {
-    "weapon": ["name", "type", "weight", "description", "condition_max", "damage", "categories", "icon", "range"],
-    "food": ["name", "weight", "calories", "protein", "water"],
-    "clothing": ["name", "weight", "warmth", "description", "condition_max", "icon"],
-    "recipe": ["name", "result", "time", "category", "ingredients", "skill_required"],
-    "mob": ["name", "hp", "speed", "damage", "behavior", "spawn_biomes", "xp", "drops"],
-    "generic": ["name", "type", "description"],
+    "weapon": ["name", "type", "weight", "categories", "subcategory", "description", "icon", "conditionmax", "damagetiers"],
+    "food": ["name", "type", "calories", "protein", "vitamin", "mineral", "water"],
+    "clothing": ["name", "type", "blunt", "cut", "scratch", "tear"],
+    "recipe": ["name", "result", "time", "category", "ingredients", "skillrequired"],
+    "mob": ["name", "hp", "speed", "damage", "behavior", "spawnbiomes", "xp", "detectionradius"],
+    "generic": ["name", "type", "weight"],
 }
 
 
 def completeness(kind: Column, keys: Column) -> Column:
-    """Share of the kind's expected fields that are present; keys are compared in lower case."""
-    low = F.transform(keys, lambda k: F.lower(k))
+    """Share of the kind's expected fields that are present; keys are compared in lower case and without underscores."""
+    low = F.transform(keys, lambda k: F.replace(F.lower(k), F.lit("_"), F.lit("")))
     out = F.lit(None).cast("double")
     for name, want in EXPECTED.items():
         wanted = F.array(*[F.lit(w) for w in want])
@@ -64,51 +85,81 @@ def first_match(text: Column, table: list[tuple[str, list[str]]], default: str)
     return F.lit(default) if out is None else out.otherwise(default)
 
 
-ITEM_CLASSES = [("weapon", ["weapon", "blade", "gun"]), ("food", ["food", "drink"]), ("clothing", ["cloth", "armor"]), ("tool", ["tool"]), ("container", ["container", "bag"])]
+# Classes of items by words in their type, and the schema each class is measured by.
+ITEM_CLASSES = [("weapon_melee", ["melee"]), ("weapon_firearm", ["weapon"]), ("food", ["food", "canned"]), ("clothing", ["clothing", "armor"]), ("vehicle", ["vehicle"]), ("building_material", ["building"])]
+SCHEMA_OF_CLASS = {"weapon_melee": "weapon", "weapon_firearm": "weapon", "food": "food", "clothing": "clothing"}
+
+
+# Forms of messages.
+COMMANDS = {"stats": ["stats"], "survival": ["survie", "help_me_survive"], "recipe": ["recipe"], "moddoc": ["moddoc", "luaapi", "javaapi"], "search": ["search"]}
+ITEM_QUESTION = r"(?i)stats?\s*(?:de\s*)?([a-z]+\.[a-z]+)"
+INTENT_WORDS = [("recipe", ["recette", "craft", "artisanat"]), ("moddoc", ["moddoc", "lua api", "java api", "modding", "hook"])]
 
 
 def intent(text: Column) -> Column:
-    """What a message asks for: a slash command, an item id, then keywords, else general."""
+    """What a message asks for: a slash command, an item's stats, then keywords, else a search."""
     t = F.lower(F.trim(text))
-    command = F.regexp_extract(t, r"^/([a-z]+)", 1)
-    return (
-        F.when(command.isin("recipe", "craft"), "recipe").when(command.isin("mod", "moddoc"), "mod").when(command != "", "command")
-        .when(text.rlike(r"\b[A-Z][a-zA-Z]+\.[A-Z][a-zA-Z]+\b"), "item")
-        .otherwise(first_match(t, [("recipe", ["recipe", "craft", "ingredient"]), ("mechanic", ["how does", "mechanic", "skill"]), ("mod", ["script", "event", "mod "]), ("item", ["item", "weapon", "damage"])], "general"))
-    )
+    out = None
+    for name, commands in COMMANDS.items():
+        hit = t.rlike(rf"^/({'|'.join(commands)})")
+        out = F.when(hit, name) if out is None else out.when(hit, name)
+    return out.when(t.rlike(ITEM_QUESTION), "stats").otherwise(first_match(t, INTENT_WORDS, "search"))
+
+
+def query_text(text: Column) -> Column:
+    """The message without its slash command."""
+    return F.trim(F.regexp_replace(F.trim(text), r"^/[A-Za-z_]+\s*", ""))
 
 
 def item_id(text: Column) -> Column:
+    """The item that a message names, as Module.Name, else null."""
     found = F.regexp_extract(text, r"\b([A-Z][a-zA-Z]+\.[A-Z][a-zA-Z]+)\b", 1)
     return F.when(found != "", found)
 
 
-MOD_TYPES = [("recipe", ["recipe", "craft"]), ("vehicle", ["vehicle", "car "]), ("map", ["map", "building"]), ("trait", ["trait", "profession"]), ("item", ["weapon", "item", "tool"])]
+# Kinds of packages by words in a request.
+MOD_TYPES = [
+    ("item", ["arme", "weapon", "hache", "sword", "epée"]), ("feature", ["recette", "recipe", "craft", "cuisin", "meal"]), ("enemy", ["zombie", "ennemi", "enemy", "mob"]),
+    ("vehicle", ["vehicle", "voiture", "car", "camion"]), ("ui", ["interface", "ui", "menu", "hud"]),
+]
 
 
 def mod_type(request: Column) -> Column:
     """What kind of package a request is for."""
-    return first_match(F.lower(request), MOD_TYPES, "generic")
+    return first_match(F.lower(request), MOD_TYPES, "feature")
 
 
 def mod_name(request: Column) -> Column:
-    """The quoted or named name in a request, else null."""
-    found = F.coalesce(*[F.when(F.regexp_extract(request, p, 1) != "", F.regexp_extract(request, p, 1)) for p in (r'"([^"]+)"', r"(?i)\b(?:named|called)\s+([A-Za-z][\w-]*)")])
-    return found
+    """The capitalised word after *mod*, else the request itself up to 64 characters."""
+    found = F.regexp_extract(request, r"[Mm][Oo][Dd]\s+([A-Z][a-zA-Z0-9_-]+)", 1)
+    return F.when(found != "", found).otherwise(F.left(F.trim(request), F.lit(64)))
+
+
+def tier(errors: Column, fixes: Column, warnings: Column, changes: Column) -> Column:
+    """Governance tier of a run: red for core files, closed dependencies or three fixes; orange for new recipes or changed
+    items or more than one warning; else green. ``errors`` are the types of its errors."""
+    red = F.arrays_overlap(errors, F.array(F.lit(CORE_FILES), F.lit(PROPRIETARY))) | (fixes >= 3)
+    return F.when(F.coalesce(red, F.lit(False)), "red").when(changes | (warnings > 1), "orange").otherwise("green")
+
+
+def should_escalate(retries: Column, errors: Column, limit: Column | None = None) -> Column:
+    """Whether a run goes to a human: retries are spent, or an error asks for it."""
+    asks = F.arrays_overlap(errors, F.array(*[F.lit(e) for e in [*ESCALATING, *HUMAN]]))
+    return (retries >= (F.lit(MAX_RETRIES) if limit is None else limit)) | F.coalesce(asks, F.lit(False))
 
 
-def tier(risk: Column, touched: Column, restricted: list[str], review_at: float = 0.3, restrict_at: float = 0.7) -> Column:
-    """Governance tier from a risk score and the areas a run touches."""
-    hits = F.arrays_overlap(touched, F.array(*[F.lit(r) for r in restricted])) if restricted else F.lit(False)
-    return F.when(hits | (risk >= restrict_at), "restricted").when(risk >= review_at, "review").otherwise("auto")
+def escalation_reason(errors: Column) -> Column:
+    """The first error that needs a human, else the first three kinds of error."""
+    human = F.array_intersect(F.array(*[F.lit(e) for e in HUMAN]), errors)
+    return F.when(F.size(human) > 0, F.concat(F.lit("critical: "), F.element_at(human, 1))).when(F.size(errors) > 0, F.array_join(F.array_distinct(F.slice(errors, 1, 3)), "; ")).otherwise("no error given")
 
 
-def should_escalate(retries: Column, limit: Column, tier: Column) -> Column:
-    return (retries >= limit) | (tier == "restricted")
+def may_publish_alone(tier: Column) -> Column:
+    return tier == "green"
 
 
-def may_publish_alone(tier: Column, passed: Column) -> Column:
-    return (tier == "auto") & passed
+def needs_approval(tier: Column) -> Column:
+    return tier.isin("orange", "red")
 
 
 def name_keys(name: Column) -> Column:

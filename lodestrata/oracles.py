@@ -80,12 +80,10 @@ def _recall(k: int, name: str) -> str:
     {name}r AS (SELECT *, CASE WHEN n_expected > 0 THEN round(n_hits::DOUBLE / n_expected, 6) ELSE 0.0 END AS recall FROM {name})"""
 
 
-_INTENT = r"""CASE WHEN c IN ('recipe', 'craft') THEN 'recipe' WHEN c IN ('mod', 'moddoc') THEN 'mod' WHEN c <> '' THEN 'command'
-    WHEN regexp_matches(text, '\b[A-Z][a-zA-Z]+\.[A-Z][a-zA-Z]+\b') THEN 'item'
-    WHEN contains(t, 'recipe') OR contains(t, 'craft') OR contains(t, 'ingredient') THEN 'recipe'
-    WHEN contains(t, 'how does') OR contains(t, 'mechanic') OR contains(t, 'skill') THEN 'mechanic'
-    WHEN contains(t, 'script') OR contains(t, 'event') OR contains(t, 'mod ') THEN 'mod'
-    WHEN contains(t, 'item') OR contains(t, 'weapon') OR contains(t, 'damage') THEN 'item' ELSE 'general' END"""
+_INTENT = r"""CASE WHEN regexp_matches(t, '^/stats') THEN 'stats' WHEN regexp_matches(t, '^/(survie|help_me_survive)') THEN 'survival' WHEN regexp_matches(t, '^/recipe') THEN 'recipe'
+    WHEN regexp_matches(t, '^/(moddoc|luaapi|javaapi)') THEN 'moddoc' WHEN regexp_matches(t, '^/search') THEN 'search' WHEN regexp_matches(t, 'stats?\s*(?:de\s*)?([a-z]+\.[a-z]+)') THEN 'stats'
+    WHEN contains(t, 'recette') OR contains(t, 'craft') OR contains(t, 'artisanat') THEN 'recipe'
+    WHEN contains(t, 'moddoc') OR contains(t, 'lua api') OR contains(t, 'java api') OR contains(t, 'modding') OR contains(t, 'hook') THEN 'moddoc' ELSE 'search' END"""
 _SEGMENTS = "(VALUES ('AUTOMOBILE', 300), ('BUILDING', 300), ('FURNITURE', 300), ('HOUSEHOLD', 300), ('MACHINERY', 300), ('UNKNOWN', 10)) AS s(segment, expected)"
 
 ORACLES: dict[str, str] = {
@@ -119,10 +117,11 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT p_partkey, 'name has no two words' FROM part WHERE NOT regexp_matches(p_name, '^[a-z]+ [a-z]+$')""",
     "classify_entity": """SELECT CASE WHEN contains(lower(p_type), 'promo') OR contains(lower(p_type), 'large') THEN 'premium' WHEN contains(lower(p_type), 'economy') OR contains(lower(p_type), 'small') THEN 'basic'
         WHEN contains(lower(p_type), 'standard') THEN 'common' ELSE 'other' END AS kind, count(*) AS n, min(p_partkey) AS first_key FROM part GROUP BY 1""",
-    "intent_routing": rf"""WITH x AS (SELECT conv_id, turn, text, lower(trim(text)) AS t, regexp_extract(lower(trim(text)), '^/([a-z]+)', 1) AS c FROM conversations WHERE role = 'user')
-        SELECT conv_id, turn, {_INTENT} AS intent, nullif(regexp_extract(text, '\b([A-Z][a-zA-Z]+\.[A-Z][a-zA-Z]+)\b', 1), '') AS item_id FROM x""",
-    "tier_classify": """SELECT doc_id, CASE WHEN toxic = 1 THEN 'restricted' WHEN quality = 0 THEN 'review' ELSE 'auto' END AS tier,
-        NOT (toxic = 1 OR quality = 0) AND quality = 1 AS auto_publish FROM labels""",
+    "intent_routing": rf"""WITH x AS (SELECT conv_id, turn, text, lower(trim(text)) AS t FROM conversations WHERE role = 'user')
+        SELECT conv_id, turn, {_INTENT} AS intent, nullif(regexp_extract(text, '\b([A-Z][a-zA-Z]+\.[A-Z][a-zA-Z]+)\b', 1), '') AS item_id,
+            length(trim(regexp_replace(trim(text), '^/[A-Za-z_]+\s*', ''))) AS query_length FROM x""",
+    "tier_classify": """SELECT doc_id, CASE WHEN toxic = 1 THEN 'red' WHEN quality = 0 THEN 'orange' ELSE 'green' END AS tier,
+        NOT (toxic = 1 OR quality = 0) AS auto_publish, toxic = 1 AS escalate FROM labels""",
     "paragraph_split": f"""WITH p AS (SELECT doc_id, text, {_LINES} AS ps FROM documents),
         u AS (SELECT doc_id, text, unnest(range(len(ps)))::INTEGER AS idx, unnest(ps) AS piece FROM p)
         SELECT doc_id, idx, length(piece)::INTEGER AS length, (strpos(text, piece) - 1)::INTEGER AS start_offset FROM u""",
@@ -154,7 +153,7 @@ ORACLES: dict[str, str] = {
     "html_title": r"""WITH t AS (SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS t FROM pages)
         SELECT page_id, CASE WHEN t = '' THEN 'Untitled' ELSE t END AS title FROM t""",
     "html_links": f"WITH {_LINKS} SELECT page_id, pos, link FROM k",
-    "challenge_filter": """SELECT regexp_matches(lower(html), 'just a moment|checking your browser|enable javascript and cookies|attention required|verify you are human|access denied') AS challenge,
+    "challenge_filter": """SELECT regexp_matches(lower(html), 'just a moment|/cdn-cgi/challenge-platform') AS challenge,
         regexp_matches(url, '^https?://[a-zA-Z0-9]') AS is_url, count(*) AS n FROM pages GROUP BY ALL""",
     "domain_counts": f"SELECT {_HOST} AS host, count(*) AS n FROM pages GROUP BY 1",
     "link_graph": f"WITH {_EDGES} SELECT regexp_extract(src, '^[^/]*') AS site, regexp_extract(dst, '/.*$') AS path, count(*) AS n FROM e GROUP BY ALL",

@@ -88,7 +88,8 @@ class Engine:
         asked = self.corpus.spark.createDataFrame([(message,)], "text string").select(intent(F.col("text")).alias("intent"), item_id(F.col("text")).alias("item")).first()
         if asked.item and self.get(asked.item).limit(1).count():
             return self.lookup(asked.item, message)
-        return self.search(message, k, collections=INTENT_COLLECTIONS.get(asked.intent))
+        wanted = INTENT_COLLECTIONS.get(asked.intent) if asked.intent != "search" else None
+        return self.search(message, k, collections=wanted)
 
     def prompt(self, message: str, k: int = 5, limit: int = 2000) -> str:
         """Instructions, the k best passages with their places, and the question; the model's call is the caller's."""

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import config
 from .functions import maps
 from .functions import text as T
 from .operators import chunking as C
@@ -171,15 +172,15 @@ def classify_entity(spark: SparkSession, d: str) -> DataFrame:
 @query
 def intent_routing(spark: SparkSession, d: str) -> DataFrame:
     said = table(spark, d, "conversations").filter("role = 'user'")
-    return said.select("conv_id", "turn", quality.intent(F.col("text")).alias("intent"), quality.item_id(F.col("text")).alias("item_id"))
+    return said.select("conv_id", "turn", quality.intent(F.col("text")).alias("intent"), quality.item_id(F.col("text")).alias("item_id"), F.length(quality.query_text(F.col("text"))).cast("long").alias("query_length"))
 
 
 @query
 def tier_classify(spark: SparkSession, d: str) -> DataFrame:
-    risk = F.when(F.col("toxic") == 1, 0.8).when(F.col("quality") == 0, 0.4).otherwise(0.1)
-    touched = F.array(F.concat(F.lit("q"), F.col("quality").cast("string")))
-    tier = quality.tier(risk, touched, ["q9"])
-    return table(spark, d, "labels").select("doc_id", tier.alias("tier"), quality.may_publish_alone(tier, F.col("quality") == 1).alias("auto_publish"))
+    """A toxic document stands for a run that touches core files, one of low quality for a run with two warnings."""
+    errors = F.when(F.col("toxic") == 1, F.array(F.lit(config.CORE_FILES))).otherwise(F.array().cast("array<string>"))
+    tier = quality.tier(errors, F.lit(0), F.when(F.col("quality") == 0, 2).otherwise(0), F.lit(False))
+    return table(spark, d, "labels").select("doc_id", tier.alias("tier"), quality.may_publish_alone(tier).alias("auto_publish"), quality.should_escalate(F.lit(1), errors).alias("escalate"))
 
 
 # --- chunking ---

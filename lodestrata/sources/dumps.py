@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import COLLECTIONS, DEFAULT_COLLECTION
-from ..operators.quality import ITEM_CLASSES, completeness, first_match
+from ..operators.quality import ITEM_CLASSES, SCHEMA_OF_CLASS, completeness, first_match
 
 #: Names under which a field may be stored.
 ALIASES = {
@@ -69,17 +69,20 @@ def normalise(dump: DataFrame) -> DataFrame:
     out = dump.withColumn("collection", collection(F.col("category")))
     line = lambda f: F.when(field(f).isNotNull(), F.concat(F.lit(f"{f}: "), field(f)))
     card = None
+    category = F.lower(F.col("category"))
+    shape = F.when(category == "recipes", "recipes").when(category == "mobs", "mobs").when(F.col("collection") == "items", "items").otherwise("open")
     for name, fields in CARDS.items():
         text = F.concat_ws("\n", F.coalesce(field("name"), F.col("key")), *[line(f) for f in fields[1:]])
-        card = F.when(F.col("collection") == name, text) if card is None else card.when(F.col("collection") == name, text)
+        card = F.when(shape == name, text) if card is None else card.when(shape == name, text)
     pairs = F.map_entries(F.from_json("record", "map<string,string>"))
     generic = F.concat_ws("\n", F.coalesce(field("name"), F.col("key")), F.array_join(F.transform(pairs, lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n"))
     kind = first_match(F.lower(F.coalesce(field("type"), F.lit(""))), ITEM_CLASSES, "generic")
-    kind = F.when(F.col("collection") == "recipes", "recipe").when(F.col("collection") == "mobs", "mob").otherwise(kind)
+    kind = F.when(shape == "recipes", "recipe").when(shape == "mobs", "mob").otherwise(kind)
+    measured = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in SCHEMA_OF_CLASS.items() for x in p]), kind), kind)
     keys = F.json_object_keys("record")
     return out.select(
         "collection", F.concat_ws(".", "category", "key").alias("chunk_id"), "key", F.coalesce(field("name"), F.col("key")).alias("name"), card.otherwise(generic).alias("text"),
-        F.col("record").alias("metadata"), kind.alias("class"), F.size(keys).alias("fields_count"), F.round(completeness(kind, keys), 6).alias("completeness"),
+        F.col("record").alias("metadata"), kind.alias("class"), F.size(keys).alias("fields_count"), F.round(completeness(measured, keys), 6).alias("completeness"),
         keys_of("ingredients").alias("ingredient_refs"), field("result").alias("result_ref"), F.sha2("record", 256).alias("content_hash"),
     )
 

@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StringType
 
+from ..config import SKIPPED_EXTENSIONS
 from ..operators import chunking
 from . import extract
 from .files import extension, folder_id, key_values, texts
 
 # Collections by extension, manifest fields and folders a package must have, patterns of log errors.
-MEMBER_COLLECTIONS = {"lua": "scripts", "txt": "scripts", "xml": "configs", "json": "configs", "ini": "configs", "md": "guides"}
+MEMBER_COLLECTIONS = {"lua": "scripts", "bin": "configs", "cfg": "configs", "zip": "configs", "xml": "configs", "ini": "configs", "md": "guides"}
 REQUIRED_FIELDS = ["id", "name", "description"]
 EXPECTED_FOLDERS = ["media", "media/lua"]
 LOG_ERRORS = {"stack trace": r"(?i)stack trace", "exception": r"(?i)\bexception\b", "missing file": r"(?i)no such file|file not found", "script error": r"(?i)\berror\b.*\.lua"}
@@ -61,7 +62,7 @@ def native(files: DataFrame) -> DataFrame:
     return texts(files).select("path", where.alias("collection"), F.left("text", F.lit(NATIVE_CHARS)).alias("text"))
 
 
-def scripts_first(files: DataFrame, skip: list[str]) -> DataFrame:
+def scripts_first(files: DataFrame, skip: list[str] = SKIPPED_EXTENSIONS) -> DataFrame:
     """Files without skipped extensions, scripts before configs."""
     ext = extension(F.col("path"))
     return files.filter(~ext.isin(*skip)).withColumn("phase", F.when(ext == "lua", 1).otherwise(2)).orderBy("phase", "path")

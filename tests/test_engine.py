@@ -215,5 +215,23 @@ def test_links_and_requests(spark):
     assert graph.typed_edges(recipes, "recipes", "name", "refs", "items", "uses").count() == 2
     visited = spark.createDataFrame([("a", 0), ("b", 1), ("c", 1)], "node string, depth int")
     assert graph.crawl_stats(visited).first().by_depth == {0: 1, 1: 2}
-    asks = spark.createDataFrame([('make a "Big Axe" weapon',), ("a car called Turbo",), ("hello",)], "t string")
-    assert [tuple(r) for r in asks.select(quality.mod_type(F.col("t")), quality.mod_name(F.col("t"))).collect()] == [("item", "Big Axe"), ("vehicle", "Turbo"), ("generic", None)]
+    asks = spark.createDataFrame([("mod BigAxe with a weapon",), ("a fast car",), ("hello",)], "t string")
+    assert [tuple(r) for r in asks.select(quality.mod_type(F.col("t")), quality.mod_name(F.col("t"))).collect()] == [("item", "BigAxe"), ("vehicle", "a fast car"), ("feature", "hello")]
+    said = spark.createDataFrame([("/stats Base.Axe",), ("/survie now",), ("stats de Base.Axe",), ("how to craft",), ("/luaapi x",), ("what is this",)], "t string")
+    assert [r[0] for r in said.select(quality.intent(F.col("t"))).collect()] == ["stats", "survival", "stats", "recipe", "moddoc", "search"]
+    assert said.select(quality.query_text(F.col("t"))).first()[0] == "Base.Axe"
+
+
+def test_governance(spark):
+    runs = spark.createDataFrame([(["x"], 0, 0, False), (["dependency_on_proprietary_mod"], 0, 0, False), ([], 3, 0, False), ([], 0, 2, False), ([], 0, 1, True), ([], 5, 0, False)], "e array<string>, f int, w int, c boolean")
+    got = runs.select(quality.tier(F.col("e"), F.col("f"), F.col("w"), F.col("c")).alias("t"), quality.should_escalate(F.col("f"), F.col("e")).alias("s"), quality.escalation_reason(F.col("e")).alias("r")).collect()
+    assert [r.t for r in got] == ["green", "red", "red", "orange", "orange", "red"] and [r.s for r in got] == [False, True, False, False, False, True]
+    assert got[1].r == "critical: dependency_on_proprietary_mod" and got[0].r == "x"
+
+
+def test_table_and_metadata_rules(spark):
+    users = spark.createDataFrame([("a", "admin"), ("", "boss")], "username string, role string")
+    assert [len(r.messages) for r in quality.split_valid(users, quality.table_rules("users"))[1].collect()] == [2]
+    metas = spark.createDataFrame([('{"item_type": "food", "game_version": "b41", "base_id": "Base.X"}',), ('{"item_type": "song", "base_id": "y"}',)], "metadata string")
+    good, bad = quality.split_valid(metas, quality.metadata_rules())
+    assert good.count() == 1 and bad.first().messages == ["game_version is missing", "item_type is unknown"]

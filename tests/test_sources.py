@@ -42,13 +42,13 @@ def test_lua_docs_and_sources():
     doc = parsers.parse_lua_doc("## getPlayer\nGives a player.\n### index : number — which one\n## stop\nEnds.")
     assert [r["name"] for r in doc] == ["getPlayer", "stop"]
     assert doc[0]["metadata"]["parameters"] == [{"name": "index", "type": "number", "text": "which one"}]
-    src = parsers.parse_lua('-- function no()\nlocal function helper(a, b)\nend\nMyUI = ISPanel:derive("MyUI")\nfunction MyUI:new(x)\nend\nMAX_SIZE = 10\n--[[ function never() ]]\nTable = {\n}')
+    src = parsers.parse_lua('-- function no()\nlocal function helper(a, b)\nend\nMyUI = Panel:derive("MyUI")\nfunction MyUI:new(x)\nend\nMAX_SIZE = 10\n--[[ function never() ]]\nTable = {\n}')
     assert {(r["kind"], r["name"]) for r in src} == {("function", "helper"), ("class", "MyUI"), ("function", "MyUI:new"), ("constant", "MAX_SIZE"), ("class", "Table")}
     assert next(r for r in src if r["name"] == "MyUI:new")["metadata"]["owner"] == "MyUI"
 
 
 JAVA = """
-package zombie.game;
+package demo.game;
 import java.util.List;
 import java.util.Map;
 /** A box of things. */
@@ -73,7 +73,7 @@ class Empty {}
 def test_java_classes():
     box, empty = parsers.parse_java(JAVA)
     m = box["metadata"]
-    assert (box["name"], m["package"], m["extends"], m["implements"]) == ("Box", "zombie.game", "Base", ["Lid", "Comparable<Box>"])
+    assert (box["name"], m["package"], m["extends"], m["implements"]) == ("Box", "demo.game", "Base", ["Lid", "Comparable<Box>"])
     assert m["javadoc"] == "A box of things." and m["imports"] == ["java.util.List", "java.util.Map"]
     assert [(f["name"], f["type"], f["static"], f["default"]) for f in m["fields"]] == [("SIZE", "int", True, "3"), ("parts", "Map<String, List<Integer>>", False, "")]
     assert [x["name"] for x in m["methods"]] == ["open", "count", "size"]
@@ -131,7 +131,7 @@ def test_entity_dump(spark, tmp_path):
     (one / "dump.json").write_text(json.dumps({"items": {"axe": {"Name": "Axe", "Type": "Weapon", "weight": 0, "damage": 3}, "_meta": {}, "odd": 5}, "recipes": [{"name": "Plank", "Result": "plank", "ingredients": {"log": 1, "saw": 1}}], "unknown": {"x": {"name": "X"}}, "broken": 7}))
     got = {r.chunk_id: r for r in dumps.normalise(dumps.read(spark, str(one))).collect()}
     assert set(got) == {"items.axe", "recipes.0", "unknown.x"}
-    assert got["items.axe"].text == "Axe\ntype: Weapon\nweight: 0" and got["items.axe"]["class"] == "weapon"
+    assert got["items.axe"].text == "Axe\ntype: Weapon\nweight: 0" and got["items.axe"]["class"] == "weapon_firearm" and got["items.axe"].completeness == round(3 / 9, 6)
     assert got["recipes.0"].ingredient_refs == ["log", "saw"] and got["recipes.0"].result_ref == "plank"
     assert got["unknown.x"].collection == "web_pages"
     assert got["recipes.0"].completeness == 0.5
