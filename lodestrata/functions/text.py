@@ -83,17 +83,17 @@ ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'"
 
 
 def html_text(h: Column) -> Column:
-    """Visible text: scripts, styles and comments go, breaks and paragraphs become lines, blanks are squeezed."""
-    t = F.regexp_replace(h, r"(?is)<script[^>]*>.*?</script>", "")
-    t = F.regexp_replace(t, r"(?is)<style[^>]*>.*?</style>", "")
-    t = F.regexp_replace(t, r"(?s)<!--.*?-->", "")
+    """Visible text: scripts, styles and comments go, breaks and paragraphs become lines, other tags blanks."""
+    t = F.regexp_replace(h, r"(?is)<script[^>]*>.*?</script>", " ")
+    t = F.regexp_replace(t, r"(?is)<style[^>]*>.*?</style>", " ")
+    t = F.regexp_replace(t, r"(?s)<!--.*?-->", " ")
     t = F.regexp_replace(t, r"(?i)<br\s*/?>", "\n")
-    t = F.regexp_replace(t, r"(?i)</p>", "\n")
-    t = F.regexp_replace(t, r"<[^>]+>", "")
+    t = F.regexp_replace(t, r"(?i)</?p(?:\s[^>]*)?>", "\n")
+    t = F.regexp_replace(t, r"<[^>]+>", " ")
     for entity, char in ENTITIES.items():
         t = F.replace(t, F.lit(entity), F.lit(char))
     t = F.regexp_replace(t, r"[ \t]+", " ")
-    return F.trim(F.regexp_replace(t, r"\n[ \n]*\n", "\n\n"))
+    return F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"^[ \n]+|[ \n]+$", "")
 
 
 def html_title(h: Column, default: str = "Untitled") -> Column:
@@ -102,10 +102,14 @@ def html_title(h: Column, default: str = "Untitled") -> Column:
 
 
 def html_hrefs(h: Column) -> Column:
-    """Link targets in order, without fragment and query, each once; script and mail links are left out."""
-    raw = F.regexp_extract_all(h, F.lit(r'(?i)<a\s[^>]*?href="([^"]*)"'), 1)
-    bare = F.transform(raw, lambda x: F.regexp_replace(x, r"[?#].*$", ""))
-    return F.array_distinct(F.filter(bare, lambda x: (x != "") & ~x.rlike(r"(?i)^(javascript|mailto):")))
+    """Link targets as written, in order."""
+    return F.regexp_extract_all(h, F.lit(r"(?i)<a\s[^>]*?href=[\"']([^\"']+)[\"']"), 1)
+
+
+def html_links(url: Column, h: Column) -> Column:
+    """Absolute http links of a page in order, without query and fragment, each once."""
+    full = F.transform(html_hrefs(h), lambda x: absolute(url, F.regexp_replace(x, r"[?#].*$", "")))
+    return F.array_distinct(F.filter(full, lambda x: x.rlike(r"^https?://[^/]")))
 
 
 def host(url: Column) -> Column:
@@ -116,16 +120,28 @@ def path(url: Column) -> Column:
     return F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
 
 
+def tidy_path(p: Column) -> Column:
+    """A path without ``.`` and ``..`` segments."""
+    empty = F.array().cast("array<string>")
+    parts = F.aggregate(
+        F.split(p, "/"), empty,
+        lambda acc, s: F.when(s == "..", F.when(F.size(acc) > 1, F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(acc)).when(s == ".", acc).otherwise(F.concat(acc, F.array(s))),
+    )
+    return F.when(p.contains("/."), F.array_join(parts, "/")).otherwise(p)
+
+
 def absolute(url: Column, href: Column) -> Column:
-    """The target of a link on a page: absolute, protocol-relative, site-relative or relative to the page's folder."""
+    """The target of a link on a page: absolute, protocol-relative, site-relative or relative to the page's folder. Links of
+    another scheme stay as they are; an empty one is the page."""
     scheme = F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*):", 1)
     site = F.concat(scheme, F.lit("://"), host(url))
     folder = F.regexp_replace(path(url), r"[^/]*$", "")
     return (
-        F.when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://"), href)
+        F.when(href == "", F.concat(site, path(url)))
+        .when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), href)
         .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(site, href))
-        .otherwise(F.concat(site, F.when(folder == "", F.lit("/")).otherwise(folder), href))
+        .when(href.startswith("/"), F.concat(site, tidy_path(href)))
+        .otherwise(F.concat(site, tidy_path(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), href))))
     )
 
 

@@ -28,27 +28,27 @@ _NL2 = "chr(10) || chr(10)"
 
 _HTML = "html"
 for _p, _r in (
-    (r"(?is)<script[^>]*>.*?</script>", "''"), (r"(?is)<style[^>]*>.*?</style>", "''"), (r"(?s)<!--.*?-->", "''"), (r"(?i)<br\s*/?>", "chr(10)"), (r"(?i)</p>", "chr(10)"), (r"<[^>]+>", "''"),
+    (r"(?is)<script[^>]*>.*?</script>", "' '"), (r"(?is)<style[^>]*>.*?</style>", "' '"), (r"(?s)<!--.*?-->", "' '"), (r"(?i)<br\s*/?>", "chr(10)"), (r"(?i)</?p(?:\s[^>]*)?>", "chr(10)"), (r"<[^>]+>", "' '"),
 ):
     _HTML = f"regexp_replace({_HTML}, '{_p}', {_r}, 'g')"
 for _e, _c in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "''''"), ("&apos;", "''''"), ("&amp;", "'&'")):
     _HTML = f"replace({_HTML}, '{_e}', {_c})"
-_HTML = rf"trim(regexp_replace(regexp_replace({_HTML}, '[ \t]+', ' ', 'g'), '\n[ \n]*\n', chr(10) || chr(10), 'g'))"
+_HTML = rf"regexp_replace(regexp_replace(regexp_replace({_HTML}, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
 
 _HOST = r"lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1))"
 _PATH = r"regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
-_HREFS = r"""list_filter(list_transform(regexp_extract_all(html, '(?i)<a\s[^>]*?href="([^"]*)"', 1), lambda x: regexp_replace(x, '[?#].*$', '')), lambda x: x <> '' AND NOT regexp_matches(x, '(?i)^(javascript|mailto):'))"""
-_LINKS = f"""
-    l AS (SELECT page_id, url, {_HREFS} AS hs FROM pages),
-    u AS (SELECT page_id, url, unnest(range(len(hs))) AS raw, unnest(hs) AS link FROM l),
-    f AS (SELECT page_id, url, link, min(raw) AS raw FROM u GROUP BY ALL),
+_LINKS = rf"""
+    l AS (SELECT page_id, url, list_transform(regexp_extract_all(html, '(?i)<a\s[^>]*?href=["\x27]([^"\x27]+)["\x27]', 1), lambda x: regexp_replace(x, '[?#].*$', '')) AS hs FROM pages),
+    u AS (SELECT page_id, url, unnest(range(len(hs))) AS raw, unnest(hs) AS href FROM l),
+    a AS (SELECT page_id, url, raw, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*):', 1) || '://' || {_HOST} AS site, href FROM u),
+    b AS (SELECT page_id, url, raw, CASE WHEN href = '' THEN site || {_PATH} WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href
+            WHEN starts_with(href, '//') THEN regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*):', 1) || ':' || href WHEN starts_with(href, '/') THEN site || href
+            ELSE site || CASE WHEN regexp_replace({_PATH}, '[^/]*$', '') = '' THEN '/' ELSE regexp_replace({_PATH}, '[^/]*$', '') END || href END AS link FROM a),
+    f AS (SELECT page_id, url, link, min(raw) AS raw FROM b WHERE regexp_matches(link, '^https?://[^/]') GROUP BY ALL),
     k AS (SELECT page_id, url, link, (row_number() OVER (PARTITION BY page_id ORDER BY raw) - 1)::INTEGER AS pos FROM f)"""
 _EDGES = rf"""{_LINKS},
-    a AS (SELECT {_HOST} || {_PATH} AS src, pos, CASE WHEN regexp_matches(link, '^[a-zA-Z][a-zA-Z0-9+.-]*://') THEN link
-            WHEN starts_with(link, '//') THEN regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*):', 1) || ':' || link
-            WHEN starts_with(link, '/') THEN 'http://' || {_HOST} || link
-            ELSE 'http://' || {_HOST} || CASE WHEN regexp_replace({_PATH}, '[^/]*$', '') = '' THEN '/' ELSE regexp_replace({_PATH}, '[^/]*$', '') END || link END AS url FROM k),
-    e AS (SELECT src, pos, {_HOST} || {_PATH} AS dst FROM a)"""
+    s0 AS (SELECT {_HOST} || {_PATH} AS src, pos, link AS url FROM k),
+    e AS (SELECT src, pos, {_HOST} || {_PATH} AS dst FROM s0)"""
 
 _COVERED = "c AS (SELECT d.doc_id, d.lang, d.source, l.quality FROM documents d LEFT JOIN labels l USING (doc_id))"
 _COVERAGE = f"""WITH {_COVERED},

@@ -312,7 +312,7 @@ def html_title(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def html_links(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", F.posexplode(T.html_hrefs(F.col("html"))).alias("pos", "link"))
+    return table(spark, d, "pages").select("page_id", F.posexplode(T.html_links(F.col("url"), F.col("html"))).alias("pos", "link"))
 
 
 @query
@@ -331,9 +331,8 @@ def domain_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
     """Links between site paths: src and dst are host and path."""
-    pages = table(spark, d, "pages").select(F.col("url"), F.concat(T.host(F.col("url")), T.path(F.col("url"))).alias("src"), F.posexplode(T.html_hrefs(F.col("html"))).alias("pos", "href"))
-    target = T.absolute(F.col("url"), F.col("href"))
-    return pages.select("src", "pos", F.concat(T.host(target), T.path(target)).alias("dst"))
+    pages = table(spark, d, "pages").select(F.concat(T.host(F.col("url")), T.path(F.col("url"))).alias("src"), F.posexplode(T.html_links(F.col("url"), F.col("html"))).alias("pos", "link"))
+    return pages.select("src", "pos", F.concat(T.host(F.col("link")), T.path(F.col("link"))).alias("dst"))
 
 
 @query

@@ -44,6 +44,9 @@ def test_functions(spark):
     assert get(T.bump(F.lit("1.2.3"), "minor")) == "1.3.0"
     assert [get(T.duration(F.lit(x))) for x in (450, 12_300, 245_000, 7_380_000)] == ["450ms", "12.3s", "4m 05s", "2h 03m"]
     assert get(T.absolute(F.lit("http://h.org/a/b?x"), F.lit("c"))) == "http://h.org/a/c"
+    assert get(T.absolute(F.lit("http://h.org/a/b/c"), F.lit("../../x/./y"))) == "http://h.org/x/y" and get(T.absolute(F.lit("http://h.org"), F.lit("/.."))) == "http://h.org"
+    page = F.lit("<p>A<b>b</b></p><script>no</script><a href='x?q'>1</a><a href=\"mailto:a@b\">2</a><a href='/x'>3</a>")
+    assert get(T.html_links(F.lit("http://h.org/"), page)) == ["http://h.org/x"] and get(T.html_text(page)) == "A b \n 1 2 3"
     assert get(V.cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0)))) == 0 and get(V.cosine(F.array(F.lit(1.0)), F.array(F.lit(1.0), F.lit(1.0)))) is None
     assert get(V.literal(F.array(F.lit(0.5), F.lit(1e-9)))) == "[0.50000000,1.0000000e-09]"
     assert get(T.bar(F.lit(0.5), 4)) == "##.."
