@@ -30,7 +30,7 @@ from .common import decoded, map_rows, text_bytes
 
 UND = "und"
 DIMENSIONS = 8192
-PER_LANGUAGE = 400
+PER_LANGUAGE = 300
 MAX_LANGUAGES = 100
 #: Families of common languages.
 FAMILIES = {
@@ -98,14 +98,13 @@ def train(x: np.ndarray, positive: np.ndarray, cost: float = 20.0, steps: int =
     """Squared hinge loss with an L2 penalty, classes weighted alike, by accelerated full gradients."""
     y = np.where(positive, 1.0, -1.0).astype(np.float32)
     share = np.where(positive, 0.5 / max(1, positive.sum()), 0.5 / max(1, (~positive).sum())).astype(np.float32)
-    xb = np.hstack([x, np.ones((len(x), 1), dtype=np.float32)])
-    w = np.zeros(xb.shape[1], dtype=np.float32)
+    w = np.zeros(x.shape[1] + 1, dtype=np.float32)  # the bias is last
     ahead, momentum = w, 1.0
     # rows have length sqrt(2) at most, so this bounds the curvature
     step = 1.0 / (1.0 / cost + 2 * 2.0)
     for _ in range(steps):
-        slack = np.maximum(0, 1 - y * (xb @ ahead))
-        grad = ahead / cost - 2 * (xb.T @ (share * y * slack))
+        pull = share * y * np.maximum(0, 1 - y * (x @ ahead[:-1] + ahead[-1]))
+        grad = ahead / cost - 2 * np.append(x.T @ pull, pull.sum())
         nxt = ahead - step * grad
         m = (1 + (1 + 4 * momentum**2) ** 0.5) / 2
         ahead = nxt + (momentum - 1) / m * (nxt - w)
@@ -188,14 +187,16 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
         share = F.when(F.col("lang") == r.lang, F.lit(min(1.0, per_language / r["count"]))).otherwise(share)
     drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30)) < share
     sample = map_rows(docs.filter(F.col("lang").isNotNull() & drawn), [F.col("lang").cast("string"), text_bytes()], _featurize, "lang string, x binary")
-    rows = sample.limit(int(1.5 * per_language) * len(counts)).toArrow()
-    langs = np.array(rows.column("lang").to_pylist(), dtype=object)
-    if not len(langs):
+    arrived = sample.limit(int(1.5 * per_language) * len(counts)).toArrow()
+    rows = sorted(zip(arrived.column("lang").to_pylist(), arrived.column("x").to_pylist(), strict=True))  # the same, however dealt
+    del arrived
+    if not rows:
         return Model()
-    blobs = rows.column("x").to_pylist()
-    x = np.frombuffer(b"".join(blobs), dtype="<f2").reshape(-1, DIMENSIONS).astype(np.float32)
-    order = np.array(sorted(range(len(langs)), key=lambda i: (langs[i], blobs[i])))
-    langs, x = langs[order], x[order]
+    langs = np.array([lang for lang, _ in rows], dtype=object)
+    x = np.empty((len(rows), DIMENSIONS), dtype=np.float32)
+    for i in range(len(rows)):
+        x[i] = np.frombuffer(rows[i][1], dtype="<f2")
+    del rows
     model = Model()
     for lang in sorted(set(langs)):
         model.families.setdefault(family_of(lang), []).append(lang)
