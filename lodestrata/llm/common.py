@@ -5,46 +5,39 @@ from __future__ import annotations
 import functools
 import os
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from ..session import shared_dir, stored
+
+__all__ = ["decoded", "keyed_join", "map_rows", "shared_dir", "stored", "text_bytes", "to_batch", "tokenizer_file", "words"]
+
 #: The most rows that ``keyed_join`` broadcasts.
 HEAVY_KEYS = 1000
 #: Rows that a mapped partition reads from an Arrow batch at once; rows and characters that it gathers before it hands on.
 READ_ROWS = 256
 BATCH_ROWS = 2000
 BATCH_CHARS = 8_000_000
+#: Spark's bound of an Arrow batch to Python, and the one that ``map_rows`` sets where the session has Spark's.
+ARROW_DEFAULT, ARROW_BYTES = "67108864b", "16777216b"
+#: How each module drops what it keeps between the tasks of a worker, and the module that ran last.
+DROPS: dict[str, Callable[[], object]] = {}
+_LAST = [""]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all executors share; it goes when the JVM ends.
-
-    Only where that setting is missing (a local test session) does a temporary folder stand in.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.gettempdir()}/lodestrata-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/lodestrata-{uuid.uuid4().hex}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(hadoop)
-    fs.deleteOnExit(hadoop)
-    return path
-
-
-def stored(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: this cuts its lineage and survives lost executors."""
-    path = path or f"{shared_dir(df.sparkSession)}/t"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def claim(module: str) -> None:
+    """Called as a module's function begins in a worker: what other modules keep there goes, so that a worker holds the
+    caches of one operator at a time."""
+    if _LAST[0] != module:
+        _LAST[0] = module
+        for other, drop in DROPS.items():
+            if other != module:
+                drop()
 
 
 def map_rows(df: DataFrame, columns: list[Column], fn: Callable[[Iterator[tuple]], Iterable[tuple]], schema: str) -> DataFrame:
@@ -52,10 +45,15 @@ def map_rows(df: DataFrame, columns: list[Column], fn: Callable[[Iterator[tuple]
     struct = _parse_datatype_string(schema)
     assert isinstance(struct, StructType)
     narrow = df.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)])
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(bound, ARROW_DEFAULT) == ARROW_DEFAULT:
+        df.sparkSession.conf.set(bound, ARROW_BYTES)
     return narrow.mapInArrow(functools.partial(_run_rows, fn, to_arrow_schema(struct)), struct)
 
 
 def _run_rows(fn: Callable, schema: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim(getattr(fn, "func", fn).__module__)
+
     def rows() -> Iterator[tuple]:
         for batch in batches:
             for at in range(0, batch.num_rows, READ_ROWS):

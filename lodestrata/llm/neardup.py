@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_join, map_rows, shared_dir, stored, text_bytes, to_batch, words
+from .common import DROPS, keyed_join, map_rows, shared_dir, stored, text_bytes, to_batch, words
 
 SHINGLE = 5
 HASHES = 128
@@ -62,6 +62,7 @@ class _WordHash(dict):
 
 
 _WORDS = _WordHash()
+DROPS[__name__] = _WORDS.clear
 _STEPS = mixed(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -134,6 +135,15 @@ def surviving(a: np.ndarray, b: np.ndarray, allowed: np.ndarray, least: tuple[in
     return i, j
 
 
+def shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Common values of two sorted sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a):
+        return 0
+    return int(np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a))
+
+
 def alike(n_a: int, n_b: int, common: int, percent: int) -> bool:
     return 100 * common >= percent * (n_a + n_b - common)
 
@@ -167,16 +177,13 @@ def _candidate_sets(rows: Iterator[tuple]) -> Iterator[tuple]:
 
 def _check_pairs(percent: int, miss: float, rows: Iterator[tuple]) -> Iterator[tuple]:
     least = least_matches(percent, miss)
-    last: tuple = (None, None)
     for a, sig_a, set_a, b, sig_b, set_b in rows:
         x, y = np.frombuffer(sig_a, "<u2"), np.frombuffer(sig_b, "<u2")
         same = np.add.reduceat(x == y, np.arange(0, HASHES, BATCH)).cumsum()
         if (same < least).any():
             continue
-        if last[0] != b:
-            last = (b, set(np.frombuffer(set_b, "<u8").tolist()))
-        n_a = len(set_a) // 8
-        if alike(n_a, len(last[1]), len(last[1].intersection(np.frombuffer(set_a, "<u8").tolist())), percent):
+        s, t = np.frombuffer(set_a, "<u8"), np.frombuffer(set_b, "<u8")
+        if alike(len(s), len(t), shared(s, t), percent):
             yield a, b
 
 
@@ -240,20 +247,13 @@ def _tile(percent: int, miss: float, table: pa.Table) -> pa.Table:
             cut = slice(0, band * ROWS)
             fresh = ~(sigs[i, cut] == sigs[j, cut]).reshape(len(i), band, ROWS).all(axis=2).any(axis=1)
             i, j = i[fresh], j[fresh]
-        blobs = table.column("shingles")
-        sets: dict[int, set[int]] = {}
+        sets = [np.frombuffer(x, "<u8") for x in table.column("shingles").to_pylist()]
         forest = Forest()
-
-        def members(k: int) -> set[int]:
-            if k not in sets:
-                sets[k] = set(np.frombuffer(blobs[k].as_py(), "<u8").tolist())
-            return sets[k]
-
         for x, y in zip(i.tolist(), j.tolist(), strict=True):
             if forest.root(int(labels[x])) == forest.root(int(labels[y])):
                 continue
-            s, t = members(x), members(y)
-            if 100 * min(len(s), len(t)) >= percent * max(len(s), len(t)) and alike(len(s), len(t), len(s & t), percent):
+            s, t = sets[x], sets[y]
+            if 100 * min(len(s), len(t)) >= percent * max(len(s), len(t)) and alike(len(s), len(t), shared(s, t), percent):
                 forest.join(int(labels[x]), int(labels[y]))
                 found.append((int(nodes[x]), int(nodes[y])))
     return pa.Table.from_batches([to_batch(found, LINKS)] if found else [], schema=LINKS)

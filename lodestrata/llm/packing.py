@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, text_bytes, tokenizer_file, words
+from .common import DROPS, map_rows, text_bytes, tokenizer_file, words
 
 CAPACITY = 2048
 END_ID = 1
@@ -98,6 +98,9 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+DROPS[__name__] = word_ids.cache_clear
+
+
 def cut_points(length: int, capacity: int = CAPACITY, waste: float = 0.02, cuts: int = 3) -> list[int]:
     """Lengths to cut a document into, in order."""
     out = [capacity] * (length // capacity)

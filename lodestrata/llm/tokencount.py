@@ -17,7 +17,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import decoded, map_rows, text_bytes, tokenizer_file, words
+from .common import DROPS, decoded, map_rows, text_bytes, tokenizer_file, words
 
 MARK = "▁"
 #: Words whose counts a worker remembers before it starts anew.
@@ -112,6 +112,9 @@ def _memo(path: str | None) -> _Memo:
     return _Memo(GreedyCounter(vocabulary(path)))
 
 
+DROPS[__name__] = _memo.cache_clear
+
+
 def _count(path: str | None, rows: Iterator[tuple]) -> Iterator[tuple]:
     memo = _memo(path)
     for doc_id, text in rows:
