@@ -469,8 +469,9 @@ def expected_passages(items: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def overlap_ranked(items: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """The k documents that share most words of at least eight letters with each item, through an inverted index."""
-    words = lambda df, i: df.select(i, F.explode(F.array_distinct(F.filter(T.word_list(F.lower("text")), lambda w: F.length(w) >= 8))).alias("w"))
+    """The k documents that share most distinct words with each item, through an inverted index of the items' words:
+    a document's other words meet nothing and go in the join; counts are cut to k in each task before they move."""
+    words = lambda df, i: df.select(i, F.explode(F.array_distinct(T.word_list(F.lower("text")))).alias("w"))
     score = words(docs, "doc_id").join(words(items, "item_id"), "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("overlap"))
     return W.latest(score, ["item_id"], [F.col("overlap").desc(), F.col("doc_id")], k, "rank")
 

@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestrata import cli, config
+from lodestrata import cli, config, queries
 from lodestrata.functions import text as T
 from lodestrata.functions import vector as V
 from lodestrata.operators import chunking, filters, graph, monitoring, quality, store, windows
@@ -238,3 +238,10 @@ def test_table_and_metadata_rules(spark):
     metas = spark.createDataFrame([('{"item_type": "food", "game_version": "b41", "base_id": "Base.X"}',), ('{"item_type": "song", "base_id": "y"}',)], "metadata string")
     good, bad = quality.split_valid(metas, quality.metadata_rules())
     assert good.count() == 1 and bad.first().messages == ["game_version is missing", "item_type is unknown"]
+
+
+def test_overlap_counts_every_word(spark):
+    items = spark.createDataFrame([(1, "the cat sat on a mat"), (2, "日本 東京 大阪"), (3, "considerable of it")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "The mat on a cat"), (2, "considerable"), (3, "東京 日本 of"), (4, "of of it"), (5, "")], "doc_id long, text string")
+    got = sorted((r.item_id, r["rank"], r.doc_id, r.overlap) for r in queries.overlap_ranked(items, docs, 2).collect())
+    assert got == [(1, 1, 1, 5), (2, 1, 3, 2), (3, 1, 4, 2), (3, 2, 2, 1)]
