@@ -4,20 +4,21 @@ References come from all documents: for each value of ``lang``, the counts of ei
 met most often. A document is compared with every reference by Jensen-Shannon distance (base 2, so from 0 to 1): once
 over character classes, once over the common words with all other words as one more bin. It is kept if, for some
 language, both distances are within their limits. Guards: a histogram from less than ``min_chars`` characters or
-``min_words`` words isn't judged, and a language with less than a thousandth of all words has no reference. Without any
-reference, only the base rules decide.
+``min_words`` words isn't judged, and a language whose whole text is shorter than that has no reference, whatever else
+is in the table. Documents of a language without reference aren't judged by distance: only the base rules decide.
 
-Two passes over the texts. Words are counted within each task first; what is shuffled are sums. The references have at
-most 1,000 languages, so they are small enough to send to all tasks.
+Two passes over the texts. Words are counted within each task first; what is shuffled are sums. The references hold
+``COMMON`` words for each language and go to all tasks.
 
-Null texts have no words and fail the base rules. Null ``lang`` gives no reference but is judged like others. Repeated
-rows count each time. Other columns are ignored.
+Null texts have no words and fail the base rules. Null ``lang`` gives no reference but is judged like others, by the
+nearest of all references. Repeated rows count each time. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import functools
 import math
+import sys
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -33,9 +34,11 @@ CLASSES = ("lower", "upper", "letter", "number", "space", "punctuation", "symbol
 #: The characters that the base rules count as symbols.
 SYMBOLS = b"#*$%&|<>"
 COMMON = 48
-#: Words of more bytes aren't counted as common ones: function words are short.
-COMMON_BYTES = 12
+#: The longest word that can be a common one: any, as a script of three bytes a letter has long function words.
+COMMON_BYTES = sys.maxsize
 HELD_WORDS = 200_000
+#: The bytes of these words, of which few are long.
+HELD_BYTES = 8_000_000
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "base_failed boolean, kept boolean, char_distance double, word_distance double, nearest string"
@@ -115,10 +118,19 @@ class References:
     others: dict[str, int] = field(default_factory=dict)
 
 
+@dataclass(frozen=True)
+class Limits:
+    char_distance: float = 0.28
+    word_distance: float = 0.4
+    min_chars: int = 100
+    min_words: int = 100
+
+
 def _count(rows: Iterator[tuple]) -> Iterator[tuple]:
     classes: dict[str, np.ndarray] = {}
     common: dict[str, Counter] = {}
     totals: Counter = Counter()
+    held = 0  # bytes of the words in common
 
     def flush() -> Iterator[tuple]:
         for lang, counter in common.items():
@@ -133,9 +145,12 @@ def _count(rows: Iterator[tuple]) -> Iterator[tuple]:
         classes[lang] = classes[lang] + counts if lang in classes else counts
         found = [plain(w) for w in words(text)]
         totals[lang] += len(found)
-        common.setdefault(lang, Counter()).update([w for w in found if 0 < len(w) <= COMMON_BYTES])
-        if sum(map(len, common.values())) > HELD_WORDS:
+        own, new = common.setdefault(lang, Counter()), Counter([w for w in found if 0 < len(w) <= COMMON_BYTES])
+        held += sum(len(w) for w in new if w not in own)
+        own.update(new)
+        if held > HELD_BYTES or sum(map(len, common.values())) > HELD_WORDS:
             yield from flush()
+            held = 0
     yield from flush()
     for lang, counts in classes.items():
         for name, n in zip(CLASSES, counts.tolist(), strict=True):
@@ -143,8 +158,9 @@ def _count(rows: Iterator[tuple]) -> Iterator[tuple]:
         yield lang, "total", "", totals[lang]
 
 
-def references(docs: DataFrame, common: int = COMMON) -> References:
-    """Learn the references from all documents."""
+def references(docs: DataFrame, common: int = COMMON, limits: Limits | None = None) -> References:
+    """Learn the references from all documents, for each language whose text passes the guards."""
+    limits = limits or Limits()
     counted = map_rows(docs, [F.col("lang").cast("string"), text_bytes()], _count, "lang string, kind string, name string, n long")
     # a word's counts meet first under its own key, so no language's words meet in one task before they are few
     sums = counted.groupBy("lang", "kind", "name").agg(F.sum("n").alias("n"))
@@ -152,22 +168,17 @@ def references(docs: DataFrame, common: int = COMMON) -> References:
     top = sums.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= common).collect()
     totals = {r.lang: r.n for r in top if r.kind == "total"}
     refs = References()
-    for lang in sorted(x for x, n in totals.items() if n * 1000 >= sum(totals.values()) and n):
-        by = {r.name: r.n for r in top if r.lang == lang and r.kind == "class"}
-        refs.classes[lang] = np.array([by.get(c, 0) for c in CLASSES])
-        refs.common[lang] = {r.name.encode(): r.n for r in top if r.lang == lang and r.kind == "word"}
+    by: dict[str, dict[str, dict[str, int]]] = {"class": {}, "word": {}}
+    for r in top:
+        if r.kind != "total":
+            by[r.kind].setdefault(r.lang, {})[r.name] = r.n
+    for lang in sorted(x for x, n in totals.items() if n >= max(1, limits.min_words) and sum(by["class"][x].values()) >= limits.min_chars):
+        refs.classes[lang] = np.array([by["class"][lang].get(c, 0) for c in CLASSES])
+        refs.common[lang] = {w.encode(): n for w, n in by["word"].get(lang, {}).items()}
         refs.others[lang] = totals[lang] - sum(refs.common[lang].values())
     return refs
 
 
-@dataclass(frozen=True)
-class Limits:
-    char_distance: float = 0.28
-    word_distance: float = 0.4
-    min_chars: int = 100
-    min_words: int = 100
-
-
 def distances(text: bytes, found: list[bytes], refs: References, limits: Limits) -> Iterator[tuple[str, float | None, float | None]]:
     """Per language the distance of classes and of common words; None where a guard holds."""
     letters = class_counts(decoded(text))
@@ -183,18 +194,22 @@ def distances(text: bytes, found: list[bytes], refs: References, limits: Limits)
 
 
 def _judge(refs: References, limits: Limits, rows: Iterator[tuple]) -> Iterator[tuple]:
-    for doc_id, text in rows:
+    for doc_id, doc_lang, text in rows:
         text = text or b""
         found, chars, symbols, again, repeated = base_counts(text)
         failed = len(found) < 50 or 100 * repeated > 50 * len(found)
         excess = lambda x: max((x[1] or 0) / limits.char_distance, (x[2] or 0) / limits.word_distance)
-        near = min(distances(text, found, refs, limits), key=excess, default=None)
+        known = doc_lang is None or doc_lang in refs.classes
+        near = min(distances(text, found, refs, limits), key=excess, default=None) if known else None
         kept = not failed and (near is None or excess(near) <= 1)
         lang, by_class, by_word = near or (None, None, None)
         yield doc_id, len(found), chars, symbols, again, repeated, failed, kept, by_class, by_word, lang
 
 
 def judge(docs: DataFrame, refs: References | None = None, limits: Limits | None = None) -> DataFrame:
-    """One row per document: base counts, verdict, both distances to the nearest language and that language."""
-    refs = references(docs) if refs is None else refs
-    return map_rows(docs, [F.col("doc_id").cast("long"), text_bytes()], functools.partial(_judge, refs, limits or Limits()), SCHEMA)
+    """One row per document: base counts, verdict, both distances to the nearest language and that language; null
+    distances where the document's language has no reference."""
+    limits = limits or Limits()
+    refs = references(docs, limits=limits) if refs is None else refs
+    columns = [F.col("doc_id").cast("long"), F.col("lang").cast("string"), text_bytes()]
+    return map_rows(docs, columns, functools.partial(_judge, refs, limits), SCHEMA)

@@ -170,6 +170,19 @@ def test_quality_of_odd_rows(spark, odd):
     assert quality.judge(odd.limit(0)).count() == 0
 
 
+def test_quality_of_a_rare_language(spark):
+    rng = random.Random(1)
+    text = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(n))
+    rows = [(0, "big", text("abcdefgh", 400_000)), (1, "rare", text("กขคงจฉชซ", 150)), (2, "tiny", text("ΑΒΓΔΕΖΗΘ", 60)), (3, "tiny", text("ΑΒΓΔΕΖΗΘ", 20))]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    refs = quality.references(docs)
+    assert set(refs.classes) == {"big", "rare"}  # "tiny" has 80 words
+    assert any(len(w) > 12 for w in refs.common["rare"])
+    got = {r.doc_id: r for r in quality.judge(docs, refs).collect()}
+    assert got[1].kept and got[1].nearest == "rare"
+    assert got[2].kept and got[2].char_distance is None and got[3].base_failed and not got[3].kept
+
+
 # --- personal data ---
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
