@@ -5,8 +5,9 @@ in a driver, from labelled spans: texts with their spans, by default invented on
 (``name (at) host``, numbers without the country's plus, cards next to other digits, defanged addresses) among numbers
 that are none. It reads windows of ``WINDOW`` characters that overlap by ``OVERLAP``; every window that can hold a span
 is read, and one can't unless a digit, an @ or a bracketed *at* is near (each accepted form has one), so most text costs
-only a search for these. Windows are decoded by themselves. Their spans are then reconciled over the whole text: spans
-cut off by a window's edge go, equal ones add up, and of overlapping ones the set of greatest total confidence stays.
+only a search for these. Windows are decoded by themselves. A span cut off by a window's edge that no other window holds whole
+is read again in a window centred on it and twice as wide, and so on until it is whole. All spans are then reconciled over
+the text: equal ones add up, and of overlapping ones the set of greatest total confidence stays.
 What is left is checked exactly (parts up to 255, Luhn's sum, digit counts) and added where it meets no rule's span.
 
 One narrow pass; the net (some 10 kB) goes with the tasks. Null texts are empty and have no spans; their digest is that
@@ -242,17 +243,18 @@ def window_spans(net: Net, x: np.ndarray) -> list[list[tuple[int, int, str, floa
     """Of each window its decoded spans, with the margin by which their tags lead, added up."""
     emissions, _ = net.run(x)
     tags = net.decode(emissions, allowed(TAGS))
+    width = x.shape[1]
     out: list[list[tuple[int, int, str, float]]] = [[] for _ in range(len(x))]
     for r in np.nonzero(tags.any(axis=1))[0].tolist():
         row = tags[r].tolist()
         t = 0
-        while t < WINDOW:
+        while t < width:
             if not row[t]:
                 t += 1
                 continue
             end = t + 1
             inside = row[t] + 1 if row[t] % 2 else row[t]
-            while end < WINDOW and row[end] == inside:
+            while end < width and row[end] == inside:
                 end += 1
             lead = emissions[r, np.arange(t, end), row[t:end]] - emissions[r, t:end, 0]
             out[r].append((t, end, TAGS[row[t]][2:], float(lead.sum())))
@@ -260,6 +262,33 @@ def window_spans(net: Net, x: np.ndarray) -> list[list[tuple[int, int, str, floa
     return out
 
 
+def read_again(net: Net, text: str, found: list[tuple[int, int, str, float]], cut: list[tuple[int, int]]) -> None:
+    """Add to ``found`` the spans of which windows saw only the pieces ``cut``. Wider windows that meet are read as one,
+    so a round reads each character once, and each round is twice as wide."""
+    codes = symbols(text)
+    cut = [(a, b) for a, b in cut if not any(s <= a and b <= e for s, e, _, _ in found)]
+    margin = WINDOW // 2
+    while cut:
+        margin *= 2
+        merged: list[list[int]] = []
+        for a, b in sorted(cut):
+            start, end = max(0, a - margin), min(len(text), b + margin)
+            if merged and start <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], end)
+            else:
+                merged.append([start, end])
+        pieces, cut = cut, []
+        for start, end in merged:
+            for a, b, kind, score in window_spans(net, codes[None, start:end])[0]:
+                a, b = start + a, start + b
+                if not any(a < d and c < b for c, d in pieces):
+                    continue  # the first windows have seen it
+                if (a == start and start > 0) or (b == end and end < len(text)):
+                    cut.append((a, b))
+                else:
+                    found.append((a, b, kind, score))
+
+
 def reconcile(spans: list[tuple[int, int, str, float]]) -> list[Span]:
     """Of spans from overlapping windows the non-overlapping ones of greatest total confidence."""
     total: dict[Span, float] = {}
@@ -300,6 +329,7 @@ def added(text: str, found: list[tuple[int, int, str, float]], base: list[Span])
 def _search(net: Net, rows: Iterator[tuple]) -> Iterator[tuple[tuple, str, list[Span], list[Span]]]:
     """Each row with its text, the rules' spans and the net's. Windows of many rows go through the net at once."""
     waiting: list[tuple[tuple, str, list[Span], list[tuple[int, int, str, float]]]] = []
+    cut: dict[int, list[tuple[int, int]]] = {}
     places: list[tuple[int, int]] = []
     held: list[np.ndarray] = []
     chars = 0
@@ -309,11 +339,22 @@ def _search(net: Net, rows: Iterator[tuple]) -> Iterator[tuple[tuple, str, list[
             for (k, start), spans in zip(places, window_spans(net, np.stack(held)), strict=True):
                 text = waiting[k][1]
                 last = len(text) - start
-                # what an edge within the text cuts is seen whole in the next window
-                waiting[k][3].extend((start + a, start + b, kind, s) for a, b, kind, s in spans if (a > 0 or start == 0) and (b < WINDOW or last <= WINDOW))
+                for a, b, kind, s in spans:
+                    if (a > 0 or start == 0) and (b < WINDOW or last <= WINDOW):
+                        waiting[k][3].append((start + a, start + b, kind, s))
+                    else:  # mostly seen whole in another window
+                        cut.setdefault(k, []).append((start + a, start + min(b, last)))
         held.clear()
         places.clear()
 
+    def settle() -> Iterator[tuple[tuple, str, list[Span], list[Span]]]:
+        read()
+        for k, pieces in cut.items():
+            read_again(net, waiting[k][1], waiting[k][3], pieces)
+        cut.clear()
+        yield from ((r, t, b, added(t, f, b)) for r, t, b, f in waiting)
+        waiting.clear()
+
     for *rest, raw in rows:
         text = decoded(raw)
         waiting.append((tuple(rest), text, base_spans(text), []))
@@ -329,12 +370,9 @@ def _search(net: Net, rows: Iterator[tuple]) -> Iterator[tuple[tuple, str, list[
                     read()
         chars += len(text)
         if chars >= HELD_CHARS or len(waiting) >= (2048 if held else 256):
-            read()
-            yield from ((r, t, b, added(t, f, b)) for r, t, b, f in waiting)
-            waiting.clear()
+            yield from settle()
             chars = 0
-    read()
-    yield from ((r, t, b, added(t, f, b)) for r, t, b, f in waiting)
+    yield from settle()
 
 
 def joined(spans: list[Span]) -> str:

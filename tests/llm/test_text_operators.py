@@ -241,6 +241,14 @@ def test_windows_hold_all_that_can_be_a_span():
     assert len(pii.windows("no digit in here " * 100)) == 0
 
 
+def test_long_spans_are_found_at_all_offsets():
+    span = "firstname.lastname (at) department.university-name.example.com"
+    for offset in range(0, pii.OVERLAP, 5):
+        before = ("word " * 80)[: 191 + offset] + " "
+        ((_, _, _, more),) = pii._search(pii.default_net(), [(0, (before + span + " und so weiter" * 10).encode())])
+        assert (len(before), len(before) + len(span), "email") in more
+
+
 def test_reconcile_keeps_the_most_confident_spans():
     spans = [(0, 10, "ip", 2.0), (0, 10, "ip", 1.0), (5, 15, "card", 2.5), (12, 20, "ip", 1.0), (30, 40, "ip", -1.0)]
     assert pii.reconcile(spans) == [(0, 10, "ip"), (12, 20, "ip")]
