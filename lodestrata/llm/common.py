@@ -15,7 +15,11 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ..session import shared_dir, stored
 
-__all__ = ["decoded", "keyed_join", "map_rows", "shared_dir", "stored", "text_bytes", "to_batch", "tokenizer_file", "words"]
+__all__ = ["decoded", "hashable", "keyed_join", "map_rows", "shared_dir", "slices", "stored", "text_bytes", "to_batch", "tokenizer_file", "words"]
+
+#: Bytes of a text that are taken apart at once.
+SLICE = 1 << 20
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 #: The most rows that ``keyed_join`` broadcasts.
 HEAVY_KEYS = 1000
@@ -85,6 +89,23 @@ def words(text: bytes | None) -> list[bytes]:
     return text.split() if text else []
 
 
+def slices(text: bytes) -> Iterator[bytes]:
+    """The text in parts of about ``SLICE`` bytes, cut before blanks, so that no word is cut and what a part becomes in
+    memory doesn't grow with the text. A short text is one part, an empty one is one empty part."""
+    at = 0
+    while len(text) - at > 2 * SLICE:
+        blank = _BLANK.search(text, at + SLICE)
+        end = blank.start() if blank else len(text)
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def hashable(df: DataFrame) -> list[Column]:
+    """The columns that Spark's hash functions take."""
+    return [F.col(f"`{c}`") for c, kind in df.dtypes if not re.search("map<|variant|void", kind)]
+
+
 def decoded(text: bytes | None) -> str:
     return text.decode("utf-8", "replace") if text else ""
 
@@ -101,7 +122,7 @@ def keyed_join(left: DataFrame, right: DataFrame, key: str, weight: str, keep: l
     rest = right.select(F.col(key).alias("__rk"), F.struct(*keep).alias("__rv"))
     met = left.join(F.broadcast(heavy), F.col(key) == F.col("__hk"), "left")
     # what is joined already, and nulls, are dealt out evenly under keys that aren't theirs
-    other = F.xxhash64(F.lit(1), *[F.col(f"`{c}`") for c, kind in left.dtypes if not re.search("map<|variant|void", kind)])
+    other = F.xxhash64(F.lit(1), *hashable(left))
     if (kind := dict(left.dtypes)[key]) != "bigint":
         other = other.cast("string").cast(kind)
     met = met.withColumn("__jk", F.when(F.col("__hk").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(other))
