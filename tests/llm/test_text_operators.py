@@ -1,6 +1,7 @@
 """Token counts, language, quality rules, personal data: brute force, held-out accuracy and odd rows."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -128,8 +129,53 @@ def slow_counts(text):
 @settings(max_examples=300, deadline=None)
 @given(st.text("ab#| \n\r\x0b\x1c\xa0é", max_size=60))
 def test_base_counts(text):
-    words, *rest = quality.base_counts(text.encode())
-    assert (len(words), *rest) == slow_counts(text)
+    c = quality.count(text.encode(), quality._Places([]))
+    assert (c.words, c.chars, c.symbols, c.lines, c.repeated) == slow_counts(text)
+
+
+def test_base_counts_of_long_texts(monkeypatch):
+    from lodestrata.llm import common
+
+    monkeypatch.setattr(common, "SLICE", 5)
+    rng = random.Random(4)
+    for _ in range(200):
+        text = "".join(rng.choice("ab# \n\r\xa0é") for _ in range(rng.randint(0, 120)))
+        assert b"".join(common.slices(text.encode())) == text.encode()
+        c = quality.count(text.encode(), quality._Places([b"a"]))
+        assert (c.words, c.chars, c.symbols, c.lines, c.repeated) == slow_counts(text)
+        assert (c.classes == quality.class_counts(text)).all() and c.common[0] == sum(quality.plain(w) == b"a" for w in text.encode().split())
+
+
+def slow_js(p, q):
+    a, b = sum(p), sum(q)
+    if not a or not b:
+        return 1.0
+    p, q = [x / a for x in p], [x / b for x in q]
+    half = lambda x, y: sum(u * math.log2(u / ((u + v) / 2)) for u, v in zip(x, y, strict=True) if u)
+    return math.sqrt(max(0.0, (half(p, q) + half(q, p)) / 2))
+
+
+def slow_verdict(text, lang, refs, limits):
+    """Kept, distances and nearest language by plain loops."""
+    n, _, _, _, repeated = slow_counts(text)
+    failed = n < 50 or 100 * repeated > 50 * n
+    if not refs.classes or lang is not None and lang not in refs.classes:
+        return not failed, None, None
+    table, own = quality.class_table(), [0] * 8
+    for ch in text:
+        own[table[min(ord(ch), 0x10000)]] += 1
+    found = [quality.plain(w) for w in text.encode().split()]
+    best = None
+    for name, common in refs.common.items():
+        by_class = slow_js(own, refs.classes[name]) if len(text) >= limits.min_chars else None
+        by_word = None
+        if n >= limits.min_words:
+            uses = [found.count(w) for w in common]
+            by_word = slow_js([*uses, n - sum(uses)], [*common.values(), refs.others[name]])
+        over = max((by_class or 0) / limits.char_distance, (by_word or 0) / limits.word_distance)
+        if best is None or over < best[0] - 1e-12:
+            best = over, by_class, by_word
+    return not failed and best[0] <= 1, best[1], best[2]
 
 
 def test_quality_of_documents(spark):
@@ -142,7 +188,7 @@ def test_quality_of_documents(spark):
     for d in documents():
         words = [quality.plain(w) for w in d["text"].encode().split()]
         classes[d["lang"]] = classes.get(d["lang"], 0) + quality.class_counts(d["text"])
-        common.setdefault(d["lang"], Counter()).update(w for w in words if 0 < len(w) <= quality.COMMON_BYTES)
+        common.setdefault(d["lang"], Counter()).update(w for w in words if w)
         total[d["lang"]] += len(words)
     for lang in classes:
         top = sorted(common[lang].items(), key=lambda x: (-x[1], x[0]))[: quality.COMMON]
@@ -155,6 +201,8 @@ def test_quality_of_documents(spark):
         assert r.base_failed == (n < 50 or 100 * rest[3] > 50 * n) and not (r.base_failed and r.kept)
         if labels.get(d["doc_id"]) == 1 and not r.base_failed:
             assert r.kept
+        kept, by_class, by_word = slow_verdict(d["text"], d["lang"], refs, quality.Limits())
+        assert r.kept == kept and all((x is None) == (y is None) and (x is None or abs(x - y) < 1e-9) for x, y in ((r.char_distance, by_class), (r.word_distance, by_word)))
 
 
 def test_jensen_shannon():
@@ -175,14 +223,49 @@ def test_quality_of_a_rare_language(spark):
     text = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(n))
     rows = [(0, "big", text("abcdefgh", 400_000)), (1, "rare", text("กขคงจฉชซ", 150)), (2, "tiny", text("ΑΒΓΔΕΖΗΘ", 60)), (3, "tiny", text("ΑΒΓΔΕΖΗΘ", 20))]
     docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
-    refs = quality.references(docs)
+    limits = quality.Limits(reference_words=100)
+    assert set(quality.references(docs).classes) == {"big"}
+    refs = quality.references(docs, limits=limits)
     assert set(refs.classes) == {"big", "rare"}  # "tiny" has 80 words
     assert any(len(w) > 12 for w in refs.common["rare"])
-    got = {r.doc_id: r for r in quality.judge(docs, refs).collect()}
+    got = {r.doc_id: r for r in quality.judge(docs, limits=limits).collect()}
     assert got[1].kept and got[1].nearest == "rare"
     assert got[2].kept and got[2].char_distance is None and got[3].base_failed and not got[3].kept
 
 
+def test_quality_of_more_languages_than_are_sent(spark, monkeypatch):
+    rng = random.Random(2)
+    text = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 5))) for _ in range(n))
+    scripts = {"a": "abcde", "b": "бвгдж", "c": "กขคงจ", "d": "אבגדה", "e": "αβγδε"}
+    rows = [(i, lang, text(letters, 300 + 10 * i), "x") for i, (lang, letters) in enumerate(k for k in scripts.items() for _ in range(3))]
+    rows += [(100, "a", text("#$%&*", 300), "x"), (101, None, text("αβγδε", 300), "x"), (102, "f", text("αβγδε", 300), "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string, own string")
+    limits = quality.Limits(reference_words=800)
+    want = {r.doc_id: (r.kept, r.nearest) for r in quality.judge(docs, limits=limits).collect()}
+    assert want[100][0] is False and want[101] == (True, "e") and want[102] == (True, None) and want[4] == (True, "b")
+    monkeypatch.setattr(quality, "BROADCAST", 2)  # e and d are sent
+    got = {r.doc_id: (r.kept, r.nearest) for r in quality.judge(docs, limits=limits).collect()}
+    assert {k: v for k, v in got.items() if k != 100} == {k: v for k, v in want.items() if k != 100} and got[100][0] is False
+    dirty = docs.withColumn("lang", docs.doc_id.cast("string"))
+    assert quality.references(dirty).classes == {}
+
+
+def test_words_are_counted_in_bounds(monkeypatch):
+    rng = random.Random(3)
+    rows = [(rng.choice(["x", "y", f"z{rng.randrange(30)}"]), " ".join(rng.choice(["a", "B.", "b", "q" * 300, f"w{rng.randrange(50)}"]) for _ in range(20)).encode()) for _ in range(200)]
+    want = sum_by(quality._count(iter(rows)))
+    monkeypatch.setattr(quality, "HELD_WORDS", 10)
+    monkeypatch.setattr(quality, "HELD_LANGS", 3)
+    assert sum_by(quality._count(iter(rows))) == want and want["x", "word", "b"] == sum(quality.plain(w) == b"b" for lang, t in rows for w in t.split() if lang == "x")
+
+
+def sum_by(rows):
+    out = Counter()
+    for lang, kind, name, n in rows:
+        out[lang, kind, name] += n
+    return out
+
+
 # --- personal data ---
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
