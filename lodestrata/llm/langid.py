@@ -6,13 +6,16 @@ vector machines over families; within it, each pair of languages has a machine o
 most (then the clearest) wins is taken. Machines minimise squared hinge loss in numpy. Margins become probabilities by a
 logistic curve fitted to the training margins; the score is the family's probability times the weakest win's.
 
-The model is fitted on a bounded sample: about ``per_language`` rows of each value of ``lang`` (at most
-``MAX_LANGUAGES``, the most frequent), drawn by a hash of the id; what reaches the driver are at most
-per_language * 1.5 * MAX_LANGUAGES feature rows, never texts. Prediction is one narrow pass over whole texts.
+The model is fitted on a bounded sample of labelled rows: at most ``rows`` in all and ``per_language`` of each value of
+``lang``, fewer of each as languages grow in number (with more languages than ``rows``, languages are drawn too). Rows are
+drawn by a hash of id and text. What reaches the driver are these rows' features, never texts. Prediction is one narrow
+pass over whole texts.
 
 Families of known language codes are fixed; an unknown code is a family of its own. Rows with null ``lang`` don't
-train. Null texts and texts without letters are ``und`` with score 0, as is all if nothing was learned. Repeated rows
-are predicted each for itself. Only text decides: ``lang``, ``source`` and ids are no input of a prediction.
+train. Null and empty texts and texts without letters are ``und`` with score 0, as is all if nothing was learned. Repeated
+rows are predicted each for itself and count once in the sample. Very long texts are read in slices, whole. An empty table
+gives no rows. Only text decides: ``lang``, ``source`` and ids are no input of a prediction. Other columns are ignored by
+``predict`` and passed through by ``identified``.
 """
 
 from __future__ import annotations
@@ -23,15 +26,19 @@ from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import decoded, map_rows, text_bytes
+from .common import decoded, map_rows, stored, text_bytes
 
 UND = "und"
 DIMENSIONS = 8192
+#: Labelled rows that the model is fitted on: of each language, and in all.
 PER_LANGUAGE = 300
-MAX_LANGUAGES = 100
+ROWS = 12_000
+#: Families that are trained at once, and characters of a text that are read at once.
+TOGETHER = 64
+SLICE_CHARS = 1 << 20
 #: Families of common languages.
 FAMILIES = {
     "germanic": "en de nl af da no nb nn sv is fy lb yi",
@@ -56,24 +63,40 @@ def letter_table() -> np.ndarray:
     return np.array([c if (ch := chr(c)).isalpha() or 0x300 <= c < 0x370 else 32 for c in range(0x10000)], dtype=np.uint64)
 
 
-def features(text: str) -> np.ndarray | None:
-    """Scaled n-gram counts; None if the text has no letter."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    basic = points < 0x10000
-    codes = np.where(basic, letter_table()[np.where(basic, points, 0)], points).astype(np.uint64)
-    blank = codes == 32
-    if blank.all():
-        return None
-    # runs of blanks count as one
-    keep = ~blank
-    keep[1:] |= blank[1:] & ~blank[:-1]
-    c = np.concatenate([[32], codes[keep], [32]]).astype(np.uint64)
+def _tally(counts: np.ndarray, c: np.ndarray, fresh: int) -> None:
+    """Add the 1-, 2- and 3-grams that end in the last ``fresh`` codes."""
     one = c * np.uint64(0x9E3779B97F4A7C15)
     two = (one[:-1] ^ (c[1:] * np.uint64(0xC2B2AE3D27D4EB4F))) * np.uint64(0xFF51AFD7ED558CCD)
     three = (two[:-1] ^ (c[2:] * np.uint64(0x165667B19E3779F9))) * np.uint64(0xC4CEB9FE1A85EC53)
-    counts = np.zeros(DIMENSIONS)
     for h in (one * np.uint64(0xFF51AFD7ED558CCD), two, three):
-        counts += np.bincount((h >> np.uint64(51)).astype(np.int64), minlength=DIMENSIONS)
+        counts += np.bincount((h[max(0, len(h) - fresh) :] >> np.uint64(51)).astype(np.int64), minlength=DIMENSIONS)
+
+
+def features(text: str) -> np.ndarray | None:
+    """Scaled n-gram counts; None if the text has no letter. Long texts are read in slices; the last two codes are kept
+    for the n-grams that cross from one to the next."""
+    counts = np.zeros(DIMENSIONS)
+    tail = np.array([32], dtype=np.uint64)
+    _tally(counts, tail, 1)
+    letters = False
+    for at in range(0, len(text), SLICE_CHARS):
+        points = np.frombuffer(text[at : at + SLICE_CHARS].lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        basic = points < 0x10000
+        codes = np.where(basic, letter_table()[np.where(basic, points, 0)], points).astype(np.uint64)
+        blank = codes == 32
+        letters = letters or not blank.all()
+        # runs of blanks count as one
+        keep = ~blank
+        keep[1:] |= blank[1:] & ~blank[:-1]
+        keep[0] |= tail[-1] != 32
+        fresh = codes[keep]
+        if len(fresh):
+            c = np.concatenate([tail, fresh])
+            _tally(counts, c, len(fresh))
+            tail = c[-2:]
+    if not letters:
+        return None
+    _tally(counts, np.append(tail, np.uint64(32)), 1)
     counts = np.sqrt(counts)
     return (counts / np.linalg.norm(counts)).astype(np.float32)
 
@@ -94,24 +117,30 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
 
 
-def train(x: np.ndarray, positive: np.ndarray, cost: float = 20.0, steps: int = 120) -> Machine:
-    """Squared hinge loss with an L2 penalty, classes weighted alike, by accelerated full gradients."""
+def train(x: np.ndarray, positive: np.ndarray, cost: float = 20.0, steps: int = 120) -> list[Machine]:
+    """A machine for each column of ``positive``: squared hinge loss with an L2 penalty, classes weighted alike, by
+    accelerated full gradients of all machines at once."""
     y = np.where(positive, 1.0, -1.0).astype(np.float32)
-    share = np.where(positive, 0.5 / max(1, positive.sum()), 0.5 / max(1, (~positive).sum())).astype(np.float32)
-    w = np.zeros(x.shape[1] + 1, dtype=np.float32)  # the bias is last
+    n1 = positive.sum(axis=0)
+    n0 = len(x) - n1
+    share = np.where(positive, 0.5 / np.maximum(1, n1), 0.5 / np.maximum(1, n0)).astype(np.float32)
+    w = np.zeros((x.shape[1] + 1, y.shape[1]), dtype=np.float32)  # biases are last
     ahead, momentum = w, 1.0
     # rows have length sqrt(2) at most, so this bounds the curvature
     step = 1.0 / (1.0 / cost + 2 * 2.0)
     for _ in range(steps):
         pull = share * y * np.maximum(0, 1 - y * (x @ ahead[:-1] + ahead[-1]))
-        grad = ahead / cost - 2 * np.append(x.T @ pull, pull.sum())
+        grad = ahead / cost - 2 * np.concatenate([x.T @ pull, pull.sum(axis=0, keepdims=True)])
         nxt = ahead - step * grad
         m = (1 + (1 + 4 * momentum**2) ** 0.5) / 2
         ahead = nxt + (momentum - 1) / m * (nxt - w)
         w, momentum = nxt, m
-    machine = Machine(w[:-1].copy(), float(w[-1]))
-    margin = machine.margins(x).astype(np.float64)
-    # Platt's curve with his smoothed targets
+    margins = (x @ w[:-1] + w[-1]).astype(np.float64)
+    return [_calibrated(Machine(w[:-1, k].copy(), float(w[-1, k])), margins[:, k], positive[:, k]) for k in range(y.shape[1])]
+
+
+def _calibrated(machine: Machine, margin: np.ndarray, positive: np.ndarray) -> Machine:
+    """The machine with Platt's curve over its margins, with his smoothed targets."""
     n1, n0 = int(positive.sum()), int((~positive).sum())
     goal = np.where(positive, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     a, b = 4.0, 0.0
@@ -171,42 +200,51 @@ class Model:
 
 
 def _featurize(rows: Iterator[tuple]) -> Iterator[tuple]:
-    for lang, text in rows:
+    for lang, order, text in rows:
         x = features(decoded(text))
         if x is not None:
-            yield lang, x.astype("<f2").tobytes()
-
-
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """Fit on about ``per_language`` rows (text and non-null lang) of each language."""
-    counts = docs.filter(F.col("lang").isNotNull()).groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MAX_LANGUAGES).collect()
-    if not counts:
-        return Model()
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r.lang, F.lit(min(1.0, per_language / r["count"]))).otherwise(share)
-    drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30)) < share
-    sample = map_rows(docs.filter(F.col("lang").isNotNull() & drawn), [F.col("lang").cast("string"), text_bytes()], _featurize, "lang string, x binary")
-    arrived = sample.limit(int(1.5 * per_language) * len(counts)).toArrow()
-    rows = sorted(zip(arrived.column("lang").to_pylist(), arrived.column("x").to_pylist(), strict=True))  # the same, however dealt
-    del arrived
-    if not rows:
+            at = np.nonzero(x)[0]
+            yield lang, order, at.astype("<u2").tobytes(), x[at].astype("<f2").tobytes()
+
+
+def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, rows: int = ROWS) -> DataFrame:
+    """lang and features (places and values) of the labelled rows that the model is fitted on."""
+    known = docs.select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("string").alias("__id"), text_bytes().alias("__text")).filter("lang IS NOT NULL")
+    counts = stored(known.groupBy("lang").agg(F.count("*").alias("__n")))
+    languages = counts.count()
+    each = max(1, min(per_language, rows // max(1, languages)))
+    chosen = counts.orderBy(F.xxhash64("lang"), "lang").limit(rows) if languages > rows else counts  # at most ``rows``, so it can be sent
+    order = F.xxhash64("__id", "__text", F.lit(3))
+    part = F.pmod(order, F.lit(1 << 30)) / F.lit(float(1 << 30))
+    # some more than needed, of which the first stay
+    drawn = known.join(F.broadcast(chosen), "lang").filter(part < F.lit(1.3 * each + 10) / F.col("__n"))
+    told = map_rows(drawn, [F.col("lang"), order, F.col("__text")], _featurize, "lang string, place long, at binary, x binary")
+    told = told.withColumn("__k", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("place", F.lit(1 << 30)), "place", "x"))).filter(F.col("__k") <= each)
+    return told.select("lang", "place", "at", "x")
+
+
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, rows: int = ROWS) -> Model:
+    """Fit on at most ``per_language`` rows (text and non-null lang) of each language, and ``rows`` in all."""
+    drawn = sorted(tuple(r) for r in sample(docs, per_language, rows).collect())  # the same, however dealt
+    if not drawn:
         return Model()
-    langs = np.array([lang for lang, _ in rows], dtype=object)
-    x = np.empty((len(rows), DIMENSIONS), dtype=np.float32)
-    for i in range(len(rows)):
-        x[i] = np.frombuffer(rows[i][1], dtype="<f2")
-    del rows
+    langs = np.array([lang for lang, _, _, _ in drawn], dtype=object)
+    x = np.zeros((len(drawn), DIMENSIONS), dtype=np.float32)
+    for i, (_, _, at, values) in enumerate(drawn):
+        x[i, np.frombuffer(at, dtype="<u2")] = np.frombuffer(values, dtype="<f2")
+    del drawn
     model = Model()
     for lang in sorted(set(langs)):
         model.families.setdefault(family_of(lang), []).append(lang)
     kin = np.array([family_of(v) for v in langs], dtype=object)
-    for name, members in model.families.items():
-        if len(model.families) > 1:
-            model.rest[name] = train(x, kin == name)
+    names = list(model.families)
+    for at in range(0, len(names) if len(names) > 1 else 0, TOGETHER):
+        some = names[at : at + TOGETHER]
+        model.rest.update(zip(some, train(x, np.stack([kin == name for name in some], axis=1)), strict=True))
+    for members in model.families.values():
         for a, b in combinations(members, 2):
             rows_ab = (langs == a) | (langs == b)
-            model.pairs[a, b] = train(x[rows_ab], langs[rows_ab] == a)
+            (model.pairs[a, b],) = train(x[rows_ab], (langs[rows_ab] == a)[:, None])
     return model
 
 

@@ -100,13 +100,84 @@ def test_one_language_alone(spark):
     assert {r.lang_pred for r in langid.predict(docs, langid.fit(docs), ["doc_id"]).collect()} == {"xx"}
 
 
+def slow_features(text):
+    """Counts of 1-, 2- and 3-grams of codes, by loops."""
+    codes = [32]
+    for ch in text.lower():
+        c = ord(ch) if ord(ch) >= 0x10000 else int(langid.letter_table()[ord(ch)])
+        if c != 32 or codes[-1] != 32:
+            codes.append(c)
+    if not any(c != 32 for c in codes):
+        return None
+    codes.append(32)
+    mask, mul = (1 << 64) - 1, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+    out = [0.0] * langid.DIMENSIONS
+    for i, c in enumerate(codes):
+        one = c * mul[0] & mask
+        out[(one * 0xFF51AFD7ED558CCD & mask) >> 51] += 1
+        if i + 1 < len(codes):
+            two = (one ^ codes[i + 1] * mul[1] & mask) * 0xFF51AFD7ED558CCD & mask
+            out[two >> 51] += 1
+        if i + 2 < len(codes):
+            out[((two ^ codes[i + 2] * mul[2] & mask) * 0xC4CEB9FE1A85EC53 & mask) >> 51] += 1
+    norm = math.sqrt(sum(out))
+    return [math.sqrt(v) / norm for v in out]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text("aÉß 1.\n日𝔄", max_size=40), st.integers(1, 7))
+def test_features_by_brute_force(text, width):
+    whole, langid_slice = langid.features(text), langid.SLICE_CHARS
+    want = slow_features(text)
+    langid.SLICE_CHARS = width
+    try:
+        sliced = langid.features(text)
+    finally:
+        langid.SLICE_CHARS = langid_slice
+    assert (whole is None) == (want is None) == (sliced is None)
+    if want is not None:
+        assert np.allclose(whole, want, atol=1e-6) and np.allclose(sliced, want, atol=1e-6)
+
+
+def test_language_decision_by_brute_force(spark):
+    model = langid.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    chance = lambda m, v: 1 / (1 + math.exp(-max(-30.0, min(30.0, m.slope * v + m.shift))))
+    for d in documents()[:60]:
+        x = langid.features(d["text"])
+        if x is None:
+            continue
+        margins = {f: float(x @ m.weights + m.bias) for f, m in model.rest.items()}
+        family = max(margins, key=margins.get)
+        sure = chance(model.rest[family], margins[family]) / sum(chance(model.rest[f], v) for f, v in margins.items())
+        wins = {}
+        for lang in model.families[family]:
+            duels = [(float(x @ m.weights + m.bias) * (1 if a == lang else -1), chance(m, float(x @ m.weights + m.bias)), a == lang) for (a, b), m in model.pairs.items() if lang in (a, b)]
+            wins[lang] = (sum(v > 0 for v, _, _ in duels), sum(v for v, _, _ in duels), min([p if first else 1 - p for _, p, first in duels], default=1.0))
+        best = max(wins, key=lambda k: wins[k][:2])
+        ((lang, score, kin),) = model.predict(x[None])
+        assert (lang, kin) == (best, family) and abs(score - sure * wins[best][2]) < 1e-5
+
+
+def test_any_number_of_languages_is_learned(spark):
+    rng = random.Random(6)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 600)]
+    rows = [(i, " ".join(rng.choice(letters[4 * k : 4 * k + 4]) * 2 for _ in range(30)), f"x{k}") for i, k in enumerate([k for k in range(150) for _ in range(3)])]
+    docs = spark.createDataFrame([*rows, *rows[:50]], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    got = langid.predict(docs, model, ["doc_id", "lang"]).collect()
+    assert all(r.lang_pred == r.lang for r in got)
+    few = langid.sample(docs, rows=40).collect()  # fewer rows than languages: languages are drawn
+    assert 1 <= len(few) <= 40 and len({r.lang for r in few}) == len(few)
+    assert len(langid.sample(docs, rows=300).collect()) == 300
+
+
 def test_families_are_told_apart_before_languages():
     rng = random.Random(1)
     make = {"de": "der die und ein sch ung", "en": "the of and ing tion", "fr": "le des et que eau", "es": "el los y ción ado"}
     texts = [(lang, " ".join(rng.choice(w.split()) for _ in range(60))) for lang, w in make.items() for _ in range(30)]
     x = np.stack([langid.features(t) for _, t in texts])
     langs = np.array([lang for lang, _ in texts])
-    machine = langid.train(x, np.isin(langs, ["de", "en"]))
+    (machine,) = langid.train(x, np.isin(langs, ["de", "en"])[:, None])
     assert ((machine.margins(x) > 0) == np.isin(langs, ["de", "en"])).all()
     assert langid.features("123 ### ") is None and langid.features("") is None
 
