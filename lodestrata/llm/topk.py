@@ -9,7 +9,8 @@ Components are floor(scale * x); products are exact: in floating point while all
 whole numbers of any size (results are held to the range of long). Ties go to the smaller id. A vector that is null or
 holds a null or non-finite component takes no part, nor does a row with a null id. Vectors are only compared with
 vectors of the same length. A row with the query's own id is the query itself; rows that repeat a query's id ask once,
-and rows that repeat another id count as candidates each. Other columns are ignored.
+and rows that repeat another id count as candidates each. Blocks and tiles are bounded by bytes as well, so long vectors
+come in smaller ones. An empty table, or no queries, gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,10 +27,13 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir, stored
 
-#: Queries in a block and rows in a tile: a block of 64 components is broadcast as 16 MB, a tile of products holds 32 MB.
+#: Queries in a block and rows in a tile, and the bytes of their vectors: a tile of products holds 32 MB. Queries are dealt
+#: into blocks by hash, so a block holds at least ``LEAST_QUERIES`` on average, which keeps it near its bound.
 BLOCK_QUERIES = 32_768
 SLICE_QUERIES = 2_048
 TILE_ROWS = 2_048
+BLOCK_BYTES = TILE_BYTES = 16 << 20
+LEAST_QUERIES = 64
 FAN_IN = 32
 #: Blocks whose lists are merged in one plan; with more, each block's lists are stored first.
 LAZY_BLOCKS = 4
@@ -121,7 +125,7 @@ def _search(block: Broadcast, k: int, scale: float, batches: Iterator[pa.RecordB
             n = len(vector)
             if n in tops:
                 held.setdefault(n, []).append((vec_id, vector))
-                if len(held[n]) >= TILE_ROWS:
+                if len(held[n]) >= max(1, min(TILE_ROWS, TILE_BYTES // max(1, 8 * n))):
                     flush(n)
     for n in list(held):
         flush(n)
@@ -146,14 +150,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 25
 
     candidates = whole(vectors)
     asked = stored(whole(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
-    count = asked.count()
-    blocks = max(1, math.ceil(count / BLOCK_QUERIES))
+    count, longest = asked.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    most = min(BLOCK_QUERIES, max(LEAST_QUERIES, BLOCK_BYTES // max(1, 8 * (longest or 0))))
+    blocks = max(1, math.ceil(count / most))
     table = f"{shared_dir(spark)}/lists"
     parts = None
     for b in range(blocks):
         # hashed into blocks, each of which is checked against the bound
-        rows = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).limit(2 * BLOCK_QUERIES + 1).toArrow()
-        if rows.num_rows > 2 * BLOCK_QUERIES:
+        rows = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).limit(2 * most + 1).toArrow()
+        if rows.num_rows > 2 * most:
             raise RuntimeError("a block of queries is larger than its bound")
         by: dict[int, list[tuple[int, np.ndarray]]] = {}
         for vec_id, vector in zip(rows.column(0).to_pylist(), quantized(rows.column(1).combine_chunks(), scale), strict=True):
