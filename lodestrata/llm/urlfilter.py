@@ -8,16 +8,20 @@ blocked. Rules are kept as an inverted index from each rule's rarest token, so a
 all rules.
 
 FP-growth runs in Spark over the labelled URLs; tokens below the support limit (page numbers, most names) go first, and
-are counted with partial sums. The rules are sent to all tasks if they are at most ``MAX_BROADCAST_RULES``; beyond that
-the index is joined in a shuffle. Urls without a rule's token are allowed, as are all if nothing was mined.
-
-A null url, or one without ``://``, has empty host and path and is judged by its tokens, of which it has none: it is
-allowed. Labels that are null don't count. Repeated rows are judged each for itself. Other columns are ignored.
+are counted with partial sums. Rules may have any number of tokens. They are sent to all tasks if they are at most
+``MAX_BROADCAST_RULES``; beyond that the index is joined in a shuffle, by each rule's rarest token, in chunks of
+``CHUNK_RULES``, with common tokens as heavy keys. Urls without a rule's token are allowed, as are all if nothing was
+mined.
+
+A null or empty url, or one without ``://``, has empty host and path and is judged by its tokens, of which it has none: it
+is allowed. Labels that are null don't count. Repeated rows are judged each for itself. Very long urls are judged whole.
+An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,11 +29,12 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, stored
+from .common import keyed_join, map_rows, stored
 
 #: Rule text (host/path) and verdict.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 MAX_BROADCAST_RULES = 10_000
+CHUNK_RULES = 100
 BAD = "\x01bad"
 
 
@@ -40,7 +45,6 @@ class Limits:
     support: float = 0.002
     rows: int = 20
     confidence: float = 0.8
-    tokens: int = 3
 
 
 def host(url: Column) -> Column:
@@ -93,22 +97,26 @@ def mine(labelled: DataFrame, limits: Limits | None = None) -> DataFrame:
     if not often or total < least:
         return empty
     kept = F.concat(F.array_intersect("items", F.array(*[F.lit(t) for t in often])), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>")))
-    growth = FPGrowth(itemsCol="items", minSupport=least / total, minConfidence=limits.confidence, numPartitions=int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = growth.fit(rows.select(kept.alias("items")).filter(F.size("items") > 0)).associationRules
-    found = found.filter((F.col("consequent") == F.array(F.lit(BAD))) & (F.size("antecedent") <= limits.tokens))
-    found = stored(found.select(F.array_sort("antecedent").alias("items"), "confidence", "support"))
-    # prune: a rule one of whose parts is a rule says nothing new
-    inner = found.select(F.col("items").alias("part"))
-    sub = found.withColumn("part", F.explode(_parts(F.col("items"))))
-    covered = sub.join(inner, "part", "left_semi").select("items").distinct()
-    return found.join(covered, "items", "left_anti")
+    # half a row less, so that rounding can't ask for one row more; urls without a frequent token count as rows too
+    growth = FPGrowth(itemsCol="items", minSupport=(math.ceil(least) - 0.5) / total, minConfidence=limits.confidence, numPartitions=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = growth.fit(rows.select(kept.alias("items"))).associationRules.filter(F.col("consequent") == F.array(F.lit(BAD)))
+    return least_rules(stored(found.select(F.array_sort("antecedent").alias("items"), "confidence", "support")))
+
+
+def rarest(rules: DataFrame) -> DataFrame:
+    """The rules with ``key``, the token that the fewest rules hold."""
+    spread = rules.select("items", F.explode("items").alias("key"))
+    uses = spread.groupBy("key").agg(F.count("*").alias("uses"))
+    first = spread.join(uses, "key").groupBy("items").agg(F.min(F.struct("uses", "key")).alias("first"))
+    return first.select("items", F.col("first.key").alias("key"))
 
 
-def _parts(items: Column) -> Column:
-    """All proper parts of a set of at most three tokens, each in order."""
-    one = F.filter(F.transform(items, lambda t: F.array(t)), lambda _: F.size(items) > 1)
-    two = F.filter(F.transform(items, lambda t: F.filter(items, lambda u: u != t)), lambda _: F.size(items) > 2)
-    return F.concat(one, two)
+def least_rules(rules: DataFrame) -> DataFrame:
+    """The rules none of whose proper parts is a rule: each rule looks up, by its tokens, those kept under their rarest."""
+    parts = rarest(rules).withColumnRenamed("items", "part")
+    met = rules.select("items", F.explode("items").alias("key")).join(parts, "key").filter(F.size("part") < F.size("items"))
+    covered = met.filter(F.size(F.array_except("part", "items")) == 0).select("items").distinct()
+    return rules.join(covered, "items", "left_anti")
 
 
 def build_index(rules: list[list[str]]) -> dict[str, list[frozenset[str]]]:
@@ -142,11 +150,17 @@ def judge(pages: DataFrame, rules: DataFrame, fixed: dict[str, str] | None = Non
     if len(some) <= MAX_BROADCAST_RULES:
         index = build_index([r["items"] for r in some])
         return map_rows(cut, [F.col(c) for c in cut.columns], functools.partial(_match, index), schema)
-    # many rules: the index is joined on the first token of each
-    keyed = cut.withColumn("__row", F.monotonically_increasing_id())
-    keyed = stored(keyed)
-    index = rules.select(F.col("items").alias("__need"), F.element_at("items", 1).alias("__t"))
-    hit = keyed.filter(F.col("verdict").isNull()).select("__row", "items", F.explode("items").alias("__t")).join(index, "__t")
-    hit = hit.filter(F.size(F.array_except("__need", "items")) == 0).select("__row").distinct().withColumn("__hit", F.lit("block"))
-    out = keyed.join(hit, "__row", "left")
+    keyed = stored(cut.withColumn("__row", F.monotonically_increasing_id()))
+    spread = keyed.filter(F.col("verdict").isNull()).select("__row", "items", F.explode("items").alias("key"))
+    index = stored(rarest(rules))
+    chunks = index.groupBy("key").agg(F.ceil(F.count("*") / CHUNK_RULES).cast("long").alias("chunks"))
+    # tokens of the index that pages hold, with the pages that do
+    held = stored(spread.groupBy("key").agg(F.count("*").alias("pages")).join(chunks, "key"))
+    asked = keyed_join(spread, held, "key", "pages", ["chunks"]).filter(F.col("chunks").isNotNull())
+    chunk = lambda k: F.concat("key", F.lit("\x02"), k.cast("string"))
+    asked = asked.withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select("__row", "items", chunk(F.col("__k")).alias("chunk"))
+    dealt = index.join(held, "key").select(chunk(F.pmod(F.xxhash64("items"), F.col("chunks"))).alias("chunk"), "pages", F.col("items").alias("need"))
+    lists = stored(dealt.groupBy("chunk").agg(F.first("pages").alias("pages"), F.collect_list("need").alias("needs")))
+    hit = keyed_join(asked, lists, "chunk", "pages", ["needs"]).filter(F.exists("needs", lambda need: F.size(F.array_except(need, F.col("items"))) == 0))
+    out = keyed.join(hit.select("__row").distinct().withColumn("__hit", F.lit("block")), "__row", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", "__hit", F.lit("allow")).alias("verdict"))

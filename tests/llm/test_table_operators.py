@@ -165,6 +165,17 @@ def test_search_by_brute_force(spark, monkeypatch, small):
     assert topk.search(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_search_in_blocks_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 8 * 40 * 20)
+    monkeypatch.setattr(topk, "TILE_BYTES", 8 * 40 * 3)
+    monkeypatch.setattr(topk, "LEAST_QUERIES", 20)
+    rng = random.Random(9)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(40)]) for i in range(3000)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.search(vectors, vectors.filter("vec_id % 50 = 0"))
+    assert sorted(tuple(r) for r in got.collect()) == slow_search(rows)
+
+
 # --- URL filters ---
 
 
@@ -203,8 +214,9 @@ def test_mined_rules(spark, monkeypatch):
     sets = [(frozenset(r.t), r.bad) for r in labelled.filter("bad is not null").select("bad", urlfilter.tokens(urlfilter.host(F.col("url")), urlfilter.path(F.col("url"))).alias("t")).collect()]
     count, hits = defaultdict(int), defaultdict(int)
     for tokens, bad in sets:
-        for n in (1, 2, 3):
-            for c in combinations(sorted(t for t in tokens if not re.search(r"\d", t)), n):
+        frequent = sorted(t for t in tokens if not re.search(r"\d", t))
+        for n in range(1, len(frequent) + 1):
+            for c in combinations(frequent, n):
                 count[frozenset(c)] += 1
                 hits[frozenset(c)] += bad
     good = {c for c in count if hits[c] >= 0.02 * len(sets) and hits[c] >= 0.8 * count[c]}
@@ -216,6 +228,27 @@ def test_mined_rules(spark, monkeypatch):
     assert urlfilter.mine(labelled.select("url", "bad").limit(0)).count() == 0
 
 
+def test_rules_of_many_tokens(spark, monkeypatch):
+    """Only four path parts together tell bad URLs, and urls without frequent tokens count as rows."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(1500):
+        parts = [rng.choice(["a", "b"]) + str(k) for k in range(4)]
+        rows.append((i, "http://h/" + "/".join(x.replace("0", "w").replace("1", "x").replace("2", "y").replace("3", "z") for x in parts), all(p[0] == "a" for p in parts)))
+    rows += [(5000 + i, f"u{i}://{i}", False) for i in range(500)]
+    labelled = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
+    rules = urlfilter.mine(labelled, urlfilter.Limits(support=0.01, rows=5)).collect()
+    assert {len(r["items"]) for r in rules} == {4} and any(set(r["items"]) == {"p:aw", "p:ax", "p:ay", "p:az"} for r in rules)
+    bad = sum(b for _, _, b in rows)
+    assert all(abs(r.support - bad / len(rows)) < 1e-9 for r in rules)
+    frame = spark.createDataFrame([(r["items"], r.confidence, r.support) for r in rules], "items array<string>, confidence double, support double")
+    for most, chunk in ((10_000, 100), (0, 1)):
+        monkeypatch.setattr(urlfilter, "MAX_BROADCAST_RULES", most)
+        monkeypatch.setattr(urlfilter, "CHUNK_RULES", chunk)
+        got = {r.page_id: r.verdict for r in urlfilter.judge(labelled, frame).collect()}
+        assert got == {i: "block" if b else "allow" for i, _, b in rows}
+
+
 # --- near-duplicates ---
 
 
