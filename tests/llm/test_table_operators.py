@@ -1,5 +1,6 @@
 """WARC, mixing, packing, search, URL filters, near-duplicates, pipeline: brute force, round trips and odd rows."""
 
+import gzip
 import math
 import random
 import re
@@ -34,7 +35,7 @@ def test_warc_round_trip(spark, tmp_path):
     html = ["<p>" + "x" * 200, "<p>" + "x" * 200, "short", "short", None, "", "a\r\n\r\nWARC/1.1\r\nContent-Length: 0\r\n\r\n" * 9, "é" * 60, "é" * 60, "é" * 60, "y" * 500_000]
     rows = [(i + 10, f"http://h/{i} \n", h, "own") for i, h in enumerate(html)] + [(17, "http://h/7", "é" * 60, "own"), (None, None, "z" * 150, "own")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload_digest string").repartition(3)
-    warc.write(pages, f"file://{tmp_path}/w", records=2)
+    warc.write(pages, f"file://{tmp_path}/w", date="2024-01-01T00:00:00Z")
     back = warc.read(spark, f"file://{tmp_path}/w").collect()
     assert len(back) == len(rows)
     by = {r.page_id: r for r in back if r.page_id != 17}
@@ -47,10 +48,39 @@ def test_warc_round_trip(spark, tmp_path):
     for r in back:
         if r.record_type == "response":
             assert len(r.payload) == r.payload_bytes
+    first = gzip.decompress(sorted((tmp_path / "w").glob("*.gz"))[0].read_bytes())
+    assert first.startswith(b"WARC/1.1\r\nWARC-Type: ") and b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" in first
+    heads = [h for f in (tmp_path / "w").glob("*.gz") for h, _ in warc.parse(f.read_bytes())]
+    assert {h["warc-refers-to-target-uri"] for h in heads if h["warc-type"] == "revisit"} == {"http://h/0%20", "http://h/7"}
     warc.write(pages.limit(0), f"file://{tmp_path}/none")
     assert warc.read(spark, f"file://{tmp_path}/none").count() == 0
 
 
+def test_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 40_000)
+    monkeypatch.setattr(warc, "CLASS_BYTES", (2_000, 10_000))
+    rng = random.Random(1)
+    rows = [(i, "http://h", "".join(rng.choice("abc") for _ in range(n))) for i, n in enumerate([10] * 100 + [5_000] * 30 + [50_000] * 3)]
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1), f"file://{tmp_path}/w", compression="none")
+    sizes = [f.stat().st_size for f in (tmp_path / "w").glob("*.txt")]
+    assert sorted(s > 40_000 for s in sizes)[-4:] == [False, True, True, True] and len(sizes) >= 5 + 8 + 3
+    monkeypatch.setattr(warc, "CHUNK_BYTES", 700)
+    monkeypatch.setattr(warc, "BATCH_BYTES", 3_000)
+    back = warc.read(spark, f"file://{tmp_path}/w").collect()
+    assert {(r.page_id, r.payload.decode()) for r in back} == {(i, h) for i, _, h in rows}
+
+
+def test_archives_are_read_in_a_stream(monkeypatch):
+    monkeypatch.setattr(warc, "CHUNK_BYTES", 7)
+    blocks = [b"x" * n + b"\r\n\r\nWARC/1.1\r\n" for n in (0, 5, 400)]
+    records = [b"WARC/1.1\r\nContent-Length: %d\r\nK: v\r\n\r\n%s\r\n\r\n" % (len(b), b) for b in blocks]
+    for data in (b"".join(records), gzip.compress(b"".join(records)), b"".join(map(gzip.compress, records))):
+        assert [(h["k"], b) for h, b in warc.parse(data)] == [("v", b) for b in blocks]
+    with pytest.raises(ValueError):
+        list(warc.parse(b"".join(records)[:-10]))
+    assert list(warc.parse(b"")) == []
+
+
 # --- mixing ---
 
 
