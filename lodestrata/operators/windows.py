@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 
 def latest(rows: DataFrame, by: list[str], order: list[Column], n: int = 1, rank: str | None = None) -> DataFrame:
     """The first n rows of each group; tasks cut to n before the shuffle."""
@@ -13,32 +15,66 @@ def latest(rows: DataFrame, by: list[str], order: list[Column], n: int = 1, rank
     return out.withColumnRenamed("__rn", rank) if rank else out.drop("__rn")
 
 
+def running_sum(rows: DataFrame, by: list[str], order: list[Column], value: Column, name: str) -> DataFrame:
+    """Rows with the sum of a whole-number ``value`` over the rows of their group up to them, in order.
+
+    No task holds a group: rows are dealt into ranges of (group, order) and summed within each; a range begins with the
+    sums of its group's earlier ranges, of which there are at most as many as shuffle partitions. Rows are stored once.
+    """
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("__v", value.cast("long")).repartitionByRange(ranges, *[F.col(c) for c in by], *order)
+    dealt = stored(dealt.withColumn("__range", F.spark_partition_id()))
+    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(*by, "__range").agg(F.sum("__v").alias("__sum"))
+    starts = starts.select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], F.col("__range").alias("__at"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))
+    same = F.col("__range") == F.col("__at")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__by{i}"))
+    within = Window.partitionBy(*by, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = dealt.join(starts, same).withColumn(name, F.sum("__v").over(within) + F.col("__start"))
+    return out.select(*[F.col(f"`{c}`") for c in rows.columns], name)
+
+
 def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
 def trailing_count(rows: DataFrame, by: list[str], ts: str, seconds: int, name: str) -> DataFrame:
-    """Rows of the group within the last ``seconds``, the row itself included."""
-    w = Window.partitionBy(*by).orderBy("__us").rangeBetween(-seconds * 1_000_000, 0)
-    return rows.withColumn("__us", micros(F.col(ts))).withColumn(name, F.count("*").over(w)).withColumn("__oldest", F.min("__us").over(w))
+    """Rows of the group within the last ``seconds``, the row itself included, ``__oldest``, the time of the first of
+    them, and ``__gap``, the time since the row before (null if that lies further back than two slots).
+
+    A group is cut into slots of time as long as the window, and each row also stands, as history only, in the next slot,
+    so a hot group is many tasks' work.
+    """
+    span = seconds * 1_000_000
+    slot = F.floor(F.col("__us") / span)
+    timed = rows.withColumn("__us", micros(F.col(ts)))
+    own = timed.withColumn("__slot", slot).withColumn("__own", F.lit(True))
+    keys = [F.col(f"`{c}`") for c in by]
+    past = timed.select(*[F.col(f"`{c}`") if c in by or c == "__us" else F.lit(None).cast(kind).alias(c) for c, kind in timed.dtypes], (slot + 1).alias("__slot"), F.lit(False).alias("__own"))
+    w = Window.partitionBy(*keys, "__slot").orderBy("__us")
+    recent = w.rangeBetween(-span, 0)
+    out = own.unionByName(past).withColumn(name, F.count("*").over(recent)).withColumn("__oldest", F.min("__us").over(recent))
+    out = out.withColumn("__gap", F.col("__us") - F.lag("__us").over(Window.partitionBy(*keys, "__slot").orderBy("__us", "__own"))).filter("__own")
+    return out.drop("__slot", "__own")
 
 
 def breaker(rows: DataFrame, by: list[str], ts: str, seconds: int = 60, limit: int = 3) -> DataFrame:
     """Rows at which ``limit`` failures lie within ``seconds``: the circuit is open."""
-    return trailing_count(rows, by, ts, seconds, "recent").filter(F.col("recent") >= limit).drop("__us", "__oldest")
+    return trailing_count(rows, by, ts, seconds, "recent").filter(F.col("recent") >= limit).drop("__us", "__oldest", "__gap")
 
 
 def rate_limit(rows: DataFrame, by: list[str], ts: str, seconds: int, limit: int, least: float = 0.5) -> DataFrame:
     """Rows at or above the limit with the delay until the oldest one leaves the window."""
     out = trailing_count(rows, by, ts, seconds, "recent").filter(F.col("recent") >= limit)
-    return out.withColumn("delay", F.greatest(F.lit(least), F.lit(float(seconds)) - (F.col("__us") - F.col("__oldest")) / 1e6)).drop("__us", "__oldest")
+    return out.withColumn("delay", F.greatest(F.lit(least), F.lit(float(seconds)) - (F.col("__us") - F.col("__oldest")) / 1e6)).drop("__us", "__oldest", "__gap")
 
 
 def restarts(rows: DataFrame, by: list[str], ts: str, seconds: int, limit: int, cool: int) -> DataFrame:
-    """Rows with more than ``limit`` in the window, and whether the gap to the one before is under ``cool`` seconds."""
-    w = Window.partitionBy(*by).orderBy("__us")
-    out = trailing_count(rows, by, ts, seconds, "recent").withColumn("gap_us", F.col("__us") - F.lag("__us").over(w))
-    return out.filter(F.col("recent") > limit).withColumn("cool_down", F.coalesce(F.col("gap_us") < cool * 1_000_000, F.lit(False))).drop("__us", "__oldest")
+    """Rows with more than ``limit`` in the window, and whether the gap to the one before is under ``cool`` seconds. With a
+    limit of 1 or more the row before lies in the window, so the gap is known there."""
+    out = trailing_count(rows, by, ts, seconds, "recent").filter(F.col("recent") > limit).withColumnRenamed("__gap", "gap_us")
+    return out.withColumn("cool_down", F.coalesce(F.col("gap_us") < cool * 1_000_000, F.lit(False))).drop("__us", "__oldest")
 
 
 def longest_streak(rows: DataFrame, by: list[str], order: list[Column], bad: Column) -> DataFrame:

@@ -245,3 +245,28 @@ def test_overlap_counts_every_word(spark):
     docs = spark.createDataFrame([(1, "The mat on a cat"), (2, "considerable"), (3, "東京 日本 of"), (4, "of of it"), (5, "")], "doc_id long, text string")
     got = sorted((r.item_id, r["rank"], r.doc_id, r.overlap) for r in queries.overlap_ranked(items, docs, 2).collect())
     assert got == [(1, 1, 1, 5), (2, 1, 3, 2), (3, 1, 4, 2), (3, 2, 2, 1)]
+
+
+def test_running_sums_need_no_whole_group(spark):
+    rows = [(None if i % 3 == 0 else f"g{0 if i % 3 == 1 else i % 7}", i, i % 5) for i in range(200)]
+    df = spark.createDataFrame(rows, "g string, i int, n int").repartition(7)
+    got = {r.i: r.total for r in windows.running_sum(df, ["g"], [F.col("i")], F.col("n"), "total").collect()}
+    assert got == {i: sum(n2 for g2, i2, n2 in rows if g2 == g and i2 <= i) for g, i, _ in rows}
+    got = {r.i: r.total for r in windows.running_sum(df, [], [F.col("i").desc()], F.lit(1), "total").collect()}
+    assert got == {i: 200 - i for i in range(200)}
+
+
+def test_trailing_counts_are_cut_into_slots(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = sorted({("hot" if rng.random() < 0.9 else "cold", rng.randrange(0, 4_000)) for _ in range(500)})
+    df = spark.createDataFrame([(i, k, s) for i, (k, s) in enumerate(rows)], "i int, k string, s int").withColumn("ts", F.timestamp_seconds("s"))
+    got = {r.i: (r.n, r.oldest, r.gap) for r in windows.trailing_count(df, ["k"], "ts", 60, "n").select("i", "n", F.col("__oldest").alias("oldest"), F.col("__gap").alias("gap")).collect()}
+    for i, (k, s) in enumerate(rows):
+        near = [x for j, x in rows if j == k and s - 60 <= x <= s]
+        before = [x for j, x in rows if j == k and x < s]
+        n, oldest, gap = got[i]
+        assert (n, oldest) == (len(near), min(near) * 1_000_000)
+        if n > 1:
+            assert gap == (s - max(before)) * 1_000_000
