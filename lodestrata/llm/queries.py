@@ -85,7 +85,8 @@ ORACLES: dict[str, str] = {
                CASE WHEN f.first <> h.page_id THEN f.first END AS refers_to
         FROM h LEFT JOIN f USING (payload_digest)""",
     "op5_mixing": r"""
-        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                     CASE WHEN doc_id IS NULL THEN md5(coalesce(text, '')) END AS mark FROM documents),
         s AS (SELECT source, sum(size)::BIGINT AS source_size,
                      [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1]::DOUBLE AS w
               FROM d GROUP BY source),
@@ -97,7 +98,7 @@ ORACLES: dict[str, str] = {
               WHERE (1.5::DOUBLE * total - full_before) / w_rest * w <= lim ORDER BY k LIMIT 1),
         t AS (SELECT source, source_size, least(w * level, lim) AS target FROM c, l),
         q AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS rate,
-                     ('0x' || substr(md5('mix:' || coalesce(d.doc_id, -1)), 1, 12))::BIGINT::DOUBLE / 281474976710656.0::DOUBLE AS drawn
+                     ('0x' || substr(md5('mix:' || coalesce(d.doc_id::VARCHAR, d.mark)), 1, 12))::BIGINT::DOUBLE / 281474976710656.0::DOUBLE AS drawn
               FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
         SELECT doc_id, size, source_size, target,
                (size * (floor(rate) + CASE WHEN drawn < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM q""",

@@ -121,6 +121,14 @@ def test_mixing_by_brute_force(spark):
     assert mixing.plan(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_rows_without_ids_come_near_their_target(spark):
+    docs = spark.createDataFrame([(None, f"w{i} " * 5, "b") for i in range(600)] + [(1, "x " * 1000, "a"), (2, "y " * 200, "c")], "doc_id long, text string, source string")
+    got = mixing.plan(docs).filter("source = 'b'").collect()
+    assert 0.2 < got[0].target / got[0].source_size % 1 < 0.99
+    assert abs(sum(r.taken for r in got) - got[0].target) < 0.1 * got[0].target
+    assert mixing.mix(docs).filter("source = 'b'").count() == sum(r.copies for r in got)
+
+
 # --- packing ---
 
 
