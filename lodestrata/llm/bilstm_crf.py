@@ -93,58 +93,68 @@ class Net:
         return best
 
 
-def _lse(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-
 def gradients(net: Net, x: np.ndarray, y: np.ndarray, penalty: np.ndarray) -> tuple[float, list[np.ndarray]]:
-    """Mean negative log-likelihood of the tags ``y`` per row, and its gradients in the order of ``parameters``."""
+    """Mean negative log-likelihood of the tags ``y`` per row, and its gradients in the order of ``parameters``.
+
+    The forward and backward sums are scaled to one at each step, so they need no logarithms; a step's greatest emission
+    is taken out before it is raised to a power.
+    """
     rows, steps = x.shape
     e, (both, both_ways, held) = net.run(x, keep=True)
     tags = e.shape[2]
-    moves = net.moves + penalty
-    alpha = np.empty((steps, rows, tags), np.float32)
-    beta = np.zeros((steps, rows, tags), np.float32)
-    alpha[0] = e[:, 0] + net.begin
-    for t in range(1, steps):
-        alpha[t] = _lse(alpha[t - 1][:, :, None] + moves, 1) + e[:, t]
-    for t in range(steps - 2, -1, -1):
-        beta[t] = _lse(moves + (beta[t + 1] + e[:, t + 1])[:, None, :], 2)
-    z = _lse(alpha[-1], 1)
-    marginal = np.exp(alpha + beta - z[None, :, None])
-    r = np.arange(rows)
-    gold = net.begin[y[:, 0]] + sum(e[r, t, y[:, t]] for t in range(steps)) + sum(moves[y[:, t - 1], y[:, t]] for t in range(1, steps))
-    d_moves = np.zeros_like(net.moves)
-    for t in range(1, steps):
-        d_moves += np.exp(alpha[t - 1][:, :, None] + moves + (beta[t] + e[:, t])[:, None, :] - z[:, None, None]).sum(axis=0)
-        np.subtract.at(d_moves, (y[:, t - 1], y[:, t]), 1)
-    d_e = marginal.copy()
+    moves = np.exp(net.moves + penalty)
+    top = e.max(axis=2)
+    weight = np.exp(e - top[:, :, None]).transpose(1, 0, 2)  # steps, rows, tags
+    start = net.begin.max()
+    alpha, beta, scale = np.empty_like(weight), np.ones_like(weight), np.empty((steps, rows, 1), weight.dtype)
     for t in range(steps):
-        d_e[t, r, y[:, t]] -= 1
+        a = (alpha[t - 1] @ moves if t else np.exp(net.begin - start)) * weight[t]
+        scale[t] = a.sum(axis=1, keepdims=True)
+        np.divide(a, scale[t], out=alpha[t])
+    back = weight / scale
+    for t in range(steps - 2, -1, -1):
+        np.matmul(beta[t + 1] * back[t + 1], moves.T, out=beta[t])
+    z = np.log(scale).sum(axis=(0, 2)) + top.sum(axis=1) + start
+    r, c = np.arange(rows)[:, None], np.arange(steps)
+    gold = net.begin[y[:, 0]] + e[r, c, y].sum(axis=1) + (net.moves + penalty)[y[:, :-1], y[:, 1:]].sum(axis=1)
+    d_e = alpha * beta
+    d_e[c[:, None], np.arange(rows), y.T] -= 1
     d_begin = d_e[0].sum(axis=0)
+    expected = alpha[:-1].reshape(-1, tags).T @ (beta[1:] * back[1:]).reshape(-1, tags) * moves
+    seen = np.bincount((y[:, :-1] * tags + y[:, 1:]).ravel(), minlength=tags * tags).reshape(tags, tags)
+    d_moves = (expected - seen).astype(net.moves.dtype)
     flat = both_ways.reshape(-1, both_ways.shape[2])
     d_out, d_bias = flat.T @ d_e.reshape(-1, tags), d_e.sum(axis=(0, 1))
     d_h = d_e @ net.out.T
     n = net.state.shape[1]
     d_h = np.stack([d_h[:, :, :n], d_h[::-1, :, n:]], axis=1)  # steps, 2, rows, n
-    d_in, d_state = np.zeros_like(net.inputs), np.zeros_like(net.state)
-    carry_h, carry_c = np.zeros((2, rows, n), np.float32), np.zeros((2, rows, n), np.float32)
+    carry_h, carry_c = np.zeros((2, rows, n), d_h.dtype), np.zeros((2, rows, n), d_h.dtype)
+    turned = net.state.transpose(0, 2, 1)
+    d_gates = np.empty((steps, 2, rows, 4 * n), d_h.dtype)
     for t in range(steps - 1, -1, -1):
-        h, c, gates, cand, tc = held[t]
+        _, before, gates, cand, tc = held[t]
         i, f, o = gates[:, :, :n], gates[:, :, n : 2 * n], gates[:, :, 2 * n :]
         dh = d_h[t] + carry_h
         dc = carry_c + dh * o * (1 - tc**2)
-        dg = np.concatenate([2 * dc * cand * i * (1 - i), 2 * dc * c * f * (1 - f), 2 * dh * tc * o * (1 - o), dc * i * (1 - cand**2)], axis=2)
+        dg = d_gates[t]
+        dg[:, :, :n] = dc * cand
+        dg[:, :, n : 2 * n] = dc * before
+        dg[:, :, 2 * n : 3 * n] = dh * tc
+        dg[:, :, : 3 * n] *= 2 * gates * (1 - gates)
+        dg[:, :, 3 * n :] = dc * i * (1 - cand**2)
         carry_c = dc * f
-        carry_h = np.matmul(dg, net.state.transpose(0, 2, 1))
-        d_state += np.matmul(h.transpose(0, 2, 1), dg)
-        for way in (0, 1):
-            np.add.at(d_in[way], both[way, :, t], dg[way])
+        carry_h = np.matmul(dg, turned)
+    states = np.stack([k[0] for k in held])  # steps, 2, rows, n
+    d_in, d_state = np.zeros_like(net.inputs), np.zeros_like(net.state)
+    for way in (0, 1):
+        d_state[way] = states[:, way].reshape(-1, n).T @ d_gates[:, way].reshape(rows * steps, -1)
+        one = np.zeros((rows * steps, net.inputs.shape[1]), d_h.dtype)
+        one[np.arange(rows * steps), both[way].T.ravel()] = 1
+        d_in[way] = one.T @ d_gates[:, way].reshape(rows * steps, -1)
     return float((z - gold).mean()), [g / rows for g in (d_in, d_state, d_out, d_bias, d_moves, d_begin)]
 
 
-def fit(x: np.ndarray, y: np.ndarray, symbols: int, tags: list[str], hidden: int = 16, steps: int = 320, batch: int = 48, rate: float = 0.015, seed: int = 7) -> Net:
+def fit(x: np.ndarray, y: np.ndarray, symbols: int, tags: list[str], hidden: int = 16, steps: int = 240, batch: int = 64, rate: float = 0.02, seed: int = 7) -> Net:
     """Train by Adam on shuffled batches; the same input gives the same net."""
     net, penalty, rng = Net.new(symbols, hidden, len(tags), seed), allowed(tags), np.random.default_rng(seed)
     first = [np.zeros_like(p) for p in net.parameters()]

@@ -1,18 +1,20 @@
 """Personal data: rules for exact forms, and a character-level BiLSTM-CRF for what the rules miss.
 
 The rules find e-mail addresses, IP addresses, card and phone numbers in whole texts. The net is trained in numpy, once
-in a driver, from labelled spans: texts with their spans, by default invented ones that show usual and unusual forms
-(``name (at) host``, numbers without the country's plus, cards next to other digits, defanged addresses) among numbers
-that are none. It reads windows of ``WINDOW`` characters that overlap by ``OVERLAP``; every window that can hold a span
-is read, and one can't unless a digit, an @ or a bracketed *at* is near (each accepted form has one), so most text costs
-only a search for these. Windows are decoded by themselves. A span cut off by a window's edge that no other window holds whole
-is read again in a window centred on it and twice as wide, and so on until it is whole. All spans are then reconciled over
-the text: equal ones add up, and of overlapping ones the set of greatest total confidence stays.
-What is left is checked exactly (parts up to 255, Luhn's sum, digit counts) and added where it meets no rule's span.
+in a driver for each set of labelled spans: at most ``LABELLED`` short passages of each kind that the rules find in the
+documents, drawn by hash from those whose crc32(doc_id) mod 5 isn't 0, and invented texts that show usual and unusual
+forms (``name (at) host``, ``name @ host . org``, numbers without the country's plus, cards next to other digits, defanged
+addresses) among numbers that are none. It reads windows of ``WINDOW`` characters that overlap by ``OVERLAP``; every
+window that can hold a span is read, and one can't unless a digit, an @ or a bracketed *at* is near (each accepted form
+has one), so most text costs only a search for these. Windows are decoded by themselves. A span cut off by a window's edge
+that no other window holds whole is read again in a window centred on it and twice as wide, and so on until it is whole.
+All spans are then reconciled over the text: equal ones add up, and of overlapping ones the set of greatest total
+confidence stays. What is left is checked exactly (parts up to 255, Luhn's sum, digit counts and groups) and added where
+it meets no rule's span.
 
 One narrow pass; the net (some 10 kB) goes with the tasks. Null texts are empty and have no spans; their digest is that
-of the empty string. Repeated rows are searched each for itself. Other columns are ignored by ``find`` and passed
-through by ``redact``.
+of the empty string. Repeated rows are searched each for itself. Very long texts are searched whole, some four bytes a
+character at a time. An empty table gives no rows. Other columns are ignored by ``find`` and passed through by ``redact``.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bilstm_crf import Net, allowed, fit, tags_of
@@ -35,6 +37,11 @@ TAGS = tags_of(KINDS)
 WINDOW, OVERLAP = 96, 48
 NEAR = 48
 GROUP = 1024
+#: Labelled passages of each kind that training takes from documents, documents that are looked through for them on
+#: average, and the characters kept around a span.
+LABELLED = 150
+LOOKED_AT = 20_000
+AROUND = 16
 #: Characters of texts that wait for their windows.
 HELD_CHARS = 4_000_000
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
@@ -102,14 +109,21 @@ def plausible(text: str, kind: str) -> bool:
     """The exact check of a span that the net adds."""
     if kind == "email":
         plain = re.sub(r"\s*(?:@|[(\[]\s*at\s*[)\]])\s*", "@", text, flags=re.I)
-        plain = re.sub(r"\s*[(\[]\s*dot\s*[)\]]\s*", ".", plain, flags=re.I)
+        plain = re.sub(r"\s*[(\[]\s*dot\s*[)\]]\s*|\s+\.\s+", ".", plain, flags=re.I)
         return re.fullmatch(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", plain) is not None
     if kind == "ip":
         plain = text.replace("[.]", ".")
         return re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", plain) is not None and parts_fit(plain)
     if kind == "card":
         return re.fullmatch(r"[0-9]([\x20-]?[0-9])+", text) is not None and 14 <= len(d := digits(text)) <= 19 and luhn(d)
-    return re.fullmatch(r"(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}", text) is not None
+    # a phone number without plus: 10 to 15 digits in two to six groups, of which the first may stand in brackets, that
+    # begin with 0 or are of the form 3-3-4; neither a date nor an address
+    if re.fullmatch(r"\(?[0-9]{2,5}\)?(?:[ ./-]{1,2}[0-9]{2,8}){1,5}", text) is None or text.count("(") != text.count(")"):
+        return False
+    groups = re.findall(r"[0-9]+", text)
+    if not 10 <= sum(map(len, groups)) <= 15 or re.fullmatch(r"[0-9]{4}-[0-9]{2}-[0-9]{2}[ ./-].*", text):
+        return False
+    return groups[0][0] == "0" or [len(g) for g in groups] == [3, 3, 4]
 
 
 # --- what the net reads ---
@@ -170,7 +184,7 @@ def invented(count: int = 2400, seed: int = 11) -> list[tuple[str, list[Span]]]:
 
     def email() -> str:
         who = rng.choice([word(), f"{word()}.{word()}", f"{word()}{num(2)}", f"{word()}.{num(2)}", f"{word()}_{word()}"])
-        return who + rng.choice(["@", "@", "@", " @ ", " (at) ", "(at)", " [at] ", "[at]"]) + host()
+        return who + rng.choice(["@", "@", "@", " @ ", " (at) ", "(at)", " [at] ", "[at]"]) + (host() if rng.random() < 0.85 else host().replace(".", rng.choice([" . ", " (dot) ", "[dot]"])))
 
     def ip() -> str:
         return rng.choice([".", ".", ".", "[.]"]).join(str(rng.randint(0, 255)) for _ in range(4))
@@ -184,10 +198,10 @@ def invented(count: int = 2400, seed: int = 11) -> list[tuple[str, list[Span]]]:
     def phone() -> str:
         area = num(3)
         local = rng.choice(["-", " ", "."]).join([num(3), num(4)])
-        return rng.choice([f"+{num(1)} ({area}) {local}", f"+{num(2)} {area} {local}", f"({area}) {local}", f"{area}-{num(3)}-{num(4)}", f"{area}.{num(3)}.{num(4)}", f"{area} {num(3)} {num(4)}"])
+        return rng.choice([f"+{num(1)} ({area}) {local}", f"+{num(2)} {area} {local}", f"({area}) {local}", f"{area}-{num(3)}-{num(4)}", f"{area}.{num(3)}.{num(4)}", f"{area} {num(3)} {num(4)}", f"0{num(3)} {num(rng.randint(6, 8))}", f"00{num(2)} {num(2)} {num(7)}", f"0{num(1)} " + " ".join(num(2) for _ in range(4)), f"0{num(2)}/{num(7)}", f"(0{num(3)}) {num(3)} {num(4)}"])
 
     def other() -> str:
-        return rng.choice([num(rng.randint(1, 9)), num(rng.randint(10, 13)), f"{num(4)}-{num(2)}-{num(2)}", f"{num(2)}:{num(2)}", f"{num(1)}.{num(2)}", f"v{num(1)}.{num(1)}.{num(2)}", f"{num(3)},{num(3)}", f"@{word()}", f"{word()}@{word()}", f"{num(2)}.{num(2)}.{num(4)}", f"({word()})", f"{word()} at {word()}", f"{num(4)}-{num(4)}"])
+        return rng.choice([num(rng.randint(1, 9)), num(rng.randint(10, 13)), f"{num(4)}-{num(2)}-{num(2)}", f"{num(2)}:{num(2)}", f"{num(4)}-{num(2)}-{num(2)} {num(2)}:{num(2)}:{num(2)}", f"{num(3)} {num(2)} {num(1)}", f"{num(1)}.{num(2)}", f"v{num(1)}.{num(1)}.{num(2)}", f"{num(3)},{num(3)}", f"@{word()}", f"{word()}@{word()}", f"{num(2)}.{num(2)}.{num(4)}", f"({word()})", f"{word()} at {word()}", f"{num(4)}-{num(4)}"])
 
     make = {"email": email, "ip": ip, "card": card, "phone": phone}
     out = []
@@ -229,14 +243,51 @@ def training_rows(labelled: list[tuple[str, list[Span]]], seed: int = 5) -> tupl
     return x, y
 
 
-@functools.lru_cache(maxsize=1)
+_NETS: dict[tuple, Net] = {}
+
+
+def train(labelled: list[tuple[str, list[Span]]]) -> Net:
+    """A net from texts with labelled spans; the same texts give the same net, which is kept."""
+    key = tuple((text, tuple(spans)) for text, spans in labelled)
+    if key not in _NETS:
+        if len(_NETS) >= 4:
+            _NETS.clear()
+        _NETS[key] = fit(*training_rows(labelled), N_SYMBOLS, TAGS)
+    return _NETS[key]
+
+
 def default_net() -> Net:
     return train(invented())
 
 
-def train(labelled: list[tuple[str, list[Span]]]) -> Net:
-    """A net from texts with labelled spans."""
-    return fit(*training_rows(labelled), N_SYMBOLS, TAGS)
+def net_for(docs: DataFrame) -> Net:
+    """A net trained on labelled passages of documents and on invented ones."""
+    return train(labelled(docs) + invented())
+
+
+def _passages(rows: Iterator[tuple]) -> Iterator[tuple]:
+    for place, raw in rows:
+        text = decoded(raw)
+        spans = base_spans(text)
+        for start, end, kind in spans:
+            first, last = max(0, start - AROUND), min(len(text), end + AROUND)
+            inside = [s for s in spans if first < s[1] and s[0] < last]
+            if last - first <= WINDOW and inside == [(start, end, kind)] and not NEEDED.search(text[first:start] + " " + text[end:last]):
+                yield place, kind, text[first:last].encode("utf-8", "replace").decode(), start - first, end - first
+
+
+def labelled(docs: DataFrame, each: int = LABELLED) -> list[tuple[str, list[Span]]]:
+    """At most ``each`` passages of each kind with the span that a rule finds in them and nothing near it that might be
+    another, from documents whose crc32(doc_id) mod 5 isn't 0."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_bytes().alias("text"))
+    place = F.xxhash64("id", "text", F.lit(5))
+    share = min(1.0, LOOKED_AT / max(1, rows.count()))
+    part = F.pmod(place, F.lit(1 << 30)) / F.lit(float(1 << 30))
+    fitted = F.coalesce(F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(5)) != 0, F.lit(True))
+    told = map_rows(rows.filter(fitted & (part < share)), [place, F.col("text")], _passages, "place long, kind string, text string, start int, stop int")
+    first = Window.partitionBy("kind").orderBy("place", "start", "text")
+    some = told.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= each).collect()
+    return [(r.text, [(r.start, r.stop, r.kind)]) for r in sorted(some)]
 
 
 def window_spans(net: Net, x: np.ndarray) -> list[list[tuple[int, int, str, float]]]:
@@ -387,7 +438,7 @@ def _find(net: Net, rows: Iterator[tuple]) -> Iterator[tuple]:
 
 def find(docs: DataFrame, net: Net | None = None) -> DataFrame:
     """Per document: counts of the rules' spans, the digest of their list, and the list of all spans."""
-    return map_rows(docs, [F.col("doc_id").cast("long"), text_bytes()], functools.partial(_find, net or default_net()), SCHEMA)
+    return map_rows(docs, [F.col("doc_id").cast("long"), text_bytes()], functools.partial(_find, net or net_for(docs)), SCHEMA)
 
 
 def mask(text: str, spans: list[Span]) -> str:
@@ -416,4 +467,4 @@ def redact(docs: DataFrame, net: Net | None = None) -> DataFrame:
     at, width = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
     columns = [text_bytes() if c == "text" else F.col(f"`{c}`") for c in names]
     schema = ", ".join(f"`{c}` {'string' if c == 'text' else kind}" for c, kind in docs.dtypes)
-    return map_rows(docs, columns, functools.partial(_redact, net or default_net(), at, width), schema)
+    return map_rows(docs, columns, functools.partial(_redact, net or net_for(docs), at, width), schema)

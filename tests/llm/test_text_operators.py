@@ -386,6 +386,27 @@ def test_net_finds_what_rules_miss():
     assert right / (right + missed) > 0.9 and right / (right + extra) > 0.9 and right > 1.5 * base
 
 
+def test_spans_of_the_net_are_checked():
+    good = [("email", "joe @ example . com"), ("email", "a.b (at) host (dot) org"), ("phone", "0049 89 1234567"), ("phone", "0171 2345678"), ("phone", "(0171) 234 5678"), ("phone", "017 555 7713"), ("phone", "01 23 45 67 89"), ("ip", "10[.]0[.]0[.]1"), ("card", "4111 1111 1111 1111")]
+    bad = [("email", "joe @ home"), ("phone", "2024-01-15 1030"), ("phone", "1234 567890"), ("phone", "0123456789"), ("phone", "(012 3456789"), ("phone", "0 1 2 3 4 5 6 7 8 9"), ("ip", "10.0.0.256"), ("card", "4111 1111 1111 1112")]
+    assert all(pii.plausible(t, k) for k, t in good) and not any(pii.plausible(t, k) for k, t in bad)
+
+
+def test_labelled_passages_come_from_documents(spark):
+    from zlib import crc32
+
+    rows = [(i, f"write to joe{i}@example.com as soon as you can or rather call +49 {i:03d} 5551234 when you have the time, said the man") for i in range(200)] + [(None, None), (900, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = pii.labelled(docs, 20)
+    assert 0 < len(got) <= 80 and got == pii.labelled(docs.repartition(5), 20)
+    used = set()
+    for text, ((start, end, kind),) in got:
+        assert (start, end, kind) in pii.base_spans(text) and len(text) <= pii.WINDOW
+        used |= {int(x) for x in re.findall(r"joe(\d+)@", text)}
+    assert used and all(crc32(str(i).encode()) % 5 for i in used)
+    assert pii.labelled(docs.limit(0)) == []
+
+
 def test_windows_hold_all_that_can_be_a_span():
     text = "word " * 100 + "call (017) 555-7713 or 4111" + " word" * 200 + " bob [at] host.org"
     inside = lambda a, b: any(s <= a and b <= s + pii.WINDOW for s in pii.windows(text))
