@@ -1,8 +1,12 @@
 """A pipeline over ``documents``: language, near-duplicates, personal data, mix, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; all but the last return the columns
-of ``documents``. ``run`` writes each stage's rows to the shared folder and reads them back, so a lost executor never
-costs more than a stage.
+of ``documents`` and pass extra ones through. ``run`` writes each stage's rows to the shared folder and reads them back, so
+a lost executor never costs more than a stage.
+
+Null and empty texts have no language and go in the first stage, as do texts without letters. Of rows that share an id
+one stays, rows with a null id all stay. Ties and repeated rows are settled by hashes, so reruns agree. Very long texts are
+handled whole by all stages. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,6 +20,8 @@ from lodestrata.llm.common import shared_dir, stored
 
 #: Below this score, or without letters, a document's language counts as unknown and the document goes.
 LEAST_SCORE = 0.2
+#: Percent of common five-word shingles from which documents are near-duplicates.
+SIMILAR = 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +29,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.deduplicate(docs)
+    return neardup.deduplicate(docs, SIMILAR)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
