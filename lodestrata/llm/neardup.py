@@ -46,7 +46,7 @@ BATCH = 16
 BLOCK = 1024
 BLOCK_BYTES = 8_000_000
 #: Members that a pivot's slot has on average, at most.
-SLOT = 20_000
+SLOT = 500
 MISS = 1e-8
 #: Links hold at 100 * common >= PERCENT * union.
 PERCENT = 85
