@@ -7,11 +7,14 @@ import json
 
 from pyspark.sql import functions as F
 
+from .config import EXPECTED_TOTALS
+from .functions import text as T
+from .operators import golden, graph
 from .plans import gate, status
-from .plans.ingest import Corpus, ingest
+from .plans.ingest import Corpus, ingest, ingest_dump, to_rows, write
 from .plans.retrieval import Engine
-from .session import session
-from .sources import dumps
+from .session import session, stored
+from .sources import dumps, files, packages
 
 
 def build_parser() -> argparse.ArgumentParser:
@@ -22,8 +25,9 @@ def build_parser() -> argparse.ArgumentParser:
     c.add_argument("folder")
     c.add_argument("--pattern")
     c.add_argument("--flat", action="store_true", help="don't enter subfolders")
-    c = sub.add_parser("dump", help="show the records of an entity dump")
+    c = sub.add_parser("dump", help="show or store the records of an entity dump")
     c.add_argument("path")
+    c.add_argument("--store", action="store_true", help="write them to the corpus")
     c = sub.add_parser("search", help="search one or all collections")
     c.add_argument("text")
     c.add_argument("-k", type=int, default=5)
@@ -46,6 +50,20 @@ def build_parser() -> argparse.ArgumentParser:
     c.add_argument("--dry-run", action="store_true")
     c.add_argument("--force", action="store_true")
     sub.add_parser("rollback", help="go back to the snapshot before")
+    c = sub.add_parser("packages", help="ingest the numeric package folders below a folder")
+    c.add_argument("folder")
+    c = sub.add_parser("coverage", help="rows against expected rows per collection")
+    c.add_argument("--expected", type=json.loads, default={}, help="expected rows by collection, as JSON")
+    c = sub.add_parser("crawl", help="pages reached from one, over stored pages (url, html)")
+    c.add_argument("pages")
+    c.add_argument("seed")
+    c.add_argument("--depth", type=int, default=3)
+    c.add_argument("--per-page", type=int, default=20)
+    c.add_argument("--pages-limit", type=int, default=1000)
+    c = sub.add_parser("regression", help="recall against that of another corpus")
+    c.add_argument("baseline")
+    c.add_argument("golden")
+    c.add_argument("-k", type=int)
     return p
 
 
@@ -66,7 +84,27 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "ingest":
         print(json.dumps(ingest(corpus, a.folder, a.pattern, not a.flat)))
     elif a.command == "dump":
-        show(dumps.normalise(dumps.read(spark, a.path)).select("collection", "chunk_id", "name", "class", "completeness"))
+        if a.store:
+            print(json.dumps(ingest_dump(corpus, a.path)))
+        else:
+            show(dumps.chunks(dumps.normalise(dumps.read(spark, a.path))).select("collection", "chunk_id", "name", "class", "completeness"))
+    elif a.command == "packages":
+        rows, result = packages.ingest(files.scan(spark, a.folder))
+        write(corpus, to_rows(rows, corpus.settings.default_version, corpus.embed))
+        show(result.orderBy("package"))
+    elif a.command == "coverage":
+        show(status.coverage(engine, a.expected or EXPECTED_TOTALS).orderBy("collection"))
+    elif a.command == "crawl":
+        pages = spark.read.parquet(a.pages).select(F.concat(T.host(F.col("url")), T.path(F.col("url"))).alias("src"), "url", "html")
+        links = pages.select("src", F.posexplode(T.html_links(F.col("url"), F.col("html"))).alias("pos", "link")).select("src", "pos", F.concat(T.host(F.col("link")), T.path(F.col("link"))).alias("dst"))
+        seed = spark.range(1).select(F.concat(T.host(F.lit(a.seed)), T.path(F.lit(a.seed))).alias("node"))
+        show(graph.budget(graph.crawl(seed, graph.same_host(links), a.depth, a.per_page), a.pages_limit))
+    elif a.command == "regression":
+        now, _ = gate.evaluate(engine, questions(spark, a.golden), a.k)
+        before, _ = gate.evaluate(Engine(Corpus(spark, a.baseline)), questions(spark, a.golden), a.k)
+        told = stored(golden.compare(now, before, "id"))
+        show(told.orderBy("id"))
+        return int(told.filter("status = 'regression'").limit(1).count() > 0)
     elif a.command == "search":
         show(engine.search_all(a.text, a.k, a.filter) if a.all else engine.search(a.text, a.k, a.filter, a.collection))
     elif a.command == "get":

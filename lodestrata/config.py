@@ -56,10 +56,10 @@ ENUMS = {
     "item_type": ["item", "weapon", "food", "drink", "clothing", "tool", "medication", "vehicle_part", "ammo", "component", "plant", "meat", "fish"],
 }
 # Extensions that a scan of game files passes over.
-SKIPPED_EXTENSIONS = (
-    "exe dll jar bat cmd bin png jpg jpeg gif bmp webp tiff tif svg psd xcf blend glb wav ogg mp3 flac m4a "
-    "mkv avi mov webm wmv fbx animstates x sfk pak lotpack lotheader lbc bk2 dat"
-).split()
+SKIPPED_EXTENSIONS = [
+    "exe", "dll", "jar", "bat", "cmd", "bin", "png", "jpg", "jpeg", "gif", "bmp", "webp", "tiff", "tif", "svg", "psd", "xcf", "blend", "glb", "wav",
+    "ogg", "mp3", "flac", "m4a", "mkv", "avi", "mov", "webm", "wmv", "fbx", "animstates", "x", "sfk", "pak", "lotpack", "lotheader", "lbc", "bk2", "dat",
+]
 # When a run goes to a human.
 MAX_RETRIES = 5
 ESCALATING = ["syntax_error_after_5_retries", "runtime_crash_after_5_retries", "api_misuse_detected", "security_policy_violation", "dependency_conflict_unresolvable"]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html.entities
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +25,14 @@ def content_hash(t: Column) -> Column:
     return F.sha2(t, 256)
 
 
+def bag_hash(item: Column) -> Column:
+    """Aggregate: 12 hexadecimal digits that tell a group's items whatever their order, as the sum of their hashes; tasks
+    send sums. Null items don't count."""
+    one = F.conv(F.left(F.sha2(item, 256), F.lit(12)), 16, 10).cast("decimal(20,0)")
+    total = F.coalesce(F.sum(one), F.lit(0).cast("decimal(30,0)"))
+    return F.lower(F.lpad(F.hex(F.pmod(total, F.lit(1 << 48).cast("decimal(20,0)")).cast("long")), 12, "0"))
+
+
 def chunk_id(source: Column, index: Column) -> Column:
     return F.concat_ws("::", source.cast("string"), F.lit("chunk"), index.cast("string"))
 
@@ -78,26 +89,50 @@ def prose(t: Column, limit: int = 3000) -> Column:
 
 
 # --- HTML ---
-#: The entities that occur in practice.
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
+#: Named entities by the standard library's table of HTML 4, with a plain blank for the one that doesn't break.
+ENTITIES = {name: chr(code) for name, code in html.entities.name2codepoint.items()} | {"apos": "'", "nbsp": " "}
+
+
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def unescaped(t: Column) -> Column:
+    """The text with its character references (named as in HTML 4, decimal, hexadecimal) read. What isn't one stays as it
+    is. The names are a literal of the plan, so the longer table of HTML 5 isn't used."""
+    return bound(t, lambda x: F.when(x.contains("&"), bound(F.split(x, "&"), _read_references)).otherwise(x))
+
+
+def _read_references(parts: Column) -> Column:
+    """The text whose parts begin behind ampersands, but for the first."""
+    names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+    # each step is its own pass, so that an expression of it is computed once: the reference, its character, the text
+    refs = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.struct(p.alias("part"), F.regexp_extract(p, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});", 1).alias("ref")))
+    code = lambda r: F.when(F.lower(r).startswith("#x"), F.conv(F.substring(r, 3, 8), 16, 10)).when(r.startswith("#"), F.substring(r, 2, 8)).cast("long")
+    coded = F.transform(refs, lambda x: F.struct(x["part"].alias("part"), x["ref"].alias("ref"), code(x["ref"]).alias("code")))
+    valid = lambda c: (c > 0) & (c < 0x110000) & ~c.between(0xD800, 0xDFFF)
+    char = lambda x: F.when(x["ref"] == "", None).when(x["code"].isNull(), F.try_element_at(names, x["ref"])).when(valid(x["code"]), F.decode(F.unhex(F.lpad(F.hex(x["code"]), 8, "0")), "UTF-32"))
+    told = F.transform(coded, lambda x: F.struct(x["part"].alias("part"), x["ref"].alias("ref"), char(x).alias("char")))
+    read = lambda x: F.when(x["char"].isNull(), F.concat(F.lit("&"), x["part"])).otherwise(F.concat(x["char"], F.substr(x["part"], F.length(x["ref"]) + 2)))
+    return F.array_join(F.concat(F.slice(parts, 1, 1), F.transform(told, read)), "")
 
 
 def html_text(h: Column) -> Column:
-    """Visible text: scripts, styles and comments go, breaks and paragraphs become lines, other tags blanks."""
+    """Visible text: scripts, styles and comments go, breaks and paragraphs become lines, other tags blanks, so words of
+    neighbouring cells and blocks stay apart. Character references are read last."""
     t = F.regexp_replace(h, r"(?is)<script[^>]*>.*?</script>", " ")
     t = F.regexp_replace(t, r"(?is)<style[^>]*>.*?</style>", " ")
     t = F.regexp_replace(t, r"(?s)<!--.*?-->", " ")
     t = F.regexp_replace(t, r"(?i)<br\s*/?>", "\n")
     t = F.regexp_replace(t, r"(?i)</?p(?:\s[^>]*)?>", "\n")
     t = F.regexp_replace(t, r"<[^>]+>", " ")
-    for entity, char in ENTITIES.items():
-        t = F.replace(t, F.lit(entity), F.lit(char))
-    t = F.regexp_replace(t, r"[ \t]+", " ")
+    t = F.regexp_replace(unescaped(t), r"[ \t]+", " ")
     return F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"^[ \n]+|[ \n]+$", "")
 
 
 def html_title(h: Column, default: str = "Untitled") -> Column:
-    t = squeeze(F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1))
+    t = squeeze(unescaped(F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1)))
     return F.when(t == "", F.lit(default)).otherwise(t)
 
 

@@ -1,10 +1,113 @@
-"""The quality gate: expected against retrieved ids, recall per question, campaigns, comparison, verdict."""
+"""The quality gate: expected against retrieved ids, recall per question, campaigns, comparison, verdict.
+
+Golden items are a query set that is put to all documents in blocks of a bounded number of words, which is what is sent to
+all tasks. A pass over the documents leaves each task's best few for each item, and only these are shuffled.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import word_list
+from ..session import shared_dir, stored
+from .windows import latest, running_sum
+
+#: Words of the items of a block; an item with more is a block of its own. Numbers of a tile of documents and items.
+BLOCK_WORDS = 200_000
+TILE = 2_000_000
+
+
+def item_blocks(items: DataFrame) -> list[DataFrame]:
+    """The items (item_id, text) in blocks of at most ``BLOCK_WORDS`` words and one item; stored."""
+    words = items.select("item_id", "text", F.size(word_list(F.col("text"))).cast("long").alias("__n"))
+    numbered = running_sum(words, [], [F.col("item_id")], F.col("__n"), "__sum").withColumn("__block", F.expr(f"(__sum - __n) div {BLOCK_WORDS}"))
+    told = stored(numbered.select("item_id", "text", "__block"))
+    return [told.filter(F.col("__block") == b[0]).drop("__block") for b in told.select("__block").distinct().orderBy("__block").collect()]
+
+
+def _anchors(words: str) -> Column:
+    """Hashes of all runs of four words of an array."""
+    last = F.greatest(F.size(words) - 3, F.lit(1))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.array_join(F.slice(words, i, 4), " "))))
+
+
+def passages(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (item_id, doc_id) whose document contains the item's text. The item's second to fifth words stand whole in any
+    text that contains it, so documents meet it by the hash of these and are then searched; items of under six words are
+    searched for in all documents. Each block is one pass over the documents, and neither texts nor runs of words move."""
+    out = None
+    for block in item_blocks(items):
+        keyed = block.select("item_id", F.col("text").alias("passage"), word_list(F.col("text")).alias("w"))
+        long = keyed.filter(F.size("w") >= 6).select("item_id", "passage", F.xxhash64(F.array_join(F.slice("w", 2, 4), " ")).alias("anchor"))
+        spread = docs.select("doc_id", "text", word_list(F.col("text")).alias("w")).select("doc_id", "text", F.explode(_anchors("w")).alias("anchor"))
+        met = spread.join(F.broadcast(long), "anchor").filter(F.col("text").contains(F.col("passage"))).select("item_id", "doc_id")
+        few = keyed.filter(F.size("w") < 6).select("item_id", "passage")
+        part = met.union(docs.join(F.broadcast(few), F.col("text").contains(F.col("passage"))).select("item_id", "doc_id"))
+        out = part if out is None else out.union(part)
+    return docs.sparkSession.createDataFrame([], "item_id long, doc_id long") if out is None else out.distinct()
+
+
+def _best(counts: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows of counts for documents (in columns: items) the best k of each column, by count, then id."""
+    order = np.lexsort((np.broadcast_to(ids[:, None] if ids.ndim == 1 else ids, counts.shape), -counts), axis=0)[:k]
+    ids = np.broadcast_to(ids[:, None], counts.shape) if ids.ndim == 1 else ids
+    return np.take_along_axis(counts, order, axis=0), np.take_along_axis(ids, order, axis=0)
+
+
+def _overlaps(places: dict[bytes, np.ndarray], items: np.ndarray, k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = len(items)
+    counts, ids = np.zeros((0, n), dtype=np.int32), np.zeros((0, n), dtype=np.int64)
+    rows: list[np.ndarray] = []
+    docs: list[int] = []
+
+    def settle() -> None:
+        nonlocal counts, ids
+        if rows:
+            c, i = _best(np.stack(rows), np.array(docs, dtype=np.int64), k)
+            counts, ids = _best(np.concatenate([counts, c]), np.concatenate([ids, i]), k)
+            rows.clear()
+            docs.clear()
+
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            found = [places[w] for w in set((text.as_py() or b"").split()) if w in places]
+            if found:
+                rows.append(np.bincount(np.concatenate(found), minlength=n).astype(np.int32))
+                docs.append(doc_id)
+                if len(rows) * n >= TILE:
+                    settle()
+    settle()
+    keep = counts > 0
+    at = np.nonzero(keep)[1]
+    yield pa.RecordBatch.from_arrays([pa.array(items[at]), pa.array(ids[keep]), pa.array(counts[keep].astype(np.int64))], ["item_id", "doc_id", "overlap"])
+
+
+def overlap_ranked(items: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """The k documents that share most distinct words, in lower case, with each item: item_id, doc_id, overlap and rank. A
+    document that shares none is not ranked, nor is one without an id; ties go to the smaller id."""
+    at, n, out = shared_dir(docs.sparkSession), 0, None
+    texts = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.lower("text").cast("binary"))
+    for block in item_blocks(items.select("item_id", F.lower("text").alias("text"))):
+        rows = sorted((r.item_id, r.text or "") for r in block.collect())
+        places: dict[bytes, list[int]] = {}
+        for i, (_, text) in enumerate(rows):
+            for w in set(text.encode().split()):
+                places.setdefault(w, []).append(i)
+        told = {w: np.array(p) for w, p in places.items()}
+        found = texts.mapInArrow(functools.partial(_overlaps, told, np.array([i for i, _ in rows], dtype=np.int64), k), "item_id long, doc_id long, overlap long")
+        part = stored(found, f"{at}/{n}")
+        out, n = part if out is None else out.unionByName(part), n + 1
+    if out is None:
+        out = docs.sparkSession.createDataFrame([], "item_id long, doc_id long, overlap long")
+    return latest(out, ["item_id"], [F.col("overlap").desc(), F.col("doc_id")], k, "rank")
+
+
 
 def recall(questions: DataFrame, expected: DataFrame, retrieved: DataFrame, k: int, question: str, doc: str) -> DataFrame:
     """Per question: expected, hits within the first k, recall (0 if nothing is expected). Pairs meet by hash joins."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_dir, stored
@@ -46,9 +46,15 @@ def crawl(seeds: DataFrame, links: DataFrame, max_depth: int, per_page: int | No
     return seen
 
 
-def budget(visited: DataFrame, pages: int) -> DataFrame:
-    """The first pages of a crawl by depth, then name."""
-    return visited.orderBy("depth", "node").limit(pages)
+def same_host(links: DataFrame) -> DataFrame:
+    """Links that stay on their page's host; nodes are host and path."""
+    site = lambda c: F.substring_index(c, "/", 1)
+    return links.filter(site("src") == site("dst"))
+
+
+def budget(visited: DataFrame, pages: int, by: list[str] | None = None) -> DataFrame:
+    """The first pages of a crawl by depth, then name: of all, or of each group."""
+    return latest(visited, by, [F.col("depth"), F.col("node")], pages) if by else visited.orderBy("depth", "node").limit(pages)
 
 
 def crawl_stats(visited: DataFrame, failed: DataFrame | None = None) -> DataFrame:
@@ -59,11 +65,11 @@ def crawl_stats(visited: DataFrame, failed: DataFrame | None = None) -> DataFram
     return out.withColumn("failed", n)
 
 
-def typed_edges(rows: DataFrame, category: str, name: str, targets: str, target_category: str, link_type: str, confidence: float = 1.0) -> DataFrame:
+def typed_edges(rows: DataFrame, category: str, name: str, targets: str, target_category: str, link_type: str, confidence: float | Column = 1.0) -> DataFrame:
     """Links from each row to the names in its list, as stored link rows without repeats."""
     return rows.select(
         F.lit(category).alias("source_category"), F.col(name).alias("source_name"), F.lit(target_category).alias("target_category"),
-        F.explode(targets).alias("target_name"), F.lit(link_type).alias("link_type"), F.lit(confidence).alias("confidence"),
+        F.explode(targets).alias("target_name"), F.lit(link_type).alias("link_type"), (confidence if isinstance(confidence, Column) else F.lit(confidence)).alias("confidence"),
     ).distinct()
 
 

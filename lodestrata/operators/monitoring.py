@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,6 +35,21 @@ def coverage(rows: DataFrame, by: list[str], documented: Column, score: Column)
     return out.withColumn("coverage_pct", pct(F.col("documented"), F.col("total")))
 
 
+def mean_coverage(covered: DataFrame, share: str = "coverage_pct") -> DataFrame:
+    """One row: categories, and the plain mean of their shares, however many rows each has."""
+    return covered.agg(F.count("*").alias("categories"), F.round(F.avg(share), 6).alias("mean_coverage"), F.min(share).alias("least_coverage"))
+
+
+def pipeline_totals(stages: DataFrame, by: list[str], most: int = 20) -> DataFrame:
+    """Per run, the sums over its stages (stage, done, failed) and the names of those that failed, in order; of more than
+    ``most`` failures the first, with their number in ``n_failures``."""
+    bad = F.when(F.col("failed") > 0, F.col("stage"))
+    first = stages.filter(F.col("failed") > 0).withColumn("__k", F.row_number().over(Window.partitionBy(*by).orderBy("stage"))).filter(F.col("__k") <= most)
+    names = first.groupBy(*by).agg(F.array_sort(F.collect_list("stage")).alias("failures"))
+    sums = stages.groupBy(*by).agg(F.count("*").alias("stages"), F.sum("done").alias("done"), F.sum("failed").alias("failed"), F.count(bad).alias("n_failures"))
+    return sums.join(names, by, "left").withColumn("failures", F.coalesce("failures", F.array().cast("array<string>")))
+
+
 def status_of(share: Column) -> Column:
     return F.when(share >= 95, "OK").when(share >= 80, "WARN").otherwise("FAIL")
 

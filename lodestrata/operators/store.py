@@ -1,6 +1,7 @@
 """The chunk store: one Parquet dataset per snapshot, partitioned by collection; keyed writes without MERGE.
 
-A write never overwrites what it reads: it makes a new snapshot and then moves the pointer.
+A write never overwrites what it reads: it makes a new snapshot and then writes the next pointer. Pointers are numbered and
+never replaced, so a crash leaves the one before, and of two writers that read the same one the second fails.
 """
 
 from __future__ import annotations
@@ -12,6 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .. import schemas
+from ..functions import text as T
+from .windows import running_sum
+
 
 def newest(rows: DataFrame, keys: list[str], by: list[Column]) -> DataFrame:
     """One row per key, the first in the given order."""
@@ -25,9 +30,15 @@ def upsert(base: DataFrame, batch: DataFrame, keys: list[str], by: str) -> DataF
     return newest(both, keys, [F.col(by).desc_nulls_last(), F.col("__new").desc()]).drop("__new")
 
 
+def upsert_table(base: DataFrame, batch: DataFrame, table: str, by: str) -> DataFrame:
+    """Upsert into a relational table, by its own key."""
+    return upsert(schemas.typed(base, table), schemas.typed(batch, table), schemas.KEYS[table], by)
+
+
 def insert_ignore(base: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
-    """Base and those rows of the batch whose key is new; of rows that share a new key one stays."""
-    return base.unionByName(batch.dropDuplicates(keys).join(base.select(*keys), keys, "left_anti").select(*base.columns))
+    """Base and those rows of the batch whose key is new; of rows that share a new key the first by all columns stays."""
+    new = batch.join(base.select(*keys).distinct(), keys, "left_anti").select(*base.columns)
+    return base.unionByName(newest(new, keys, [F.col(c).asc_nulls_last() for c in base.columns if c not in keys] or [F.lit(0)]))
 
 
 def delete(base: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
@@ -46,21 +57,14 @@ def keep_newest(rows: DataFrame, by: list[str], order: list[Column], n: int) ->
 
 
 def batches(rows: DataFrame, by: str, size: Column, limit: int, order: list[Column]) -> DataFrame:
-    """Numbers batches within each group so that a batch's running bytes pass the limit once."""
-    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum(size).over(w)
-    return rows.withColumn("cum_bytes", total).withColumn("batch_no", F.floor((total - 1) / limit).cast("long"))
+    """Numbers batches within each group so that a batch's running bytes pass the limit once. ``limit`` and sizes are whole
+    numbers; no task holds a group."""
+    return running_sum(rows, [by], order, size, "cum_bytes").withColumn("batch_no", F.expr(f"(cum_bytes - 1) div {limit}"))
 
 
 def fingerprint(rows: DataFrame, by: list[str], name: Column, digest: Column) -> DataFrame:
-    """First 12 digits of a hash over the sorted (name, digest) of each group.
-
-    Groups are reduced by hash prefix first, so no task gathers a whole group: the digest is a hash of bucket digests.
-    """
-    item = F.concat_ws(":", name.cast("string"), digest)
-    bucket = F.substring(F.sha2(item, 256), 1, 2)
-    part = rows.groupBy(*by, bucket.alias("__b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(item)), "\n"), 256).alias("__h"))
-    return part.groupBy(*by).agg(F.left(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("__b", "__h"))), "\n"), 256), F.lit(12)).alias("fingerprint"))
+    """12 digits that tell the set of (name, digest) of each group: hashes are summed, so no task gathers a group."""
+    return rows.groupBy(*by).agg(T.bag_hash(F.concat_ws(":", name.cast("string"), digest)).alias("fingerprint"))
 
 
 class Snapshots:
@@ -73,19 +77,33 @@ class Snapshots:
         self.fs = hadoop.Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
         self.fs.mkdirs(hadoop.Path(self.root))
 
+    def _numbers(self) -> list[int]:
+        """The numbers of the pointers, the newest first."""
+        names = [s.getPath().getName() for s in self.fs.listStatus(self._path(self.root))]
+        return sorted((int(n[8:-5]) for n in names if n.startswith("CURRENT-") and n.endswith(".json")), reverse=True)
+
     def _read_pointer(self) -> dict:
-        p = self._path(f"{self.root}/CURRENT.json")
-        if not self.fs.exists(p):
-            return {"current": None, "history": []}
-        return json.loads(self.spark.read.text(f"{self.root}/CURRENT.json", wholetext=True).first()[0])
+        for n in self._numbers():
+            text = self.spark.read.text(f"{self.root}/CURRENT-{n}.json", wholetext=True).first()
+            try:
+                return json.loads(text[0]) | {"number": n}
+            except (TypeError, ValueError):
+                continue  # its writer was lost while it wrote
+        return {"current": None, "history": [], "number": 0}
 
     def _point(self, state: dict) -> None:
-        tmp, final = self._path(f"{self.root}/.CURRENT.json.tmp"), self._path(f"{self.root}/CURRENT.json")
-        out = self.fs.create(tmp, True)
-        out.write(bytearray(json.dumps(state).encode()))
+        """Write the pointer after the one that ``state`` was read from; an error if another writer has, or has begun to."""
+        number = state["number"] + 1
+        numbers = self._numbers()
+        broken = max([n for n in numbers if n > state["number"]], default=0)
+        if broken and self._read_pointer()["number"] != state["number"]:
+            raise RuntimeError(f"{self.root} was changed by another writer")
+        number = max(number, broken + 1)
+        out = self.fs.create(self._path(f"{self.root}/CURRENT-{number}.json"), False)
+        out.write(bytearray(json.dumps(state | {"number": number}).encode()))
         out.close()
-        self.fs.delete(final, False)
-        self.fs.rename(tmp, final)
+        for old in numbers[10:]:
+            self.fs.delete(self._path(f"{self.root}/CURRENT-{old}.json"), False)
 
     def current(self) -> DataFrame | None:
         state = self._read_pointer()
@@ -98,7 +116,11 @@ class Snapshots:
     def list(self) -> list[str]:
         return self._read_pointer()["history"]
 
-    def publish(self, rows: DataFrame, keep: int, partition_by: str | None = "collection") -> str:
+    def note(self) -> dict:
+        """What was noted with the current version."""
+        return self._read_pointer().get("note", {})
+
+    def publish(self, rows: DataFrame, keep: int, partition_by: str | None = "collection", note: dict | None = None) -> str:
         """Write a new version, make it current, and drop all but the newest ``keep`` before it."""
         state = self._read_pointer()
         name = f"v{time.time_ns()}"
@@ -108,7 +130,7 @@ class Snapshots:
         writer.option("maxRecordsPerFile", 1_000_000).parquet(f"{self.root}/{name}")
         history = [*state["history"], name]
         schemas = state.get("schemas", {}) | {name: rows.schema.json()}
-        self._point({"current": name, "history": history[-(keep + 1) :], "schemas": {n: schemas[n] for n in history[-(keep + 1) :]}})
+        self._point({"number": state["number"], "current": name, "history": history[-(keep + 1) :], "schemas": {n: schemas[n] for n in history[-(keep + 1) :]}, "note": note or {}})
         for old in history[: -(keep + 1)]:
             self.fs.delete(self._path(f"{self.root}/{old}"), True)
         return name
@@ -137,3 +159,12 @@ def audit(spark: SparkSession, path: str, event: str, body: dict) -> None:
 def quarantine(rows: DataFrame, path: str) -> None:
     """Append bad rows as JSON by day; their sources are never changed."""
     rows.withColumn("day", F.to_date("at")).write.mode("append").partitionBy("day").json(path)
+
+
+def save_raw(rows: DataFrame, path: str, name: str, body: str, by: str | None = None) -> None:
+    """Append raw records as JSON files below ``path``, named by 12 digits of their hash and a plain form of their name.
+    Files appear when the write commits, so none is seen half-written; equal records have equal names."""
+    plain = F.left(F.regexp_replace(F.lower(F.trim(name)), r"[^a-z0-9._-]+", "_"), F.lit(80))
+    named = rows.select(*([by] if by else []), F.concat(F.left(F.sha2(body, 256), F.lit(12)), F.lit("_"), plain, F.lit(".json")).alias("name"), F.col(body).alias("body"))
+    once = newest(named, [*([by] if by else []), "name"], [F.col("body")])
+    once.write.mode("append").partitionBy(*([by] if by else []), "name").text(path)

@@ -106,6 +106,19 @@ def backoff(attempt: Column, base: float = 5.0) -> Column:
     return F.lit(base) * F.pow(F.lit(2.0), attempt - 1)
 
 
+def replay(events: DataFrame, by: list[str], order: list[str], passed: str, limit: int = 5) -> DataFrame:
+    """The status that each run's events, in order, lead it to from *planning*, with its retries and number of events. An
+    event takes the run one transition on; a failed validation costs a retry. The events of one run are held together."""
+    step = F.array_sort(F.collect_list(F.struct(*order, passed)))
+    start = F.struct(F.lit("planning").alias("status"), F.lit(0).alias("retries"))
+
+    def after(acc: Column, e: Column) -> Column:
+        to = next_status(acc["status"], e[passed], acc["retries"], F.lit(limit))
+        return F.struct(to.alias("status"), (acc["retries"] + F.when(to == "fixing", 1).otherwise(0)).alias("retries"))
+
+    return events.groupBy(*by).agg(step.alias("__e")).select(*by, F.aggregate("__e", start, after).alias("s"), F.size("__e").alias("events")).select(*by, "s.status", "s.retries", "events")
+
+
 def next_status(status: Column, passed: Column, retries: Column, limit: Column) -> Column:
     """The transition table of a run."""
     return (

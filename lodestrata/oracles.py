@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from .config import INTENT_COLLECTIONS
+from .functions.text import ENTITIES
+
 _COS = "round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6)"
 _DOT = "round(list_inner_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6)"
 _L2 = "round(list_distance(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6)"
@@ -31,8 +34,19 @@ for _p, _r in (
     (r"(?is)<script[^>]*>.*?</script>", "' '"), (r"(?is)<style[^>]*>.*?</style>", "' '"), (r"(?s)<!--.*?-->", "' '"), (r"(?i)<br\s*/?>", "chr(10)"), (r"(?i)</?p(?:\s[^>]*)?>", "chr(10)"), (r"<[^>]+>", "' '"),
 ):
     _HTML = f"regexp_replace({_HTML}, '{_p}', {_r}, 'g')"
-for _e, _c in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "''''"), ("&apos;", "''''"), ("&amp;", "'&'")):
-    _HTML = f"replace({_HTML}, '{_e}', {_c})"
+_REFS = "MAP {" + ", ".join("'" + n + "': '" + c.replace("'", "''") + "'" for n, c in ENTITIES.items()) + "}"
+
+
+def _unescape(t: str) -> str:
+    """Parts begin behind ampersands; the first is kept as it is."""
+    ref = r"regexp_extract(p, '^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});', 1)"
+    code = f"CASE WHEN lower({ref}) LIKE '#x%' THEN ('0x' || substr({ref}, 3))::BIGINT WHEN {ref} LIKE '#%' THEN substr({ref}, 2)::BIGINT END"
+    char = f"CASE WHEN {ref} = '' THEN NULL WHEN {ref} LIKE '#%' THEN CASE WHEN {code} > 0 AND {code} < 1114112 AND NOT {code} BETWEEN 55296 AND 57343 THEN chr(({code})::INTEGER) END ELSE refs[{ref}] END"
+    read = f"CASE WHEN {char} IS NULL THEN '&' || p ELSE {char} || substr(p, length({ref}) + 2) END"
+    return f"array_to_string([string_split({t}, '&')[1]] || list_transform(string_split({t}, '&')[2:], lambda p: {read}), '')"
+
+
+_HTML = f"(SELECT {_unescape('h')} FROM (SELECT {_HTML} AS h))"
 _HTML = rf"regexp_replace(regexp_replace(regexp_replace({_HTML}, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
 
 _HOST = r"lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1))"
@@ -50,6 +64,12 @@ _EDGES = rf"""{_LINKS},
     s0 AS (SELECT {_HOST} || {_PATH} AS src, pos, link AS url FROM k),
     e AS (SELECT src, pos, {_HOST} || {_PATH} AS dst FROM s0)"""
 
+
+
+def _bag(item: str) -> str:
+    return f"printf('%012x', (coalesce(sum(('0x' || substr(sha256({item}), 1, 12))::BIGINT), 0) % 281474976710656)::BIGINT)"
+
+
 _COVERED = "c AS (SELECT d.doc_id, d.lang, d.source, l.quality FROM documents d LEFT JOIN labels l USING (doc_id))"
 _COVERAGE = f"""WITH {_COVERED},
     g AS (SELECT source, count(*) AS total, count(quality) AS documented, round(avg(coalesce(quality, 0)), 6) AS avg_completeness FROM c GROUP BY source),
@@ -67,8 +87,8 @@ def _trailing(by: str, seconds: int) -> str:
 
 
 _GOLDEN = r"""
-    w AS (SELECT doc_id AS id, 'd' AS kind, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[^\t\n\f\r\x0B ]+'), lambda x: length(x) >= 8))) AS w FROM documents
-          UNION ALL SELECT item_id, 'i', unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[^\t\n\f\r\x0B ]+'), lambda x: length(x) >= 8))) FROM benchmark),
+    w AS (SELECT doc_id AS id, 'd' AS kind, unnest(list_distinct(regexp_extract_all(lower(text), '[^\t\n\f\r\x0B ]+'))) AS w FROM documents
+          UNION ALL SELECT item_id, 'i', unnest(list_distinct(regexp_extract_all(lower(text), '[^\t\n\f\r\x0B ]+'))) FROM benchmark),
     o AS (SELECT i.id AS item_id, d.id AS doc_id, count(*) AS overlap FROM w i JOIN w d ON i.w = d.w AND i.kind = 'i' AND d.kind = 'd' GROUP BY ALL),
     r AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, doc_id) AS rank FROM o),
     e AS (SELECT i.item_id, d.doc_id FROM benchmark i JOIN documents d ON contains(d.text, i.text))"""
@@ -139,18 +159,17 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT doc_id, 'q' || quality, 2 FROM labels UNION ALL SELECT -doc_id - 1, 'new', 2 FROM labels WHERE toxic = 1""",
     "insert_ignore": "SELECT doc_id, 'base' AS origin FROM labels UNION ALL SELECT doc_id, 'batch' FROM documents ANTI JOIN labels USING (doc_id)",
     "delete_rows": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)",
-    "directory_fingerprint": """WITH i AS (SELECT source, doc_id || ':' || sha256(text) AS item FROM documents),
-        b AS (SELECT source, substr(sha256(item), 1, 2) AS b, sha256(array_to_string(list_sort(list(item)), chr(10))) AS h FROM i GROUP BY ALL)
-        SELECT source, left(sha256(array_to_string(list_sort(list(b || h)), chr(10))), 12) AS fingerprint FROM b GROUP BY source""",
-    "batch_bytes": """WITH d AS (SELECT source, doc_id // 1000 AS run, doc_id, n_chars + 512 AS bytes FROM documents),
-        c AS (SELECT *, sum(bytes) OVER (PARTITION BY source, run ORDER BY doc_id) AS cum FROM d)
-        SELECT source, run, ((cum - 1) // 100000)::BIGINT AS batch_no, count(*) AS n_rows, sum(bytes)::BIGINT AS n_bytes FROM c GROUP BY ALL""",
+    "directory_fingerprint": f"SELECT source, {_bag("doc_id || ':' || sha256(text)")} AS fingerprint FROM documents GROUP BY source",
+    "batch_bytes": """WITH d AS (SELECT source, doc_id, n_chars + 512 AS bytes FROM documents),
+        c AS (SELECT *, sum(bytes) OVER (PARTITION BY source ORDER BY doc_id) AS cum FROM d)
+        SELECT source, ((cum - 1) // 100000)::BIGINT AS batch_no, count(*) AS n_rows, sum(bytes)::BIGINT AS n_bytes FROM c GROUP BY ALL""",
     "trigram_similarity": """WITH n AS (SELECT DISTINCT p_brand AS name FROM part UNION SELECT DISTINCT p_type FROM part),
         p AS (SELECT name, '  ' || lower(name) || ' ' AS s FROM n), g AS (SELECT name, list_distinct(list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3))) AS g FROM p)
         SELECT a.name AS a, b.name AS b, round(len(list_intersect(a.g, b.g))::DOUBLE / len(list_distinct(a.g || b.g)), 6) AS similarity FROM g a JOIN g b ON a.name < b.name
         WHERE round(len(list_intersect(a.g, b.g))::DOUBLE / len(list_distinct(a.g || b.g)), 6) >= 0.3""",
-    "html_text": f"WITH t AS (SELECT page_id, {_HTML} AS t FROM pages) SELECT page_id, length(t) AS text_length, left(t, 100) AS head, sha256(t) AS text_hash FROM t",
-    "html_title": r"""WITH t AS (SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS t FROM pages)
+    "html_text": f"WITH m AS (SELECT {_REFS} AS refs), t AS (SELECT page_id, {_HTML} AS t FROM pages, m) SELECT page_id, length(t) AS text_length, left(t, 100) AS head, sha256(t) AS text_hash FROM t",
+    "html_title": rf"""WITH m AS (SELECT {_REFS} AS refs), x AS (SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS h, refs FROM pages, m),
+        t AS (SELECT page_id, trim(regexp_replace({_unescape('h')}, '\s+', ' ', 'g')) AS t FROM x)
         SELECT page_id, CASE WHEN t = '' THEN 'Untitled' ELSE t END AS title FROM t""",
     "html_links": f"WITH {_LINKS} SELECT page_id, pos, link FROM k",
     "challenge_filter": """SELECT regexp_matches(lower(html), 'just a moment|/cdn-cgi/challenge-platform') AS challenge,
@@ -158,10 +177,11 @@ ORACLES: dict[str, str] = {
     "domain_counts": f"SELECT {_HOST} AS host, count(*) AS n FROM pages GROUP BY 1",
     "link_graph": f"WITH {_EDGES} SELECT regexp_extract(src, '^[^/]*') AS site, regexp_extract(dst, '/.*$') AS path, count(*) AS n FROM e GROUP BY ALL",
     "crawl_bfs": f"""WITH RECURSIVE {_EDGES},
-        o AS (SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY pos, dst) AS rn FROM e) WHERE rn <= 20),
+        o AS (SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY pos, dst) AS rn FROM e WHERE string_split(src, '/')[1] = string_split(dst, '/')[1]) WHERE rn <= 20),
         s AS (SELECT min({_HOST} || {_PATH}) AS node FROM pages GROUP BY {_HOST}),
-        c AS (SELECT node, 0 AS depth FROM s UNION SELECT o.dst, c.depth + 1 FROM c JOIN o ON o.src = c.node WHERE c.depth < 3)
-        SELECT node, min(depth)::INTEGER AS depth FROM c GROUP BY node""",
+        c AS (SELECT node, 0 AS depth FROM s UNION SELECT o.dst, c.depth + 1 FROM c JOIN o ON o.src = c.node WHERE c.depth < 3),
+        m AS (SELECT node, min(depth)::INTEGER AS depth FROM c GROUP BY node)
+        SELECT node, depth FROM m QUALIFY row_number() OVER (PARTITION BY string_split(node, '/')[1] ORDER BY depth, node) <= 200""",
     "link_histogram": "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1",
     "latest_artifact": """WITH l AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders WHERE o_orderstatus = 'F')
         SELECT c_custkey, c_name, n_name, o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS ordered_on FROM l JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE rn = 1""",
@@ -232,6 +252,23 @@ ORACLES: dict[str, str] = {
             ('no source', (SELECT round(avg((source IS NULL)::INTEGER), 6) FROM documents), 0.0, 0.0)) t(c, v, w, f))
         SELECT c AS "check", v AS value, CASE WHEN v <= w THEN 'PASS' WHEN v <= f THEN 'WARN' ELSE 'FAIL' END AS status FROM v""",
     "latest_turn": "SELECT conv_id, turn, role, length(text) AS length FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role, text) = 1",
-    "prompt_context": """WITH l AS (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) <= 20)
-        SELECT conv_id, count(*) AS turns, sha256(string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text)) AS context_hash FROM l GROUP BY conv_id""",
+    "prompt_context": f"""WITH l AS (SELECT conv_id, role || ': ' || text AS line, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place FROM conversations)
+        SELECT conv_id, count(*) AS turns, (sum(length(line)) + count(*) - 1)::BIGINT AS length, {_bag("place || chr(10) || line")} AS context_hash FROM l GROUP BY conv_id""",
+    "intent_collections": f"""WITH x AS (SELECT lower(trim(text)) AS t FROM conversations WHERE role = 'user'), i AS (SELECT {_INTENT} AS intent, count(*) AS n FROM x GROUP BY 1)
+        SELECT collection, sum(n)::BIGINT AS n, count(*) AS intents FROM i JOIN (VALUES {", ".join(f"('{i}', '{c}')" for i, cs in INTENT_COLLECTIONS.items() for c in cs)}) r(intent, collection) USING (intent) GROUP BY collection""",
+    "link_lookup": """SELECT DISTINCT p_brand AS source_name, p_type AS target_name, round(p_size / 50.0::DOUBLE, 6) AS confidence FROM part WHERE p_brand = (SELECT min(p_brand) FROM part)""",
+    "mean_coverage": f"{_COVERAGE} SELECT count(*) AS categories, round(avg(coverage_pct), 6) AS mean_coverage, min(coverage_pct) AS least_coverage FROM s",
+    "pipeline_totals": """WITH g AS (SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS stage, count(*) FILTER (WHERE value >= 5) AS done, count(*) FILTER (WHERE value < 5) AS bad FROM events GROUP BY ALL),
+        s AS (SELECT *, CASE WHEN bad > done / 4.0::DOUBLE THEN bad ELSE 0 END AS failed FROM g)
+        SELECT day, count(*) AS stages, sum(done)::BIGINT AS done, sum(failed)::BIGINT AS failed, count(*) FILTER (WHERE failed > 0) AS n_failures,
+               coalesce(string_agg(stage, ',' ORDER BY stage) FILTER (WHERE failed > 0), '') AS failures FROM s GROUP BY day""",
+    "stream_changed_files": """SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 1 ELSE 2 END AS version, sha256(CASE WHEN l.doc_id IS NULL THEN '1:' ELSE '2:' END || text) AS hash
+        FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)""",
+    "status_replay": """WITH RECURSIVE e AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, event_type = 'purchase' AS passed, row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id) AS k FROM events),
+        r AS (SELECT DISTINCT user_id, day, 0::BIGINT AS k, 'planning' AS status, 0 AS retries FROM e
+              UNION ALL SELECT user_id, day, k, status, retries + (status = 'fixing')::INTEGER FROM (
+                  SELECT e.user_id, e.day, e.k, r.retries, CASE r.status WHEN 'planning' THEN 'building' WHEN 'building' THEN 'validating' WHEN 'fixing' THEN 'validating' WHEN 'packaging' THEN 'done'
+                      WHEN 'validating' THEN CASE WHEN e.passed THEN 'packaging' WHEN r.retries >= 2 THEN 'escalated' ELSE 'fixing' END ELSE r.status END AS status
+                  FROM r JOIN e ON e.user_id = r.user_id AND e.day = r.day AND e.k = r.k + 1))
+        SELECT user_id, day, status, retries, k::INTEGER AS events FROM r QUALIFY row_number() OVER (PARTITION BY user_id, day ORDER BY k DESC) = 1""",
 }

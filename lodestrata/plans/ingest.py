@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions.embedding import Embedder, embedded, hashed
 from ..operators import store
-from ..session import shared_dir
-from ..sources import extract, files
+from ..session import shared_dir, stored
+from ..sources import dumps, extract, files
 
 KINDS = {"lua": "scripts", "java": "api_reference", "html": "web_pages", "markdown": "guides", "archive": "scripts", "config": "configs", "xml": "configs"}
 
@@ -94,6 +94,21 @@ def ingest(corpus: Corpus, folder: str, pattern: str | None = None, recursive: b
     return summary
 
 
+def ingest_dump(corpus: Corpus, path: str, at: float | None = None) -> dict:
+    """Upsert the entities of a dump, long cards in pieces; pieces of an earlier version that are no more go."""
+    rows = dumps.chunks(dumps.normalise(dumps.read(corpus.spark, path))).withColumn("source", F.concat_ws("/", F.lit(path), "key"))
+    made = stored(to_rows(rows, corpus.settings.default_version, corpus.embed, at))
+    base = corpus.chunks.current()
+    if base is None:
+        write(corpus, made)
+    else:
+        kept = base.join(made.select("source").distinct(), "source", "left_anti").select(*base.columns)
+        corpus.chunks.publish(store.upsert(kept, made.select(*base.columns), ["collection", "chunk_id"], "ingest_time"), corpus.settings.retention_staging)
+    summary = {"chunks": made.count()}
+    store.audit(corpus.spark, corpus.audit_path, "dump", summary | {"path": path})
+    return summary
+
+
 def drop_rows(corpus: Corpus, ids: list[str]) -> str:
     base = corpus.chunks.current()
     gone = corpus.spark.createDataFrame([(i,) for i in ids], "chunk_id string")

@@ -17,6 +17,11 @@ from .ingest import Corpus
 COLUMNS = ["collection", "chunk_id", "text", "score", "distance", "metadata"]
 
 
+def answers(hits: DataFrame, *more: str) -> DataFrame:
+    """The columns of answers; texts are brought into form only here, after the best are chosen."""
+    return hits.withColumn("text", prose(F.col("text"))).select(*more, *COLUMNS)
+
+
 class Engine:
     """Questions to a corpus. All answers are DataFrames; a missing corpus answers with no rows."""
 
@@ -44,25 +49,25 @@ class Engine:
         q = self._queries(texts).withColumn("query_norm", norm(F.col("query_vector")))
         score = cosine(F.col("embedding"), F.col("query_vector"), F.col("norm"), F.col("query_norm"))
         out = rows.join(F.broadcast(q)).withColumn("score", F.round(score, 6)).filter(F.col("score").isNotNull())
-        return out.withColumn("distance", F.round(1 - F.col("score"), 6)).withColumn("text", prose(F.col("text")))
+        return out.withColumn("distance", F.round(1 - F.col("score"), 6))
 
     def search(self, text: str, k: int = 5, where: dict[str, Any] | None = None, collections: list[str] | None = None, threshold: float | None = None) -> DataFrame:
         hits = self.hits([text], where, collections)
         if threshold is not None:
             hits = search.above(hits, threshold)
-        return search.top_k(hits.withColumn("__key", F.concat_ws("/", "collection", "chunk_id")), k, "__key").select(*COLUMNS)
+        return answers(search.top_k(hits.withColumn("__key", F.concat_ws("/", "collection", "chunk_id")), k, "__key"))
 
     def search_all(self, text: str, k: int = 10, where: dict[str, Any] | None = None) -> DataFrame:
         """All collections, each with at most its quota."""
         n = self.rows().select("collection").distinct().count()
-        return search.with_quota(self.hits([text], where), "collection", k, n, "chunk_id").select(*COLUMNS)
+        return answers(search.with_quota(self.hits([text], where), "collection", k, n, "chunk_id"))
 
     def search_many(self, texts: list[str], k: int = 5, where: dict[str, Any] | None = None) -> DataFrame:
         """The best k of each text, in the texts' order."""
-        return search.top_k_by(self.hits(texts, where), ["position"], k, "chunk_id").select("position", "query", "rank", *COLUMNS).orderBy("position", "rank")
+        return answers(search.top_k_by(self.hits(texts, where), ["position"], k, "chunk_id"), "position", "query", "rank").orderBy("position", "rank")
 
     def search_by_collection(self, text: str, k: int = 5) -> DataFrame:
-        return search.top_k_by(self.hits([text]), ["collection"], k, "chunk_id").select("rank", *COLUMNS)
+        return answers(search.top_k_by(self.hits([text]), ["collection"], k, "chunk_id"), "rank")
 
     def get(self, chunk_id: str, collection: str | None = None, version: str | None = None) -> DataFrame:
         out = self.rows().filter(F.col("chunk_id") == chunk_id)

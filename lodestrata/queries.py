@@ -278,11 +278,10 @@ def directory_fingerprint(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def batch_bytes(spark: SparkSession, d: str) -> DataFrame:
-    """Batches of 100 kB within each source's runs of a thousand ids, so no task orders a whole source."""
-    docs = table(spark, d, "documents").select("source", F.floor(F.col("doc_id") / 1000).alias("run"), "doc_id", (F.col("n_chars") + 512).alias("bytes"))
-    keyed = docs.withColumn("group", F.concat_ws("/", "source", "run"))
-    out = store.batches(keyed, "group", F.col("bytes"), 100_000, [F.col("doc_id")])
-    return out.groupBy("source", "run", "batch_no").agg(F.count("*").alias("n_rows"), F.sum("bytes").alias("n_bytes"))
+    """Batches of 100 kB over each source's whole collection, in order of ids."""
+    docs = table(spark, d, "documents").select("source", "doc_id", (F.col("n_chars") + 512).alias("bytes"))
+    out = store.batches(docs, "source", F.col("bytes"), 100_000, [F.col("doc_id")])
+    return out.groupBy("source", "batch_no").agg(F.count("*").alias("n_rows"), F.sum("bytes").alias("n_bytes"))
 
 
 # --- text similarity and HTML ---
@@ -342,9 +341,20 @@ def link_graph(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def crawl_bfs(spark: SparkSession, d: str) -> DataFrame:
-    """From each site's first page, up to three links deep, along the first 20 links of each page."""
+    """From each site's first page, up to three links deep on the same host, along the first 20 links of each page, and at
+    most 200 pages of a site."""
     pages = table(spark, d, "pages").select(T.host(F.col("url")).alias("h"), F.concat(T.host(F.col("url")), T.path(F.col("url"))).alias("node"))
-    return graph.crawl(pages.groupBy("h").agg(F.min("node").alias("node")), _edges(spark, d), 3, 20)
+    seen = graph.crawl(pages.groupBy("h").agg(F.min("node").alias("node")), graph.same_host(_edges(spark, d)), 3, 20)
+    return graph.budget(seen.withColumn("site", F.substring_index("node", "/", 1)), 200, ["site"]).select("node", "depth")
+
+
+@query
+def link_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Links from brands to types of parts, that meet a name on either end."""
+    part = table(spark, d, "part").select("p_brand", F.array("p_type").alias("types"), (F.col("p_size") / 50.0).alias("confidence"))
+    links = graph.typed_edges(part, "brand", "p_brand", "types", "type", "has", F.col("confidence"))
+    low = part.agg(F.min("p_brand")).first()[0]
+    return graph.touching(links, "brand", low, "has").select("source_name", "target_name", F.round("confidence", 6).alias("confidence"))
 
 
 @query
@@ -402,6 +412,19 @@ def coverage_summary(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("coverage_pct", monitoring.pct(F.col("documented"), F.col("total"), 6)).withColumn("status", monitoring.status_of(F.col("coverage_pct")))
 
 
+@query
+def mean_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return monitoring.mean_coverage(coverage_summary(spark, d))
+
+
+@query
+def pipeline_totals(spark: SparkSession, d: str) -> DataFrame:
+    """A day's run has the event types as stages; an event fails if its value is under 5."""
+    e = table(spark, d, "events").groupBy(day(F.col("ts")).alias("day"), F.col("event_type").alias("stage")).agg(F.count_if(F.col("value") >= 5).alias("done"), F.count_if(F.col("value") < 5).alias("failed"))
+    out = monitoring.pipeline_totals(e.withColumn("failed", F.when(F.col("failed") > F.col("done") / 4, F.col("failed")).otherwise(0)), ["day"])
+    return out.withColumn("failures", F.concat_ws(",", "failures"))
+
+
 @query
 def coverage_rollup(spark: SparkSession, d: str) -> DataFrame:
     return _covered(spark, d).rollup("lang", "source").agg(F.count("*").alias("total"), F.count("quality").alias("documented"))
@@ -452,33 +475,9 @@ def class_refs(spark: SparkSession, d: str) -> DataFrame:
 # --- golden questions ---
 
 
-def expected_passages(items: DataFrame, docs: DataFrame) -> DataFrame:
-    """Documents whose text contains an item's text. The item's second to fifth words stand whole in any text that
-    contains it, so pairs meet by these and are then confirmed; the few items of under six words are searched for."""
-    word = T.word_list
-    keyed = items.select("item_id", F.col("text").alias("passage"), word(F.col("text")).alias("w"))
-    long = keyed.filter(F.size("w") >= 6).select("item_id", "passage", F.array_join(F.slice("w", 2, 4), " ").alias("anchor"))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.array_join(F.slice("w", i, F.lit(4)), " "))
-    spread = docs.select("doc_id", word(F.col("text")).alias("w")).select("doc_id", F.explode(F.array_distinct(grams)).alias("anchor"))
-    met = spread.join(long.select("item_id", "anchor"), "anchor").select("item_id", "doc_id")  # texts stay out of this join
-    sure = met.join(long.select("item_id", "passage"), "item_id").join(docs.select("doc_id", "text"), "doc_id")
-    found = sure.filter(F.col("text").contains(F.col("passage"))).select("item_id", "doc_id")
-    few = keyed.filter(F.size("w") < 6).select("item_id", "passage")
-    more = docs.join(few, F.col("text").contains(F.col("passage"))).select("item_id", "doc_id")
-    return found.union(more).distinct()
-
-
-def overlap_ranked(items: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """The k documents that share most distinct words with each item, through an inverted index of the items' words:
-    a document's other words meet nothing and go in the join; counts are cut to k in each task before they move."""
-    words = lambda df, i: df.select(i, F.explode(F.array_distinct(T.word_list(F.lower("text")))).alias("w"))
-    score = words(docs, "doc_id").join(words(items, "item_id"), "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("overlap"))
-    return W.latest(score, ["item_id"], [F.col("overlap").desc(), F.col("doc_id")], k, "rank")
-
-
 def _golden(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     items, docs = table(spark, d, "benchmark"), table(spark, d, "documents")
-    return items, expected_passages(items, docs), overlap_ranked(items, docs, 5)
+    return items, golden.passages(items, docs), golden.overlap_ranked(items, docs, 5)
 
 
 @query
@@ -608,11 +607,24 @@ def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
     return S.latest_table(S.tumbling(S.timed(S.source(spark, f"{d}/events.parquet")), "1 day", ["event_type"]))
 
 
+@query
+def stream_changed_files(spark: SparkSession, d: str) -> DataFrame:
+    """A stream of file versions that stops, meets changed files and goes on: the labelled documents come a second time."""
+    root = shared_dir(spark)
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels").select("doc_id")
+    version = lambda df, n: df.select("doc_id", T.content_hash(F.concat(F.lit(f"{n}:"), "text")).alias("hash"), F.lit(n).alias("version"))
+    version(docs, 1).write.parquet(f"{root}/in/1")
+    read = lambda: S.upsert_stream(S.source(spark, f"{root}/in/1", folder=f"{root}/in"), ["doc_id"], "version", f"{root}/table")
+    read()
+    version(docs.join(labels, "doc_id", "left_semi"), 2).write.parquet(f"{root}/in/2")
+    return read().select("doc_id", "version", "hash")
+
+
 @query
 def stream_dedup_upsert(spark: SparkSession, d: str) -> DataFrame:
     """Each user's last event, from a stream whose replays are dropped."""
     events = S.deduplicated(S.source(spark, f"{d}/events.parquet"), ["event_id"], late="40 days")
-    out = S.upsert_stream(events.select("user_id", "event_id", F.struct("ts", "event_id").alias("at")), ["user_id"], "at", shared_dir(spark))
+    out = S.upsert_stream(events.select("user_id", "event_id", F.struct("ts", "event_id").alias("at")), ["user_id"], "at", f"{shared_dir(spark)}/table")
     return out.select("user_id", "event_id")
 
 
@@ -624,6 +636,13 @@ def validation_chain(spark: SparkSession, d: str) -> DataFrame:
     return ran.groupBy("user_id", "day").agg(F.count("*").alias("steps"), F.count_if(F.col("event_type") == "error").alias("failures"))
 
 
+@query
+def status_replay(spark: SparkSession, d: str) -> DataFrame:
+    """A run is a user's day; a purchase is a step that passed."""
+    e = table(spark, d, "events").select("user_id", day(F.col("ts")).alias("day"), "ts", "event_id", (F.col("event_type") == "purchase").alias("passed"))
+    return W.replay(e, ["user_id", "day"], ["ts", "event_id"], "passed", 2)
+
+
 @query
 def validation_report(spark: SparkSession, d: str) -> DataFrame:
     one = lambda c: F.round(F.count_if(c) / F.count("*"), 6)
@@ -641,8 +660,17 @@ def latest_turn(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def prompt_context(spark: SparkSession, d: str) -> DataFrame:
-    """The last 20 turns of each conversation, in order, as a prompt has room for."""
-    last = W.latest(table(spark, d, "conversations"), ["conv_id"], [F.col("turn").desc(), F.col("role").desc(), F.col("text").desc()], 20)
-    said = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    text = F.array_join(F.transform(said, lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n")
-    return last.groupBy("conv_id").agg(F.count("*").alias("turns"), F.sha2(text, 256).alias("context_hash"))
+    """Each conversation's lines in order, all of them: their number, their length with the breaks between them, and a hash
+    that tells the lines and their places. No task holds a conversation."""
+    lines = table(spark, d, "conversations").select("conv_id", "turn", "role", "text", F.concat("role", F.lit(": "), "text").alias("line"))
+    placed = W.running_sum(lines, ["conv_id"], [F.col("turn"), F.col("role"), F.col("text")], F.lit(1), "place")
+    item = F.concat_ws("\n", F.col("place").cast("string"), F.col("line"))
+    return placed.groupBy("conv_id").agg(F.count("*").alias("turns"), (F.sum(F.length("line")) + F.count("*") - 1).alias("length"), T.bag_hash(item).alias("context_hash"))
+
+
+@query
+def intent_collections(spark: SparkSession, d: str) -> DataFrame:
+    """Requests per collection that their intent sends them to."""
+    routes = lookup(spark, [(i, c) for i, cs in config.INTENT_COLLECTIONS.items() for c in cs], "intent string, collection string")
+    said = table(spark, d, "conversations").filter("role = 'user'").select(quality.intent(F.col("text")).alias("intent"))
+    return said.groupBy("intent").agg(F.count("*").alias("n")).join(F.broadcast(routes), "intent").groupBy("collection").agg(F.sum("n").alias("n"), F.count("*").alias("intents"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
 CHUNK = "collection string, chunk_id string, text string, embedding array<float>, metadata string, source string, version string, ingest_time double"
 SEARCH_RESULT = "collection string, chunk_id string, text string, similarity double, distance double, metadata string"
 RAW_CHUNK = "source string, chunk_index int, start_offset int, text string, metadata string"
@@ -33,3 +37,9 @@ KEYS = {
     "data_links": ["source_category", "source_name", "target_category", "target_name", "link_type"], "api_reference": ["element_name"],
     "projects": ["mod_id"], "runs": ["project_id", "run_number"], "artifacts": ["run_id", "version"], "files": ["artifact_id", "file_path"], "users": ["username"],
 }
+
+
+def typed(rows: DataFrame, table: str) -> DataFrame:
+    """Rows with the columns and types of a relational table; columns they lack are null, others go."""
+    fields = StructType.fromDDL(TABLES[table])
+    return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])

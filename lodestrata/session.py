@@ -27,8 +27,13 @@ def session(app: str = "lodestrata", master: str | None = None, **extra: str) ->
 
 
 def shared_dir(spark: SparkSession, name: str = "lodestrata") -> str:
-    """A new folder below ``spark.checkpoint.dir`` (a temporary one only where that is unset); it goes when the JVM ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/lodestrata"
+    """A new folder below ``spark.checkpoint.dir``; it goes when the JVM ends. Where that is unset, a temporary folder
+    serves local masters; a cluster's executors don't share one, so there it is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}/lodestrata"
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(path)

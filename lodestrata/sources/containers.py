@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import html
 import io
 import posixpath
 import re
@@ -12,9 +11,9 @@ import zipfile
 from .files import decode_bytes
 from .parsers import Record, record
 
-#: Members of these kinds are read as text; each gives at most MEMBER_CHARS characters.
+#: Members of these kinds are read as text; each gives at most MEMBER_CHARS characters, all of them where that is None.
 TEXT_MEMBERS = {"txt", "lua", "xml", "json", "md", "ini", "cfg", "csv", "java", "info", "properties"}
-MEMBER_CHARS = 10_000
+MEMBER_CHARS: int | None = 10_000
 #: What an archive may unpack to.
 MEMBER_BYTES = 64 * 1024 * 1024
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -32,13 +31,6 @@ def _read(z: zipfile.ZipFile, name: str) -> bytes:
     return data
 
 
-def strip_html(text: str) -> str:
-    text = re.sub(r"(?is)<(script|style)[^>]*>.*?</\1>", "", text)
-    text = re.sub(r"(?i)<br\s*/?>|</p>|</h\d>|</li>|</div>", "\n", text)
-    text = html.unescape(re.sub(r"<[^>]+>", "", text))
-    return re.sub(r"\n\s*\n+", "\n\n", re.sub(r"[ \t]+", " ", text)).strip()
-
-
 def parse_docx(data: bytes) -> list[Record]:
     """All paragraphs and tables, in order; cells of a row are joined by `` | ``."""
     with _open(data) as z:
@@ -55,7 +47,8 @@ def parse_docx(data: bytes) -> list[Record]:
 
 
 def parse_epub(data: bytes) -> list[Record]:
-    """A record per chapter in reading order, with the book's title, creator and language."""
+    """A record per chapter in reading order, with the book's title, creator and language. Chapters and their names are
+    markup still."""
     with _open(data) as z:
         container = ET.fromstring(_read(z, "META-INF/container.xml"))
         opf = next(e.attrib["full-path"] for e in container.iter() if e.tag.endswith("rootfile"))
@@ -66,13 +59,12 @@ def parse_epub(data: bytes) -> list[Record]:
         for ref in (e.attrib["idref"] for e in package.iter() if e.tag.endswith("}itemref")):
             page = decode_bytes(_read(z, posixpath.normpath(posixpath.join(posixpath.dirname(opf), places[ref]))))
             title = re.search(r"(?is)<(?:h1|title)[^>]*>(.*?)</", page)
-            if text := strip_html(page):
-                out.append(record(strip_html(title[1]) if title else ref, "chapter", text, title=meta.get("title"), creator=meta.get("creator"), language=meta.get("language")))
+            out.append(record(title[1] if title else ref, "chapter", page, title=meta.get("title"), creator=meta.get("creator"), language=meta.get("language")) | {"markup": True})
     return out
 
 
-def parse_archive(data: bytes) -> list[Record]:
-    """A record per text member, cut at MEMBER_CHARS; all go to scripts if over half of them are Lua."""
+def parse_archive(data: bytes, chars: int | None = MEMBER_CHARS) -> list[Record]:
+    """A record per text member, cut at ``chars`` if given; all go to scripts if over half of them are Lua."""
     out = []
     with _open(data) as z:
         for name in sorted(z.namelist()):
@@ -81,7 +73,7 @@ def parse_archive(data: bytes) -> list[Record]:
                 continue
             text = decode_bytes(_read(z, name))
             if text.strip():
-                out.append(record(name, "member", text[:MEMBER_CHARS], member=name, extension=ext, cut=len(text) > MEMBER_CHARS))
+                out.append(record(name, "member", text[:chars], member=name, extension=ext, cut=chars is not None and len(text) > chars))
     lua = sum(r["metadata"]["extension"] == "lua" for r in out)
     for r in out:
         r["metadata"]["collection"] = "scripts" if lua > len(out) // 2 else "guides"

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import COLLECTIONS, DEFAULT_COLLECTION
+from ..operators.chunking import entity_split
 from ..operators.quality import ITEM_CLASSES, SCHEMA_OF_CLASS, completeness, first_match
 
 #: Names under which a field may be stored.
@@ -87,6 +88,14 @@ def normalise(dump: DataFrame) -> DataFrame:
     )
 
 
+def chunks(normalised: DataFrame, max_words: int = 800) -> DataFrame:
+    """The rows of ``normalise``, a card of over ``max_words`` words in pieces that each begin with its first line. The
+    first piece keeps the entity's id; ``piece`` numbers them and ``split`` tells that there are more."""
+    pieces = normalised.withColumn("__parts", entity_split(F.col("text"), max_words)).withColumn("split", F.size("__parts") > 1)
+    out = pieces.select("*", F.posexplode("__parts").alias("piece", "__text")).withColumn("text", F.col("__text")).drop("__parts", "__text")
+    return out.withColumn("chunk_id", F.when(F.col("piece") == 0, F.col("chunk_id")).otherwise(F.concat_ws("#", "chunk_id", "piece")))
+
+
 def structured_chunks(objects: DataFrame) -> DataFrame:
     """Two chunks of each structured object: the full card and, if it has specific data, its stats."""
     full = F.struct(F.lit("full").alias("part"), F.concat_ws("\n", "display_name", "description", F.concat_ws(", ", "tags")).alias("text"))

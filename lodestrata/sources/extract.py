@@ -10,13 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import html_text, squeeze
 from ..operators import chunking
-from .containers import CONTAINERS, strip_html
+from .containers import CONTAINERS
 from .files import decode_bytes, detect
 from .parsers import PARSERS, Record, parse_text, record
 
-RECORDS = "source string, kind string, file_hash string, record_index int, name string, text string, metadata string, error string"
-FIELDS = [("source", pa.string()), ("kind", pa.string()), ("file_hash", pa.string()), ("record_index", pa.int32()), ("name", pa.string()), ("text", pa.string()), ("metadata", pa.string()), ("error", pa.string())]
+RECORDS = "source string, kind string, file_hash string, record_index int, name string, text string, metadata string, error string, markup boolean"
+FIELDS = [("source", pa.string()), ("kind", pa.string()), ("file_hash", pa.string()), ("record_index", pa.int32()), ("name", pa.string()), ("text", pa.string()), ("metadata", pa.string()), ("error", pa.string()), ("markup", pa.bool_())]
 
 
 def parse(kind: str, data: bytes) -> list[Record]:
@@ -27,7 +28,7 @@ def parse(kind: str, data: bytes) -> list[Record]:
         raise ValueError(f"no reader for {kind}")
     text = decode_bytes(data).replace("\x00", "")
     if kind == "html":
-        return [record("", "page", body)] if (body := strip_html(text)) else []
+        return [record("", "page", text) | {"markup": True}]
     return PARSERS.get(kind, parse_text)(text)
 
 
@@ -35,19 +36,25 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         for path, kind, digest, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             try:
-                rows = [(path, kind, digest, i, r["name"], r["text"], json.dumps(r["metadata"], ensure_ascii=False, default=str, sort_keys=True), None) for i, r in enumerate(parse(kind, content or b""))]
-                rows = rows or [(path, kind, digest, -1, None, None, None, "no text")]
+                rows = [(path, kind, digest, i, r["name"], r["text"], json.dumps(r["metadata"], ensure_ascii=False, default=str, sort_keys=True), None, r.get("markup", False)) for i, r in enumerate(parse(kind, content or b""))]
+                rows = rows or [(path, kind, digest, -1, None, None, None, "no text", False)]
             except Exception as e:  # a bad file must not stop the others; it goes to quarantine with its reason
                 where = traceback.extract_tb(e.__traceback__)[-1]
-                rows = [(path, kind, digest, -1, None, None, None, f"{type(e).__name__}: {e} ({where.name})")]
+                rows = [(path, kind, digest, -1, None, None, None, f"{type(e).__name__}: {e} ({where.name})", False)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), FIELDS, strict=True)], [n for n, _ in FIELDS])
 
 
 def records(files: DataFrame) -> DataFrame:
     """The records of scanned files, and one row with ``error`` for each that gives none. Files are read where they are
-    parsed; one at a time is held."""
+    parsed; one at a time is held. Markup becomes text in the JVM; chapters without text go."""
     known = files if "kind" in files.columns else detect(files)
-    return known.select("path", "kind", F.sha2("content", 256), "content").mapInArrow(_parse_batches, RECORDS)
+    out = known.select("path", "kind", F.sha2("content", 256), "content").mapInArrow(_parse_batches, RECORDS)
+    for column in ("text", "name"):
+        plain = html_text(F.col(column))
+        out = out.withColumn(column, F.when(F.col("markup"), squeeze(plain) if column == "name" else plain).otherwise(F.col(column)))
+    blank = F.col("markup") & (F.trim("text") == "")
+    out = out.filter(~blank | (F.col("kind") == "html")).withColumn("error", F.when(blank, F.lit("no text")).otherwise(F.col("error")))
+    return out.drop("markup")
 
 
 def good(parsed: DataFrame) -> DataFrame:

@@ -13,7 +13,6 @@ from pyspark.sql.types import StringType
 from ..config import FILE_TYPES, MIME_TYPES, SKIPPED_FOLDERS
 
 CASCADE = ("utf-8", "cp1252", "latin-1")
-WIDE_CASCADE = ("utf-8", "utf-16", "latin-1")
 
 
 def scan(spark: SparkSession, root: str, pattern: str | None = None, recursive: bool = True, skip: Iterable[str] = SKIPPED_FOLDERS) -> DataFrame:
@@ -74,12 +73,39 @@ def decode_all(content: pd.Series) -> pd.Series:
 
 
 def decoded(content: Column) -> Column:
-    """UTF-8 within the JVM; only other bytes go through the cascade in Python."""
-    return F.coalesce(F.try_validate_utf8(content.cast("string")), decode_all(content))
+    """UTF-8 within the JVM; only other bytes go through the cascade in Python, which gets nulls for the rest."""
+    valid = F.try_validate_utf8(content.cast("string"))
+    return F.coalesce(valid, decode_all(F.when(valid.isNull(), content)))
 
 
-def texts(files: DataFrame) -> DataFrame:
-    return files.withColumn("text", decoded(F.col("content"))).drop("content")
+def _readable(text: str) -> bool:
+    return sum(c.isprintable() or c in "\t\n\r\f" for c in text) >= 0.9 * len(text)
+
+
+def decode_wide(data: bytes | None) -> str:
+    """As ``decode_bytes`` by marks, then UTF-8, UTF-16 of either order and Latin-1, the first that reads as text; bytes that
+    don't are given in hexadecimal."""
+    if not data or data.startswith((b"\xef\xbb\xbf", b"\xff\xfe", b"\xfe\xff")):
+        return decode_bytes(data)
+    for name in ("utf-8", "utf-16-le", "utf-16-be", "cp1252", "latin-1"):
+        try:
+            text = data.decode(name)
+        except UnicodeDecodeError:
+            continue
+        # two-byte encodings read any bytes as some script, so they must give mostly the script that ASCII marks
+        if _readable(text) and (not name.startswith("utf-16") or sum(c < "\u0250" for c in text) > 0.5 * len(text)):
+            return text
+    return data.hex()
+
+
+@F.pandas_udf(StringType())
+def decode_all_wide(content: pd.Series) -> pd.Series:
+    return content.map(decode_wide)
+
+
+def texts(files: DataFrame, wide: bool = False) -> DataFrame:
+    """Files with their text; ``wide`` tries more encodings, in Python."""
+    return files.withColumn("text", decode_all_wide(F.col("content")) if wide else decoded(F.col("content"))).drop("content")
 
 
 def folder_id(path: Column) -> Column:

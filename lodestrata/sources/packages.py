@@ -12,12 +12,14 @@ from ..operators import chunking
 from . import extract
 from .files import extension, folder_id, key_values, texts
 
-# Collections by extension, manifest fields and folders a package must have, patterns of log errors.
-MEMBER_COLLECTIONS = {"lua": "scripts", "bin": "configs", "cfg": "configs", "zip": "configs", "xml": "configs", "ini": "configs", "md": "guides"}
+# Kinds of package files by extension, and of further ones that this engine reads too.
+MEMBER_COLLECTIONS = {"lua": "scripts", "bin": "configs", "cfg": "configs", "pbo": "configs", "pbosync": "configs"}
+MORE_COLLECTIONS = {"zip": "configs", "xml": "configs", "ini": "configs", "md": "guides"}
+# Manifest fields and folders a package must have, patterns of log errors.
 REQUIRED_FIELDS = ["id", "name", "description"]
 EXPECTED_FOLDERS = ["media", "media/lua"]
 LOG_ERRORS = {"stack trace": r"(?i)stack trace", "exception": r"(?i)\bexception\b", "missing file": r"(?i)no such file|file not found", "script error": r"(?i)\berror\b.*\.lua"}
-NATIVE_CHARS = 50_000
+NATIVE_CHARS: int | None = 50_000
 
 
 @F.pandas_udf(MapType(StringType(), StringType()))
@@ -47,7 +49,7 @@ def ingest(files: DataFrame, limit: int = 512) -> tuple[DataFrame, DataFrame]:
     """Chunks of all text members with their package and collection, and per package the chunks, errors and success."""
     mine = files.filter(folder_id(F.col("path")).isNotNull())
     parsed = extract.records(mine)
-    routes = F.create_map(*[F.lit(x) for p in MEMBER_COLLECTIONS.items() for x in p])
+    routes = F.create_map(*[F.lit(x) for p in (MEMBER_COLLECTIONS | MORE_COLLECTIONS).items() for x in p])
     rows = extract.chunks(parsed, limit).withColumn("package", folder_id(F.col("source"))).withColumn("collection", F.coalesce(F.try_element_at(routes, extension(F.col("source"))), F.lit("guides")))
     failed = parsed.filter("error is not null").groupBy(folder_id(F.col("source")).alias("package")).agg(F.count("*").alias("n_errors"))
     made = rows.groupBy("package").agg(F.count("*").alias("n_chunks"))
@@ -55,11 +57,11 @@ def ingest(files: DataFrame, limit: int = 512) -> tuple[DataFrame, DataFrame]:
     return rows, result.withColumn("success", F.col("n_chunks") > 0)
 
 
-def native(files: DataFrame) -> DataFrame:
-    """Game files by where they lie: items, recipes, else mechanics; each text is cut."""
+def native(files: DataFrame, chars: int | None = NATIVE_CHARS) -> DataFrame:
+    """Game files by where they lie: items, recipes, else mechanics; each text is cut at ``chars``, whole where that is None."""
     low = F.lower("path")
     where = F.when(low.contains("item"), "items").when(low.contains("recipe") | low.contains("craft"), "recipes").otherwise("mechanics")
-    return texts(files).select("path", where.alias("collection"), F.left("text", F.lit(NATIVE_CHARS)).alias("text"))
+    return texts(files).select("path", where.alias("collection"), (F.col("text") if chars is None else F.left("text", F.lit(chars))).alias("text"))
 
 
 def scripts_first(files: DataFrame, skip: list[str] = SKIPPED_EXTENSIONS) -> DataFrame:

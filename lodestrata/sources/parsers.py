@@ -248,7 +248,12 @@ def parse_key_values(text: str) -> list[Record]:
     return [record(found.get("name", ""), "config", "\n".join(f"{k}: {v}" for k, v in found.items()), **found)] if found else parse_text(text)
 
 
+def parse_markdown_or_lua_doc(text: str) -> list[Record]:
+    """Documented functions if a text lists typed parameters under its headings, else its sections."""
+    return parse_lua_doc(text) if re.search(r"(?m)^###\s+\w+\s*:\s*[\w.<>\[\]]+(?:\s*(?:—|-)\s.*)?$", text) else parse_markdown(text)
+
+
 PARSERS = {
-    "text": parse_text, "markdown": parse_markdown, "json": parse_json, "csv": parse_csv, "xml": parse_xml,
+    "text": parse_text, "markdown": parse_markdown_or_lua_doc, "json": parse_json, "csv": parse_csv, "xml": parse_entity_xml,
     "java": parse_java, "lua": parse_lua, "config": parse_key_values,
 }

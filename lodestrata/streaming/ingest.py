@@ -1,38 +1,29 @@
-"""Incremental ingest as a stream: new and changed files go through parsing and upsert; a checkpoint remembers the rest."""
+"""Incremental ingest as a stream: at each tick, new and changed files go through the same code as in batch.
+
+Spark's file source never returns a path twice, so it can't tell of changed files. The stream is a clock; what is new is
+found by (path, hash) against the corpus's index, so a tick that is delivered twice finds nothing to do, and an ingest
+after a restart goes on from what the corpus holds.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import store
-from ..plans.ingest import Corpus, to_rows, write
-from ..sources import extract
-from ..sources.files import detect
-from .windows import run_available
-
-
-def files(corpus: Corpus, folder: str, pattern: str | None = None) -> DataFrame:
-    reader = corpus.spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true")
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    return reader.load(folder)
+from ..plans.ingest import Corpus, ingest
 
 
-def ingest_available(corpus: Corpus, folder: str, pattern: str | None = None) -> None:
-    """Ingest what is new since the last call with this corpus. A batch that is delivered twice writes the same rows."""
+def ingest_stream(corpus: Corpus, folder: str, pattern: str | None = None, every: str = "1 minute") -> StreamingQuery:
+    """Ingest new and changed files of a folder at every tick, until the query is stopped."""
+    clock = corpus.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    tick = lambda batch, number: ingest(corpus, folder, pattern) and None
+    return clock.writeStream.foreachBatch(tick).trigger(processingTime=every).option("checkpointLocation", f"{corpus.root}/checkpoint").start()
 
-    def each(batch: DataFrame, number: int) -> None:
-        parsed = extract.records(detect(batch.select("path", "length", F.col("modificationTime").alias("modified"), "content"))).cache()
-        try:
-            if parsed.filter("error is not null").limit(1).count():
-                store.quarantine(extract.bad(parsed), corpus.quarantine_path)
-            if extract.good(parsed).limit(1).count():
-                write(corpus, to_rows(extract.chunks(parsed, corpus.settings.chunk_size), corpus.settings.default_version, corpus.embed))
-        finally:
-            parsed.unpersist()
 
-    run_available(files(corpus, folder, pattern), each, "append", f"{corpus.root}/checkpoint")
+def ingest_available(corpus: Corpus, folder: str, pattern: str | None = None) -> dict:
+    """One tick: ingest what is new or has changed since the last."""
+    return ingest(corpus, folder, pattern)
 
 
 def run_lifecycle(starts: DataFrame, ends: DataFrame, within: str = "1 day") -> DataFrame:

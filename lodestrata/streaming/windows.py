@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
+from ..operators.store import Snapshots, newest
 from ..session import shared_dir
 
 
-def source(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """A stream over the Parquet files at a path (a folder or one file), with the schema they have now."""
+def source(spark: SparkSession, path: str, max_files: int | None = None, folder: str | None = None) -> DataFrame:
+    """A stream over the Parquet files at a path (a folder or one file), with the schema they have now; with ``folder`` over
+    all files below it, whenever they come."""
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
+    if folder:
+        return reader.option("recursiveFileLookup", "true").parquet(folder)
     # as a pattern, since the stream source takes a plain path for a folder
     return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
@@ -64,34 +70,120 @@ def deduplicated(events: DataFrame, keys: list[str], ts: str = "ts", late: str =
     return timed(events, ts, late).dropDuplicatesWithinWatermark(keys)
 
 
+#: Batches after which a streamed table is made one snapshot.
+COMPACT = 20
+
+
+def upsert_table(spark: SparkSession, table: str, schema: StructType, keys: list[str], by: str) -> DataFrame:
+    """The rows of a streamed table: the newest per key of its snapshot and of the batches since."""
+    snapshots = Snapshots(spark, f"{table}/base")
+    base, done = snapshots.current(), snapshots.note().get("batches", {})
+    deltas = [path for path, source, number in _deltas(spark, table) if number > done.get(source, -1)]
+    rows = base if base is not None else spark.createDataFrame([], schema)
+    if deltas:
+        rows = rows.unionByName(spark.read.schema(schema).parquet(*deltas))
+    return newest(rows, keys, [F.col(by).desc_nulls_last()])
+
+
+def _deltas(spark: SparkSession, table: str) -> list[tuple[str, str, int]]:
+    """Path, checkpoint and number of each finished batch of a streamed table."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(f"{table}/deltas")
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for mark in fs.globStatus(hadoop.Path(f"{table}/deltas/*/batch=*/_SUCCESS")) or []:
+        folder = mark.getPath().getParent()
+        found.append((folder.toString(), folder.getParent().getName(), int(folder.getName()[6:])))
+    return found
+
+
 def upsert_stream(stream: DataFrame, keys: list[str], by: str, table: str, checkpoint: str | None = None) -> DataFrame:
-    """Upsert a stream into a table of versions below ``table``: at-least-once delivery, exactly-once effect per key."""
-    from ..operators.store import newest
+    """Upsert a stream into a table below ``table``: at-least-once delivery, exactly-once effect per key, over restarts.
 
-    spark = stream.sparkSession
-    state = {"at": None}
+    A batch is reduced to the newest row per key and written to a folder of its checkpoint and number, so one that is
+    delivered twice replaces itself. Every ``COMPACT`` batches the table becomes a new snapshot that notes the batches it
+    holds. The checkpoint is kept with the table unless another is given.
+    """
+    spark, schema = stream.sparkSession, stream.schema
+    checkpoint = checkpoint or f"{table}/checkpoint"
+    source = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
     def merge(batch: DataFrame, number: int) -> None:
-        rows = batch if state["at"] is None else spark.read.parquet(state["at"]).unionByName(batch)
-        newest(rows, keys, [F.col(by).desc_nulls_last()]).write.mode("overwrite").parquet(f"{table}/v{number}")
-        state["at"] = f"{table}/v{number}"
+        newest(batch, keys, [F.col(by).desc_nulls_last()]).write.mode("overwrite").parquet(f"{table}/deltas/{source}/batch={number}")
+        if (number + 1) % COMPACT == 0:
+            compact(spark, table, schema, keys, by)
 
     run_available(stream, merge, "append", checkpoint)
-    return spark.read.parquet(state["at"]) if state["at"] else spark.createDataFrame([], stream.schema)
+    return upsert_table(spark, table, schema, keys, by)
+
+
+def compact(spark: SparkSession, table: str, schema: StructType, keys: list[str], by: str) -> None:
+    """Make the table one snapshot; batches that it holds go once it is current."""
+    snapshots = Snapshots(spark, f"{table}/base")
+    held = _deltas(spark, table)
+    done = dict(snapshots.note().get("batches", {}))
+    for _, source, number in held:
+        done[source] = max(number, done.get(source, -1))
+    snapshots.publish(upsert_table(spark, table, schema, keys, by), 1, None, {"batches": done})
+    for path, _, _ in held:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
 
+def _keyed(events: DataFrame, key: str, late: str) -> GroupedData:
+    """Events (key, us) by key, with a watermark that lets state expire."""
+    return events.select(key, "us", F.timestamp_micros("us").alias("__at")).withWatermark("__at", late).groupBy(key)
 
-def breaker_states(failures: DataFrame, key: str, limit: int = 3, seconds: int = 60) -> DataFrame:
+
+def _expire(state: GroupState, last: int, idle: int) -> None:
+    state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + idle * 1000)
+
+
+def breaker_states(failures: DataFrame, key: str, limit: int = 3, seconds: int = 60, idle: int = 3600, late: str = "10 minutes") -> DataFrame:
     """Keyed state: for each failure (key, us) in time order, whether the key's circuit is open after it. Each key holds the
-    times of at most ``limit`` failures. Works on streams and, batch by batch, keeps its state between them."""
+    times of at most ``limit`` failures, and is forgotten when the stream is ``idle`` seconds beyond its last. Works on streams
+    and, batch by batch, keeps its state between them."""
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         times = list(state.get[0]) if state.exists else []
         rows = []
         for us in sorted(int(x) for f in frames for x in f["us"]):
             times = [t for t in times if us - t <= seconds * 1_000_000][-(limit - 1) :] + [us] if limit > 1 else [us]
             rows.append((k[0], us, len(times) >= limit))
         state.update((times,))
+        _expire(state, times[-1], idle)
         yield pd.DataFrame(rows, columns=[key, "us", "open"])
 
     kind = dict(failures.dtypes)[key]
-    return failures.select(key, "us").groupBy(key).applyInPandasWithState(step, f"{key} {kind}, us long, open boolean", "times array<long>", "append", GroupStateTimeout.NoTimeout)
+    return _keyed(failures, key, late).applyInPandasWithState(step, f"{key} {kind}, us long, open boolean", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def heartbeats(beats: DataFrame, key: str, silence: int = 60, window: int = 3600, limit: int = 2, idle: int = 3600, late: str = "10 minutes") -> DataFrame:
+    """Keyed state of services that beat (key, us): a beat after more than ``silence`` seconds is a restart; each beat tells
+    the restarts of the last ``window`` seconds and whether they exceed ``limit``. A service gives a row with ``lost`` and is
+    forgotten when the stream is ``idle`` seconds beyond its last beat."""
+    columns = [key, "us", "restarts", "alert", "lost"]
+
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, times = (state.get[0], list(state.get[1])) if state.exists else (None, [])
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(k[0], last, len(times), len(times) > limit, True)], columns=columns)
+            return
+        rows = []
+        for us in sorted(int(x) for f in frames for x in f["us"]):
+            times = [t for t in times if us - t <= window * 1_000_000]
+            if last is not None and us - last > silence * 1_000_000:
+                times.append(us)
+            last = us if last is None else max(last, us)
+            rows.append((k[0], us, len(times), len(times) > limit, False))
+        state.update((last, times))
+        _expire(state, last, idle)
+        yield pd.DataFrame(rows, columns=columns)
+
+    kind = dict(beats.dtypes)[key]
+    schema = f"{key} {kind}, us long, restarts long, alert boolean, lost boolean"
+    return _keyed(beats, key, late).applyInPandasWithState(step, schema, "last long, times array<long>", "append", GroupStateTimeout.EventTimeTimeout)

@@ -7,10 +7,10 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestrata import cli, config, queries
+from lodestrata import cli, config
 from lodestrata.functions import text as T
 from lodestrata.functions import vector as V
-from lodestrata.operators import chunking, filters, graph, monitoring, quality, store, windows
+from lodestrata.operators import chunking, filters, golden, graph, monitoring, quality, store, windows
 from lodestrata.plans import gate, status
 from lodestrata.plans.ingest import Corpus, drop_collection, drop_rows, ingest
 from lodestrata.plans.retrieval import Engine
@@ -167,13 +167,114 @@ def test_command_line(spark, corpus, capsys):
     assert cli.main([c.root, "collections"]) == 0 and cli.main([c.root, "status"]) == 0
 
 
-def test_stream_ingest_goes_on(spark, corpus):
+def test_stream_ingest_takes_new_changed_and_shrunken_files(spark, corpus):
     c, src = corpus
+    (src / "long.md").write_text("\n\n".join(f"Paragraph {i} " + "word " * 60 for i in range(4)))
     stream_ingest.ingest_available(c, f"file://{src}")
-    assert Engine(c).rows().count() == 3
+    long = lambda: sorted(r.text for r in Engine(c).rows().filter(F.col("source").endswith("long.md")).collect())
+    assert Engine(c).rows().count() == 7 and len(long()) == 4
     (src / "new.txt").write_text("A new text about bread.")
-    stream_ingest.ingest_available(c, f"file://{src}")
-    assert Engine(c).rows().count() == 4
+    (src / "long.md").write_text("Now short.")
+    again = Corpus(spark, c.root)  # as after a restart
+    stream_ingest.ingest_available(again, f"file://{src}")
+    assert Engine(again).rows().count() == 5 and [t.strip() for t in long()] == ["Now short."]
+
+
+def test_ingest_runs_as_a_stream(spark, corpus):
+    c, src = corpus
+    query = stream_ingest.ingest_stream(c, f"file://{src}", every="1 hour")
+    for _ in range(120):  # the first tick comes at once
+        if query.lastProgress or query.awaitTermination(1):
+            break
+    query.stop()
+    assert Engine(c).rows().count() == 3
+
+
+def test_upsert_stream_goes_on_after_restarts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "COMPACT", 2)
+    want = {}
+    for n in range(5):
+        rows = [(k, n, f"v{n}") for k in (n, n + 1, 0)]
+        want |= {k: f"v{n}" for k, _, _ in rows}
+        spark.createDataFrame(rows, "k int, at int, v string").coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+        stream = S.source(spark, f"{tmp_path}/in/0", folder=f"{tmp_path}/in")
+        got = S.upsert_stream(stream, ["k"], "at", f"file://{tmp_path}/table")
+        assert {r.k: r.v for r in got.collect()} == want and got.count() == len(want)
+    elsewhere = S.upsert_stream(S.source(spark, f"{tmp_path}/in/0"), ["k"], "at", f"file://{tmp_path}/table", f"file://{tmp_path}/other")
+    assert {r.k: r.v for r in elsewhere.collect()} == want  # a second stream of the same table keeps its own batches
+
+
+T0 = 1_700_000_000  # seconds; streams take nothing from 1970 for new
+
+
+def test_stream_heartbeats(spark, tmp_path):
+    beats = [("a", 0), ("a", 30), ("a", 120), ("a", 300), ("a", 500), ("a", 5000), ("b", 0)]
+    for some in (beats, [("c", 5000)]):
+        spark.createDataFrame([(k, (T0 + s) * 1_000_000) for k, s in some], "k string, us long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/f")
+    out = []
+    S.run_available(S.heartbeats(S.source(spark, f"{tmp_path}/f", 1), "k"), lambda b, n: out.extend(map(tuple, b.collect())), "append")
+    assert [(k, us) for k, us, _, _, lost in out if lost] == [("b", T0 * 1_000_000)]
+    assert [(us // 1_000_000 - T0, n, alert) for k, us, n, alert, lost in sorted(out) if k == "a" and not lost] == [(0, 0, False), (30, 0, False), (120, 1, False), (300, 2, False), (500, 3, True), (5000, 1, False)]
+
+
+def test_pointers_are_never_replaced(spark, tmp_path):
+    root = f"file://{tmp_path}/s"
+    rows = spark.createDataFrame([("a", 1)], "k string, v int")
+    one, two = store.Snapshots(spark, root), store.Snapshots(spark, root)
+    first = one.publish(rows, 3, None, {"n": 1})
+    stale = two._read_pointer()
+    second = one.publish(rows.withColumn("v", F.lit(2)), 3, None)
+    with pytest.raises(RuntimeError):  # another writer was faster
+        two._point(stale | {"current": first})
+    assert one.current().first().v == 2 and two.list() == [first, second]
+    last = max(tmp_path.glob("s/CURRENT-*.json"), key=lambda p: int(p.stem[8:]))
+    (tmp_path / "s" / f"CURRENT-{int(last.stem[8:]) + 1}.json").write_text("{")  # a writer was lost while it wrote
+    assert two.current().first().v == 2
+    two.publish(rows.withColumn("v", F.lit(3)), 3, None)
+    assert one.current().first().v == 3 and len(one.list()) == 3
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from lodestrata.session import shared_dir
+
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        shared_dir(fake)
+
+
+def test_raw_records_and_tables(spark, tmp_path):
+    rows = spark.createDataFrame([("items", " Big Axe!", '{"a": 1}'), ("items", " Big Axe!", '{"a": 1}'), ("mobs", "x", "{}")], "category string, name string, body string")
+    store.save_raw(rows, f"file://{tmp_path}/raw", "name", "body", "category")
+    names = sorted(p.parent.name for p in tmp_path.glob("raw/category=*/name=*/part-*"))
+    assert len(names) == 2 and any(n.endswith("_big_axe_.json") for n in names)
+    health = spark.createDataFrame([("items", 1, "2024-01-01")], "collection_name string, chunk_count long, updated_at string")
+    newer = spark.createDataFrame([("items", 2, "2024-01-02"), ("mobs", 5, "2024-01-01")], "collection_name string, chunk_count long, updated_at string")
+    got = store.upsert_table(health, newer, "collection_health", "updated_at")
+    assert {(r.collection_name, r.chunk_count) for r in got.collect()} == {("items", 2), ("mobs", 5)} and len(got.columns) == 8
+
+
+def test_golden_items_in_blocks(spark, monkeypatch):
+    import random
+
+    rng = random.Random(11)
+    text = lambda n: " ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(n))
+    docs = [(i, text(rng.randint(0, 60))) for i in range(150)] + [(900, None), (901, "")]
+    items = [(i, " ".join(docs[i * 7][1].split()[1 : 3 + i])) for i in range(15)] + [(50, "zzzz"), (51, text(30))]
+    d, q = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    words = lambda t: set((t or "").lower().split())
+    want = set()
+    for i, t in items:
+        scored = sorted((-len(words(t) & words(x)), n) for n, x in docs if words(t) & words(x))[:4]
+        want |= {(i, n, -s, k + 1) for k, (s, n) in enumerate(scored)}
+    held = {(i, n) for i, t in items for n, x in docs if x is not None and t in x}
+    for block, tile in ((200_000, 2_000_000), (25, 60)):
+        monkeypatch.setattr(golden, "BLOCK_WORDS", block)
+        monkeypatch.setattr(golden, "TILE", tile)
+        assert {(r.item_id, r.doc_id, r.overlap, r["rank"]) for r in golden.overlap_ranked(q, d, 4).collect()} == want
+        assert {tuple(r) for r in golden.passages(q, d).collect()} == held
+    assert golden.overlap_ranked(q.limit(0), d, 4).count() == 0 and golden.passages(q.limit(0), d).count() == 0
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -187,10 +288,11 @@ def test_stream_equals_batch(spark, tmp_path):
 
 def test_stream_breaker_state(spark, tmp_path):
     fails = [("a", 0), ("a", 10_000_000), ("a", 20_000_000), ("a", 90_000_000), ("b", 0)]
+    fails = [(k, T0 * 1_000_000 + us) for k, us in fails]
     spark.createDataFrame(fails, "k string, us long").coalesce(1).write.parquet(f"{tmp_path}/f")
     out = []
     S.run_available(S.breaker_states(S.source(spark, f"{tmp_path}/f"), "k", 3, 60), lambda b, n: out.extend(map(tuple, b.collect())), "append")
-    assert sorted(out) == [("a", 0, False), ("a", 10_000_000, False), ("a", 20_000_000, True), ("a", 90_000_000, False), ("b", 0, False)]
+    assert [(k, us - T0 * 1_000_000, is_open) for k, us, is_open in sorted(out)] == [("a", 0, False), ("a", 10_000_000, False), ("a", 20_000_000, True), ("a", 90_000_000, False), ("b", 0, False)]
 
 
 def test_stream_run_lifecycle(spark, tmp_path):
@@ -243,7 +345,7 @@ def test_table_and_metadata_rules(spark):
 def test_overlap_counts_every_word(spark):
     items = spark.createDataFrame([(1, "the cat sat on a mat"), (2, "日本 東京 大阪"), (3, "considerable of it")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "The mat on a cat"), (2, "considerable"), (3, "東京 日本 of"), (4, "of of it"), (5, "")], "doc_id long, text string")
-    got = sorted((r.item_id, r["rank"], r.doc_id, r.overlap) for r in queries.overlap_ranked(items, docs, 2).collect())
+    got = sorted((r.item_id, r["rank"], r.doc_id, r.overlap) for r in golden.overlap_ranked(items, docs, 2).collect())
     assert got == [(1, 1, 1, 5), (2, 1, 3, 2), (3, 1, 4, 2), (3, 2, 2, 1)]
 
 

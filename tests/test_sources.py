@@ -99,7 +99,7 @@ def test_containers(tmp_path):
     assert containers.parse_docx(docx)[0]["text"] == "One\n\na | b\n\nTwo"
     opf = '<package xmlns="http://www.idpf.org/2007/opf" xmlns:dc="http://purl.org/dc/elements/1.1/"><metadata><dc:title>T</dc:title></metadata><manifest><item id="c" href="c.xhtml"/></manifest><spine><itemref idref="c"/></spine></package>'
     epub = zipped(tmp_path / "a.epub", {"META-INF/container.xml": '<c><rootfiles><rootfile full-path="O/p.opf"/></rootfiles></c>', "O/p.opf": opf, "O/c.xhtml": "<html><h1>Start</h1><p>Text &amp; more</p></html>"})
-    assert containers.parse_epub(epub)[0]["text"] == "Start\nText & more" and containers.parse_epub(epub)[0]["metadata"]["title"] == "T"
+    assert containers.parse_epub(epub)[0]["markup"] and "Text &amp; more" in containers.parse_epub(epub)[0]["text"] and containers.parse_epub(epub)[0]["metadata"]["title"] == "T"
     got = containers.parse_archive(zipped(tmp_path / "a.zip", {"a.lua": "x=1", "b.lua": "y" * 20_000, "c.txt": "t", "d.png": "no"}))
     assert [r["name"] for r in got] == ["a.lua", "b.lua", "c.txt"] and {r["metadata"]["collection"] for r in got} == {"scripts"}
     assert len(got[1]["text"]) == containers.MEMBER_CHARS
@@ -163,3 +163,35 @@ def test_packages(spark, tmp_path):
     assert {r.kind: r.n for r in packages.commits(subjects).collect()} == {"feat": 1, "fix": 1, "other": 1}
     paged = spark.createDataFrame([("s", "--- Page 1 ---\nOne. Two.\n--- Page 2 ---\nThree.")], "source string, text string")
     assert [r.text.strip() for r in packages.page_chunks(paged).orderBy("page").collect()] == ["One. Two.", "Three."]
+
+
+def test_wide_decoding():
+    assert files.decode_wide("grüße".encode("utf-16-le")) == "grüße" and files.decode_wide("été".encode("cp1252")) == "été"
+    assert files.decode_wide(b"\x00\x01\x02\x90\x8f") == "000102908f" and files.decode_wide(None) == "" and files.decode_wide("日本".encode()) == "日本"
+
+
+def test_markup_keeps_words_apart(spark, tmp_path):
+    (tmp_path / "a.html").write_text("<table><tr><td>one</td><td>two &eacute;&#233;</td></tr></table>")
+    (tmp_path / "b.html").write_text("<script>x</script>")
+    got = {r.source[-6:]: r for r in extract.records(files.scan(spark, f"file://{tmp_path}")).collect()}
+    assert got["a.html"].text.split() == ["one", "two", "éé"] and got["b.html"].error == "no text"
+
+
+def test_chapters_become_text(spark, tmp_path):
+    opf = '<package xmlns="http://www.idpf.org/2007/opf"><manifest><item id="c" href="c.xhtml"/><item id="d" href="d.xhtml"/></manifest><spine><itemref idref="c"/><itemref idref="d"/></spine></package>'
+    zipped(tmp_path / "a.epub", {"META-INF/container.xml": '<c><rootfiles><rootfile full-path="p.opf"/></rootfiles></c>', "p.opf": opf, "c.xhtml": "<h1>A<b>b</b></h1><td>one</td><td>two &amp;</td>", "d.xhtml": "<p> </p>"})
+    (got,) = extract.records(files.scan(spark, f"file://{tmp_path}")).collect()
+    assert (got["name"], got.text.split(), got.error) == ("A b", ["A", "b", "one", "two", "&"], None)
+
+
+def test_long_cards_are_split(spark, tmp_path):
+    (tmp_path / "items.json").write_text(json.dumps({"axe": {"Name": "Axe", "description": "word " * 500 + "\n\n" + "more " * 500}, "saw": {"Name": "Saw"}}))
+    got = dumps.chunks(dumps.normalise(dumps.read(spark, str(tmp_path)))).orderBy("chunk_id").collect()
+    assert [(r.chunk_id, r.split) for r in got] == [("items.axe", True), ("items.axe#1", True), ("items.saw", False)]
+    assert all(r.text.startswith("Axe") for r in got[:2])
+
+
+def test_parsers_by_kind():
+    assert parsers.PARSERS["markdown"]("## f\nmakes\n### a : int - count")[0]["kind"] == "function"
+    assert parsers.PARSERS["markdown"]("## f\n### note\nx")[0]["kind"] == "section"
+    assert parsers.PARSERS["xml"]('<r><item id="B.A" weight="1"/></r>')[0]["metadata"]["weight"] == 1.0
