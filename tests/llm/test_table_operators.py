@@ -390,3 +390,18 @@ def test_stages_take_null_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, odd, SF).collect()
         stage(spark, docs.limit(0), SF).collect()
+
+
+def test_stages_pass_extra_columns_through(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 60")
+    extra = docs.select("*", F.col("doc_id").alias("node"), F.lit("c").alias("c0"), F.lit(1).alias("size"), F.create_map(F.lit("k"), F.lit("v")).alias("rows"), F.lit("d").alias("digest"))
+    kept = extra
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = common.stored(stage(spark, kept, SF))
+        assert out.columns == extra.columns, name
+        row = out.first()
+        assert (row.node, row.c0, row["size"], row["rows"], row.digest) == (row.doc_id, "c", 1, {"k": "v"}, "d"), name
+        kept = out
+    assert corpus_pipeline.STAGES[-1][1](spark, kept, SF).count() > 0
