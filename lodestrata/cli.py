@@ -11,7 +11,7 @@ from .config import EXPECTED_TOTALS
 from .functions import text as T
 from .operators import golden, graph
 from .plans import gate, status
-from .plans.ingest import Corpus, ingest, ingest_dump, to_rows, write
+from .plans.ingest import Corpus, build_index, ingest, ingest_dump, to_rows, write
 from .plans.retrieval import Engine
 from .session import session, stored
 from .sources import dumps, files, packages
@@ -34,6 +34,9 @@ def build_parser() -> argparse.ArgumentParser:
     c.add_argument("--collection", action="append")
     c.add_argument("--filter", type=json.loads, help="a filter as JSON")
     c.add_argument("--all", action="store_true", help="all collections, with quotas")
+    c.add_argument("--probes", type=int, help="read only so many cells of the index")
+    c = sub.add_parser("index", help="build the vector index")
+    c.add_argument("--cells", type=int)
     c = sub.add_parser("get", help="the row with an id")
     c.add_argument("id")
     sub.add_parser("collections", help="list collections")
@@ -106,7 +109,9 @@ def main(argv: list[str] | None = None) -> int:
         show(told.orderBy("id"))
         return int(told.filter("status = 'regression'").limit(1).count() > 0)
     elif a.command == "search":
-        show(engine.search_all(a.text, a.k, a.filter) if a.all else engine.search(a.text, a.k, a.filter, a.collection))
+        show(engine.search_all(a.text, a.k, a.filter) if a.all else engine.search(a.text, a.k, a.filter, a.collection, probes=a.probes))
+    elif a.command == "index":
+        print(json.dumps(build_index(corpus, a.cells)))
     elif a.command == "get":
         show(engine.get(a.id).drop("embedding"))
     elif a.command == "collections":

@@ -125,8 +125,11 @@ class Snapshots:
         state = self._read_pointer()
         name = f"v{time.time_ns()}"
         writer = rows.write
-        if partition_by and partition_by in rows.columns:
-            writer = rows.hint("rebalance", partition_by).write.partitionBy(partition_by)  # large collections are split
+        if partition_by and {partition_by, "cell", "chunk_id"} <= set(rows.columns):  # a cell lies in few files and row groups; a large one is split by id
+            by = [partition_by, "cell", "chunk_id"]
+            writer = rows.repartitionByRange(*by).sortWithinPartitions(*by).write.partitionBy(partition_by)
+        elif partition_by and partition_by in rows.columns:
+            writer =rows.hint("rebalance", partition_by).write.partitionBy(partition_by)  # large collections are split
         writer.option("maxRecordsPerFile", 1_000_000).parquet(f"{self.root}/{name}")
         history = [*state["history"], name]
         schemas = state.get("schemas", {}) | {name: rows.schema.json()}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions.embedding import Embedder, embedded, hashed
-from ..operators import store
+from ..operators import cells, store
 from ..session import shared_dir, stored
 from ..sources import dumps, extract, files
 
@@ -28,6 +28,12 @@ class Corpus:
     def __post_init__(self) -> None:
         self.chunks = store.Snapshots(self.spark, f"{self.root}/chunks")
         self.seen = store.Snapshots(self.spark, f"{self.root}/seen")
+        self.index = store.Snapshots(self.spark, f"{self.root}/index")
+
+    def centroids(self) -> list[tuple[int, list[float]]]:
+        """The cells of the vector index, in order, with their centroids: at most ``cells.CENTROID_BYTES``. Empty without one."""
+        found = self.index.current()
+        return [] if found is None else [(r.cell, r.centroid) for r in found.orderBy("cell").collect()]
 
     @property
     def quarantine_path(self) -> str:
@@ -51,12 +57,32 @@ def to_rows(chunks: DataFrame, version: str, embed: Embedder, at: float | None =
     return rows.join(vectors, "text", "left").select("collection", "chunk_id", "text", "embedding", "norm", "metadata", "source", F.lit(version).alias("version"), stamp.alias("ingest_time"))
 
 
+def like(rows: DataFrame, base: DataFrame) -> DataFrame:
+    """Rows with the columns of the stored ones; what they lack, such as a cell, is null."""
+    return rows.select(*[F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in base.schema])
+
+
+def build_index(corpus: Corpus, n_cells: int | None = None) -> dict:
+    """Fit cells on a bounded sample, give every stored row its cell, and lay rows out by cell. The centroids are noted
+    first: until the rows follow, none of them is in a cell, and searches read all."""
+    base = corpus.chunks.current()
+    model = None if base is None else cells.fit(base, cells=n_cells)
+    if model is None:
+        return {"cells": 0}
+    first = cells.first_cell()
+    centroids = [(first + i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
+    corpus.index.publish(corpus.spark.createDataFrame(centroids, "cell bigint, centroid array<double>"), 1, None)
+    corpus.chunks.publish(cells.assign(base, model, first), corpus.settings.retention_staging)
+    store.audit(corpus.spark, corpus.audit_path, "index", {"cells": len(centroids)})
+    return {"cells": len(centroids)}
+
+
 def write(corpus: Corpus, rows: DataFrame, keep: int | None = None) -> str:
     """Upsert rows into the corpus as a new snapshot."""
     base = corpus.chunks.current()
     keys = ["collection", "chunk_id"]
     rows = rows.filter(F.trim("text") != "")
-    merged = store.newest(rows, keys, [F.col("ingest_time").desc()]) if base is None else store.upsert(base, rows.select(*base.columns), keys, "ingest_time")
+    merged = store.newest(rows, keys, [F.col("ingest_time").desc()]) if base is None else store.upsert(base, like(rows, base), keys, "ingest_time")
     return corpus.chunks.publish(merged, corpus.settings.retention_staging if keep is None else keep)
 
 
@@ -84,7 +110,7 @@ def ingest(corpus: Corpus, folder: str, pattern: str | None = None, recursive: b
         base = corpus.chunks.current()
         if base is not None:  # a changed file's old chunks go
             kept = base.join(gone, "source", "left_anti").select(*base.columns)
-            merged = store.upsert(kept, rows.select(*base.columns), ["collection", "chunk_id"], "ingest_time")
+            merged = store.upsert(kept, like(rows, base), ["collection", "chunk_id"], "ingest_time")
             corpus.chunks.publish(merged, corpus.settings.retention_staging)
         else:
             write(corpus, rows)
@@ -103,7 +129,7 @@ def ingest_dump(corpus: Corpus, path: str, at: float | None = None) -> dict:
         write(corpus, made)
     else:
         kept = base.join(made.select("source").distinct(), "source", "left_anti").select(*base.columns)
-        corpus.chunks.publish(store.upsert(kept, made.select(*base.columns), ["collection", "chunk_id"], "ingest_time"), corpus.settings.retention_staging)
+        corpus.chunks.publish(store.upsert(kept, like(made, base), ["collection", "chunk_id"], "ingest_time"), corpus.settings.retention_staging)
     summary = {"chunks": made.count()}
     store.audit(corpus.spark, corpus.audit_path, "dump", summary | {"path": path})
     return summary

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import INTENT_COLLECTIONS
 from ..functions.text import prose
 from ..functions.vector import cosine, norm
-from ..operators import filters, search
+from ..operators import cells, filters, search
 from ..operators.quality import intent, item_id
 from .ingest import Corpus
 
@@ -42,17 +42,29 @@ class Engine:
         stored = {"version": "version", "game_version": "version", "source": "source", "collection": "collection"}
         return F.col(stored[key]) if key in stored else F.get_json_object("metadata", f"$.{filters.ALIASES.get(key, key)}")
 
-    def hits(self, texts: list[str], where: dict[str, Any] | None = None, collections: list[str] | None = None) -> DataFrame:
+    def hits(self, texts: list[str], where: dict[str, Any] | None = None, collections: list[str] | None = None, probes: int | None = None) -> DataFrame:
+        """All rows with their score for each text; with ``probes``, those of the text's nearest cells and those that are in
+        no cell. Without an index, ``probes`` changes nothing."""
         rows = self.rows().filter(filters.compile_filter(where, self._field)).filter(F.col("embedding").isNotNull())
         if collections:
             rows = rows.filter(F.col("collection").isin(*collections))
         q = self._queries(texts).withColumn("query_norm", norm(F.col("query_vector")))
+        near = F.lit(True)
+        centroids = self.corpus.centroids() if probes is not None and "cell" in rows.columns else []
+        if centroids:
+            wanted = [cells.nearest(v, centroids, max(1, probes)) for v in self.corpus.embed(texts)]
+            loose = cells.outside(centroids[0][0])
+            rows = rows.filter(loose | F.col("cell").isin(sorted({c for w in wanted for c in w})))  # reaches the scan
+            read = self.corpus.spark.createDataFrame(list(enumerate(wanted)), "position int, probed array<bigint>")
+            q = q.join(F.broadcast(read), "position")
+            near = loose | F.array_contains("probed", F.col("cell"))
         score = cosine(F.col("embedding"), F.col("query_vector"), F.col("norm"), F.col("query_norm"))
-        out = rows.join(F.broadcast(q)).withColumn("score", F.round(score, 6)).filter(F.col("score").isNotNull())
+        out = rows.join(F.broadcast(q), near).withColumn("score", F.round(score, 6)).filter(F.col("score").isNotNull() & ~F.isnan("score"))  # a NaN would rank first
         return out.withColumn("distance", F.round(1 - F.col("score"), 6))
 
-    def search(self, text: str, k: int = 5, where: dict[str, Any] | None = None, collections: list[str] | None = None, threshold: float | None = None) -> DataFrame:
-        hits = self.hits([text], where, collections)
+    def search(self, text: str, k: int = 5, where: dict[str, Any] | None = None, collections: list[str] | None = None, threshold: float | None = None, probes: int | None = None) -> DataFrame:
+        """The best k; of all rows, or with ``probes`` of that many cells of the index."""
+        hits = self.hits([text], where, collections, probes)
         if threshold is not None:
             hits = search.above(hits, threshold)
         return answers(search.top_k(hits.withColumn("__key", F.concat_ws("/", "collection", "chunk_id")), k, "__key"))
@@ -62,9 +74,9 @@ class Engine:
         n = self.rows().select("collection").distinct().count()
         return answers(search.with_quota(self.hits([text], where), "collection", k, n, "chunk_id"))
 
-    def search_many(self, texts: list[str], k: int = 5, where: dict[str, Any] | None = None) -> DataFrame:
+    def search_many(self, texts: list[str], k: int = 5, where: dict[str, Any] | None = None, probes: int | None = None) -> DataFrame:
         """The best k of each text, in the texts' order."""
-        return answers(search.top_k_by(self.hits(texts, where), ["position"], k, "chunk_id"), "position", "query", "rank").orderBy("position", "rank")
+        return answers(search.top_k_by(self.hits(texts, where, probes=probes),["position"], k, "chunk_id"), "position", "query", "rank").orderBy("position", "rank")
 
     def search_by_collection(self, text: str, k: int = 5) -> DataFrame:
         return answers(search.top_k_by(self.hits([text]), ["collection"], k, "chunk_id"), "rank")
