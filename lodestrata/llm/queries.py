@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, neardup, packing, pii, quality, tokencount, topk, urlfilter, warc
+from . import bpe, langid, mixing, neardup, packing, pii, quality, tokencount, topk, urlfilter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,13 +66,19 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.cluster(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), ["doc_id"])
+    told = bpe.decode(encoded, ["doc_id", "n_tokens"])
+    return told.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_language_id, op3_warc, op4_quality_rules, op5_mixing, op6_packing, op7_pii, op8_topk, op9_url_filters, op10_near_dedup, pipeline)
+    for f in (op1_token_counts, op2_language_id, op3_warc, op4_quality_rules, op5_mixing, op6_packing, op7_pii, op8_topk, op9_url_filters, op10_near_dedup, op13_byte_bpe, pipeline)
 }
 
 ORACLES: dict[str, str] = {
