@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, neardup, packing, pii, quality, tokencount, topk, urlfilter, warc
+from . import bpe, codes, langid, mixing, neardup, packing, pii, quality, tokencount, topk, urlfilter, warc, whitening
+from .common import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +67,23 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.cluster(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    model = whitening.fit(vectors)
+    rows = stored(whitening.apply(vectors, model))
+    k = len(model.values)
+    explained = F.array(*[F.lit(v) for v in model.explained]).cast("array<double>")
+    told = rows.select("vec_id", "deviation", F.posexplode("whitened").alias("place", "whitened"))
+    error = whitening.identity_error(rows, k)
+    return told.select("vec_id", (F.col("place") + 1).cast("int").alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened", F.get(explained, F.col("place")).alias("explained"), F.lit(error).alias("identity_error"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, books = codes.compress(table(spark, sf_dir, "embeddings"), ["vec_id", "label"])
+    told = codes.with_label_error(rows)
+    return told.select("vec_id", codes.hex_code().alias("code"), "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode(table(spark, sf_dir, "documents"), ["doc_id"])
     told = bpe.decode(encoded, ["doc_id", "n_tokens"])
@@ -78,10 +96,38 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_language_id, op3_warc, op4_quality_rules, op5_mixing, op6_packing, op7_pii, op8_topk, op9_url_filters, op10_near_dedup, op13_byte_bpe, pipeline)
+    for f in (op1_token_counts, op2_language_id, op3_warc, op4_quality_rules, op5_mixing, op6_packing, op7_pii, op8_topk, op9_url_filters, op10_near_dedup, op11_whitening, op12_vector_codes, op13_byte_bpe, pipeline)
 }
 
+def _codes_sql(rounds: int = 4) -> str:
+    """Lloyd's rounds, each a pair of steps: every part to its nearest entry, every entry to its floored mean."""
+    steps = ["""
+        WITH v AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label,
+                   list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS MATERIALIZED (SELECT r, q, e[q * (len(e) // 4) + 1 : (q + 1) * (len(e) // 4)] AS part FROM v, range(4) t(q)),
+        b0 AS MATERIALIZED (SELECT q, r - 1 AS j, part AS entry FROM p WHERE r <= 256)"""]
+    for k in range(rounds + 1):
+        steps.append(f"""
+        a{k} AS MATERIALIZED (SELECT r, q, min(d * 256 + j) % 256 AS j, min(d) AS d FROM (
+            SELECT p.r, p.q, b.j, list_sum(list_transform(list_zip(p.part, b.entry), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::BIGINT AS d
+            FROM p JOIN b{k} b ON p.q = b.q) GROUP BY r, q)""")
+        if k < rounds:
+            steps.append(f"""
+        m{k} AS MATERIALIZED (SELECT q, j, list(m ORDER BY i) AS entry FROM (
+            SELECT q, j, i, floor_div(sum(x), count(*)) AS m
+            FROM (SELECT a.q, a.j, generate_subscripts(p.part, 1) AS i, unnest(p.part) AS x FROM a{k} a JOIN p ON a.r = p.r AND a.q = p.q) GROUP BY q, j, i) GROUP BY q, j),
+        b{k + 1} AS MATERIALIZED (SELECT b.q, b.j, coalesce(m.entry, b.entry) AS entry FROM b{k} b LEFT JOIN m{k} m ON b.q = m.q AND b.j = m.j)""".replace("floor_div(sum(x), count(*))", "((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT"))
+    steps.append(f"""
+        s AS (SELECT sha256(string_agg(array_to_string(entry, ','), ',' ORDER BY q, j)) AS codebooks_sha256 FROM b{rounds}),
+        c AS (SELECT r, string_agg(lower(printf('%02x', j::INTEGER)), '' ORDER BY q) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY r)""")
+    return ",".join(steps) + """
+        SELECT v.vec_id, c.code, c.error, (sum(c.error) OVER (PARTITION BY v.label))::BIGINT AS label_error, s.codebooks_sha256 FROM v JOIN c USING (r), s"""
+
+
 ORACLES: dict[str, str] = {
+    "op12_vector_codes": _codes_sql(),
     "op3_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
         h AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha256(b) AS payload_digest FROM p),
