@@ -9,7 +9,9 @@ pieces of all classes are laid end to end and cut at the capacity, and the last
 two, which need no padding.
 
 One narrow pass over the documents; no shuffle. A sequence's number holds its partition's number, so lost tasks give the
-same sequences again. Null and empty texts hold only the closing id. Repeated rows are packed each for itself.
+same sequences again. Null and empty texts hold only the closing id. Repeated rows are packed each for itself, rows without
+an id too. Very long texts are read in slices, whole; their ids are held, four bytes each. The strings of the tokenizer's
+special tokens in a text are those tokens. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import DROPS, map_rows, text_bytes, tokenizer_file, words
+from .common import DROPS, map_rows, slices, text_bytes, tokenizer_file, words
 
 CAPACITY = 2048
 END_ID = 1
@@ -46,7 +48,6 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.tokenize = self.tokenizer.model.tokenize
@@ -81,8 +82,8 @@ class WordIds:
                 return self._core(low.lower()) + tail
         return self._full(word)
 
-    def encode(self, text: bytes | None) -> np.ndarray:
-        found = words(text)
+    def _ids(self, part: bytes) -> bytes:
+        found = words(part)
         memo = self.memo
         new = {w for w in found if w not in memo}
         if len(memo) + len(new) > MEMO_WORDS:
@@ -90,7 +91,10 @@ class WordIds:
             new = set(found)
         for w in new:
             memo[w] = self._word(w)
-        return np.frombuffer(b"".join([*map(memo.__getitem__, found), END_ID.to_bytes(4, "little")]), dtype="<u4")
+        return b"".join(map(memo.__getitem__, found))
+
+    def encode(self, text: bytes | None) -> np.ndarray:
+        return np.frombuffer(b"".join([*map(self._ids, slices(text or b"")), END_ID.to_bytes(4, "little")]), dtype="<u4")
 
 
 @functools.lru_cache(maxsize=1)

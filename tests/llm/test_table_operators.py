@@ -137,7 +137,6 @@ def test_packing_by_brute_force(spark):
 
     path = common.tokenizer_file("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     texts = {d["doc_id"]: d["text"] for d in pq.read_table(f"{SF}/documents.parquet").to_pylist()}
     texts |= {-1: None, -2: "", -3: "It's 20%! <|endoftext|> 日本語\u00a0naïve İstanbul ǅ x\u0301", -4: "ab " * 9000, -5: "ÀÉ, thé. don't!! a..", -6: "x" * 3000}
     docs = spark.createDataFrame([(i, t, 5) for i, t in texts.items()], "doc_id long, text string, offset int").repartition(3)
@@ -170,6 +169,18 @@ def test_packing_by_brute_force(spark):
     assert packing.pack(twice).count() == 2
 
 
+def test_ids_equal_the_tokenizers_with_special_tokens():
+    from tokenizers import Tokenizer
+
+    path = common.tokenizer_file("word_bpe_49k.json")
+    tokenizer, ours, rng = Tokenizer.from_file(path), packing.WordIds(path), random.Random(6)
+    bits = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "a", "Be", "né", ".", "'s", " ", "\n", "\u00a0", "日本", "12", "_"]
+    for _ in range(1500):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(12)))
+        assert ours.encode(text.encode()).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, packing.END_ID]
+    assert ours.encode(b"x <|endoftext|> y").tolist()[1] == 49407
+
+
 def test_classes_hold_a_fixed_count():
     packer = packing.HarmonicPacker(100)
     out = [x for i in range(9) for x in packer.add((i,), 33)]
