@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.windows import running_sum
-from .common import keyed_join, map_rows, shared_dir, stored, text_bytes, words
+from .common import keyed_join, map_rows, shared_dir, slices, stored, text_bytes, words
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -35,7 +35,7 @@ NAMED, UNNAMED = "s:", "n"
 
 def _sizes(rows: Iterator[tuple]) -> Iterator[tuple]:
     for doc_id, mark, source, text in rows:
-        yield doc_id, mark, source, len(words(text))
+        yield doc_id, mark, source, sum([len(words(part)) for part in slices(text or b"")])
 
 
 def mark() -> Column:

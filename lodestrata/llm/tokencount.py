@@ -6,7 +6,8 @@ plain algorithm, so a word costs time in proportion to its length whatever the v
 
 A word is a maximal run of ``[^\\x20\\x09-\\x0D]``. Its first piece is one marked as a word's start, later ones are
 unmarked. A word that greedy matching can't finish counts as one unknown token. Null and empty texts have no words;
-rows are kept as they are, repeated or not, and other columns are ignored.
+rows are kept as they are, repeated or not, with or without an id. Very long texts are read in slices, whole, and the
+longest word is held at once. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import DROPS, decoded, map_rows, text_bytes, tokenizer_file, words
+from .common import DROPS, decoded, map_rows, slices, text_bytes, tokenizer_file, words
 
 MARK = "▁"
 #: Words whose counts a worker remembers before it starts anew.
@@ -118,9 +119,11 @@ DROPS[__name__] = _memo.cache_clear
 def _count(path: str | None, rows: Iterator[tuple]) -> Iterator[tuple]:
     memo = _memo(path)
     for doc_id, text in rows:
-        counts = [memo[w] for w in words(text)]
-        unknown = counts.count(0)
-        yield doc_id, len(counts), sum(counts) + unknown, unknown
+        n = tokens = unknown = 0
+        for part in slices(text or b""):
+            counts = [memo[w] for w in words(part)]
+            n, tokens, unknown = n + len(counts), tokens + sum(counts), unknown + counts.count(0)
+        yield doc_id, n, tokens + unknown, unknown
 
 
 def count_tokens(docs: DataFrame, vocab_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
