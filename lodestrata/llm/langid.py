@@ -63,6 +63,12 @@ def letter_table() -> np.ndarray:
     return np.array([c if (ch := chr(c)).isalpha() or 0x300 <= c < 0x370 else 32 for c in range(0x10000)], dtype=np.uint64)
 
 
+@functools.lru_cache(maxsize=1)
+def is_letter() -> np.ndarray:
+    """Of each code point whether it's a letter; marks aren't, though they count in n-grams beside letters."""
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
+
+
 def _tally(counts: np.ndarray, c: np.ndarray, fresh: int) -> None:
     """Add the 1-, 2- and 3-grams that end in the last ``fresh`` codes."""
     one = c * np.uint64(0x9E3779B97F4A7C15)
@@ -84,7 +90,7 @@ def features(text: str) -> np.ndarray | None:
         basic = points < 0x10000
         codes = np.where(basic, letter_table()[np.where(basic, points, 0)], points).astype(np.uint64)
         blank = codes == 32
-        letters = letters or not blank.all()
+        letters = letters or bool(is_letter()[points].any())
         # runs of blanks count as one
         keep = ~blank
         keep[1:] |= blank[1:] & ~blank[:-1]
