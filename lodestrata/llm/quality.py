@@ -8,15 +8,14 @@ words isn't judged, and a language with fewer than ``reference_words`` words in
 the table (with fewer, the histogram's own noise, some sqrt(48 / (8 n ln 2)), would pass 0.07). Documents of a language
 without reference aren't judged by distance: only the base rules decide.
 
-The references of the ``BROADCAST`` largest languages go to all tasks, with ``COMMON`` words each. If there are more
-languages, the others' references are joined to the documents of their own language. So each document is compared with
-all references that are sent and with its own language's.
+Each document is compared with all references, of which a block of some ``BROADCAST`` languages goes to all tasks at once, with
+``COMMON`` words each. With more languages there are more blocks, each a pass that hands on what was nearest so far.
 
-Two passes over the texts. Words are counted within each task first; what is shuffled are sums. Repeated words and lines
+Two passes over the texts (one more for each further block). Words are counted within each task first; what is shuffled are sums. Repeated words and lines
 are told by 64-bit hashes.
 
 Null texts have no words and fail the base rules, as do empty ones. Null ``lang`` gives no reference but is judged like
-others, by the nearest of all that are sent. Repeated rows count each time. Very long texts are taken apart in slices and
+others, by the nearest of all. Repeated rows count each time. Very long texts are taken apart in slices and
 need some 40 bytes a word. An empty table gives no rows. Other columns are ignored.
 """
 
@@ -32,13 +31,13 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import decoded, keyed_join, map_rows, shared_dir, slices, stored, text_bytes, words
+from .common import decoded, map_rows, shared_dir, slices, stored, text_bytes, words
 
 CLASSES = ("lower", "upper", "letter", "number", "space", "punctuation", "symbol", "other")
 #: The characters that the base rules count as symbols.
 SYMBOLS = b"#*$%&|<>"
 COMMON = 48
-#: Languages whose references go to all tasks.
+#: Languages in a block of references, on average: a block goes to all tasks.
 BROADCAST = 1000
 #: Distinct words and languages that a task counts before it hands on; longer words are handed on at once.
 HELD_WORDS = 200_000
@@ -254,26 +253,31 @@ def _tops(docs: DataFrame, limits: Limits, common: int) -> tuple[DataFrame, Data
     return stored(langs.select("lang", "total"), f"{at}/langs"), top
 
 
-def _largest(langs: DataFrame) -> DataFrame:
-    return langs.orderBy(F.col("total").desc(), "lang").limit(BROADCAST)
-
-
-def _collected(langs: DataFrame, top: DataFrame) -> References:
-    """The references of the largest languages, of which there are at most ``BROADCAST``."""
-    refs = References()
-    sent = _largest(langs)
-    totals = {r.lang: r.total for r in sent.collect()}
-    by: dict[str, list[tuple[str, str, int]]] = {}
-    for r in top.join(F.broadcast(sent), "lang").collect():
-        by.setdefault(r.lang, []).append((r.kind, r["name"], r.n))
-    for lang in sorted(totals):
-        refs.add(lang, by[lang], totals[lang])
-    return refs
+def blocks(docs: DataFrame, common: int = COMMON, limits: Limits | None = None) -> Iterator[References]:
+    """Learn the references of all languages that pass the guards from all documents; in blocks, by the hash of the language,
+    each checked against twice its usual size (without languages one empty block)."""
+    langs, top = _tops(docs, limits or Limits(), common)
+    n = max(1, -(-langs.count() // BROADCAST))
+    for block in range(n):
+        refs = References()
+        sent = langs.filter(F.pmod(F.xxhash64("lang"), F.lit(n)) == block).limit(2 * BROADCAST + 50)
+        totals = {r.lang: r.total for r in sent.collect()}
+        if len(totals) == 2 * BROADCAST + 50:
+            raise RuntimeError("a block of languages is larger than its bound")
+        by: dict[str, list[tuple[str, str, int]]] = {}
+        for r in top.join(F.broadcast(sent), "lang").collect():
+            by.setdefault(r.lang, []).append((r.kind, r["name"], r.n))
+        for lang in sorted(totals):
+            refs.add(lang, by[lang], totals[lang])
+        yield refs
 
 
 def references(docs: DataFrame, common: int = COMMON, limits: Limits | None = None) -> References:
-    """Learn the references from all documents, for the ``BROADCAST`` largest languages that pass the guards."""
-    return _collected(*_tops(docs, limits or Limits(), common))
+    """The references of a table of at most ``BROADCAST`` languages; of more, ``blocks`` are to be used."""
+    first, *more = blocks(docs, common, limits)
+    if more:
+        raise ValueError(f"more than {BROADCAST} languages have references")
+    return first
 
 
 class Nearest:
@@ -316,38 +320,46 @@ class Nearest:
         return float(over[i]), self.langs[i], None if by_class is None else float(by_class[i]), None if by_word is None else float(by_word[i])
 
 
-def _judge(refs: References, limits: Limits, rows: Iterator[tuple]) -> Iterator[tuple]:
+BEST = "over: double, nearest: string, char_distance: double, word_distance: double, referenced: boolean"
+
+
+def _nearest(sent: Nearest, c: Counts, lang: str | None, before: dict | None) -> tuple:
+    """The nearest language so far (of equals the first by name) with how far it goes beyond its limits and both distances,
+    and whether the document's own language has a reference."""
+    found = [x for x in ((before["over"], before["nearest"], before["char_distance"], before["word_distance"]) if before and before["nearest"] is not None else None, sent.best(c)) if x]
+    best = min(found, key=lambda x: x[:2], default=(None,) * 4)
+    return *best, bool(before and before["referenced"]) or lang in sent.langs
+
+
+def _compare(refs: References, limits: Limits, rows: Iterator[tuple]) -> Iterator[tuple]:
+    """A block before the last: rows go on with what was nearest so far."""
     sent = Nearest(refs, limits)
-    for doc_id, doc_lang, text, own in rows:
-        text = text or b""
-        c = count(text, sent.places)
-        failed = c.words < 50 or 100 * c.repeated > 50 * c.words
-        found = [sent.best(c)] if doc_lang is None or doc_lang in refs.classes or own is not None else []
-        if own is not None:  # the reference of a language that isn't sent
-            one = References()
-            one.add(doc_lang, [(r["kind"], r["name"], r["n"]) for r in own["rows"]], own["total"])
-            near = Nearest(one, limits)
-            found.append(near.best(count(text, near.places)))
-        best = min([x for x in found if x is not None], key=lambda x: x[0], default=None)
-        kept = not failed and (best is None or best[0] <= 1)
-        _, lang, by_class, by_word = best or (None, None, None, None)
-        yield doc_id, c.words, c.chars, c.symbols, c.lines, c.repeated, failed, kept, by_class, by_word, lang
+    for doc_id, lang, text, before in rows:
+        yield doc_id, lang, text, *_nearest(sent, count(text or b"", sent.places), lang, before)
 
 
-OWN = "struct<total: bigint, rows: array<struct<kind: string, name: string, n: bigint>>>"
+def _judge(refs: References, limits: Limits, rows: Iterator[tuple]) -> Iterator[tuple]:
+    sent = Nearest(refs, limits)
+    for doc_id, lang, text, before in rows:
+        c = count(text or b"", sent.places)
+        failed = c.words < 50 or 100 * c.repeated > 50 * c.words
+        over, nearest, by_class, by_word, referenced = _nearest(sent, c, lang, before)
+        if lang is not None and not referenced:
+            over = nearest = by_class = by_word = None
+        kept = not failed and (over is None or over <= 1)
+        yield doc_id, c.words, c.chars, c.symbols, c.lines, c.repeated, failed, kept, by_class, by_word, nearest
 
 
 def judge(docs: DataFrame, refs: References | None = None, limits: Limits | None = None) -> DataFrame:
     """One row per document: base counts, verdict, both distances to the nearest language and that language; null
     distances where the document's language has no reference."""
     limits = limits or Limits()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text_bytes().alias("text"), F.lit(None).cast(OWN).alias("own"))
-    if refs is None:
-        langs, top = _tops(docs, limits, COMMON)
-        refs = _collected(langs, top)
-        if langs.count() > BROADCAST:
-            others = langs.join(F.broadcast(_largest(langs).select("lang")), "lang", "left_anti")
-            told = top.join(others, "lang").groupBy("lang").agg(F.first("total").alias("total"), F.collect_list(F.struct("kind", "name", "n")).alias("rows"))
-            told = stored(told.select("lang", "total", F.struct("total", "rows").cast(OWN).alias("own")))
-            rows = keyed_join(rows.drop("own"), told, "lang", "total", ["own"])
-    return map_rows(rows, [F.col(c) for c in ("doc_id", "lang", "text", "own")], functools.partial(_judge, refs, limits), SCHEMA)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text_bytes().alias("text"), F.lit(None).cast(f"struct<{BEST}>").alias("before"))
+    columns = [F.col(c) for c in ("doc_id", "lang", "text", "before")]
+    known = iter([refs]) if refs is not None else blocks(docs, COMMON, limits)
+    last = next(known)
+    for block in known:  # the driver holds two at a time
+        last, this = block, last
+        told = map_rows(rows, columns, functools.partial(_compare, this, limits), f"doc_id long, lang string, text binary, {BEST.replace(':', '')}")
+        rows = stored(told.select("doc_id", "lang", "text", F.struct(*[p.split(":")[0] for p in BEST.split(", ")]).alias("before")))
+    return map_rows(rows, columns, functools.partial(_judge, last, limits), SCHEMA)

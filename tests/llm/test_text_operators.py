@@ -312,15 +312,43 @@ def test_quality_of_more_languages_than_are_sent(spark, monkeypatch):
     rows += [(100, "a", text("#$%&*", 300), "x"), (101, None, text("αβγδε", 300), "x"), (102, "f", text("αβγδε", 300), "x")]
     docs = spark.createDataFrame(rows, "doc_id long, lang string, text string, own string")
     limits = quality.Limits(reference_words=800)
-    want = {r.doc_id: (r.kept, r.nearest) for r in quality.judge(docs, limits=limits).collect()}
-    assert want[100][0] is False and want[101] == (True, "e") and want[102] == (True, None) and want[4] == (True, "b")
-    monkeypatch.setattr(quality, "BROADCAST", 2)  # e and d are sent
-    got = {r.doc_id: (r.kept, r.nearest) for r in quality.judge(docs, limits=limits).collect()}
-    assert {k: v for k, v in got.items() if k != 100} == {k: v for k, v in want.items() if k != 100} and got[100][0] is False
+    want = {r.doc_id: r for r in quality.judge(docs, limits=limits).collect()}
+    told = {k: (r.kept, r.nearest) for k, r in want.items()}
+    assert told[100][0] is False and told[101] == (True, "e") and told[102] == (True, None) and told[4] == (True, "b")
+    for most in (1, 2):  # the result doesn't depend on how many languages a block holds
+        monkeypatch.setattr(quality, "BROADCAST", most)
+        assert len(list(quality.blocks(docs, limits=limits))) == -(-5 // most)
+        assert {r.doc_id: r for r in quality.judge(docs, limits=limits).collect()} == want
+        with pytest.raises(ValueError):
+            quality.references(docs, limits=limits)
     dirty = docs.withColumn("lang", docs.doc_id.cast("string"))
     assert quality.references(dirty).classes == {}
 
 
+def test_only_letters_make_a_language():
+    for text in ("😀 😀😀", "\u0301\u0302", "12 34 !?", "\U0001F600\u0301", ""):
+        assert langid.features(text) is None
+    for text in ("a", "\U00010400", "字", "e\u0301", "\U00020000 \U0001F600"):
+        assert langid.features(text) is not None
+
+
+def test_tokens_of_long_texts_are_counted_in_slices(spark, monkeypatch):
+    from lodestrata.llm import common, mixing, packing
+
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("abcdé") for _ in range(rng.randint(1, 9))) for _ in range(n)) for n in (0, 1, 5, 300, 2000)]
+    rows = [(i, t, t.encode()) for i, t in enumerate(texts)]
+    want = list(tokencount._count(None, iter([(i, b) for i, _, b in rows])))
+    sizes = list(mixing._sizes(iter([(i, None, "s", b) for i, _, b in rows])))
+    encoder = packing.WordIds(common.tokenizer_file("word_bpe_49k.json"))
+    ids = [encoder.encode(b).tolist() for _, _, b in rows]
+    monkeypatch.setattr(common, "SLICE", 50)
+    assert len(list(common.slices(rows[-1][2]))) > 100
+    assert list(tokencount._count(None, iter([(i, b) for i, _, b in rows]))) == want
+    assert list(mixing._sizes(iter([(i, None, "s", b) for i, _, b in rows]))) == sizes
+    assert [encoder.encode(b).tolist() for _, _, b in rows] == ids
+
+
 def test_words_are_counted_in_bounds(monkeypatch):
     rng = random.Random(3)
     rows = [(rng.choice(["x", "y", f"z{rng.randrange(30)}"]), " ".join(rng.choice(["a", "B.", "b", "q" * 300, f"w{rng.randrange(50)}"]) for _ in range(20)).encode()) for _ in range(200)]
