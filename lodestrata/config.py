@@ -78,6 +78,8 @@ class Settings:
     retention_production: int = 10
     stale_hours: int = 48
     default_version: str = "b41"
+    #: Characters that are kept of a text in an archive; 0 keeps all.
+    member_chars: int = 10_000
 
 
 def parse_settings(text: str) -> dict[str, str]:

@@ -5,6 +5,8 @@ Packing folds the pieces of one text from left to right, so it never looks acros
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,15 +62,112 @@ def exploded(df: DataFrame, key: list[str], parts: Column, piece: str = "piece")
 
 
 def offset(t: Column, piece: Column) -> Column:
-    """Where a piece starts in its text, from 0; -1 if it isn't part of it."""
+    """Where a piece is first met in its text, from 0; -1 if it isn't part of it. ``spans`` tell the place of each piece."""
     return F.position(piece, t) - 1
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def spans(t: Column, between: str) -> Column:
+    """Trimmed parts of a text with their places: array of (start, piece), blank parts left out. ``between`` is a pattern of
+    what parts them and never matches nothing."""
+    cut = F.arrays_zip(F.split(t, between, -1).alias("part"), F.regexp_extract_all(t, F.lit(between), F.lit(0)).alias("gap"))
+    none = F.array().cast("array<struct<start:int,piece:string>>")
+
+    def step(acc: Column, x: Column) -> Column:
+        piece = F.trim(x["part"])
+        start = acc["at"] + F.length(x["part"]) - F.length(F.ltrim(x["part"]))
+        found = F.when(piece != "", F.array(F.struct(start.alias("start"), piece.alias("piece")))).otherwise(none)
+        return F.struct((acc["at"] + F.length(x["part"]) + F.coalesce(F.length(x["gap"]), F.lit(0))).alias("at"), F.concat(acc["out"], found).alias("out"))
+
+    return F.aggregate(cut, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+
+def paragraph_spans(t: Column) -> Column:
+    return spans(t, r"\n\s*\n")
+
+
+def line_spans(t: Column) -> Column:
+    return spans(t, "\n")
+
+
+def pack_spans(parts: Column, limit: int = 512, sep: str = "\n\n", overlap_words: int = 0) -> Column:
+    """``pack`` for parts with places: array of (start, stop, text). A piece's own text begins at ``start`` and its last part
+    ends before ``stop``; the words it repeats from the piece before, if any, come ahead of that and have no place."""
+    piece = "struct<start:int,stop:int,text:string>"
+    start = F.struct(F.array().cast(f"array<{piece}>").alias("done"), F.lit(None).cast(piece).alias("open"))
+
+    def step(acc: Column, x: Column) -> Column:
+        held = acc["open"]
+        stop = x["start"] + F.length(x["piece"])
+        fits = F.length(held["text"]) + len(sep) + F.length(x["piece"]) <= limit
+        text = x["piece"]
+        if overlap_words:
+            words = word_list(held["text"])
+            tail = F.array_join(F.slice(words, F.greatest(F.lit(1), F.size(words) - overlap_words + 1), F.lit(overlap_words)), " ")
+            text = F.when(held.isNull(), text).otherwise(F.concat(tail, F.lit(sep), text))
+        fresh = F.struct(x["start"].alias("start"), stop.alias("stop"), text.alias("text"))
+        longer = F.struct(held["start"].alias("start"), stop.alias("stop"), F.concat(held["text"], F.lit(sep), x["piece"]).alias("text"))
+        grown = ~held.isNull() & fits
+        done = F.when(held.isNull() | fits, acc["done"]).otherwise(F.concat(acc["done"], F.array(held)))
+        return F.struct(done.alias("done"), F.when(grown, longer).otherwise(fresh).alias("open"))
+
+    return F.aggregate(parts, start, step, lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
+
+
+# How the sections that head an entity's card begin, or what they hold.
+HEADERS = r"^(?:Item:|Recipe:|Mob:)|Key:"
+
+
+def _n_words(t: Column) -> Column:
+    return F.size(word_list(t))
+
+
+def _windows(t: Column, n: Column) -> Column:
+    """A text in pieces of ``n`` words."""
+    return _let(word_list(t), lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / n).cast("int")), lambda i: F.array_join(F.slice(w, i * n + 1, n), " ")))
+
+
+def _units(body: Column, budget: Column) -> Column:
+    """Sections within the budget; a longer one in its paragraphs, a longer paragraph in pieces of as many words."""
+    small = lambda x, rest: F.when(_n_words(x) <= budget, F.array(x)).otherwise(rest)
+    return F.flatten(F.transform(body, lambda s: small(s, F.flatten(F.transform(paragraphs(s), lambda p: small(p, _windows(p, budget)))))))
+
+
 def entity_split(t: Column, max_words: int = 800) -> Column:
-    """An entity's card of over ``max_words`` words is cut at ``---`` or ``##`` lines, else at blank lines; each piece
-    after the first repeats the card's first line."""
-    by_rule = F.filter(F.split(t, r"(?m)^(?:---+\s*$|(?=##\s))"), lambda x: F.trim(x) != "")
-    pieces = F.when(F.size(by_rule) > 1, by_rule).otherwise(paragraphs(t))
-    head = F.element_at(F.split(F.trim(t), "\n"), 1)
-    again = F.transform(pieces, lambda p, i: F.when(i == 0, F.trim(p)).otherwise(F.concat(head, F.lit("\n"), F.trim(p))))
-    return F.when(F.size(word_list(t)) > max_words, again).otherwise(F.array(t))
+    """An entity's card of over ``max_words`` words in pieces of at most so many, each with the card's header ahead of it.
+
+    Sections end at ``---`` lines and before ``##`` headings, else at blank lines. The header is the leading sections that
+    name the entity, else the first section; if it takes over half of the words, the card's first line stands for it, if that
+    is short enough. Sections are packed up to what the header leaves; none is lost."""
+    by_rule = F.filter(F.transform(F.split(t, r"(?m)^(?:---+\s*$|(?=##\s))"), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))), lambda x: x != "")
+    sections = _let(by_rule, lambda x: F.when(F.size(x) > 1, x).otherwise(paragraphs(t)))
+    half = max_words // 2
+    packed = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"), F.lit(0).alias("n"))
+
+    def pieces(head: Column, body: Column) -> Column:
+        budget = F.lit(max_words) - F.when(head == "", 0).otherwise(_n_words(head))
+
+        def step(acc: Column, x: Column) -> Column:
+            n = _n_words(x)
+            fits = acc["open"].isNotNull() & (acc["n"] + n <= budget)
+            done = F.when(fits | acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"])))
+            return F.struct(done.alias("done"), F.when(fits, F.concat(acc["open"], F.lit("\n"), x)).otherwise(x).alias("open"), F.when(fits, acc["n"] + n).otherwise(n).alias("n"))
+
+        out = F.aggregate(_units(body, budget), packed, step, lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
+        return F.transform(out, lambda x: F.when(head == "", x).otherwise(F.concat(head, F.lit("\n\n"), x)))
+
+    def split(s: Column) -> Column:
+        other = F.array_position(F.transform(s, lambda x: ~x.rlike(HEADERS)), True).cast("int")
+        n = F.greatest(F.lit(1), F.when(other > 0, other - 1).otherwise(F.size(s) - 1))
+        whole = F.array_join(F.slice(s, F.lit(1), n), "\n")
+        line = F.trim(F.element_at(F.split(F.element_at(s, 1), "\n"), 1))
+        short = F.when(_n_words(line) <= half, line).otherwise("")
+        fits = (_n_words(whole) <= half) & (F.size(s) > n)
+        parts = F.struct(F.when(fits, whole).otherwise(short).alias("head"), F.when(fits, F.slice(s, n + 1, F.greatest(F.size(s) - n, F.lit(0)))).otherwise(s).alias("body"))
+        return _let(parts, lambda x: pieces(x["head"], x["body"]))
+
+    return F.when(_n_words(t) > max_words, _let(sections, split)).otherwise(F.array(t))

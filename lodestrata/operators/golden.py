@@ -1,7 +1,10 @@
 """The quality gate: expected against retrieved ids, recall per question, campaigns, comparison, verdict.
 
 Golden items are a query set that is put to all documents in blocks of a bounded number of words, which is what is sent to
-all tasks. A pass over the documents leaves each task's best few for each item, and only these are shuffled.
+all tasks. One pass over the documents does both: an inverted index of a block's words gives the words that a document shares
+with each item, and an automaton over the items' texts finds those that it holds. A task keeps each item's k best and the
+count that a document must reach to be among them; it grows as documents come, so soon most documents are left out for all but
+a few items, or at once where they have fewer indexed words than any item still asks for. Only the best few are shuffled.
 """
 
 from __future__ import annotations
@@ -11,14 +14,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import word_list
 from ..session import shared_dir, stored
 from .windows import latest, running_sum
 
-#: Words of the items of a block; an item with more is a block of its own. Numbers of a tile of documents and items.
+#: Words of the items of a block; an item with more is a block of its own. Candidates that a task gathers before it sorts them.
 BLOCK_WORDS = 200_000
 TILE = 2_000_000
 
@@ -31,82 +34,115 @@ def item_blocks(items: DataFrame) -> list[DataFrame]:
     return [told.filter(F.col("__block") == b[0]).drop("__block") for b in told.select("__block").distinct().orderBy("__block").collect()]
 
 
-def _anchors(words: str) -> Column:
-    """Hashes of all runs of four words of an array."""
-    last = F.greatest(F.size(words) - 3, F.lit(1))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.array_join(F.slice(words, i, 4), " "))))
-
-
-def passages(items: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (item_id, doc_id) whose document contains the item's text. The item's second to fifth words stand whole in any
-    text that contains it, so documents meet it by the hash of these and are then searched; items of under six words are
-    searched for in all documents. Each block is one pass over the documents, and neither texts nor runs of words move."""
-    out = None
-    for block in item_blocks(items):
-        keyed = block.select("item_id", F.col("text").alias("passage"), word_list(F.col("text")).alias("w"))
-        long = keyed.filter(F.size("w") >= 6).select("item_id", "passage", F.xxhash64(F.array_join(F.slice("w", 2, 4), " ")).alias("anchor"))
-        spread = docs.select("doc_id", "text", word_list(F.col("text")).alias("w")).select("doc_id", "text", F.explode(_anchors("w")).alias("anchor"))
-        met = spread.join(F.broadcast(long), "anchor").filter(F.col("text").contains(F.col("passage"))).select("item_id", "doc_id")
-        few = keyed.filter(F.size("w") < 6).select("item_id", "passage")
-        part = met.union(docs.join(F.broadcast(few), F.col("text").contains(F.col("passage"))).select("item_id", "doc_id"))
-        out = part if out is None else out.union(part)
-    return docs.sparkSession.createDataFrame([], "item_id long, doc_id long") if out is None else out.distinct()
-
-
-def _best(counts: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows of counts for documents (in columns: items) the best k of each column, by count, then id."""
-    order = np.lexsort((np.broadcast_to(ids[:, None] if ids.ndim == 1 else ids, counts.shape), -counts), axis=0)[:k]
-    ids = np.broadcast_to(ids[:, None], counts.shape) if ids.ndim == 1 else ids
-    return np.take_along_axis(counts, order, axis=0), np.take_along_axis(ids, order, axis=0)
-
-
-def _overlaps(places: dict[bytes, np.ndarray], items: np.ndarray, k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n = len(items)
-    counts, ids = np.zeros((0, n), dtype=np.int32), np.zeros((0, n), dtype=np.int64)
-    rows: list[np.ndarray] = []
-    docs: list[int] = []
-
-    def settle() -> None:
-        nonlocal counts, ids
-        if rows:
-            c, i = _best(np.stack(rows), np.array(docs, dtype=np.int64), k)
-            counts, ids = _best(np.concatenate([counts, c]), np.concatenate([ids, i]), k)
-            rows.clear()
-            docs.clear()
+class _Best:
+    """Each item's k best documents of a task, by count, then id, and the count that the next one must reach."""
+
+    def __init__(self, n: int, k: int):
+        self.n, self.k = n, k
+        self.least = np.ones(n, dtype=np.int64)
+        self.floor = 1
+        none = np.zeros(0, dtype=np.int64)
+        self.kept = (none, none, none)
+        self.fresh: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+        self.most = min(TILE, max(1000, 8 * k * n))
+
+    def add(self, doc: int, found: list[np.ndarray]) -> None:
+        """A document by the items of each of its words that are in the index."""
+        if len(found) < self.floor:
+            return
+        hits = np.concatenate(found)
+        if 4 * len(hits) < self.n:
+            items, counts = np.unique(hits, return_counts=True)
+            fits = counts >= self.least[items]
+            items, counts = items[fits], counts[fits]
+        else:
+            counts = np.bincount(hits, minlength=self.n)
+            items = np.nonzero(counts >= self.least)[0]
+            counts = counts[items]
+        if len(items):
+            self.fresh.append((items, counts, np.full(len(items), doc, dtype=np.int64)))
+            self.waiting += len(items)
+            if self.waiting >= self.most:
+                self.settle()
+
+    def settle(self) -> None:
+        items, counts, docs = (np.concatenate(x) for x in zip(self.kept, *self.fresh, strict=True))
+        order = np.lexsort((docs, -counts, items))
+        items, counts, docs = items[order], counts[order], docs[order]
+        place = np.arange(len(items)) - np.searchsorted(items, items, side="left")
+        stay = place < self.k
+        last = place == self.k - 1
+        self.least[items[last]] = counts[last]
+        self.floor = int(self.least.min(initial=1 << 40))
+        self.kept = items[stay], counts[stay], docs[stay]
+        self.fresh, self.waiting = [], 0
+
+
+MATCH = "item_id long, doc_id long, overlap long, held boolean"
+
+
+def _matches(ids: np.ndarray, texts: list[str], places: dict[bytes, np.ndarray], k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import ahocorasick
+
+    whole: dict[str, list[int]] = {}
+    for i, text in enumerate(texts):
+        whole.setdefault(text, []).append(i)
+    automaton = ahocorasick.Automaton()
+    for text, items in whole.items():
+        if text:
+            automaton.add_word(text, items)
+    automaton.make_automaton()
+    best = _Best(len(ids), k)
+
+    def batch_of(items: np.ndarray, docs: list | np.ndarray, overlap: np.ndarray | None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids[items]), pa.array(docs, pa.int64()), pa.nulls(len(items), pa.int64()) if overlap is None else pa.array(overlap), pa.array(np.full(len(items), overlap is None))], ["item_id", "doc_id", "overlap", "held"])
 
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            found = [places[w] for w in set((text.as_py() or b"").split()) if w in places]
-            if found:
-                rows.append(np.bincount(np.concatenate(found), minlength=n).astype(np.int32))
-                docs.append(doc_id)
-                if len(rows) * n >= TILE:
-                    settle()
-    settle()
-    keep = counts > 0
-    at = np.nonzero(keep)[1]
-    yield pa.RecordBatch.from_arrays([pa.array(items[at]), pa.array(ids[keep]), pa.array(counts[keep].astype(np.int64))], ["item_id", "doc_id", "overlap"])
-
-
-def overlap_ranked(items: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """The k documents that share most distinct words, in lower case, with each item: item_id, doc_id, overlap and rank. A
-    document that shares none is not ranked, nor is one without an id; ties go to the smaller id."""
+        held: list[tuple[int, int | None]] = []
+        for doc_id, low, text in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            if doc_id is not None:
+                best.add(doc_id, [p for w in set((low.as_py() or b"").split()) if (p := places.get(w)) is not None])
+            if len(automaton) and text.is_valid:
+                held += [(i, doc_id) for i in {i for _, items in automaton.iter(text.as_py().decode("utf-8", "replace")) for i in items}]
+        if held:
+            yield batch_of(np.array([i for i, _ in held]), [d for _, d in held], None)
+    best.settle()
+    items, counts, docs = best.kept
+    yield batch_of(items, docs, counts)
+
+
+def matches(items: DataFrame, docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """From one pass over the documents for each block of items (item_id, text): pairs (item_id, doc_id) whose document contains
+    the item's text, and the k documents that share most distinct words, in lower case, with each item (item_id, doc_id, overlap
+    and rank). An empty item is in no document. A document that shares no word isn't ranked, nor is one without an id; ties go
+    to the smaller id. Stored."""
     at, n, out = shared_dir(docs.sparkSession), 0, None
-    texts = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.lower("text").cast("binary"))
-    for block in item_blocks(items.select("item_id", F.lower("text").alias("text"))):
-        rows = sorted((r.item_id, r.text or "") for r in block.collect())
+    texts = docs.select(F.col("doc_id").cast("long"), F.lower("text").cast("binary").alias("low"), F.col("text").cast("binary"))
+    for block in item_blocks(items):
+        rows = sorted(((r.item_id, r.text or "", r.low or "") for r in block.withColumn("low", F.lower("text")).collect()))
         places: dict[bytes, list[int]] = {}
-        for i, (_, text) in enumerate(rows):
-            for w in set(text.encode().split()):
+        for i, (_, _, low) in enumerate(rows):
+            for w in set(low.encode().split()):
                 places.setdefault(w, []).append(i)
         told = {w: np.array(p) for w, p in places.items()}
-        found = texts.mapInArrow(functools.partial(_overlaps, told, np.array([i for i, _ in rows], dtype=np.int64), k), "item_id long, doc_id long, overlap long")
+        found = texts.mapInArrow(functools.partial(_matches, np.array([r[0] for r in rows], dtype=np.int64), [r[1] for r in rows], told, k), MATCH)
         part = stored(found, f"{at}/{n}")
         out, n = part if out is None else out.unionByName(part), n + 1
     if out is None:
-        out = docs.sparkSession.createDataFrame([], "item_id long, doc_id long, overlap long")
-    return latest(out, ["item_id"], [F.col("overlap").desc(), F.col("doc_id")], k, "rank")
+        out = docs.sparkSession.createDataFrame([], MATCH)
+    ranked = latest(out.filter("NOT held").drop("held"), ["item_id"], [F.col("overlap").desc(), F.col("doc_id")], k, "rank")
+    return out.filter("held").select("item_id", "doc_id").distinct(), ranked
+
+
+def passages(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (item_id, doc_id) whose document contains the item's text."""
+    return matches(items, docs, 1)[0]
+
 
+def overlap_ranked(items: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """The k documents that share most distinct words with each item: item_id, doc_id, overlap and rank."""
+    return matches(items, docs, k)[1]
 
 
 def recall(questions: DataFrame, expected: DataFrame, retrieved: DataFrame, k: int, question: str, doc: str) -> DataFrame:

@@ -40,14 +40,11 @@ def mean_coverage(covered: DataFrame, share: str = "coverage_pct") -> DataFrame:
     return covered.agg(F.count("*").alias("categories"), F.round(F.avg(share), 6).alias("mean_coverage"), F.min(share).alias("least_coverage"))
 
 
-def pipeline_totals(stages: DataFrame, by: list[str], most: int = 20) -> DataFrame:
-    """Per run, the sums over its stages (stage, done, failed) and the names of those that failed, in order; of more than
-    ``most`` failures the first, with their number in ``n_failures``."""
+def pipeline_totals(stages: DataFrame, by: list[str]) -> DataFrame:
+    """Per run, the sums over its stages (stage, done, failed) and the names of all that failed, in order. A run's stages are
+    those of one pipeline, so their names fit into a row."""
     bad = F.when(F.col("failed") > 0, F.col("stage"))
-    first = stages.filter(F.col("failed") > 0).withColumn("__k", F.row_number().over(Window.partitionBy(*by).orderBy("stage"))).filter(F.col("__k") <= most)
-    names = first.groupBy(*by).agg(F.array_sort(F.collect_list("stage")).alias("failures"))
-    sums = stages.groupBy(*by).agg(F.count("*").alias("stages"), F.sum("done").alias("done"), F.sum("failed").alias("failed"), F.count(bad).alias("n_failures"))
-    return sums.join(names, by, "left").withColumn("failures", F.coalesce("failures", F.array().cast("array<string>")))
+    return stages.groupBy(*by).agg(F.count("*").alias("stages"), F.sum("done").alias("done"), F.sum("failed").alias("failed"), F.count(bad).alias("n_failures"), F.array_sort(F.collect_list(bad)).alias("failures"))
 
 
 def status_of(share: Column) -> Column:

@@ -1,17 +1,14 @@
-"""The chunk store: one Parquet dataset per snapshot, partitioned by collection; keyed writes without MERGE.
+"""Keyed writes as expressions over rows (upsert, insert, delete, retention), batches by bytes, and records beside the corpus.
 
-A write never overwrites what it reads: it makes a new snapshot and then writes the next pointer. Pointers are numbered and
-never replaced, so a crash leaves the one before, and of two writers that read the same one the second fails.
+The stored corpus, which writes only what changes, is ``operators.versions``.
 """
 
 from __future__ import annotations
 
 import json
-import time
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from .. import schemas
 from ..functions import text as T
@@ -67,93 +64,6 @@ def fingerprint(rows: DataFrame, by: list[str], name: Column, digest: Column) ->
     return rows.groupBy(*by).agg(T.bag_hash(F.concat_ws(":", name.cast("string"), digest)).alias("fingerprint"))
 
 
-class Snapshots:
-    """Versions of a dataset below one folder, with a pointer file to the current one."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        hadoop = spark._jvm.org.apache.hadoop.fs
-        self._path = hadoop.Path
-        self.fs = hadoop.Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-        self.fs.mkdirs(hadoop.Path(self.root))
-
-    def _numbers(self) -> list[int]:
-        """The numbers of the pointers, the newest first."""
-        names = [s.getPath().getName() for s in self.fs.listStatus(self._path(self.root))]
-        return sorted((int(n[8:-5]) for n in names if n.startswith("CURRENT-") and n.endswith(".json")), reverse=True)
-
-    def _read_pointer(self) -> dict:
-        for n in self._numbers():
-            text = self.spark.read.text(f"{self.root}/CURRENT-{n}.json", wholetext=True).first()
-            try:
-                return json.loads(text[0]) | {"number": n}
-            except (TypeError, ValueError):
-                continue  # its writer was lost while it wrote
-        return {"current": None, "history": [], "number": 0}
-
-    def _point(self, state: dict) -> None:
-        """Write the pointer after the one that ``state`` was read from; an error if another writer has, or has begun to."""
-        number = state["number"] + 1
-        numbers = self._numbers()
-        broken = max([n for n in numbers if n > state["number"]], default=0)
-        if broken and self._read_pointer()["number"] != state["number"]:
-            raise RuntimeError(f"{self.root} was changed by another writer")
-        number = max(number, broken + 1)
-        out = self.fs.create(self._path(f"{self.root}/CURRENT-{number}.json"), False)
-        out.write(bytearray(json.dumps(state | {"number": number}).encode()))
-        out.close()
-        for old in numbers[10:]:
-            self.fs.delete(self._path(f"{self.root}/CURRENT-{old}.json"), False)
-
-    def current(self) -> DataFrame | None:
-        state = self._read_pointer()
-        name = state["current"]
-        if not name:
-            return None
-        schema = StructType.fromJson(json.loads(state["schemas"][name]))  # an empty snapshot may have no file to tell it
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
-
-    def list(self) -> list[str]:
-        return self._read_pointer()["history"]
-
-    def note(self) -> dict:
-        """What was noted with the current version."""
-        return self._read_pointer().get("note", {})
-
-    def publish(self, rows: DataFrame, keep: int, partition_by: str | None = "collection", note: dict | None = None) -> str:
-        """Write a new version, make it current, and drop all but the newest ``keep`` before it."""
-        state = self._read_pointer()
-        name = f"v{time.time_ns()}"
-        writer = rows.write
-        if partition_by and {partition_by, "cell", "chunk_id"} <= set(rows.columns):  # a cell lies in few files and row groups; a large one is split by id
-            by = [partition_by, "cell", "chunk_id"]
-            writer = rows.repartitionByRange(*by).sortWithinPartitions(*by).write.partitionBy(partition_by)
-        elif partition_by and partition_by in rows.columns:
-            writer =rows.hint("rebalance", partition_by).write.partitionBy(partition_by)  # large collections are split
-        writer.option("maxRecordsPerFile", 1_000_000).parquet(f"{self.root}/{name}")
-        history = [*state["history"], name]
-        schemas = state.get("schemas", {}) | {name: rows.schema.json()}
-        self._point({"number": state["number"], "current": name, "history": history[-(keep + 1) :], "schemas": {n: schemas[n] for n in history[-(keep + 1) :]}, "note": note or {}})
-        for old in history[: -(keep + 1)]:
-            self.fs.delete(self._path(f"{self.root}/{old}"), True)
-        return name
-
-    def restore(self, name: str) -> None:
-        state = self._read_pointer()
-        if name not in state["history"]:
-            raise ValueError(f"no snapshot {name}")
-        self._point(state | {"current": name})
-
-    def rollback(self) -> str:
-        """Back to the version before the current one."""
-        state = self._read_pointer()
-        at = state["history"].index(state["current"]) if state["current"] else 0
-        if at < 1:
-            raise ValueError("there is no version to go back to")
-        self.restore(state["history"][at - 1])
-        return state["history"][at - 1]
-
-
 def audit(spark: SparkSession, path: str, event: str, body: dict) -> None:
     """Append one event as a JSON line."""
     spark.createDataFrame([(event, json.dumps(body, sort_keys=True))], "event string, body string").withColumn("at", F.current_timestamp()).write.mode("append").json(path)

@@ -145,6 +145,33 @@ ORACLES: dict[str, str] = {
     "paragraph_split": f"""WITH p AS (SELECT doc_id, text, {_LINES} AS ps FROM documents),
         u AS (SELECT doc_id, text, unnest(range(len(ps)))::INTEGER AS idx, unnest(ps) AS piece FROM p)
         SELECT doc_id, idx, length(piece)::INTEGER AS length, (strpos(text, piece) - 1)::INTEGER AS start_offset FROM u""",
+    "chunk_offsets": """WITH RECURSIVE l AS (SELECT doc_id, unnest(range(len(a))) AS i, unnest(a) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)),
+        o AS (SELECT doc_id, i, coalesce(sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(x) - length(ltrim(x)) AS s, length(trim(x)) AS n FROM l),
+        k AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r, s, n FROM o WHERE n > 0),
+        p AS (SELECT doc_id, r, 0 AS idx, s AS b, s + n AS e, n AS size FROM k WHERE r = 1
+              UNION ALL SELECT k.doc_id, k.r, p.idx + (p.size + 2 + k.n > 512)::INTEGER, CASE WHEN p.size + 2 + k.n > 512 THEN k.s ELSE p.b END, k.s + k.n,
+                     CASE WHEN p.size + 2 + k.n > 512 THEN k.n ELSE p.size + 2 + k.n END FROM p JOIN k ON k.doc_id = p.doc_id AND k.r = p.r + 1)
+        SELECT doc_id, idx::INTEGER AS idx, min(b)::INTEGER AS start_offset, max(e)::INTEGER AS end_offset, max(size)::INTEGER AS length FROM p GROUP BY doc_id, idx""",
+    "card_pieces": f"""WITH RECURSIVE h AS (SELECT doc_id, text, 'Item: ' || source AS head, {_WORDS.replace('text', "('Item: ' || source)")} AS hw FROM documents),
+        w AS (SELECT doc_id, head, 60 - len(hw) AS budget, text, len({_WORDS}) + len(hw) + len({_LINES}) AS total FROM h),
+        l AS (SELECT doc_id, head, budget, unnest(range(len(a))) AS i, trim(regexp_replace(unnest(a), '^\\s+|\\s+$', '', 'g')) AS x FROM (SELECT *, string_split(text, chr(10)) AS a FROM w)),
+        m AS (SELECT *, {_WORDS.replace('text', 'x')} AS ws FROM l WHERE x <> ''),
+        u AS (SELECT doc_id, head, budget, i, j, CASE WHEN len(ws) <= budget THEN x ELSE array_to_string(ws[j * budget + 1 : (j + 1) * budget], ' ') END AS x,
+                     CASE WHEN len(ws) <= budget THEN len(ws) ELSE least(budget, len(ws) - j * budget) END AS n
+              FROM (SELECT *, unnest(range(CASE WHEN len(ws) <= budget THEN 1 ELSE (len(ws) + budget - 1) // budget END)) AS j FROM m)),
+        k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS r FROM u),
+        p AS (SELECT doc_id, head, budget, r, 0 AS idx, n, x AS body FROM k WHERE r = 1
+              UNION ALL SELECT k.doc_id, k.head, k.budget, k.r, p.idx + (p.n + k.n > k.budget)::INTEGER, CASE WHEN p.n + k.n > k.budget THEN k.n ELSE p.n + k.n END,
+                     CASE WHEN p.n + k.n > k.budget THEN k.x ELSE p.body || chr(10) || k.x END FROM p JOIN k ON k.doc_id = p.doc_id AND k.r = p.r + 1),
+        f AS (SELECT doc_id, idx::INTEGER AS idx, any_value(head) || chr(10) || chr(10) || arg_max(body, r) AS piece FROM p GROUP BY doc_id, idx),
+        c AS (SELECT doc_id, 'Item: ' || source || chr(10) || '---' || chr(10) || replace(text, chr(10), chr(10) || '---' || chr(10)) AS card FROM documents),
+        g AS (SELECT c.doc_id, card, len({_WORDS.replace('text', 'card')}) > 60 AS cut FROM c),
+        out AS (SELECT f.doc_id, f.idx, f.piece FROM f JOIN g USING (doc_id) WHERE g.cut UNION ALL SELECT doc_id, 0, card FROM g WHERE NOT cut)
+        SELECT doc_id, idx, len({_WORDS.replace('text', 'piece')})::INTEGER AS n_words, sha256(piece) AS hash FROM out""",
+    "stored_upsert": """SELECT d.doc_id, d.lang AS state, 1 AS version FROM documents d ANTI JOIN labels USING (doc_id)
+        UNION ALL SELECT doc_id, 'q' || quality, 2 FROM labels UNION ALL SELECT -doc_id - 1, 'new', 2 FROM labels WHERE toxic = 1""",
+    "stored_insert": "SELECT doc_id, 'base' AS origin FROM labels UNION ALL SELECT doc_id, 'batch' FROM documents d ANTI JOIN labels USING (doc_id)",
+    "stored_delete": "SELECT doc_id, source FROM documents d ANTI JOIN (SELECT doc_id FROM labels WHERE toxic = 1) USING (doc_id) WHERE source IS DISTINCT FROM 'src2'",
     "greedy_chunks": _pieces(_pack(_LINES, "2").replace("{sep}", _NL2)),
     "overlap_chunks": _pieces(_pack(_LINES, "2", f"{_TAIL} || {_NL2} || x").replace("{sep}", _NL2)),
     "sentence_split": _pieces(_SENTENCES),

@@ -35,7 +35,8 @@ def evaluate(engine: Engine, questions: DataFrame, k: int | None = None, thresho
 
 
 def promote(staging: Corpus, production: Corpus, questions: DataFrame, threshold: float | None = None, dry_run: bool = False, force: bool = False) -> dict:
-    """Publish staging's current snapshot as production's if the gate passes (or by force), keeping older ones for rollback."""
+    """Make staging's current version production's if the gate passes (or by force); its files are shared, none is copied, and
+    older versions stay for rollback."""
     _, verdict = evaluate(Engine(staging), questions, threshold=threshold)
     row = verdict.first().asDict()
     out = {"passed": bool(row["passed"]), "avg_recall": row["avg_recall"], "promoted": False, "snapshot": None}
@@ -43,7 +44,7 @@ def promote(staging: Corpus, production: Corpus, questions: DataFrame, threshold
     if rows is not None and (row["passed"] or force) and not dry_run:
         mark = store.fingerprint(rows.withColumn("all", F.lit(1)), ["all"], F.concat_ws("/", "collection", "chunk_id"), F.sha2("text", 256)).first()
         out["checksum"] = mark.fingerprint if mark else None
-        out["snapshot"] = production.chunks.publish(rows, production.settings.retention_production)
+        out["snapshot"] = production.chunks.adopt(staging.chunks, production.settings.retention_production)
         out["promoted"] = True
     store.audit(staging.spark, production.audit_path, "promote", {k: v for k, v in out.items()} | {"dry_run": dry_run, "force": force})
     return out

@@ -1,7 +1,12 @@
-"""Ingestion: scan, skip what is unchanged, parse, chunk, embed, upsert, set aside what fails, and log the run."""
+"""Ingestion: scan, skip what is unchanged, parse, chunk, embed, upsert, set aside what fails, and log the run.
+
+Whether a file may have changed is told by its path, length and time alone. Only such files are opened: first their hashes are
+taken (a file that was merely touched stops here), then the rest is read where it is parsed. No content is ever shuffled.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +15,7 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions.embedding import Embedder, embedded, hashed
 from ..operators import cells, store
+from ..operators.versions import Snapshots
 from ..session import shared_dir, stored
 from ..sources import dumps, extract, files
 
@@ -26,9 +32,9 @@ class Corpus:
     embed: Embedder = hashed
 
     def __post_init__(self) -> None:
-        self.chunks = store.Snapshots(self.spark, f"{self.root}/chunks")
-        self.seen = store.Snapshots(self.spark, f"{self.root}/seen")
-        self.index = store.Snapshots(self.spark, f"{self.root}/index")
+        self.chunks = Snapshots(self.spark, f"{self.root}/chunks", ["collection", "chunk_id"], "ingest_time")
+        self.seen = Snapshots(self.spark, f"{self.root}/seen", ["path"])
+        self.index = Snapshots(self.spark, f"{self.root}/index", ["cell"])
 
     def centroids(self) -> list[tuple[int, list[float]]]:
         """The cells of the vector index, in order, with their centroids: at most ``cells.CENTROID_BYTES``. Empty without one."""
@@ -71,31 +77,59 @@ def build_index(corpus: Corpus, n_cells: int | None = None) -> dict:
         return {"cells": 0}
     first = cells.first_cell()
     centroids = [(first + i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    corpus.index.publish(corpus.spark.createDataFrame(centroids, "cell bigint, centroid array<double>"), 1, None)
+    corpus.index.publish(corpus.spark.createDataFrame(centroids, "cell bigint, centroid array<double>"), 1)
     corpus.chunks.publish(cells.assign(base, model, first), corpus.settings.retention_staging)
     store.audit(corpus.spark, corpus.audit_path, "index", {"cells": len(centroids)})
     return {"cells": len(centroids)}
 
 
 def write(corpus: Corpus, rows: DataFrame, keep: int | None = None) -> str:
-    """Upsert rows into the corpus as a new snapshot."""
+    """Upsert rows into the corpus as a new version."""
+    return _upsert(corpus, rows.filter(F.trim("text") != ""), None, keep)
+
+
+def _upsert(corpus: Corpus, rows: DataFrame, gone: DataFrame | None = None, keep: int | None = None) -> str:
     base = corpus.chunks.current()
-    keys = ["collection", "chunk_id"]
-    rows = rows.filter(F.trim("text") != "")
-    merged = store.newest(rows, keys, [F.col("ingest_time").desc()]) if base is None else store.upsert(base, like(rows, base), keys, "ingest_time")
-    return corpus.chunks.publish(merged, corpus.settings.retention_staging if keep is None else keep)
+    return corpus.chunks.upsert(rows if base is None else like(rows, base), corpus.settings.retention_staging if keep is None else keep, gone)
+
+
+#: Paths that are read in one job: those of candidates are listed, which Spark does in the driver.
+LISTED = 50_000
+
+
+def _listed(files_: DataFrame) -> Iterator[list[str]]:
+    """The paths of files in blocks."""
+    block: list[str] = []
+    for row in files_.select("path").toLocalIterator():
+        block.append(row.path)
+        if len(block) == LISTED:
+            yield block
+            block = []
+    if block:
+        yield block
 
 
 def ingest(corpus: Corpus, folder: str, pattern: str | None = None, recursive: bool = True, at: float | None = None) -> dict:
     """Ingest the new and changed files of a folder; unchanged ones are skipped, failed ones are tried again next time."""
     spark = corpus.spark
-    found = files.scan(spark, folder, pattern, recursive).withColumn("file_hash", files.file_hash(F.col("content")))
+    work, chars = shared_dir(spark), corpus.settings.member_chars or None
+    found = files.scan(spark, folder, pattern, recursive)
     index = corpus.seen.current()
-    todo = found if index is None else store.unseen(found, index, "path", "file_hash")
-    work = shared_dir(spark)
-    parsed = extract.records(todo.select("path", "length", "modified", "content"))
-    parsed.write.parquet(f"{work}/parsed")
-    parsed = spark.read.parquet(f"{work}/parsed")
+    same = ["path", "length", "modified"]
+    candidates = stored(found.select(*same) if index is None else found.select(*same).join(index.select(*same), same, "left_anti"), f"{work}/candidates")
+    touched = None
+    if index is None:
+        extract.records(found, chars).write.parquet(f"{work}/parsed")
+    else:
+        spark.createDataFrame([], extract.PARSED).write.parquet(f"{work}/parsed")
+        spark.createDataFrame([], "path string, file_hash string").write.parquet(f"{work}/hashes")
+        for block in _listed(candidates):
+            files.named(spark, block).select("path", files.file_hash(F.col("content")).alias("file_hash")).write.mode("append").parquet(f"{work}/hashes")
+        hashes = spark.read.parquet(f"{work}/hashes")
+        touched = hashes.join(index.select("path", "file_hash"), ["path", "file_hash"], "left_semi")
+        for block in _listed(hashes.join(touched, "path", "left_anti")):
+            extract.records(files.named(spark, block), chars).write.mode("append").parquet(f"{work}/parsed")
+    parsed = spark.read.schema(extract.PARSED).parquet(f"{work}/parsed")
     failed, fine = extract.bad(parsed), extract.good(parsed)
     counts = parsed.agg(F.count_distinct("source").alias("files"), F.count_distinct(F.when(F.col("error").isNotNull(), F.col("source"))).alias("failed")).first()
     if counts.failed:
@@ -106,16 +140,11 @@ def ingest(corpus: Corpus, folder: str, pattern: str | None = None, recursive: b
         rows.write.parquet(f"{work}/rows")
         rows = spark.read.parquet(f"{work}/rows")
         summary["chunks"] = rows.count()
-        gone = rows.select("source").distinct()
-        base = corpus.chunks.current()
-        if base is not None:  # a changed file's old chunks go
-            kept = base.join(gone, "source", "left_anti").select(*base.columns)
-            merged = store.upsert(kept, like(rows, base), ["collection", "chunk_id"], "ingest_time")
-            corpus.chunks.publish(merged, corpus.settings.retention_staging)
-        else:
-            write(corpus, rows)
-        now = fine.select(F.col("source").alias("path"), "file_hash").distinct()
-        corpus.seen.publish(now if index is None else store.upsert(index.withColumn("n", F.lit(0)), now.withColumn("n", F.lit(1)), ["path"], "n").drop("n"), 1, None)
+        _upsert(corpus, rows, rows.select("source").distinct())  # a changed file's old chunks go
+    known = fine.select(F.col("source").alias("path"), "file_hash").distinct()
+    known = stored((known if touched is None else known.unionByName(touched)).join(candidates, "path").select(*same, "file_hash"), f"{work}/known")
+    if not known.isEmpty():
+        corpus.seen.upsert(known, 1)
     store.audit(spark, corpus.audit_path, "ingest", summary | {"folder": folder})
     return summary
 
@@ -124,22 +153,18 @@ def ingest_dump(corpus: Corpus, path: str, at: float | None = None) -> dict:
     """Upsert the entities of a dump, long cards in pieces; pieces of an earlier version that are no more go."""
     rows = dumps.chunks(dumps.normalise(dumps.read(corpus.spark, path))).withColumn("source", F.concat_ws("/", F.lit(path), "key"))
     made = stored(to_rows(rows, corpus.settings.default_version, corpus.embed, at))
-    base = corpus.chunks.current()
-    if base is None:
+    if corpus.chunks.current() is None:
         write(corpus, made)
     else:
-        kept = base.join(made.select("source").distinct(), "source", "left_anti").select(*base.columns)
-        corpus.chunks.publish(store.upsert(kept, like(made, base), ["collection", "chunk_id"], "ingest_time"), corpus.settings.retention_staging)
+        _upsert(corpus, made, made.select("source").distinct())
     summary = {"chunks": made.count()}
     store.audit(corpus.spark, corpus.audit_path, "dump", summary | {"path": path})
     return summary
 
 
 def drop_rows(corpus: Corpus, ids: list[str]) -> str:
-    base = corpus.chunks.current()
-    gone = corpus.spark.createDataFrame([(i,) for i in ids], "chunk_id string")
-    return corpus.chunks.publish(store.delete(base, gone, ["chunk_id"]), corpus.settings.retention_staging)
+    return corpus.chunks.delete(corpus.spark.createDataFrame([(i,) for i in ids], "chunk_id string"), corpus.settings.retention_staging)
 
 
 def drop_collection(corpus: Corpus, name: str) -> str:
-    return corpus.chunks.publish(corpus.chunks.current().filter(F.col("collection") != name), corpus.settings.retention_staging)
+    return corpus.chunks.delete_where(F.col("collection") == name, ["collection"], corpus.settings.retention_staging)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import traceback
 from collections.abc import Iterator
@@ -12,16 +13,21 @@ from pyspark.sql import functions as F
 
 from ..functions.text import html_text, squeeze
 from ..operators import chunking
-from .containers import CONTAINERS
+from .containers import CONTAINERS, MEMBER_CHARS, parse_archive
 from .files import decode_bytes, detect
 from .parsers import PARSERS, Record, parse_text, record
 
 RECORDS = "source string, kind string, file_hash string, record_index int, name string, text string, metadata string, error string, markup boolean"
+#: As ``records`` gives them.
+PARSED = RECORDS.replace(", markup boolean", "")
 FIELDS = [("source", pa.string()), ("kind", pa.string()), ("file_hash", pa.string()), ("record_index", pa.int32()), ("name", pa.string()), ("text", pa.string()), ("metadata", pa.string()), ("error", pa.string()), ("markup", pa.bool_())]
 
 
-def parse(kind: str, data: bytes) -> list[Record]:
-    """Records of one file; ``ValueError`` for kinds that aren't text and have no reader here."""
+def parse(kind: str, data: bytes, member_chars: int | None = MEMBER_CHARS) -> list[Record]:
+    """Records of one file; ``ValueError`` for kinds that aren't text and have no reader here. Members of archives are cut at
+    ``member_chars`` characters, if it is given."""
+    if kind == "archive":
+        return parse_archive(data, member_chars)
     if kind in CONTAINERS:
         return CONTAINERS[kind](data)
     if kind in ("image", "audio", "video", "binary"):
@@ -32,11 +38,11 @@ def parse(kind: str, data: bytes) -> list[Record]:
     return PARSERS.get(kind, parse_text)(text)
 
 
-def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parse_batches(member_chars: int | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, kind, digest, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             try:
-                rows = [(path, kind, digest, i, r["name"], r["text"], json.dumps(r["metadata"], ensure_ascii=False, default=str, sort_keys=True), None, r.get("markup", False)) for i, r in enumerate(parse(kind, content or b""))]
+                rows = [(path, kind, digest, i, r["name"], r["text"], json.dumps(r["metadata"], ensure_ascii=False, default=str, sort_keys=True), None, r.get("markup", False)) for i, r in enumerate(parse(kind, content or b"", member_chars))]
                 rows = rows or [(path, kind, digest, -1, None, None, None, "no text", False)]
             except Exception as e:  # a bad file must not stop the others; it goes to quarantine with its reason
                 where = traceback.extract_tb(e.__traceback__)[-1]
@@ -44,11 +50,11 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), FIELDS, strict=True)], [n for n, _ in FIELDS])
 
 
-def records(files: DataFrame) -> DataFrame:
+def records(files: DataFrame, member_chars: int | None = MEMBER_CHARS) -> DataFrame:
     """The records of scanned files, and one row with ``error`` for each that gives none. Files are read where they are
     parsed; one at a time is held. Markup becomes text in the JVM; chapters without text go."""
     known = files if "kind" in files.columns else detect(files)
-    out = known.select("path", "kind", F.sha2("content", 256), "content").mapInArrow(_parse_batches, RECORDS)
+    out = known.select("path", "kind", F.sha2("content", 256), "content").mapInArrow(functools.partial(_parse_batches, member_chars), RECORDS)
     for column in ("text", "name"):
         plain = html_text(F.col(column))
         out = out.withColumn(column, F.when(F.col("markup"), squeeze(plain) if column == "name" else plain).otherwise(F.col(column)))
@@ -67,11 +73,11 @@ def bad(parsed: DataFrame) -> DataFrame:
 
 
 def chunks(parsed: DataFrame, limit: int = 512, overlap_words: int = 0) -> DataFrame:
-    """Chunk rows of good records: paragraphs packed up to the limit, with ids that stay the same from run to run. An
-    entity keeps its own id for its first chunk."""
-    pieces = chunking.pack(chunking.paragraphs(F.col("text")), limit, "\n\n", overlap_words)
-    out = good(parsed).select("source", "kind", "file_hash", "record_index", "name", "metadata", F.col("text").alias("__whole"), F.posexplode(pieces).alias("chunk_index", "text"))
+    """Chunk rows of good records: paragraphs packed up to the limit, with their place in the record's text and ids that stay the
+    same from run to run. An entity keeps its own id for its first chunk."""
+    pieces = chunking.pack_spans(chunking.paragraph_spans(F.col("text")), limit, "\n\n", overlap_words)
+    out = good(parsed).select("source", "kind", "file_hash", "record_index", "name", "metadata", F.posexplode(pieces).alias("chunk_index", "__piece"))
     entity = F.get_json_object("metadata", "$.id")
     serial = F.concat_ws("::", "source", F.lit("chunk"), F.concat_ws(".", "record_index", "chunk_index"))
     chunk_id = F.when(entity.isNotNull() & (F.col("chunk_index") == 0), entity).otherwise(serial)
-    return out.select(chunk_id.alias("chunk_id"), "source", "kind", "file_hash", "record_index", "chunk_index", chunking.offset(F.col("__whole"), F.col("text")).alias("start_offset"), "name", "text", "metadata")
+    return out.select(chunk_id.alias("chunk_id"), "source", "kind", "file_hash", "record_index", "chunk_index", F.col("__piece.start").alias("start_offset"), F.col("__piece.stop").alias("end_offset"), "name", F.col("__piece.text").alias("text"), "metadata")

@@ -1,8 +1,8 @@
 """Incremental ingest as a stream: at each tick, new and changed files go through the same code as in batch.
 
-Spark's file source never returns a path twice, so it can't tell of changed files. The stream is a clock; what is new is
-found by (path, hash) against the corpus's index, so a tick that is delivered twice finds nothing to do, and an ingest
-after a restart goes on from what the corpus holds.
+Spark's file source never returns a path twice, so it can't tell of changed files. The stream is a clock; what may be new is
+found by path, length and time against the corpus's index, so a tick without changes opens no file, one that is delivered
+twice finds nothing to do, and an ingest after a restart goes on from what the corpus holds.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from ..operators.store import Snapshots, newest
+from ..operators.store import newest
+from ..operators.versions import Snapshots
 from ..session import shared_dir
 
 
@@ -124,7 +125,7 @@ def compact(spark: SparkSession, table: str, schema: StructType, keys: list[str]
     done = dict(snapshots.note().get("batches", {}))
     for _, source, number in held:
         done[source] = max(number, done.get(source, -1))
-    snapshots.publish(upsert_table(spark, table, schema, keys, by), 1, None, {"batches": done})
+    snapshots.publish(upsert_table(spark, table, schema, keys, by), 1, {"batches": done})
     for path, _, _ in held:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

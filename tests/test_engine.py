@@ -11,6 +11,7 @@ from lodestrata import cli, config
 from lodestrata.functions import text as T
 from lodestrata.functions import vector as V
 from lodestrata.operators import chunking, filters, golden, graph, monitoring, quality, store, windows
+from lodestrata.operators.versions import Snapshots
 from lodestrata.plans import gate, status
 from lodestrata.plans.ingest import Corpus, drop_collection, drop_rows, ingest
 from lodestrata.plans.retrieval import Engine
@@ -64,7 +65,27 @@ def test_entity_split(spark):
     card = "Axe\n---\n" + "word " * 500 + "\n---\n" + "more " * 500
     split = lambda t, n: spark.createDataFrame([(t,)], "t string").select(chunking.entity_split(F.col("t"), n)).first()[0]
     assert split(card, 5000) == [card]
-    assert len(split(card, 800)) == 3 and all(p.startswith("Axe") for p in split(card, 800))
+    assert [(p[:9], len(p.split())) for p in split(card, 800)] == [("Axe\n\nword", 501), ("Axe\n\nmore", 501)]
+    # short sections are packed, a long one is cut by paragraphs and then by words, and nothing is lost
+    long = "Item: Axe\nKey: axe\n---\nKey: b\n" + "".join(f"---\ns{i} " + "x " * 30 + "\n" for i in range(40)) + "## Long\n\n" + "\n\n".join(f"p{i} " + "y " * n for i, n in enumerate((10, 950, 30)))
+    got = split(long, 800)
+    assert all(len(p.split()) <= 800 and p.startswith("Item: Axe\nKey: axe\nKey: b\n\n") for p in got) and len(got) <= 5
+    assert " ".join(" ".join(p.split()[6:]) for p in got).split() == [w for w in long.split() if w != "---"][6:]
+    assert all(len(p.split()) <= 50 for p in split("w " * 300, 50)) and " ".join(split("w " * 300, 50)).split() == ["w"] * 300
+
+
+@settings(max_examples=30, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.text(alphabet="ab \n\té", max_size=120), st.integers(1, 40), st.integers(0, 2))
+def test_offsets_are_exact(spark, text, limit, overlap):
+    for whole, sep in ((chunking.paragraph_spans, "\n\n"), (chunking.line_spans, "\n")):
+        parts, pieces = spark.createDataFrame([(text,)], "t string").select(whole(F.col("t")), chunking.pack_spans(whole(F.col("t")), limit, sep, overlap)).first()
+        assert all(text[p.start :].startswith(p.piece) for p in parts)
+        at, plain = 0, [p.piece for p in parts]
+        for p in pieces:
+            n = next(n for n in range(1, len(plain) - at + 1) if p.text.endswith(sep.join(plain[at : at + n])) and p.stop == parts[at + n - 1].start + len(plain[at + n - 1]))
+            assert p.start == parts[at].start and (overlap or p.text == sep.join(plain[at : at + n]))
+            at += n
+        assert at == len(plain)
 
 
 def test_store(spark, tmp_path):
@@ -75,7 +96,7 @@ def test_store(spark, tmp_path):
     assert rows(merged) == [("a", 1), ("b", 2), ("c", 2)] == rows(store.upsert(merged, batch, ["k"], "t"))
     assert rows(store.insert_ignore(base, batch, ["k"])) == [("a", 1), ("b", 1), ("c", 2)]
     assert rows(store.delete(base, batch.filter("k = 'b'"), ["k"])) == [("a", 1)]
-    snaps = store.Snapshots(spark, f"file://{tmp_path}/s")
+    snaps = Snapshots(spark, f"file://{tmp_path}/s")
     assert snaps.current() is None
     names = [snaps.publish(base.withColumn("n", F.lit(i)), 2) for i in range(4)]
     assert snaps.list() == names[1:] and snaps.current().first().n == 3
@@ -220,20 +241,39 @@ def test_stream_heartbeats(spark, tmp_path):
 def test_pointers_are_never_replaced(spark, tmp_path):
     root = f"file://{tmp_path}/s"
     rows = spark.createDataFrame([("a", 1)], "k string, v int")
-    one, two = store.Snapshots(spark, root), store.Snapshots(spark, root)
-    first = one.publish(rows, 3, None, {"n": 1})
+    one, two = Snapshots(spark, root), Snapshots(spark, root)
+    first = one.publish(rows, 3, {"n": 1})
+    assert one.note() == {"n": 1}
     stale = two._read_pointer()
-    second = one.publish(rows.withColumn("v", F.lit(2)), 3, None)
+    second = one.publish(rows.withColumn("v", F.lit(2)), 3)
     with pytest.raises(RuntimeError):  # another writer was faster
         two._point(stale | {"current": first})
     assert one.current().first().v == 2 and two.list() == [first, second]
     last = max(tmp_path.glob("s/CURRENT-*.json"), key=lambda p: int(p.stem[8:]))
-    (tmp_path / "s" / f"CURRENT-{int(last.stem[8:]) + 1}.json").write_text("{")  # a writer was lost while it wrote
+    (tmp_path / "s" / f".CURRENT-{int(last.stem[8:]) + 1}.json.1").write_text("{")  # a writer was lost, or has only begun
     assert two.current().first().v == 2
-    two.publish(rows.withColumn("v", F.lit(3)), 3, None)
+    two.publish(rows.withColumn("v", F.lit(3)), 3)
     assert one.current().first().v == 3 and len(one.list()) == 3
 
 
+def test_of_two_writers_that_have_begun_one_fails(spark, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}/s"
+    rows = spark.createDataFrame([("a", 1)], "k string, v int")
+    one, two = Snapshots(spark, root, ["k"]), Snapshots(spark, root, ["k"])
+    one.publish(rows, 3)
+    write = Snapshots._write
+
+    def meanwhile(self, *args):  # the other writes and finishes between this one's reading and its pointer
+        monkeypatch.setattr(Snapshots, "_write", write)
+        two.upsert(rows.withColumn("v", F.lit(2)), 3)
+        return write(self, *args)
+
+    monkeypatch.setattr(Snapshots, "_write", meanwhile)
+    with pytest.raises(RuntimeError):
+        one.upsert(rows.withColumn("v", F.lit(3)), 3)
+    assert one.current().first().v == 2 and len(one.list()) == 2
+
+
 def test_a_cluster_needs_a_shared_folder():
     from types import SimpleNamespace
 
