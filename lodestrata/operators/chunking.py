@@ -131,10 +131,17 @@ def _windows(t: Column, n: Column) -> Column:
     return _let(word_list(t), lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / n).cast("int")), lambda i: F.array_join(F.slice(w, i * n + 1, n), " ")))
 
 
+def _counted(parts: Column) -> Column:
+    """Parts with their words, which are counted once: array of (part, n)."""
+    return F.transform(parts, lambda x: F.struct(x.alias("part"), _n_words(x).alias("n")))
+
+
 def _units(body: Column, budget: Column) -> Column:
-    """Sections within the budget; a longer one in its paragraphs, a longer paragraph in pieces of as many words."""
-    small = lambda x, rest: F.when(_n_words(x) <= budget, F.array(x)).otherwise(rest)
-    return F.flatten(F.transform(body, lambda s: small(s, F.flatten(F.transform(paragraphs(s), lambda p: small(p, _windows(p, budget)))))))
+    """Sections within the budget, with their words; a longer one in its paragraphs, a longer paragraph in pieces of as many
+    words."""
+    small = lambda x, rest: F.when(x["n"] <= budget, F.array(x)).otherwise(rest)
+    pieces = lambda p: small(p, _counted(_windows(p["part"], budget)))
+    return F.flatten(F.transform(_counted(body), lambda s: small(s, F.flatten(F.transform(_counted(paragraphs(s["part"])), pieces)))))
 
 
 def entity_split(t: Column, max_words: int = 800) -> Column:
@@ -149,25 +156,28 @@ def entity_split(t: Column, max_words: int = 800) -> Column:
     packed = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"), F.lit(0).alias("n"))
 
     def pieces(head: Column, body: Column) -> Column:
-        budget = F.lit(max_words) - F.when(head == "", 0).otherwise(_n_words(head))
+        def packed_to(budget: Column) -> Column:
+            def step(acc: Column, x: Column) -> Column:
+                fits = acc["open"].isNotNull() & (acc["n"] + x["n"] <= budget)
+                grown = F.struct(acc["done"].alias("done"), F.concat(acc["open"], F.lit("\n"), x["part"]).alias("open"), (acc["n"] + x["n"]).alias("n"))
+                closed = F.struct(F.when(acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))).alias("done"), x["part"].alias("open"), x["n"].alias("n"))
+                return F.when(fits, grown).otherwise(closed)
 
-        def step(acc: Column, x: Column) -> Column:
-            n = _n_words(x)
-            fits = acc["open"].isNotNull() & (acc["n"] + n <= budget)
-            done = F.when(fits | acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"])))
-            return F.struct(done.alias("done"), F.when(fits, F.concat(acc["open"], F.lit("\n"), x)).otherwise(x).alias("open"), F.when(fits, acc["n"] + n).otherwise(n).alias("n"))
+            return F.aggregate(_units(body, budget), packed, step, lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
 
-        out = F.aggregate(_units(body, budget), packed, step, lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
+        out = _let(F.lit(max_words) - F.when(head == "", 0).otherwise(_n_words(head)), packed_to)
         return F.transform(out, lambda x: F.when(head == "", x).otherwise(F.concat(head, F.lit("\n\n"), x)))
 
     def split(s: Column) -> Column:
+        def parted(n: Column) -> Column:
+            whole = F.array_join(F.slice(s, F.lit(1), n), "\n")
+            line = F.trim(F.substring_index(F.element_at(s, 1), "\n", 1))
+            first = F.when(_n_words(line) <= half, line).otherwise("")
+            fitting = F.struct(whole.alias("head"), F.slice(s, n + 1, F.greatest(F.size(s) - n, F.lit(0))).alias("body"))
+            return F.when((F.size(s) > n) & (_n_words(whole) <= half), fitting).otherwise(F.struct(first.alias("head"), s.alias("body")))
+
         other = F.array_position(F.transform(s, lambda x: ~x.rlike(HEADERS)), True).cast("int")
-        n = F.greatest(F.lit(1), F.when(other > 0, other - 1).otherwise(F.size(s) - 1))
-        whole = F.array_join(F.slice(s, F.lit(1), n), "\n")
-        line = F.trim(F.element_at(F.split(F.element_at(s, 1), "\n"), 1))
-        short = F.when(_n_words(line) <= half, line).otherwise("")
-        fits = (_n_words(whole) <= half) & (F.size(s) > n)
-        parts = F.struct(F.when(fits, whole).otherwise(short).alias("head"), F.when(fits, F.slice(s, n + 1, F.greatest(F.size(s) - n, F.lit(0)))).otherwise(s).alias("body"))
-        return _let(parts, lambda x: pieces(x["head"], x["body"]))
+        heads = _let(other, lambda o: F.greatest(F.lit(1), F.when(o > 0, o - 1).otherwise(F.size(s) - 1)))
+        return _let(_let(heads, parted), lambda x: pieces(x["head"], x["body"]))
 
     return F.when(_n_words(t) > max_words, _let(sections, split)).otherwise(F.array(t))
