@@ -154,7 +154,7 @@ def gradients(net: Net, x: np.ndarray, y: np.ndarray, penalty: np.ndarray) -> tu
     return float((z - gold).mean()), [g / rows for g in (d_in, d_state, d_out, d_bias, d_moves, d_begin)]
 
 
-def fit(x: np.ndarray, y: np.ndarray, symbols: int, tags: list[str], hidden: int = 16, steps: int = 240, batch: int = 64, rate: float = 0.02, seed: int = 7) -> Net:
+def fit(x: np.ndarray, y: np.ndarray, symbols: int, tags: list[str], hidden: int = 16, steps: int = 500, batch: int = 64, rate: float = 0.02, seed: int = 7) -> Net:
     """Train by Adam on shuffled batches; the same input gives the same net."""
     net, penalty, rng = Net.new(symbols, hidden, len(tags), seed), allowed(tags), np.random.default_rng(seed)
     first = [np.zeros_like(p) for p in net.parameters()]

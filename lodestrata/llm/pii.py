@@ -2,15 +2,16 @@
 
 The rules find e-mail addresses, IP addresses, card and phone numbers in whole texts. The net is trained in numpy, once
 in a driver for each set of labelled spans: at most ``LABELLED`` short passages of each kind that the rules find in the
-documents, drawn by hash from those whose crc32(doc_id) mod 5 isn't 0, and invented texts that show usual and unusual
+documents, drawn by hash from those whose crc32(doc_id) mod 5 isn't 0, and invented texts: some show usual and unusual
 forms (``name (at) host``, ``name @ host . org``, numbers without the country's plus, cards next to other digits, defanged
-addresses) among numbers that are none. It reads windows of ``WINDOW`` characters that overlap by ``OVERLAP``; every
+addresses) among numbers that are none; in others what stands around a number decides, as it may be a phone's after *tel* and
+an order's after *ref*, in one and the same shape. It sees letters, so it can tell. It reads windows of ``WINDOW`` characters that overlap by ``OVERLAP``; every
 window that can hold a span is read, and one can't unless a digit, an @ or a bracketed *at* is near (each accepted form
 has one), so most text costs only a search for these. Windows are decoded by themselves. A span cut off by a window's edge
 that no other window holds whole is read again in a window centred on it and twice as wide, and so on until it is whole.
 All spans are then reconciled over the text: equal ones add up, and of overlapping ones the set of greatest total
-confidence stays. What is left is checked exactly (parts up to 255, Luhn's sum, digit counts and groups) and added where
-it meets no rule's span.
+confidence stays. What is left is checked exactly (parts up to 255, Luhn's sum, 10 to 15 digits for phones, whose grouping is
+free) and added where it meets no rule's span.
 
 One narrow pass; the net (some 10 kB) goes with the tasks. Null texts are empty and have no spans; their digest is that
 of the empty string. Repeated rows are searched each for itself. Very long texts are searched whole, some four bytes a
@@ -52,7 +53,7 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-NEEDED = re.compile(r"[0-9@]|[(\[]\s*at\s*[)\]]", re.I)
+NEEDED = re.compile(r"[0-9@]|[(\[]\s*at\s*[)\]]|\sat\s+[a-z0-9-]+\s+dot\s", re.I)
 
 Span = tuple[int, int, str]
 
@@ -108,22 +109,16 @@ def in_order(span: Span) -> tuple[int, int]:
 def plausible(text: str, kind: str) -> bool:
     """The exact check of a span that the net adds."""
     if kind == "email":
-        plain = re.sub(r"\s*(?:@|[(\[]\s*at\s*[)\]])\s*", "@", text, flags=re.I)
-        plain = re.sub(r"\s*[(\[]\s*dot\s*[)\]]\s*|\s+\.\s+", ".", plain, flags=re.I)
+        plain = re.sub(r"\s*(?:@|[(\[]\s*at\s*[)\]])\s*|\s+at\s+", "@", text, flags=re.I)
+        plain = re.sub(r"\s*[(\[]\s*dot\s*[)\]]\s*|\s+\.\s+|\s+dot\s+", ".", plain, flags=re.I)
         return re.fullmatch(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", plain) is not None
     if kind == "ip":
         plain = text.replace("[.]", ".")
         return re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", plain) is not None and parts_fit(plain)
     if kind == "card":
         return re.fullmatch(r"[0-9]([\x20-]?[0-9])+", text) is not None and 14 <= len(d := digits(text)) <= 19 and luhn(d)
-    # a phone number without plus: 10 to 15 digits in two to six groups, of which the first may stand in brackets, that
-    # begin with 0 or are of the form 3-3-4; neither a date nor an address
-    if re.fullmatch(r"\(?[0-9]{2,5}\)?(?:[ ./-]{1,2}[0-9]{2,8}){1,5}", text) is None or text.count("(") != text.count(")"):
-        return False
-    groups = re.findall(r"[0-9]+", text)
-    if not 10 <= sum(map(len, groups)) <= 15 or re.fullmatch(r"[0-9]{4}-[0-9]{2}-[0-9]{2}[ ./-].*", text):
-        return False
-    return groups[0][0] == "0" or [len(g) for g in groups] == [3, 3, 4]
+    # a phone number without plus: whether its 10 to 15 digits are one is the net's to say
+    return re.fullmatch(r"\(?[0-9][0-9() ./-]*[0-9]", text) is not None and text.count("(") == text.count(")") and 10 <= len(digits(text)) <= 15
 
 
 # --- what the net reads ---
@@ -133,19 +128,19 @@ SYMBOLS = "@.-+()[]_%:/ \n,"
 
 @functools.lru_cache(maxsize=1)
 def symbol_table() -> np.ndarray:
-    """Symbols: 0 padding, 1 digit, 2 lower letter, 3 upper letter, 4 all else, then a, t, d, o and single marks."""
-    table = np.full(0x10001, 4, dtype=np.uint8)
+    """Symbols: 0 padding, 1 digit, 2 a letter beyond a to z, 3 all else, then a to z (in either case) and single marks."""
+    table = np.full(0x10001, 3, dtype=np.uint8)
     for c in range(0x250):
-        ch = chr(c)
-        if ch.isalpha():
-            table[c] = 3 if ch.isupper() else 2
+        if chr(c).isalpha():
+            table[c] = 2
     table[48:58] = 1
-    for i, ch in enumerate("atdo" + SYMBOLS):
-        table[ord(ch)] = 5 + i
+    for i, ch in enumerate(LETTERS + SYMBOLS):
+        table[ord(ch)] = table[ord(ch.upper())] = 4 + i
     return table
 
 
-N_SYMBOLS = 5 + 4 + len(SYMBOLS)
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+N_SYMBOLS = 4 + len(LETTERS) + len(SYMBOLS)
 
 
 def symbols(text: str) -> np.ndarray:
@@ -224,6 +219,50 @@ def invented(count: int = 2400, seed: int = 11) -> list[tuple[str, list[Span]]]:
     return out
 
 
+#: What stands before a number that is a phone's, and before numbers of the same shapes that are something else.
+CALLS = "tel phone telephone call mobile cell fax telefon téléphone teléfono telefono ring whatsapp sms hotline handy móvil portable anruf llamar appelez".split()
+OTHERS = "order invoice ref account serial isbn tracking ticket case batch customer contract part item id code article rechnung bestellung konto facture commande pedido cuenta factura timestamp record".split()
+
+
+def ambiguous(count: int = 2000, seed: int = 23) -> list[tuple[str, list[Span]]]:
+    """Texts in which what stands around a number of 10 to 15 digits, and not its shape, says whether it's a phone number; and
+    addresses in words beside other uses of *at* and *dot*."""
+    rng = random.Random(seed)
+    syllables = "an er th on in re ti es or te ou le de la que ver ung sch cion ado ment eau st ha nd".split()
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
+    num = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    words = lambda n: "".join(word() + rng.choice([" ", " ", " ", ", ", ". "]) for _ in range(n))
+
+    def number() -> str:
+        gap = rng.choice(["", "", " ", "-", ".", "/"])
+        sizes = rng.choice([[3, 3, 4], [2, 4, 4], [4, 7], [3, 8], [4, 3, 3, 3], [5, 6], [2, 2, 2, 2, 2], [4, 4, 4], [4, 2, 2, 2, 2]]) if gap else [rng.randint(10, 15)]
+        return gap.join(num(n) for n in sizes)
+
+    out = []
+    for _ in range(count):
+        text, spans = words(rng.randint(0, 5)), []
+        kind = rng.random()
+        if kind < 0.8:
+            called = kind < 0.35
+            cue = rng.choice(CALLS if called else OTHERS) if kind < 0.7 else word()
+            cue = rng.choice([cue, cue, cue.capitalize(), cue.upper()])
+            text += cue + rng.choice([": ", ": ", " ", " ", ". ", " no. ", " nr ", " = ", "\n", f" {word()} ", ":"])
+            piece = number()
+            if called:
+                spans.append((len(text), len(text) + len(piece), "phone"))
+            text += piece
+        elif kind < 0.9:
+            who, host = rng.choice([word(), f"{word()}.{word()}", f"{word()}{num(2)}"]), word()
+            piece = f"{who} at {host} dot {rng.choice(['com', 'org', 'net', 'de'])}"
+            spans.append((len(text), len(text) + len(piece), "email"))
+            text += piece
+        else:
+            text += rng.choice([f"{word()} at {word()} dot. {word()}", f"at {num(2)}:{num(2)} {word()}", f"{word()} at {word()}", f"the dot at {word()}"])
+        text += rng.choice([" ", ". ", ", ", "\n"]) + words(rng.randint(0, 5))
+        out.append((text, spans))
+    return out
+
+
 def training_rows(labelled: list[tuple[str, list[Span]]], seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Windows of symbols and tags; a text longer than a window gives one that begins anywhere outside its spans."""
     rng = random.Random(seed)
@@ -257,12 +296,12 @@ def train(labelled: list[tuple[str, list[Span]]]) -> Net:
 
 
 def default_net() -> Net:
-    return train(invented())
+    return train(invented() + ambiguous())
 
 
 def net_for(docs: DataFrame) -> Net:
     """A net trained on labelled passages of documents and on invented ones."""
-    return train(labelled(docs) + invented())
+    return train(labelled(docs) + invented() + ambiguous())
 
 
 def _passages(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -363,12 +402,17 @@ def reconcile(spans: list[tuple[int, int, str, float]]) -> list[Span]:
 
 
 def added(text: str, found: list[tuple[int, int, str, float]], base: list[Span]) -> list[Span]:
-    """The net's spans that pass their check and meet no rule's span."""
+    """The net's spans that pass their check and meet no rule's span. An address takes in the whole run that its first part
+    lies in, as a rule's does."""
     out = []
     taken = sorted(base)
     ends = np.maximum.accumulate(np.array([e for _, e, _ in taken], dtype=np.int64)) if taken else np.zeros(0, np.int64)
     starts = np.array([s for s, _, _ in taken], dtype=np.int64)
+    last = 0
     for start, end, kind in reconcile(found):
+        while kind == "email" and start > last and text[start - 1] in LOCAL:
+            start -= 1
+        last = end
         before = int(np.searchsorted(starts, end, side="left"))
         if before and ends[before - 1] > start:
             continue
