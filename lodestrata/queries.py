@@ -14,7 +14,7 @@ from . import config
 from .functions import maps
 from .functions import text as T
 from .operators import chunking as C
-from .operators import filters, golden, graph, monitoring, quality, search, store
+from .operators import filters, golden, graph, monitoring, quality, search, setjoin, store
 from .operators import windows as W
 from .operators.versions import Snapshots
 from .session import lookup, shared_dir, stored
@@ -343,13 +343,10 @@ def batch_bytes(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def trigram_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of distinct brands and types, met through a shared trigram."""
+    """Pairs of distinct brands and types, met through their rare trigrams."""
     part = table(spark, d, "part")
     names = part.select(F.col("p_brand").alias("name")).union(part.select("p_type")).distinct().withColumn("g", T.trigrams(F.col("name")))
-    one = names.select(F.col("name").alias("a"), F.col("g").alias("ga"), F.explode("g").alias("t"))
-    two = names.select(F.col("name").alias("b"), F.col("g").alias("gb"), F.explode("g").alias("t"))
-    pairs = one.join(two, "t").filter("a < b").select("a", "b", "ga", "gb").distinct()
-    return pairs.select("a", "b", F.round(T.jaccard(F.col("ga"), F.col("gb")), 6).alias("similarity")).filter("similarity >= 0.3")
+    return setjoin.similar_pairs(names, "name", "g", 0.3)
 
 
 @query
@@ -715,8 +712,9 @@ def latest_turn(spark: SparkSession, d: str) -> DataFrame:
 def prompt_context(spark: SparkSession, d: str) -> DataFrame:
     """Each conversation's lines in order, all of them: their number, their length with the breaks between them, and a hash
     that tells the lines and their places. No task holds a conversation."""
-    lines = table(spark, d, "conversations").select("conv_id", "turn", "role", "text", F.concat("role", F.lit(": "), "text").alias("line"))
+    lines = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
     placed = W.running_sum(lines, ["conv_id"], [F.col("turn"), F.col("role"), F.col("text")], F.lit(1), "place")
+    placed = placed.select("conv_id", "place", F.concat("role", F.lit(": "), "text").alias("line"))
     item = F.concat_ws("\n", F.col("place").cast("string"), F.col("line"))
     return placed.groupBy("conv_id").agg(F.count("*").alias("turns"), (F.sum(F.length("line")) + F.count("*") - 1).alias("length"), T.bag_hash(item).alias("context_hash"))
 

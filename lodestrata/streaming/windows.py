@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -34,12 +35,30 @@ def timed(events: DataFrame, ts: str = "ts", late: str = "1 day") -> DataFrame:
 
 
 def tumbling(events: DataFrame, width: str, by: list[str], ts: str = "ts", slide: str | None = None) -> DataFrame:
-    """Counts and sums of ``value`` per window and key; batch and stream alike."""
+    """Counts and sums of ``value`` per window and key; batch and stream alike.
+
+    Sliding windows of a batch are put together from panes, if a window is a whole number of slides: an event is counted once,
+    in the pane of one slide, and only the panes' sums are dealt to the windows that hold them. A stream counts each event in each
+    of its windows, as its state is kept by window."""
+    if slide and not events.isStreaming and (panes := whole_slides(width, slide)):
+        parts = events.groupBy(F.window(ts, slide).alias("w"), *by).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+        step = F.expr(f"INTERVAL {slide}")
+        starts = F.array(*[F.col("w.start") - F.lit(i) * step for i in range(panes)])
+        held = parts.select(F.explode(starts).alias("start"), *by, "n", "total").groupBy("start", *by).agg(F.sum("n").alias("n"), F.round(F.sum("total"), 6).alias("total"))
+        return held.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("win_start"), *by, "n", "total")
     w = F.window(ts, width, slide) if slide else F.window(ts, width)
     out = events.groupBy(w.alias("w"), *by).agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
     return out.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("win_start"), *by, "n", "total")
 
 
+def whole_slides(width: str, slide: str) -> int | None:
+    """How many slides a window is ("7 days", "1 day"); None if it isn't a whole number of them or a length isn't plain."""
+    seconds = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
+    found = [re.fullmatch(r"\s*(\d+)\s+([a-z]+?)s?\s*", x.lower()) for x in (width, slide)]
+    lengths = [int(m[1]) * seconds.get(m[2], 0) for m in found if m]
+    return lengths[0] // lengths[1] if len(lengths) == 2 and all(lengths) and lengths[0] % lengths[1] == 0 else None
+
+
 def sessions(events: DataFrame, gap: str, by: list[str], ts: str = "ts") -> DataFrame:
     out = events.groupBy(F.session_window(ts, gap).alias("w"), *by).agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
     return out.select(*by, F.date_format("w.start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("session_start"), "n", "total")
