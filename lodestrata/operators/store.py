@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import text as T
+from ..sources.records import register
 from .windows import running_sum
 
 
@@ -75,9 +76,10 @@ def quarantine(rows: DataFrame, path: str) -> None:
 
 
 def save_raw(rows: DataFrame, path: str, name: str, body: str, by: str | None = None) -> None:
-    """Append raw records as JSON files below ``path``, named by 12 digits of their hash and a plain form of their name.
-    Files appear when the write commits, so none is seen half-written; equal records have equal names."""
-    plain = F.left(F.regexp_replace(F.lower(F.trim(name)), r"[^a-z0-9._-]+", "_"), F.lit(80))
-    named = rows.select(*([by] if by else []), F.concat(F.left(F.sha2(body, 256), F.lit(12)), F.lit("_"), plain, F.lit(".json")).alias("name"), F.col(body).alias("body"))
-    once = newest(named, [*([by] if by else []), "name"], [F.col("body")])
-    once.write.mode("append").partitionBy(*([by] if by else []), "name").text(path)
+    """Keep raw records as files ``<12 digits of their hash>_<plain form of their name>.json`` below ``path``, in a folder for each
+    value of ``by`` if it is given. Files appear, whole, when the write commits; equal records have equal names."""
+    register(rows.sparkSession)
+    plain = lambda c: F.left(F.regexp_replace(F.lower(F.trim(c)), r"[^a-z0-9._-]+", "_"), F.lit(80))
+    file = F.concat(F.left(F.sha2(body, 256), F.lit(12)), F.lit("_"), F.regexp_replace(plain(F.coalesce(name, F.lit(""))), r"\.json$", ""), F.lit(".json"))
+    named = rows.select((F.concat_ws("/", plain(F.coalesce(F.col(by).cast("string"), F.lit("none"))), file) if by else file).alias("name"), F.col(body).cast("string").alias("body"))
+    newest(named, ["name"], [F.col("body")]).write.format("record_files").mode("append").save(path)

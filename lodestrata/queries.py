@@ -313,6 +313,17 @@ def stored_delete(spark: SparkSession, d: str) -> DataFrame:
     return stored_.current()
 
 
+@query
+def raw_records(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers kept as a file each, and read back by their files' names."""
+    at = f"{shared_dir(spark)}/raw"
+    body = F.concat_ws("|", F.col("s_suppkey").cast("string"), "s_name", F.col("s_nationkey").cast("string"))
+    store.save_raw(table(spark, d, "supplier").select("s_name", body.alias("body"), "s_nationkey"), at, "s_name", "body", "s_nationkey")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(at)
+    file = F.regexp_extract("path", r"([^/]+/[^/]+)$", 1)
+    return found.select(file.alias("file"), F.sha2("content", 256).alias("hash"), F.col("length").alias("length"))
+
+
 @query
 def insert_ignore(spark: SparkSession, d: str) -> DataFrame:
     base = table(spark, d, "labels").select("doc_id", F.lit("base").alias("origin"))

@@ -1,6 +1,7 @@
 """Filters, functions, chunking properties, store, ingest, retrieval, gate, status, streams."""
 
 import json
+import os
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -286,15 +287,37 @@ def test_a_cluster_needs_a_shared_folder():
 
 def test_raw_records_and_tables(spark, tmp_path):
     rows = spark.createDataFrame([("items", " Big Axe!", '{"a": 1}'), ("items", " Big Axe!", '{"a": 1}'), ("mobs", "x", "{}")], "category string, name string, body string")
-    store.save_raw(rows, f"file://{tmp_path}/raw", "name", "body", "category")
-    names = sorted(p.parent.name for p in tmp_path.glob("raw/category=*/name=*/part-*"))
-    assert len(names) == 2 and any(n.endswith("_big_axe_.json") for n in names)
+    for _ in range(2):  # again: the same files
+        store.save_raw(rows, f"file://{tmp_path}/raw", "name", "body", "category")
+        names = sorted(f"{p.parent.name}/{p.name[13:]}" for p in tmp_path.glob("raw/*/*"))
+        assert names == ["items/big_axe_.json", "mobs/x.json"] and not list(tmp_path.glob("raw/.pending*"))
+    assert next(tmp_path.glob("raw/items/*.json")).read_text() == '{"a": 1}'
+    store.save_raw(rows.limit(1).withColumn("name", F.lit("x.json")), f"file://{tmp_path}/plain", "name", "body")
+    assert [p.name[13:] for p in tmp_path.glob("plain/*")] == ["x.json"]
     health = spark.createDataFrame([("items", 1, "2024-01-01")], "collection_name string, chunk_count long, updated_at string")
     newer = spark.createDataFrame([("items", 2, "2024-01-02"), ("mobs", 5, "2024-01-01")], "collection_name string, chunk_count long, updated_at string")
     got = store.upsert_table(health, newer, "collection_health", "updated_at")
     assert {(r.collection_name, r.chunk_count) for r in got.collect()} == {("items", 2), ("mobs", 5)} and len(got.columns) == 8
 
 
+def test_a_failed_write_of_records_leaves_nothing(spark, tmp_path):
+    from lodestrata.sources import records
+
+    records.register(spark)
+    rows = spark.createDataFrame([(f"a/{i}.txt" if i != 150 else "../out.txt", f"body {i}") for i in range(200)], "name string, body string").repartition(4)
+    with pytest.raises(Exception, match="not a name"):
+        rows.write.format("record_files").mode("append").save(f"file://{tmp_path}/r")
+    assert not list(tmp_path.glob("r/[!.]*"))
+    old = tmp_path / "r" / ".pending-old"  # of a killed task, long ago
+    old.mkdir(parents=True, exist_ok=True)
+    os.utime(old, (1, 1))
+    rows.filter("name not like '..%'").write.format("record_files").mode("append").save(f"file://{tmp_path}/r")
+    assert {p.name: p.read_text() for p in tmp_path.glob("r/a/*")} == {f"{i}.txt": f"body {i}" for i in range(200) if i != 150}
+    spark.createDataFrame([("a/0.txt", None)], "name string, body binary").write.format("record_files").mode("append").save(f"file://{tmp_path}/r")
+    assert not old.exists()
+    assert (tmp_path / "r/a/0.txt").read_bytes() == b"" and len(list(tmp_path.glob("r/a/*"))) == 199
+
+
 def test_golden_items_in_blocks(spark, monkeypatch):
     import random
 
