@@ -1,14 +1,16 @@
 """A vector index by cells: centroids of a bounded sample, and the nearest centroid of every row as a column.
 
-Search reads the cells nearest to a question. A row without a cell, or with one of another fit, belongs to no cell and is
-always read, so writes and rollbacks lose no row.
+Search reads the cells nearest to a question. A write gives its rows cells of the fit that is there. A row without a cell, or
+with one of another fit, belongs to no cell and is always read, so rollbacks lose no row.
 """
 
 from __future__ import annotations
 
 import time
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -61,6 +63,33 @@ def assign(rows: DataFrame, model: KMeansModel, first: int, vector: str = "embed
     return placed.withColumn("cell", F.when(fine, F.col("__cell") + F.lit(first))).drop("__features", "__cell")
 
 
+#: Distances that ``place`` holds at once.
+HELD = 1 << 22
+
+
+def place(rows: DataFrame, centroids: list[tuple[int, list[float]]], vector: str = "embedding") -> DataFrame:
+    """Adds ``cell``, the cell with the nearest of stored centroids (of equals the first): how a write keeps to an index that is
+    there. Null for vectors that aren't usable or of another size."""
+    names = np.array([c for c, _ in centroids], dtype=np.int64)
+    middle = np.array([v for _, v in centroids], dtype=np.float64)
+    sent = rows.sparkSession.sparkContext.broadcast((names, middle, (middle**2).sum(axis=1)))
+
+    def cell_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        names, middle, squares = sent.value
+        step = max(1, HELD // len(names))
+        for batch in batches:
+            out = pd.Series(pd.NA, index=batch.index, dtype="Int64")
+            known = batch.notna().to_numpy().nonzero()[0]
+            for at in range(0, len(known), step):
+                some = known[at : at + step]
+                units = np.stack(batch.iloc[some].to_numpy())
+                out.iloc[some] = names[(squares - 2 * units @ middle.T).argmin(axis=1)]
+            yield out
+
+    fine = usable(vector, middle.shape[1])
+    return rows.drop("cell").withColumn("cell", F.pandas_udf(cell_of, "bigint")(F.when(fine, unit(vector))))
+
+
 def nearest(query: list[float], centroids: list[tuple[int, list[float]]], probes: int) -> list[int]:
     """The ``probes`` cells nearest to a question; all, if it has another size or no direction."""
     q = np.asarray(query, float)

@@ -90,6 +90,8 @@ def write(corpus: Corpus, rows: DataFrame, keep: int | None = None) -> str:
 
 def _upsert(corpus: Corpus, rows: DataFrame, gone: DataFrame | None = None, keep: int | None = None) -> str:
     base = corpus.chunks.current()
+    if base is not None and "cell" in base.columns and (centroids := corpus.centroids()):  # the index stays in step
+        rows = cells.place(rows, centroids)
     return corpus.chunks.upsert(rows if base is None else like(rows, base), corpus.settings.retention_staging if keep is None else keep, gone)
 
 
