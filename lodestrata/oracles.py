@@ -173,6 +173,8 @@ ORACLES: dict[str, str] = {
     "raw_records": r"""WITH b AS (SELECT s_nationkey, s_name, s_suppkey || '|' || s_name || '|' || s_nationkey AS body FROM supplier)
         SELECT DISTINCT s_nationkey || '/' || left(sha256(body), 12) || '_' || left(regexp_replace(lower(trim(s_name)), '[^a-z0-9._-]+', '_', 'g'), 80) || '.json' AS file,
             sha256(body) AS hash, octet_length(encode(body))::BIGINT AS length FROM b""",
+    "stream_file_versions": """WITH b AS (SELECT 's' || s_suppkey || '.txt' AS name, CASE WHEN s_nationkey % 2 = 0 THEN 'again|' || s_suppkey ELSE s_name || '|' || s_nationkey END AS body FROM supplier)
+        SELECT name, octet_length(encode(body))::BIGINT AS length, sha256(body) AS file_hash FROM b""",
     "stored_insert": "SELECT doc_id, 'base' AS origin FROM labels UNION ALL SELECT doc_id, 'batch' FROM documents d ANTI JOIN labels USING (doc_id)",
     "stored_delete": "SELECT doc_id, source FROM documents d ANTI JOIN (SELECT doc_id FROM labels WHERE toxic = 1) USING (doc_id) WHERE source IS DISTINCT FROM 'src2'",
     "greedy_chunks": _pieces(_pack(_LINES, "2").replace("{sep}", _NL2)),

@@ -99,7 +99,7 @@ def _upsert(corpus: Corpus, rows: DataFrame, gone: DataFrame | None = None, keep
 LISTED = 50_000
 
 
-def _listed(files_: DataFrame) -> Iterator[list[str]]:
+def blocks_of_paths(files_: DataFrame) -> Iterator[list[str]]:
     """The paths of files in blocks."""
     block: list[str] = []
     for row in files_.select("path").toLocalIterator():
@@ -125,11 +125,11 @@ def ingest(corpus: Corpus, folder: str, pattern: str | None = None, recursive: b
     else:
         spark.createDataFrame([], extract.PARSED).write.parquet(f"{work}/parsed")
         spark.createDataFrame([], "path string, file_hash string").write.parquet(f"{work}/hashes")
-        for block in _listed(candidates):
+        for block in blocks_of_paths(candidates):
             files.named(spark, block).select("path", files.file_hash(F.col("content")).alias("file_hash")).write.mode("append").parquet(f"{work}/hashes")
         hashes = spark.read.parquet(f"{work}/hashes")
         touched = hashes.join(index.select("path", "file_hash"), ["path", "file_hash"], "left_semi")
-        for block in _listed(hashes.join(touched, "path", "left_anti")):
+        for block in blocks_of_paths(hashes.join(touched, "path", "left_anti")):
             extract.records(files.named(spark, block), chars).write.mode("append").parquet(f"{work}/parsed")
     parsed = spark.read.schema(extract.PARSED).parquet(f"{work}/parsed")
     failed, fine = extract.bad(parsed), extract.good(parsed)

@@ -18,7 +18,9 @@ from .operators import filters, golden, graph, monitoring, quality, search, setj
 from .operators import windows as W
 from .operators.versions import Snapshots
 from .session import lookup, shared_dir, stored
+from .sources import records
 from .streaming import windows as S
+from .streaming.ingest import file_versions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -681,6 +683,21 @@ def stream_changed_files(spark: SparkSession, d: str) -> DataFrame:
     return read().select("doc_id", "version", "hash")
 
 
+@query
+def stream_file_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers' files as a stream of changes: those of even nations are written again between two calls, shorter than before."""
+    root = shared_dir(spark)
+    s = table(spark, d, "supplier")
+    name = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(".txt")).alias("name")
+    write = lambda rows, *parts: rows.select(name, F.concat_ws("|", *parts).alias("body")).write.format("record_files").mode("append").save(f"{root}/in")
+    records.register(spark)
+    write(s, "s_name", F.col("s_nationkey").cast("string"))
+    file_versions(spark, f"{root}/in", f"{root}/table")
+    write(s.filter("s_nationkey % 2 = 0"), F.lit("again"), F.col("s_suppkey").cast("string"))
+    seen = file_versions(spark, f"{root}/in", f"{root}/table").current()
+    return seen.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length", "file_hash")
+
+
 @query
 def stream_dedup_upsert(spark: SparkSession, d: str) -> DataFrame:
     """Each user's last event, from a stream whose replays are dropped."""

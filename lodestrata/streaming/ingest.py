@@ -7,11 +7,15 @@ twice finds nothing to do, and an ingest after a restart goes on from what the c
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans.ingest import Corpus, ingest
+from ..operators.versions import Snapshots
+from ..plans.ingest import Corpus, blocks_of_paths, ingest
+from ..sources import files
+from ..sources.changes import changed_files
+from .windows import run_available
 
 
 def ingest_stream(corpus: Corpus, folder: str, pattern: str | None = None, every: str = "1 minute") -> StreamingQuery:
@@ -26,6 +30,21 @@ def ingest_available(corpus: Corpus, folder: str, pattern: str | None = None) ->
     return ingest(corpus, folder, pattern)
 
 
+def file_versions(spark: SparkSession, folder: str, table: str, pattern: str | None = None) -> Snapshots:
+    """Take in a folder's files that are new or changed since the last call: a table of path, length, modified and file_hash with
+    a row for each file's newest state. Only such files are opened; a batch that is delivered twice changes nothing."""
+    versions = Snapshots(spark, f"{table}/versions", ["path"], "modified")
+
+    def take(batch: DataFrame, number: int) -> None:
+        listed = batch.select("path").distinct()
+        for block in blocks_of_paths(listed):
+            seen = files.named(spark, block).select("path", "length", "modified", files.file_hash(F.col("content")).alias("file_hash"))
+            versions.upsert(seen, 1)
+
+    run_available(changed_files(spark, folder, pattern), take, "append", f"{table}/checkpoint")
+    return versions
+
+
 def run_lifecycle(starts: DataFrame, ends: DataFrame, within: str = "1 day") -> DataFrame:
     """Pairs of a run's start (id, started_at) and end (id, ended_at, status), as a stream-stream join; both sides have
     watermarks so that state is bounded."""

@@ -187,3 +187,29 @@ def test_no_content_is_shuffled(spark, tmp_path):
     found = files.scan(spark, f"file://{tmp_path}").select("path", "length", "modified")
     text = found.join(found.select("path"), "path", "left_anti")._jdf.queryExecution().executedPlan().toString()
     assert "content:binary" not in text and "ReadSchema" in text
+
+
+def test_a_stream_of_changed_files_opens_only_these(spark, tmp_path, monkeypatch):
+    from lodestrata.streaming.ingest import file_versions
+
+    src = tmp_path / "src"
+    (src / "sub").mkdir(parents=True)
+    for i in range(5):
+        (src / "sub" / f"{i}.txt").write_text(f"text {i}")
+        os.utime(src / "sub" / f"{i}.txt", (1000 + i, 1000 + i))
+    (src / "_hidden.txt").write_text("x")
+    (src / "other.md").write_text("x")
+    opened = []
+    named = files.named
+    monkeypatch.setattr(files, "named", lambda s, paths: opened.extend(p.rsplit("/", 1)[1] for p in paths) or named(s, paths))
+    call = lambda: {r.path.rsplit("/", 1)[1]: (r.length, r.file_hash) for r in file_versions(spark, f"file://{src}", f"file://{tmp_path}/t", "*.txt").current().collect()}
+    first = call()
+    assert sorted(opened) == [f"{i}.txt" for i in range(5)] == sorted(first)
+    opened.clear()
+    assert call() == first and opened == []  # nothing has changed: no file is opened
+    (src / "sub" / "1.txt").write_text("t")  # shrunken
+    (src / "sub" / "2.txt").write_text("text x")  # of the same length
+    (src / "new.txt").write_text("new")
+    second = call()
+    assert sorted(opened) == ["1.txt", "2.txt", "new.txt"]
+    assert {n for n in second if second[n] != first.get(n)} == {"1.txt", "2.txt", "new.txt"} and second["1.txt"][0] == 1
