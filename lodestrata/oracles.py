@@ -175,6 +175,11 @@ ORACLES: dict[str, str] = {
             sha256(body) AS hash, octet_length(encode(body))::BIGINT AS length FROM b""",
     "stream_file_versions": """WITH b AS (SELECT 's' || s_suppkey || '.txt' AS name, CASE WHEN s_nationkey % 2 = 0 THEN 'again|' || s_suppkey ELSE s_name || '|' || s_nationkey END AS body FROM supplier)
         SELECT name, octet_length(encode(body))::BIGINT AS length, sha256(body) AS file_hash FROM b""",
+    "stream_breaker": """SELECT user_id, epoch_us(ts) AS us, coalesce(epoch_us(ts) - lag(epoch_us(ts), 2) OVER (PARTITION BY user_id ORDER BY ts) <= 172800000000, false) AS open
+        FROM events WHERE event_type = 'error'""",
+    "stream_heartbeat": """WITH b AS (SELECT user_id, epoch_us(ts) AS us, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) > 86400000000, false) AS fresh FROM events),
+        r AS (SELECT user_id, us, count(*) FILTER (WHERE fresh) OVER (PARTITION BY user_id ORDER BY us RANGE BETWEEN 604800000000 PRECEDING AND CURRENT ROW) AS restarts FROM b)
+        SELECT user_id, us, restarts, restarts > 2 AS alert FROM r""",
     "stored_insert": "SELECT doc_id, 'base' AS origin FROM labels UNION ALL SELECT doc_id, 'batch' FROM documents d ANTI JOIN labels USING (doc_id)",
     "stored_delete": "SELECT doc_id, source FROM documents d ANTI JOIN (SELECT doc_id FROM labels WHERE toxic = 1) USING (doc_id) WHERE source IS DISTINCT FROM 'src2'",
     "greedy_chunks": _pieces(_pack(_LINES, "2").replace("{sep}", _NL2)),

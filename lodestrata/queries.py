@@ -698,6 +698,39 @@ def stream_file_versions(spark: SparkSession, d: str) -> DataFrame:
     return seen.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length", "file_hash")
 
 
+def _with_restart(spark: SparkSession, rows: DataFrame, keyed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a keyed stream gives for rows (key, us) that come in two parts, the later half after a restart."""
+    root = shared_dir(spark)
+    ends = rows.agg(F.min("us"), F.max("us")).first()
+    middle = ((ends[0] or 0) + (ends[1] or 0)) // 2
+    for n, part in enumerate((rows.filter(F.col("us") <= middle), rows.filter(F.col("us") > middle))):
+        part.write.parquet(f"{root}/in/{n}")
+        told = keyed(S.source(spark, f"{root}/in/0", folder=f"{root}/in"))
+        # a batch that is delivered twice replaces itself
+        S.run_available(told, lambda batch, number: batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}"), "append", f"{root}/checkpoint")
+        schema = told.schema
+    return spark.read.schema(schema).parquet(f"{root}/out")
+
+
+DAY = 86_400
+
+
+@query
+def stream_breaker(spark: SparkSession, d: str) -> DataFrame:
+    """A user's circuit is open after a third error within two days; state goes on over a restart."""
+    errors = table(spark, d, "events").filter("event_type = 'error'").select("user_id", W.micros(F.col("ts")).alias("us"))
+    out = _with_restart(spark, errors, lambda s: S.breaker_states(s, "user_id", 3, 2 * DAY, idle=3 * DAY))
+    return out.select("user_id", "us", "open")
+
+
+@query
+def stream_heartbeat(spark: SparkSession, d: str) -> DataFrame:
+    """A user's events are beats: one after more than a day is a restart, more than two of them in a week an alert."""
+    beats = table(spark, d, "events").select("user_id", W.micros(F.col("ts")).alias("us"))
+    out = _with_restart(spark, beats, lambda s: S.heartbeats(s, "user_id", DAY, 7 * DAY, 2, idle=400 * DAY))
+    return out.filter("NOT lost").select("user_id", "us", "restarts", "alert")
+
+
 @query
 def stream_dedup_upsert(spark: SparkSession, d: str) -> DataFrame:
     """Each user's last event, from a stream whose replays are dropped."""
