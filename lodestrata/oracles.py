@@ -180,6 +180,9 @@ ORACLES: dict[str, str] = {
     "stream_heartbeat": """WITH b AS (SELECT user_id, epoch_us(ts) AS us, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) > 86400000000, false) AS fresh FROM events),
         r AS (SELECT user_id, us, count(*) FILTER (WHERE fresh) OVER (PARTITION BY user_id ORDER BY us RANGE BETWEEN 604800000000 PRECEDING AND CURRENT ROW) AS restarts FROM b)
         SELECT user_id, us, restarts, restarts > 2 AS alert FROM r""",
+    "heading_sections": f"""WITH l AS (SELECT doc_id, unnest(range(1, len(a) + 1)) AS place, ' ' || unnest(a) AS line
+            FROM (SELECT doc_id, list_transform(string_split(replace(text, '```', '~~~'), chr(10)), lambda x: regexp_replace(x, '\\r$', '')) AS a FROM documents))
+        SELECT doc_id::VARCHAR AS heading, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars, {_bag("place || chr(10) || line")} AS lines_hash FROM l GROUP BY doc_id""",
     "stored_insert": "SELECT doc_id, 'base' AS origin FROM labels UNION ALL SELECT doc_id, 'batch' FROM documents d ANTI JOIN labels USING (doc_id)",
     "stored_delete": "SELECT doc_id, source FROM documents d ANTI JOIN (SELECT doc_id FROM labels WHERE toxic = 1) USING (doc_id) WHERE source IS DISTINCT FROM 'src2'",
     "greedy_chunks": _pieces(_pack(_LINES, "2").replace("{sep}", _NL2)),

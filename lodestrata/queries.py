@@ -18,7 +18,7 @@ from .operators import filters, golden, graph, monitoring, quality, search, setj
 from .operators import windows as W
 from .operators.versions import Snapshots
 from .session import lookup, shared_dir, stored
-from .sources import records
+from .sources import lines, records
 from .streaming import windows as S
 from .streaming.ingest import file_versions
 
@@ -326,6 +326,18 @@ def raw_records(spark: SparkSession, d: str) -> DataFrame:
     return found.select(file.alias("file"), F.sha2("content", 256).alias("hash"), F.col("length").alias("length"))
 
 
+@query
+def heading_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Documents written as text files under a heading each, and read back by line: the sections are islands of a running sum."""
+    at = f"{shared_dir(spark)}/md"
+    body = F.transform(F.split(F.replace(F.col("text"), F.lit("```"), F.lit("~~~")), "\n"), lambda x: F.concat(F.lit(" "), x))
+    docs = table(spark, d, "documents").select("doc_id", F.posexplode(F.concat(F.array(F.concat(F.lit("# "), F.col("doc_id").cast("string"))), body)).alias("i", "line"))
+    docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "i").select("line").write.option("lineSep", "\n").text(at)
+    rows = lines.headed(lines.lines(spark, at)).filter("place > 0")
+    item = F.concat_ws("\n", F.col("place").cast("string"), F.col("line"))
+    return rows.groupBy("heading").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"), T.bag_hash(item).alias("lines_hash"))
+
+
 @query
 def insert_ignore(spark: SparkSession, d: str) -> DataFrame:
     base = table(spark, d, "labels").select("doc_id", F.lit("base").alias("origin"))
