@@ -1,4 +1,4 @@
-"""Schemas of the relational tables and of the records that flow between operators."""
+"""Schemas and keys of the relational tables."""
 
 from __future__ import annotations
 
@@ -6,13 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-CHUNK = "collection string, chunk_id string, text string, embedding array<float>, metadata string, source string, version string, ingest_time double"
-SEARCH_RESULT = "collection string, chunk_id string, text string, similarity double, distance double, metadata string"
-RAW_CHUNK = "source string, chunk_index int, start_offset int, text string, metadata string"
-QUARANTINE = "source string, kind string, reason string, snippet string, at timestamp"
-GOLDEN = "id string, question string, expected_ids array<string>, filter map<string,string>"
-AUDIT = "at timestamp, event string, body string"
-
 TABLES = {
     "projects": "id string, mod_id string, name string, description string, author string, version string, build_target string, publish_status string, total_runs int, success_count int, created_at timestamp, updated_at timestamp, last_run_at timestamp, metadata string",
     "runs": "id string, project_id string, run_number int, run_label string, status string, governance_tier string, plan string, user_request string, context_chunks array<string>, retry_count int, max_retries int, started_at timestamp, ended_at timestamp, errors array<string>, error_summary string, artifact_id string, assigned_to string",
