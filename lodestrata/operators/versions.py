@@ -42,7 +42,8 @@ POINTERS = 10
 
 @dataclass
 class DataFile:
-    """``root`` is empty for the table's own files. ``low`` and ``high`` bound the keys; None if they aren't known."""
+    """``root`` is empty for the table's own files. ``low`` and ``high`` bound the keys; None if they aren't known. ``settled``
+    files come from writing a table or its small files anew; to do so again would change nothing."""
 
     path: str
     rows: int
@@ -51,6 +52,7 @@ class DataFile:
     high: list | None = None
     gone: int = 0
     root: str = ""
+    settled: bool = False
 
     @property
     def name(self) -> str:
@@ -244,11 +246,12 @@ class Snapshots:
 
     # --- writing ---
 
-    def _write(self, rows: DataFrame, schema: StructType) -> list[DataFile]:
-        """Rows as data files, laid out by key (within cells, where there are any); rows are read twice, so they should be
-        stored if they cost much."""
+    def _write(self, rows: DataFrame, schema: StructType, settled: bool = False, count: int | None = None) -> list[DataFile]:
+        """Rows as data files, laid out by key (within cells, where there are any), in as few as hold ``count`` rows if that is
+        given; rows are read twice, so they should be stored if they cost much."""
         by = [c for c in (["collection", "cell", "chunk_id"] if {"collection", "cell", "chunk_id"} <= set(schema.names) else self.keys) if c in schema.names]
-        laid = rows.repartitionByRange(*by).sortWithinPartitions(*by) if by else rows.hint("rebalance")
+        parts = [] if count is None else [max(1, -(-count // FILE_ROWS))]
+        laid = rows.repartitionByRange(*parts, *by).sortWithinPartitions(*by) if by else rows.hint("rebalance")
         folder = f"data/w{uuid.uuid4().hex}"
         laid.write.option("maxRecordsPerFile", FILE_ROWS).parquet(f"{self.root}/{folder}")
         bytes_of = {s.getPath().getName(): s.getLen() for s in self.fs.listStatus(self._path(f"{self.root}/{folder}"))}
@@ -256,7 +259,7 @@ class Snapshots:
         bounds = [F.min(F.struct(*self.keys)).alias("low"), F.max(F.struct(*self.keys)).alias("high")] if self._bounded(schema) else []
         # one row for each new file
         told = back.groupBy("file").agg(F.count("*").alias("rows"), *bounds).collect()
-        return [DataFile(f"{folder}/{r.file}", r.rows, bytes_of[r.file], list(r.low) if bounds else None, list(r.high) if bounds else None) for r in sorted(told, key=lambda r: r.file)]
+        return [DataFile(f"{folder}/{r.file}", r.rows, bytes_of[r.file], list(r.low) if bounds else None, list(r.high) if bounds else None, settled=settled) for r in sorted(told, key=lambda r: r.file)]
 
     def _bounded(self, schema: StructType) -> bool:
         return bool(self.keys) and all(schema[k].dataType.simpleString() in ("string", "bigint", "int", "smallint", "tinyint", "boolean") for k in self.keys)
@@ -264,7 +267,7 @@ class Snapshots:
     def publish(self, rows: DataFrame, keep: int, note: dict | None = None) -> str:
         """Make all these rows the new version, and drop all but the newest ``keep`` before it."""
         state = self._read_pointer()
-        return self._publish(state, Manifest(rows.schema.json(), self._write(rows, rows.schema), [], note or {}), keep)
+        return self._publish(state, Manifest(rows.schema.json(), self._write(rows, rows.schema, True), [], note or {}), keep)
 
     def _met(self, manifest: Manifest, keys: DataFrame) -> list[DataFile]:
         """Files whose key range meets some of ``keys``, which are stored in ranges: a range for each of their files is collected."""
@@ -311,18 +314,19 @@ class Snapshots:
             files += self._write(rows, schema)
         return self._publish(state, self._settled(Manifest(manifest.schema, files, deletes, note or {})), keep)
 
-    def _settled(self, manifest: Manifest, small_files: int | None = None) -> Manifest:
-        """Without files that are all gone; files with many gone rows, and small ones if there are many, are written again."""
+    def _settled(self, manifest: Manifest, every: bool = False) -> Manifest:
+        """Without files that are all gone; files with many gone rows, and small ones once many have been added (or, with ``every``,
+        if there are two), are written again."""
         files = [f for f in manifest.files if f.gone < f.rows]
         small = [f for f in files if f.rows - f.gone < FILE_ROWS // 4]
         chosen = [f for f in files if f.gone > MOST_GONE * f.rows]
-        # a file of a table that is small as a whole is no burden
-        if len(small) > (SMALL_FILES if small_files is None else small_files):
+        together = len(small) > 1 if every else sum(not f.settled for f in small) > SMALL_FILES
+        if together:
             chosen = [f for f in files if f in chosen or f in small]
         if chosen:
             schema = StructType.fromJson(json.loads(manifest.schema))
             rows = self._scan(manifest, chosen, schema.names)
-            files = [f for f in files if f not in chosen] + self._write(rows, schema)
+            files = [f for f in files if f not in chosen] + self._write(rows, schema, together, sum(f.rows - f.gone for f in chosen))
         left = {f.name for f in files if f.gone}
         return Manifest(manifest.schema, files, [d for d in manifest.deletes if left & set(d.files)], manifest.note)
 
@@ -331,7 +335,7 @@ class Snapshots:
         state, manifest = self._now()
         if manifest is None:
             return None
-        settled = self._settled(manifest, 1)
+        settled = self._settled(manifest, True)
         return self._publish(state, settled, keep) if settled.files != manifest.files else None
 
     def upsert(self, batch: DataFrame, keep: int, gone: DataFrame | None = None, note: dict | None = None) -> str:
