@@ -331,13 +331,24 @@ def heading_sections(spark: SparkSession, d: str) -> DataFrame:
     """Documents written as text files under a heading each, and read back by line: the sections are islands of a running sum."""
     at = f"{shared_dir(spark)}/md"
     body = F.transform(F.split(F.replace(F.col("text"), F.lit("```"), F.lit("~~~")), "\n"), lambda x: F.concat(F.lit(" "), x))
-    docs = table(spark, d, "documents").select("doc_id", F.posexplode(F.concat(F.array(F.concat(F.lit("# "), F.col("doc_id").cast("string"))), body)).alias("i", "line"))
-    docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "i").select("line").write.option("lineSep", "\n").text(at)
+    docs = table(spark, d, "documents").select(F.explode(F.concat(F.array(F.concat(F.lit("# "), F.col("doc_id").cast("string"))), body)).alias("line"))
+    docs.write.option("lineSep", "\n").text(at)
     rows = lines.headed(lines.lines(spark, at)).filter("place > 0")
     item = F.concat_ws("\n", F.col("place").cast("string"), F.col("line"))
     return rows.groupBy("heading").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"), T.bag_hash(item).alias("lines_hash"))
 
 
+@query
+def csv_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Documents written as CSV files, and read back by line: records are islands of quotes."""
+    at = f"{shared_dir(spark)}/csv"
+    keep = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).write.options(**keep).csv(at)
+    rows = lines.csv_records(lines.lines(spark, at, "*.csv"), 1 << 28).filter("record > 0")
+    text = F.col("fields")[1]
+    return rows.select(F.col("fields")[0].cast("long").alias("doc_id"), F.length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("text_hash"))
+
+
 @query
 def insert_ignore(spark: SparkSession, d: str) -> DataFrame:
     base = table(spark, d, "labels").select("doc_id", F.lit("base").alias("origin"))

@@ -1,6 +1,8 @@
 """Lines and sections of text files against plain splitting, files in many parts, sections in pieces."""
 
+import csv
 import random
+import re
 
 from lodestrata.sources import lines, parsers
 
@@ -50,3 +52,32 @@ def test_sections_in_pieces(spark, tmp_path):
     assert "\n".join(p.text for p in pieces if p.heading == "H") == "\n".join(body)
     assert max(len(p.text) for p in pieces) < 300 + 70 and [p.text for p in pieces if p.heading in ("", "Last")] == ["before", "end"]
     assert not [p for p in pieces if p.heading == "Empty"]
+
+
+def test_csv_equals_a_reader(spark, tmp_path):
+    rng = random.Random(5)
+    bits = ["plain", "", " spaced ", "with, comma", 'a "quote"', "line\nend", '""', ",", '"', "ü", "two\n\nends", "x" * 90]
+    tables = {f"{i}.csv": [["id", "name", "note"], *[[rng.choice(bits) for _ in range(rng.randrange(2, 5))] for _ in range(rng.randrange(0, 30))]] for i in range(10)}
+    for name, rows in tables.items():
+        with open(tmp_path / name, "w", newline="") as f:
+            csv.writer(f, lineterminator="\n" if name < "5" else "\r\n").writerows(rows[:3])
+            f.write("\n , \n")
+            csv.writer(f, lineterminator="\n").writerows(rows[3:])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64b")  # parts begin within quoted fields
+    try:
+        got = {}
+        for r in lines.csv_records(lines.lines(spark, f"file://{tmp_path}")).orderBy("path", "record").collect():
+            assert r.piece == 0 and r.record == len(got.setdefault(r.path.rsplit("/", 1)[1], []))
+            got[r.path.rsplit("/", 1)[1]].append(r.fields)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    # a line of commas and quotes alone is blank, as the parser of whole files has it for the rows that it reads
+    filled = lambda rows: [[c.strip() for c in row] for row in rows if any(re.sub(r'[\s,"]', "", x) for x in row)]
+    assert got == {name: filled(rows) for name, rows in tables.items()}
+
+
+def test_a_quote_that_stays_open(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,name\n1,a\n2,\"open\n" + "".join(f"{i},x\n" for i in range(3, 200)))
+    got = lines.csv_records(lines.lines(spark, f"file://{tmp_path}"), 100).orderBy("record", "piece").collect()
+    assert [r.fields for r in got[:2]] == [["id", "name"], ["1", "a"]] and max(len(r.fields[0]) for r in got) < 110
+    assert "\n".join(r.fields[0] for r in got[2:]) == "2,\"open\n" + "\n".join(f"{i},x" for i in range(3, 200))
