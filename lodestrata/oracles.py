@@ -183,7 +183,7 @@ ORACLES: dict[str, str] = {
     "heading_sections": f"""WITH l AS (SELECT doc_id, unnest(range(1, len(a) + 1)) AS place, ' ' || unnest(a) AS line
             FROM (SELECT doc_id, list_transform(string_split(replace(text, '```', '~~~'), chr(10)), lambda x: regexp_replace(x, '\\r$', '')) AS a FROM documents))
         SELECT doc_id::VARCHAR AS heading, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars, {_bag("place || chr(10) || line")} AS lines_hash FROM l GROUP BY doc_id""",
-    "csv_rows": r"""WITH t AS (SELECT doc_id, regexp_replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), '^[\s\x0B]+|[\s\x0B]+$', '', 'g') AS t FROM documents)
+    "csv_rows": """WITH t AS (SELECT doc_id, replace(coalesce(text, ''), chr(13) || chr(10), chr(10)) AS t FROM documents)
         SELECT doc_id, length(t) AS n_chars, sha256(t) AS text_hash FROM t""",
     "stored_insert": "SELECT doc_id, 'base' AS origin FROM labels UNION ALL SELECT doc_id, 'batch' FROM documents d ANTI JOIN labels USING (doc_id)",
     "stored_delete": "SELECT doc_id, source FROM documents d ANTI JOIN (SELECT doc_id FROM labels WHERE toxic = 1) USING (doc_id) WHERE source IS DISTINCT FROM 'src2'",

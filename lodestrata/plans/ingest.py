@@ -119,31 +119,27 @@ def ingest(corpus: Corpus, folder: str, pattern: str | None = None, recursive: b
     index = corpus.seen.current()
     same = ["path", "length", "modified"]
     candidates = stored(found.select(*same) if index is None else found.select(*same).join(index.select(*same), same, "left_anti"), f"{work}/candidates")
-    touched = None
-    if index is None:
-        extract.records(found, chars).write.parquet(f"{work}/parsed")
-    else:
-        spark.createDataFrame([], extract.PARSED).write.parquet(f"{work}/parsed")
-        spark.createDataFrame([], "path string, file_hash string").write.parquet(f"{work}/hashes")
-        for block in blocks_of_paths(candidates):
-            files.named(spark, block).select("path", files.file_hash(F.col("content")).alias("file_hash")).write.mode("append").parquet(f"{work}/hashes")
-        hashes = spark.read.parquet(f"{work}/hashes")
-        touched = hashes.join(index.select("path", "file_hash"), ["path", "file_hash"], "left_semi")
-        for block in blocks_of_paths(hashes.join(touched, "path", "left_anti")):
-            extract.records(files.named(spark, block), chars).write.mode("append").parquet(f"{work}/parsed")
+    spark.createDataFrame([], extract.PARSED).write.parquet(f"{work}/parsed")
+    spark.createDataFrame([], "path string, file_hash string, wide boolean").write.parquet(f"{work}/hashes")
+    for block in blocks_of_paths(candidates):
+        extract.hashed(files.named(spark, block)).write.mode("append").parquet(f"{work}/hashes")
+    hashes = spark.read.parquet(f"{work}/hashes")
+    touched = None if index is None else hashes.join(index.select("path", "file_hash"), ["path", "file_hash"], "left_semi").select("path", "file_hash")
+    for block in blocks_of_paths(hashes if touched is None else hashes.join(touched, "path", "left_anti")):
+        extract.read(spark, block, hashes, chars).write.mode("append").parquet(f"{work}/parsed")
     parsed = spark.read.schema(extract.PARSED).parquet(f"{work}/parsed")
     failed, fine = extract.bad(parsed), extract.good(parsed)
     counts = parsed.agg(F.count_distinct("source").alias("files"), F.count_distinct(F.when(F.col("error").isNotNull(), F.col("source"))).alias("failed")).first()
     if counts.failed:
         store.quarantine(failed, corpus.quarantine_path)
     summary = {"files": counts.files, "failed": counts.failed, "chunks": 0}
-    if counts.files > counts.failed:
+    if not fine.isEmpty():
         rows = to_rows(extract.chunks(parsed, corpus.settings.chunk_size), corpus.settings.default_version, corpus.embed, at)
         rows.write.parquet(f"{work}/rows")
         rows = spark.read.parquet(f"{work}/rows")
         summary["chunks"] = rows.count()
         _upsert(corpus, rows, rows.select("source").distinct())  # a changed file's old chunks go
-    known = fine.select(F.col("source").alias("path"), "file_hash").distinct()
+    known = fine.select(F.col("source").alias("path"), "file_hash").distinct().join(failed.select(F.col("source").alias("path")), "path", "left_anti")
     known = stored((known if touched is None else known.unionByName(touched)).join(candidates, "path").select(*same, "file_hash"), f"{work}/known")
     if not known.isEmpty():
         corpus.seen.upsert(known, 1)

@@ -8,19 +8,21 @@ import traceback
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import html_text, squeeze
 from ..operators import chunking
+from ..session import stored
+from . import files, lined
 from .containers import CONTAINERS, MEMBER_CHARS, parse_archive
 from .files import decode_bytes, detect
 from .parsers import PARSERS, Record, parse_text, record
 
-RECORDS = "source string, kind string, file_hash string, record_index int, name string, text string, metadata string, error string, markup boolean"
+RECORDS = "source string, kind string, file_hash string, record_index bigint, name string, text string, metadata string, error string, markup boolean"
 #: As ``records`` gives them.
 PARSED = RECORDS.replace(", markup boolean", "")
-FIELDS = [("source", pa.string()), ("kind", pa.string()), ("file_hash", pa.string()), ("record_index", pa.int32()), ("name", pa.string()), ("text", pa.string()), ("metadata", pa.string()), ("error", pa.string()), ("markup", pa.bool_())]
+FIELDS = [("source", pa.string()), ("kind", pa.string()), ("file_hash", pa.string()), ("record_index", pa.int64()), ("name", pa.string()), ("text", pa.string()), ("metadata", pa.string()), ("error", pa.string()), ("markup", pa.bool_())]
 
 
 def parse(kind: str, data: bytes, member_chars: int | None = MEMBER_CHARS) -> list[Record]:
@@ -50,10 +52,10 @@ def _parse_batches(member_chars: int | None, batches: Iterator[pa.RecordBatch])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), FIELDS, strict=True)], [n for n, _ in FIELDS])
 
 
-def records(files: DataFrame, member_chars: int | None = MEMBER_CHARS) -> DataFrame:
+def records(found: DataFrame, member_chars: int | None = MEMBER_CHARS) -> DataFrame:
     """The records of scanned files, and one row with ``error`` for each that gives none. Files are read where they are
     parsed; one at a time is held. Markup becomes text in the JVM; chapters without text go."""
-    known = files if "kind" in files.columns else detect(files)
+    known = found if "kind" in found.columns else detect(found)
     out = known.select("path", "kind", F.sha2("content", 256), "content").mapInArrow(functools.partial(_parse_batches, member_chars), RECORDS)
     for column in ("text", "name"):
         plain = html_text(F.col(column))
@@ -63,6 +65,29 @@ def records(files: DataFrame, member_chars: int | None = MEMBER_CHARS) -> DataFr
     return out.drop("markup")
 
 
+def read(spark: SparkSession, paths: list[str], hashes: DataFrame, member_chars: int | None = MEMBER_CHARS) -> DataFrame:
+    """As ``records``, for files of a block that are named one by one, with their hashes (path, file_hash and wide: a mark of
+    two-byte characters begins them). What is read by line is; such files that are wide are parsed whole."""
+    by_line = [p for p in paths if lined.kind_of(p)]
+    wide = {r.path for r in hashes.filter("wide").select("path").collect()} & set(by_line) if by_line else set()
+    by_line = [p for p in by_line if p not in wide]
+    other = [p for p in paths if p in wide or not lined.kind_of(p)]
+    parts = [records(files.named(spark, other), member_chars)] if other else []
+    if by_line:
+        found = stored(lined.records(spark, by_line))
+        marked = hashes.filter(F.col("path").rlike(lined.PATTERN) & ~F.col("wide")).select("path", "file_hash")
+        none = marked.join(found.select("path").distinct(), "path", "left_anti").select(F.col("path").alias("source"), "file_hash", F.lit("no text").alias("error"))
+        told = found.join(marked, "path").withColumnRenamed("path", "source").unionByName(none, allowMissingColumns=True)
+        parts.append(told.select(*[c.split()[0] for c in PARSED.split(", ")]))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def hashed(files_: DataFrame) -> DataFrame:
+    """path, file_hash and wide of scanned files."""
+    wide = F.hex(F.substring("content", 1, 2)).isin("FFFE", "FEFF")
+    return files_.select("path", files.file_hash(F.col("content")).alias("file_hash"), F.coalesce(wide, F.lit(False)).alias("wide"))
+
+
 def good(parsed: DataFrame) -> DataFrame:
     return parsed.filter(F.col("error").isNull() & (F.trim("text") != "")).drop("error")
 

@@ -27,10 +27,14 @@ def scan(spark: SparkSession, root: str, pattern: str | None = None, recursive:
     return files
 
 
+def literal_paths(paths: list[str]) -> list[str]:
+    """Paths whose characters with a meaning in patterns are taken as they are."""
+    return [re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p in paths]
+
+
 def named(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """The same columns for files named one by one, which must exist; characters with a meaning in patterns are taken as they are."""
-    plain = [re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p in paths]
-    return spark.read.format("binaryFile").load(plain).select("path", "length", F.col("modificationTime").alias("modified"), "content")
+    """The same columns for files named one by one, which must exist."""
+    return spark.read.format("binaryFile").load(literal_paths(paths)).select("path", "length", F.col("modificationTime").alias("modified"), "content")
 
 
 def extension(path: Column) -> Column:

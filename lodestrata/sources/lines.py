@@ -26,7 +26,9 @@ def lines(spark: SparkSession, path: str | list[str], pattern: str | None = None
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     read = reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("part"), F.col("value").alias("line"))
-    return read.withColumn("at", F.monotonically_increasing_id()).select("path", "part", "at", F.regexp_replace("line", "\r$", "").alias("line"))
+    # by bytes, as they needn't be UTF-8
+    bare = F.substr(F.col("line").cast("binary"), F.lit(1), F.octet_length("line") - 1).cast("string")
+    return read.withColumn("at", F.monotonically_increasing_id()).select("path", "part", "at", F.when(F.endswith("line", F.lit("\r")), bare).otherwise(F.col("line")).alias("line"))
 
 
 def islands(found: DataFrame, opens: Column, title: Column, toggles: Column) -> DataFrame:
@@ -98,7 +100,7 @@ def csv_records(found: DataFrame, limit: int = 1 << 20) -> DataFrame:
 
 
 def csv_fields(text: Column) -> Column:
-    """The trimmed fields of a record. Of what quotes cut a record into, each second piece was quoted; an empty one that was not,
+    """The fields of a record. Of what quotes cut a record into, each second piece was quoted; an empty one that was not,
     between two that were, stands for a quote."""
     cut = F.split(text, '"', -1)
 
@@ -106,4 +108,4 @@ def csv_fields(text: Column) -> Column:
         doubled = (s == "") & (i > 0) & (i < F.size(cut) - 1)
         return F.when(i % 2 == 1, s).when(doubled, F.lit('"')).otherwise(F.replace(s, F.lit(","), F.lit("\u0000")))
 
-    return F.transform(F.split(F.array_join(F.transform(cut, bit), ""), "\u0000", -1), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    return F.split(F.array_join(F.transform(cut, bit), ""), "\u0000", -1)
