@@ -83,9 +83,16 @@ def bar(share: Column, width: int = 20) -> Column:
     return F.concat(F.repeat(F.lit("#"), full), F.repeat(F.lit("."), F.lit(width) - full))
 
 
-def prose(t: Column, limit: int = 3000) -> Column:
-    """JSON texts in compact form, others as they are, cut at the limit."""
-    return F.left(F.coalesce(F.to_json(F.try_parse_json(t)), t), F.lit(limit))
+def whole_json(t: Column) -> Column:
+    """The JSON value that a text is; null for others. Spark's parser reads the first value and leaves what follows, so the text
+    is also put into an array and an object: what may follow a value in one of them may not in the other."""
+    within = [F.try_parse_json(F.concat(F.lit(a), t, F.lit(b))) for a, b in (("[", "]"), ('{"v":', "}"))]
+    return F.when(within[0].isNotNull() & within[1].isNotNull(), F.try_parse_json(t))
+
+
+def prose(t: Column, limit: int = 3000, json: bool = True) -> Column:
+    """JSON texts in compact form (unless told that there are none), others as they are, cut at the limit."""
+    return F.left(F.coalesce(F.to_json(whole_json(t)), t) if json else t, F.lit(limit))
 
 
 # --- HTML ---

@@ -1,5 +1,6 @@
 """Filters, functions, chunking properties, store, ingest, retrieval, gate, status, streams."""
 
+import hashlib
 import json
 import os
 
@@ -37,6 +38,21 @@ def test_settings():
     assert config.current_version({}, " B42 \n") == "b42" and config.current_version({"DATA_VERSION": "X"}, "y") == "x" and config.current_version({}, None) == "b41"
 
 
+def test_prose_takes_only_whole_texts_for_json(spark, tmp_path):
+    """A text that begins with a number stays whole; a query's texts are cut as they are, as its SQL does."""
+    from lodestrata.queries import prose_truncate
+
+    said = ["8294846167456848 is a number", '{"a": 1} and more', "1] x", "1} x", '1, "v": 2', "1,", "", " ", "[1] [2]", "plain"]
+    json_texts = {'{ "a": [1, 2] }': '{"a":[1,2]}', " 12 ": "12", "null": "null", "[ ]": "[]"}
+    rows = [*said, *json_texts, None, "{" + "x" * 4000]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    got = dict(docs.select("text", T.prose(F.col("text")).alias("cut")).collect())
+    assert got == {t: json_texts.get(t, t and t[:3000]) for t in rows}
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: None if t is None else hashlib.sha256(t[:3000].encode()).hexdigest() for i, t in enumerate(rows)}
+    assert {r.doc_id: r.cut_hash for r in prose_truncate(spark, str(tmp_path)).collect()} == want
+
+
 def test_functions(spark):
     one = spark.range(1)
     get = lambda c: one.select(c).first()[0]
