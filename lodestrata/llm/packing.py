@@ -17,31 +17,39 @@ special tokens in a text are those tokens. An empty table gives no rows. Other c
 from __future__ import annotations
 
 import functools
+import itertools
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import DROPS, map_rows, slices, text_bytes, tokenizer_file, words
+from .common import DROPS, map_rows, slices, text_bytes, tokenizer_file
 
 CAPACITY = 2048
 END_ID = 1
+END = np.array([END_ID], dtype="<u4")
 #: Larger classes aren't told apart: their bins take pieces until the next doesn't fit.
 MAX_CLASS = 64
 MEMO_WORDS = 500_000
+#: Bytes of texts whose words are told apart at once.
+BLOCK = 8 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class WordIds:
     """Ids of whole texts, put together from the ids of their words.
 
-    The tokenizer's own splitting never joins text across white space, so a text's ids are its words' ids in a row. Words
-    are remembered up to ``MEMO_WORDS``. A new word of Latin-1 letters, with or without one closing mark, goes right to
-    the model under its lower-case form, which its normalizing and splitting leave whole; any other takes the full way.
+    The tokenizer's own splitting never joins text across white space, so a text's ids are its words' ids in a row. Arrow
+    tells the words of a block of texts apart, and those of Latin-1 letters with or without ASCII marks behind them into
+    lower-case letters and marks, which the tokenizer's normalizing and splitting leave whole. Of what then is left, each is
+    looked up once a block. New letters go right to the model, anything else takes the full way; some ``MEMO_WORDS`` are
+    remembered.
     """
 
     def __init__(self, path: str):
@@ -52,49 +60,84 @@ class WordIds:
         self.tokenizer.no_padding()
         self.tokenize = self.tokenizer.model.tokenize
         self.memo: dict[bytes, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-        self.marks = {m: self._full(m) for m in ".,;:!?"}
-        self.letters = {chr(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(c))[0][0] for c in range(256) if chr(c).isalpha()}
-        # only for tokenizers that lower-case and see a run of letters as one piece
-        probe = ["THANdat", "éÈñ", "oftheati"]
-        self.direct = all(self._full(w) == self._core(w.lower()) for w in probe) and self._full("that,") == self._full("that") + self.marks[","]
+        letters = [chr(c) for c in range(256) if chr(c).isalpha()]
+        self.letters = {ord(x): self.tokenizer.pre_tokenizer.pre_tokenize_str(x)[0][0] for x in letters if x == x.lower()}
+        self.plain = f"^(?P<core>[{''.join(letters)}]+)(?P<marks>[!-/:-@\\[-`{{-~]*)$"
+        # only for tokenizers that lower-case and see a run of letters as one piece, and one of marks as another
+        probe = [("THANdat", ""), ("éÈñ", ""), ("oftheati", ""), ("that", ","), ("that", ",$$$"), ("That", "'\""), ("É", ".&&&")]
+        self.direct = all(self._full(core + marks) == self._core(core.lower()) + self._full(marks) for core, marks in probe)
 
     def _full(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _core(self, word: str) -> bytes:
-        got = self.cores.get(word)
-        if got is None:
-            if len(self.cores) >= MEMO_WORDS:
-                self.cores.clear()
-            form = word if word.isascii() else "".join(map(self.letters.__getitem__, word))
-            got = self.cores[word] = array("I", [t.id for t in self.tokenize(form)]).tobytes()
-        return got
-
-    def _word(self, raw: bytes) -> bytes:
+        return array("I", [t.id for t in self.tokenize(word if word.isascii() else word.translate(self.letters))]).tobytes()
+
+    def _made(self, raw: bytes) -> bytes:
         word = raw.decode("utf-8", "replace")
-        if self.direct and len(word) <= 64:
-            tail = b""
-            low = word
-            if word[-1] in self.marks:
-                low, tail = word[:-1], self.marks[word[-1]]
-            if low.isalpha() and (low.isascii() or max(low) < "\u0100"):
-                return self._core(low.lower()) + tail
+        if self.direct and word.isalpha() and word.islower() and (word.isascii() or max(word) < "\u0100"):
+            return self._core(word)
         return self._full(word)
 
-    def _ids(self, part: bytes) -> bytes:
-        found = words(part)
+    def _looked_up(self, found: list[bytes]) -> list[bytes]:
+        """The ids of different words."""
+        if len(self.memo) > MEMO_WORDS:
+            self.memo = {w: self.memo[w] for w in found if w in self.memo}
         memo = self.memo
-        new = {w for w in found if w not in memo}
-        if len(memo) + len(new) > MEMO_WORDS:
-            memo.clear()
-            new = set(found)
-        for w in new:
-            memo[w] = self._word(w)
-        return b"".join(map(memo.__getitem__, found))
+        ids = list(map(memo.get, found))
+        for i in [i for i, x in enumerate(ids) if x is None]:
+            ids[i] = memo[found[i]] = self._made(found[i])
+        return ids
+
+    def _ids(self, parts: list[bytes | None]) -> Iterator[np.ndarray]:
+        """The ids of each part; none for null."""
+        found = pc.ascii_split_whitespace(pa.array(parts, pa.large_binary()).view(pa.large_string()))
+        words = found.flatten().dictionary_encode()
+        # a word is its letters and its marks, or itself and nothing
+        split = pc.extract_regex(words.dictionary, self.plain)
+        core, marks = pc.struct_field(split, "core"), pc.struct_field(split, "marks")
+        if not self.direct:
+            core = marks = pa.nulls(len(words.dictionary), pa.large_string())
+        pieces = pa.concat_arrays([pc.coalesce(pc.utf8_lower(core), words.dictionary), pc.fill_null(marks, "")]).dictionary_encode()
+        ids = _lists(self._looked_up(pieces.dictionary.view(pa.large_binary()).to_pylist()))
+        ids = ids.take(pa.array(pieces.indices.to_numpy().reshape(2, -1).T.ravel()))
+        ids = pa.LargeListArray.from_arrays(ids.offsets.to_numpy()[::2], ids.values)
+        ids = ids.take(words.indices)
+        at = ids.offsets.to_numpy()[found.offsets.to_numpy()]
+        flat = ids.values.to_numpy()
+        return (flat[a:b] for a, b in itertools.pairwise(at))
+
+    def documents(self, rows: Iterable[tuple[int | None, bytes | None]]) -> Iterator[tuple[int | None, np.ndarray]]:
+        """The id and the ids of each document, with the closing one; texts are read in blocks, a null closes each."""
+        parts = ((doc_id, part) for doc_id, text in rows for part in itertools.chain(slices(text or b""), [None]))
+        held: list[np.ndarray] = []
+        for block in _blocks(parts):
+            for (doc_id, part), ids in zip(block, self._ids([part for _, part in block]), strict=True):
+                held.append(ids)
+                if part is None:
+                    yield doc_id, np.concatenate([*held, END])
+                    held = []
 
     def encode(self, text: bytes | None) -> np.ndarray:
-        return np.frombuffer(b"".join([*map(self._ids, slices(text or b"")), END_ID.to_bytes(4, "little")]), dtype="<u4")
+        return next(self.documents([(None, text)]))[1]
+
+
+def _lists(ids: list[bytes]) -> pa.LargeListArray:
+    return pa.LargeListArray.from_arrays(np.cumsum([0, *map(len, ids)]) // 4, np.frombuffer(b"".join(ids), dtype="<u4"))
+
+
+def _blocks(parts: Iterable[tuple]) -> Iterator[list[tuple]]:
+    """Parts of texts, some ``BLOCK`` bytes at a time."""
+    block: list[tuple] = []
+    size = 0
+    for doc_id, part in parts:
+        block.append((doc_id, part))
+        size += len(part or b"") + 64
+        if size >= BLOCK:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
 
 
 @functools.lru_cache(maxsize=1)
@@ -185,8 +228,7 @@ def _pack(path: str, capacity: int, rows: Iterator[tuple]) -> Iterator[tuple]:
         for (doc_id, start, ids, total), number, offset, length in rows:
             yield doc_id, start, length, zlib.crc32(ids.tobytes()), total, base + number, offset
 
-    for doc_id, text in rows:
-        ids = encoder.encode(text)
+    for doc_id, ids in encoder.documents(rows):
         start = 0
         for n in cut_points(len(ids), capacity):
             yield from out(packer.add((doc_id, start, ids[start : start + n].copy(), len(ids)), n))

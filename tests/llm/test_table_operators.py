@@ -181,6 +181,29 @@ def test_ids_equal_the_tokenizers_with_special_tokens():
     assert ours.encode(b"x <|endoftext|> y").tolist()[1] == 49407
 
 
+def test_words_with_marks_take_no_way_of_their_own(monkeypatch):
+    """A word's forms (marks behind it, capitals) are one word to the model, in any block and with a small memory."""
+    from tokenizers import Tokenizer
+
+    path = common.tokenizer_file("word_bpe_49k.json")
+    tokenizer, ours, rng = Tokenizer.from_file(path), packing.WordIds(path), random.Random(7)
+    asked = []
+    monkeypatch.setattr(ours, "_full", lambda word, full=ours._full: asked.append(word) or full(word))
+    cores = ["".join(rng.choice("abcdefghéüßñº") for _ in range(rng.randint(1, 9))) for _ in range(300)]
+    marks = ["", ".", ",", "###", ",$$$", "'", "...", "<|", "'\"", "\\]^_`{|}~"]
+    words = [form(core) + mark for core in cores for mark in marks for form in (str.lower, str.capitalize, str.upper)]
+    rng.shuffle(words)
+    texts = [" ".join(words[i : i + 40]) for i in range(0, len(words), 40)] + ["'s", "don't 's's", "x\u0301. e\u0301", "", " \n", "ab12", "J\u030c", "\u00c5. A\u030a,", "İ. ǅ,", "(a) [b] \u00abc\u00bb", "\u00b5m, \u039cM."]
+    want = [[*tokenizer.encode(t, add_special_tokens=False).ids, packing.END_ID] for t in texts]
+    rows = [(i, t.encode()) for i, t in enumerate(texts)]
+    assert [(i, ids.tolist()) for i, ids in ours.documents(rows)] == list(enumerate(want))
+    assert len(asked) < 150
+    monkeypatch.setattr(packing, "BLOCK", 200)
+    monkeypatch.setattr(packing, "MEMO_WORDS", 20)
+    assert [ids.tolist() for _, ids in packing.WordIds(path).documents(rows)] == want
+    assert ours.encode(b"ab\xff, Cd \xc3").tolist() == ours.encode("ab\ufffd, cd \ufffd".encode()).tolist()
+
+
 def test_classes_hold_a_fixed_count():
     packer = packing.HarmonicPacker(100)
     out = [x for i in range(9) for x in packer.add((i,), 33)]
