@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.versions import Snapshots
 from ..plans.ingest import Corpus, blocks_of_paths, ingest
+from ..session import shared_dir
 from ..sources import files
 from ..sources.changes import changed_files
 from .windows import run_available
@@ -36,10 +37,16 @@ def file_versions(spark: SparkSession, folder: str, table: str, pattern: str | N
     versions = Snapshots(spark, f"{table}/versions", ["path"], "modified")
 
     def take(batch: DataFrame, number: int) -> None:
-        listed = batch.select("path").distinct()
-        for block in blocks_of_paths(listed):
+        schema = None
+        # files are opened once and taken in together, as a write costs a look at the whole table's keys
+        work = f"{shared_dir(spark)}/seen"
+        for block in blocks_of_paths(batch.select("path").distinct()):
             seen = files.named(spark, block).select("path", "length", "modified", files.file_hash(F.col("content")).alias("file_hash"))
-            versions.upsert(seen, 1)
+            # Spark reads some 32 small files a task, and each task would write a file of so many rows
+            seen.coalesce(4 * spark.sparkContext.defaultParallelism).write.mode("append").parquet(work)
+            schema = seen.schema
+        if schema is not None:
+            versions.upsert(spark.read.schema(schema).parquet(work), 1)
 
     run_available(changed_files(spark, folder, pattern), take, "append", f"{table}/checkpoint")
     return versions

@@ -213,3 +213,22 @@ def test_a_stream_of_changed_files_opens_only_these(spark, tmp_path, monkeypatch
     second = call()
     assert sorted(opened) == ["1.txt", "2.txt", "new.txt"]
     assert {n for n in second if second[n] != first.get(n)} == {"1.txt", "2.txt", "new.txt"} and second["1.txt"][0] == 1
+
+
+def test_a_batch_of_changed_files_is_taken_in_at_once(spark, tmp_path, monkeypatch):
+    """Files are looked up in blocks, by few tasks; the table is written once a batch however many blocks there are."""
+    from lodestrata.streaming.ingest import file_versions
+
+    src = tmp_path / "src"
+    src.mkdir()
+    for i in range(40):
+        (src / f"{i}.txt").write_text(f"text {i}")
+    tasks, written, was = [], [], spark.conf.get(files.DISCOVERY)
+    load, upsert = files.literal_paths, Snapshots.upsert
+    monkeypatch.setattr(ingestion, "LISTED", 15)
+    monkeypatch.setattr(files, "literal_paths", lambda paths: tasks.append(int(spark.conf.get(files.DISCOVERY))) or load(paths))
+    monkeypatch.setattr(Snapshots, "upsert", lambda *a, **k: written.append(1) or upsert(*a, **k))
+    got = {r.path.rsplit("/", 1)[1]: r.length for r in file_versions(spark, f"file://{src}", f"file://{tmp_path}/t").current().collect()}
+    assert got == {f"{i}.txt": len(f"text {i}") for i in range(40)}
+    assert len(tasks) == 3 and max(tasks) <= 4 * spark.sparkContext.defaultParallelism and len(written) == 1
+    assert spark.conf.get(files.DISCOVERY) == was
